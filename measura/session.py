@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}
 
 
 def build_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -36,10 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     set_to = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if set_to:
         return set_to.rstrip("/")
-    own = tempfile.mkdtemp(prefix="measura-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set(CHECKPOINT_KEY, f"file://{own}")
-    return f"file://{own}"
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        own = tempfile.mkdtemp(prefix="measura-")
+        atexit.register(shutil.rmtree, own, True)
+        _OWN[app] = f"file://{own}"
+    return _OWN[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
