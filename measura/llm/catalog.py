@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from measura.llm import op9_sharding
+from measura.llm import op3_decontamination, op9_sharding, op10_toxicity
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination.query,
     "op9_sharding": op9_sharding.query,
+    "op10_toxicity": op10_toxicity.query,
 }
 
 #: Queries with a SQL form; the others are tested against brute force in tests/llm.
