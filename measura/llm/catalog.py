@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from measura.llm import op3_decontamination, op8_token_counts, op9_sharding, op10_toxicity
+from measura.llm import op3_decontamination, op7_token_files, op8_token_counts, op9_sharding, op10_toxicity
 
 QUERIES = {
     "op3_decontamination": op3_decontamination.query,
+    "op7_token_files": op7_token_files.query,
     "op8_token_counts": op8_token_counts.query,
     "op9_sharding": op9_sharding.query,
     "op10_toxicity": op10_toxicity.query,
