@@ -101,30 +101,32 @@ def piece_starts(kind: np.ndarray, chunk: int = 256) -> np.ndarray:
 
 @dataclass
 class Pieces:
-    points: np.ndarray
+    text: str  # all texts, a character between them
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     #: first[i]:first[i + 1] are the pieces of text i.
     first: np.ndarray
 
-    def text(self, i: int) -> str:
-        return self.points[self.starts[i] : self.ends[i]].astype("<u4").tobytes().decode("utf-32-le")
+    def strings(self, which: np.ndarray) -> list[str]:
+        text = self.text
+        return [text[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
 
 
 def pieces(texts: list[str]) -> Pieces:
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths + 1) - 1
-    points = np.full(int(lengths.sum()) + len(texts), SENTINEL, np.uint32)
+    text = "\n".join([*texts, ""])
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint32)
     inside = np.ones(len(points), bool)
     inside[ends] = False
-    points[inside] = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    points[ends] = SENTINEL
     starts = piece_starts(symbols(points)) if len(points) else np.zeros(0, np.int64)
     stops = np.append(starts[1:], len(points))
     real = inside[starts]
     starts, stops = starts[real], stops[real]
     first = np.searchsorted(starts, np.append(0, ends + 1))
-    return Pieces(points, starts, stops, span_hashes(points, starts, stops), first)
+    return Pieces(text, starts, stops, span_hashes(points, starts, stops), first)
 
 
 @cache

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measura.llm.pretoken import Pieces, added, pieces, spec
-from measura.llm.textops import slices, span_hashes
+from measura.llm.textops import HashTable, slices, span_hashes
 
-MEMO = 500_000
+MEMO = 1_500_000
 WIDE = 24  # longer pieces are taken one by one
 BEGIN = -2
 
@@ -137,17 +137,19 @@ def merge_machine(path: str) -> MergeMachine:
 class Counter:
     def __init__(self, path: str) -> None:
         self.machine, self.special = merge_machine(path), added(path)
-        self.known: dict[int, int] = {}
+        self.known = HashTable(MEMO)
 
     def of_pieces(self, p: Pieces) -> np.ndarray:
         distinct, first, back = np.unique(p.hashes, return_index=True, return_inverse=True)
-        known = self.known
-        counts = np.array([known.get(h, -1) for h in distinct.tolist()], np.int64)
+        counts = self.known.get(distinct)
         new = np.flatnonzero(counts < 0)
-        counts[new] = self.machine.count([p.text(first[i]).encode() for i in new])
-        if len(known) + len(new) > MEMO:
-            known.clear()
-        known.update(zip(distinct[new].tolist(), counts[new].tolist(), strict=True))
+        if len(new):
+            counts[new] = self.machine.count([s.encode() for s in p.strings(first[new])])
+            if self.known.full(len(new)):
+                self.known.clear()
+                self.known.put(distinct, counts)
+            else:
+                self.known.put(distinct[new], counts[new])
         return counts[back]
 
     def count(self, texts: list[str]) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Token-id files: whole documents encoded, laid end to end in ascending key order and stored as Simple-8b records.
 
 Documents are dealt by ranges of the key, sorted, encoded and written; each file row is a record of whole documents:
-the part and record numbers, the documents' keys and lengths, and the Simple-8b payload.  Spark's own Parquet writer
+the part, the place of its first id in the part, the documents' keys and lengths, and the Simple-8b payload.  Spark's own Parquet writer
 carries the records, so they can be in any store that Spark reaches.  A document's first position in the whole
 sequence is the sum of the parts before its own plus its place in the part.
 
@@ -19,21 +19,22 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from measura.llm import simple8b
 from measura.llm.pretoken import added, pieces
-from measura.llm.textops import slices
+from measura.llm.textops import HashTable, slices
 from measura.session import shared_dir
 
-MEMO = 400_000
-RECORD = "part int, record int, keys array<bigint>, lengths array<int>, payload binary"
+MEMO = 1_500_000
+GROUP = 64  # pieces given to the library in one string
+RECORD = "part int, first bigint, keys array<bigint>, lengths array<int>, payload binary"
 
 
 class Encoder:
@@ -42,46 +43,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.special = Tokenizer.from_file(path), added(path)
+        self.bar = self.library.token_to_id(self.special[0]) if self.special else None
+        self.known = HashTable(MEMO)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.lengths, self.offsets, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known.clear()
+        self.lengths, self.offsets, self.flat, self.slots, self.used = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0, 0
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) from the library."""
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids], np.int64)
+
+    def apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """whole() of many short texts without special strings: a special string, which the library always takes as
+        a token of its own, parts them, so that it is called less often."""
+        if self.bar is None:
+            return self.whole(texts)
+        bar = self.special[0]
+        ids, _ = self.whole([bar.join([*texts[i : i + GROUP], ""]) for i in range(0, len(texts), GROUP)])
+        bars = np.flatnonzero(ids == self.bar)
+        return ids[ids != self.bar], np.diff(np.append(-1, bars)) - 1
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids = self.whole(texts)
-        start, n = len(self.known), len(ids)
+        new, size = self.apart(texts)
+        start, n = self.slots, len(size)
         if start + n > len(self.lengths):
             self.lengths, self.offsets = (np.resize(x, 2 * (start + n)) for x in (self.lengths, self.offsets))
-        size = np.array([len(x) for x in ids], np.int64)
-        new = np.fromiter((t for x in ids for t in x), np.int32, int(size.sum()))
         if self.used + len(new) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(new)))
         self.flat[self.used : self.used + len(new)] = new
         self.lengths[start : start + n] = size
         self.offsets[start : start + n] = self.used + np.cumsum(size) - size
-        self.used += len(new)
-        self.known.update(zip(hashes.tolist(), range(start, start + n), strict=True))
+        self.used, self.slots = self.used + len(new), start + n
+        self.known.put(hashes, np.arange(start, start + n))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other, their lengths)."""
         plain = [not any(s in t for s in self.special) for t in texts]
         if not all(plain):
-            ids = self.whole(texts)
-            return np.array([t for x in ids for t in x], np.int32), np.array([len(x) for x in ids], np.int64)
+            return self.whole(texts)
         p = pieces(texts)
         distinct, first, back = np.unique(p.hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MEMO:
+        if self.known.full(len(distinct)):
             self.clear()
-        known = self.known
-        new = [i for i, h in enumerate(distinct.tolist()) if h not in known]
-        if new:
-            self.learn(distinct[new], [p.text(first[i]) for i in new])
-        slot = np.array([known[h] for h in distinct.tolist()], np.int64)[back]
-        size = self.lengths[slot]
+        new = np.flatnonzero(self.known.get(distinct) < 0)
+        if len(new):
+            self.learn(distinct[new], p.strings(first[new]))
+        slot = self.known.get(distinct)[back]
+        size = self.lengths[slot].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.offsets[slot] - ends + size, size) + np.arange(total)]
@@ -97,15 +108,15 @@ def encoder(path: str) -> Encoder:
 
 def writer(path: str, key: str, text: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, record, machine = TaskContext.get().partitionId(), 0, encoder(path)
+        part, first, machine = TaskContext.get().partitionId(), 0, encoder(path)
         for batch in batches:
             keys, texts = batch[key], [t or "" for t in batch[text].to_pylist()]
             for a, b in slices([len(t) for t in texts]):
                 ids, lengths = machine.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
-                row = {"part": part, "record": record, "keys": keys.slice(a, b - a).to_pylist(), "lengths": (lengths + 1).tolist(), "payload": simple8b.encode(ids)}
-                record += 1
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("record", pa.int32()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())]))
+                row = {"part": part, "first": first, "keys": keys.slice(a, b - a).to_pylist(), "lengths": (lengths + 1).tolist(), "payload": simple8b.encode(ids)}
+                first += len(ids)
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("first", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())]))
 
     return run
 
@@ -118,7 +129,7 @@ def reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = ends - row["lengths"]
             crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["keys"], pa.int64()), pa.array(starts + row["before"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"]
+                [pa.array(row["keys"], pa.int64()), pa.array(starts + row["first"] + row["base"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"]
             )
 
 
@@ -141,6 +152,5 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         bases.append((r["part"], base))
         base += r["n"]
     parts = spark.createDataFrame(bases, "part int, base long")
-    inside = F.coalesce(F.sum(size).over(W.partitionBy("part").orderBy("record").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = records.select("part", "record", inside.alias("inside")).join(F.broadcast(parts), "part").select("part", "record", (F.col("inside") + F.col("base")).alias("before"))
-    return records.join(placed, ["part", "record"]).select("keys", "lengths", "payload", "before").mapInArrow(reader, "key long, start long, n_tokens long, ids_crc32 long")
+    placed = records.join(F.broadcast(parts), "part").select("keys", "lengths", "payload", "first", "base")
+    return placed.mapInArrow(reader, "key long, start long, n_tokens long, ids_crc32 long")
