@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from measura.llm import op1_language_id, op2_secrets, op3_decontamination, op4_nearest, op5_mixing, op7_token_files, op8_token_counts, op9_sharding, op10_toxicity
+from measura.llm import op1_language_id, op2_secrets, op3_decontamination, op4_nearest, op5_mixing, op6_ngram_join, op7_token_files, op8_token_counts, op9_sharding, op10_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination.query,
     "op4_nearest": op4_nearest.query,
     "op5_mixing": op5_mixing.query,
+    "op6_ngram_join": op6_ngram_join.query,
     "op7_token_files": op7_token_files.query,
     "op8_token_counts": op8_token_counts.query,
     "op9_sharding": op9_sharding.query,
