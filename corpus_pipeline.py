@@ -1,16 +1,67 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+A document without an id is told by its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from measura.llm import sharding
+from measura.llm import mixing, ngram_join, op5_mixing, op10_toxicity, sharding, toxicity, wu_manber
 from measura.session import materialize
 from measura.sources.tables import table
 
+#: Ids of kept documents are broadcast up to this number; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+MAX_EPOCHS = 2
+WEIGHTS = [{}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {}]
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(op10_toxicity.fold() != op10_toxicity.HELD_OUT)
+    machine = toxicity.fit(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs, machine).where("score < 0.5").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that 5-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays.
+
+    Repeated rows of one id are one document.
+    """
+    key = F.coalesce("doc_id", -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
+    keyed = docs.select(key.alias("key"), "text")
+    found = ngram_join.groups(keyed, "key", "text", words=5, num=80, den=100, keep=["key"])
+    kept = materialize(found.where("key = component_id").groupBy("key").agg(F.count("*").alias("rows")), "pipeline-kept")
+    ids = kept.select(F.col("key").alias("kept"))
+    ids = F.broadcast(ids) if kept.count() <= BROADCAST_ROWS else ids
+    stay = docs.join(ids, key == F.col("kept"), "left_semi")
+    if kept.where("rows > 1").isEmpty():
+        return stay
+    repeated = kept.where("rows > 1").select(F.col("key").alias("kept"))
+    single = stay.join(repeated, key == F.col("kept"), "left_anti")
+    several = stay.join(repeated, key == F.col("kept"), "left_semi").withColumn("key", key).dropDuplicates(["key"]).select(*docs.columns)
+    return single.unionByName(several)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a 10-word window of a benchmark item go."""
+    found = wu_manber.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("items") == 0).select(*docs.columns)
+
+
+def budget() -> Column:
+    """Nine tenths of the tokens that are left."""
+    return F.expr("total * 9 div 10")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, at most MAX_EPOCHS times."""
+    used = mixing.mix(docs, op5_mixing.levels(), WEIGHTS, budget(), MAX_EPOCHS)
+    return used.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int")))).select(*docs.columns)
+
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places what is left into 24 shards on the bounded-load ring."""
@@ -18,10 +69,14 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram join", one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
     ("sharding", shard),
 ]
 
-#: The toxicity model and the text operators have no SQL form.
+#: The toxicity model and the text operators have no SQL form; tests/llm hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
