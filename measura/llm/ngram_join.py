@@ -1,19 +1,20 @@
 """Near-duplicate groups by an exact n-gram Jaccard join with several global token orders.
 
 A text's set holds its distinct shingles of ``words`` words (a shorter text is one shingle).  Two sets whose Jaccard
-similarity reaches num/den share a token among the first n - ceil(n * num/den) + 1 tokens of each (n: its size) under
-*any* order of all tokens.  Candidates must do so under ORDERS different orders before they are verified:
+similarity reaches num/den share l tokens or more among the first n - ceil(n * num/den) + l tokens of each (n: its
+size) under *any* order of all tokens.  Candidates must do so under ORDERS different orders before they are verified:
 
 1. Tokens that are frequent in some stretch of the corpus are counted, so that every order can put frequent tokens
    last; within a class of frequency, each order has its own seeded hash.
 2. Equal sets are one class, told by a 64-bit sum of token hashes.  The classes' prefixes under the first order are
    grouped by token; groups of one class are dropped.
-3. In every group all members are compared with one of them (its hub): pairs that pass the other orders' prefixes and
-   the sizes are verified on the full sets.  Links found make components.
-4. Groups that still hold several components are compared in full, small ones as distinct pairs of members of different
-   components, large ones in blocks of about BLOCK members, each pair of blocks in a task of its own, which returns
-   no more links than are needed to connect what it links.  So pairs inside a component aren't listed, nothing is
-   capped, and no link between different components is lost.
+3. Pairs of groups of up to SMALL members are counted: a pair that shares no larger group must share l tokens, where l
+   is 1 for small sets and up to DEPTH for larger ones, and be of fitting sizes.  In every larger group all members
+   are paired with one of them (its hub).  Pairs that pass the prefixes under the other orders are verified on the
+   full sets, and the links make components.
+4. Larger groups that still hold several components are compared in full, in blocks of about BLOCK members, each pair of
+   blocks in a task of its own, which returns no more links than connect what it links.  So pairs of a large group
+   aren't listed, nothing is capped, and no link between different components is lost.
 
 What is bounded: the table of frequent tokens holds the ``frequent`` most frequent ones.  It only shapes the orders, and
 any order gives the same links.  Two different sets are taken as equal if their 64-bit sums collide (expected pairs:
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measura.llm.textops import encoded, mix, slices, span_hashes, word_spans
+from measura.llm.textops import encoded, mix, parts, span_hashes, word_spans
 from measura.operators.graph import components
 from measura.session import materialize
 
@@ -45,6 +46,7 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 SEEDS = np.array([0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xB5026F5AA96619E9], np.uint64)
 ORDERS = len(SEEDS)
 SMALL, BLOCK = 32, 256
+DEPTH, PER_TOKEN = 6, 20  # l: one more for every PER_TOKEN tokens of a set, DEPTH at most
 CHUNK = 2_000_000  # tokens counted together in pass 1
 LEAST = 3  # occurrences in a chunk from which a token is reported
 BROADCAST_ROWS = 1_000_000
@@ -74,6 +76,11 @@ def token_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def least_shared(n: int) -> int:
+    """How many prefix tokens a set of n tokens asks for; never more than it must share."""
+    return min(DEPTH, 1 + n // PER_TOKEN)
+
+
 def fingerprint(tokens: np.ndarray) -> int:
     return int(mix(np.array([tokens.sum(dtype=np.uint64)], np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
 
@@ -87,7 +94,7 @@ class Orders:
 
     def prefixes(self, tokens: np.ndarray, num: int, den: int) -> list[np.ndarray]:
         """The tokens' keys in the prefix under every order, sorted."""
-        size = len(tokens) - -(-num * len(tokens) // den) + 1
+        size = len(tokens) - -(-num * len(tokens) // den) + least_shared(len(tokens))
         kind = np.zeros(len(tokens), np.uint64)
         if len(self.tokens):
             place = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
@@ -101,9 +108,8 @@ class Orders:
 
 def read_sets(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     for batch in batches:
-        texts = encoded(batch[text])
-        for a, b in slices([len(t) for t in texts]):
-            yield batch, a, token_sets(texts[a:b], words)
+        for a, _, part in parts(batch[text]):
+            yield batch, a, token_sets(encoded(part), words)
 
 
 def frequent_counter(text: str, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -186,9 +192,10 @@ def verifier(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             out = []
             for i in range(len(batch)):
                 # The further orders' filters first, then the sets themselves.
-                if not meets(array(cols["a_p1"][i]), array(cols["b_p1"][i])) or not meets(array(cols["a_p2"][i]), array(cols["b_p2"][i])):
-                    continue
                 x, y = array(cols["a_tokens"][i]), array(cols["b_tokens"][i])
+                least = least_shared(min(len(x), len(y)))
+                if any(meets(array(cols[f"a_{p}"][i]), array(cols[f"b_{p}"][i])) < least for p in ("p1", "p2")):
+                    continue
                 both = meets(x, y)
                 if den * both >= num * (len(x) + len(y) - both):
                     out.append((cols["a"][i], cols["b"][i]))
@@ -227,9 +234,10 @@ def block_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
         left, right = [r for r in rows if r["block"] == i], [r for r in rows if r["block"] == j]
         out = []
         if left and right:
-            fits = np.ones((len(left), len(right)), bool)
+            least = np.minimum.outer([least_shared(r["n"]) for r in left], [least_shared(r["n"]) for r in right])
+            fits = np.ones(least.shape, bool)
             for p in ("p1", "p2"):
-                fits &= shared_counts([array(r[p]) for r in left], [array(r[p]) for r in right]) > 0
+                fits &= shared_counts([array(r[p]) for r in left], [array(r[p]) for r in right]) >= least
             if fits.any():
                 both = shared_counts([array(r["tokens"]) for r in left], [array(r["tokens"]) for r in right])
                 union = np.array([r["n"] for r in left])[:, None] + np.array([r["n"] for r in right]) - both
@@ -279,30 +287,32 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     postings = nodes.select("print", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
     several = postings.groupBy("token").agg(F.min("print").alias("hub"), F.max("print").alias("other")).where("hub < other").select("token", "hub")
     live = materialize(postings.join(several, "token").distinct(), "ngram-live")
+    members = live.groupBy("token").agg(F.count("*").alias("members"))
+    few = live.join(members.where(F.col("members") <= SMALL), "token")
+    many = live.join(members.where(F.col("members") > SMALL), "token")
+
+    side = lambda p: few.select("token", F.col("print").alias(p), F.col("n").alias(f"n{p}"))
+    shared_tokens = side("a").join(side("b"), "token").where(f"a < b AND {den} * least(na, nb) >= {num} * greatest(na, nb)").groupBy("a", "b").agg(F.count("*").alias("together"), F.min(F.least("na", "nb")).alias("n"))
+    pairs = shared_tokens.where(f"together >= least({DEPTH}, 1 + n div {PER_TOKEN})").select("a", "b")
+    star = many.where("print <> hub").select(F.col("hub").alias("a"), F.col("print").alias("b"))
+    pairs = materialize(pairs.unionByName(star).distinct(), "ngram-pairs")
 
     # One text of every class that has candidates.
-    involved = live.select("print").distinct()
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
     chosen = materialize(nodes.join(involved, "print", "left_semi").groupBy("print").agg(F.min("text_key").alias("text_key")).select("text_key").distinct(), "ngram-chosen")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     made = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen, "text_key", "left_semi").select("text").mapInArrow(set_maker(shared, words, num, den), SETS)
     sets = materialize(made.dropDuplicates(["print"]), "ngram-sets")
-
-    star = live.where("print <> hub").select(F.col("hub").alias("a"), F.col("print").alias("b")).distinct()
-    star = materialize(star, "ngram-star")
-    links = materialize(verify(star, sets, num, den), "ngram-links")
+    links = materialize(verify(pairs, sets, num, den), "ngram-links")
     roots = materialize(components(links), "ngram-roots")
 
-    placed = live.join(roots.withColumnRenamed("node", "print"), "print", "left").select("token", "print", "n", F.coalesce("root", "print").alias("root"))
-    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("token", "members")
+    placed = many.join(roots.withColumnRenamed("node", "print"), "print", "left").select("token", "print", "members", F.coalesce("root", "print").alias("root"))
+    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     placed = materialize(placed.join(open_, "token"), "ngram-open")
-    few = placed.where(F.col("members") <= SMALL)
-    left, right = few.select("token", F.col("print").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), few.select("token", F.col("print").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = left.join(right, "token").where(f"a < b AND ra <> rb AND {den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b").distinct()
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    many = placed.where(F.col("members") > SMALL).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    dealt = many.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", "print", "root", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    cut = placed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", "print", "root", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     blocks = dealt.join(sets, "print").groupBy("token", "i", "j").applyInArrow(block_links(num, den), "a long, b long")
-    more = materialize(verify(pairs, sets, num, den).unionByName(blocks), "ngram-more")
+    more = materialize(blocks, "ngram-more")
 
     final = components(links.unionByName(more)) if not more.isEmpty() else roots
     final = materialize(final, "ngram-final")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Multiplier of the word hash (odd, so that it has an inverse modulo 2^64) and that inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -25,11 +26,18 @@ def slices(lengths: list[int], limit: int = 1_000_000) -> Iterator[tuple[int, in
         yield start, len(lengths)
 
 
-def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+def encoded(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int, pa.Array]]:
+    """(start, end, rows) of a string column in slices() of its texts, so that few of them are Python objects at once."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(lengths, limit):
+        yield a, b, column.slice(a, b - a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit word over the others."""
     x = x ^ (x >> np.uint64(30))

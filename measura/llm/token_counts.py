@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measura.llm.pretoken import Pieces, added, pieces, spec
-from measura.llm.textops import HashTable, slices, span_hashes
+from measura.llm.textops import HashTable, parts, span_hashes
 
-MEMO = 1_500_000
+MEMO = 1_000_000
 WIDE = 24  # longer pieces are taken one by one
 BEGIN = -2
 
@@ -178,8 +178,7 @@ def counting(path: str, text: str, keep: list[str]) -> Callable[[Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch[text].to_pylist()]
-            counts = [machine.count(texts[a:b]) for a, b in slices([len(t) for t in texts])]
+            counts = [machine.count([t or "" for t in part.to_pylist()]) for _, _, part in parts(batch[text])]
             counts = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), counts], names=[*keep, "n_tokens"])
 

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from measura.llm import simple8b
 from measura.llm.pretoken import added, pieces
-from measura.llm.textops import HashTable, slices
+from measura.llm.textops import HashTable, parts
 from measura.session import shared_dir
 
-MEMO = 1_500_000
+MEMO = 1_000_000
 GROUP = 64  # pieces given to the library in one string
 RECORD = "part int, first bigint, keys array<bigint>, lengths array<int>, payload binary"
 
@@ -110,9 +110,9 @@ def writer(path: str, key: str, text: str, end_id: int) -> Callable[[Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, machine = TaskContext.get().partitionId(), 0, encoder(path)
         for batch in batches:
-            keys, texts = batch[key], [t or "" for t in batch[text].to_pylist()]
-            for a, b in slices([len(t) for t in texts]):
-                ids, lengths = machine.encode(texts[a:b])
+            keys = batch[key]
+            for a, b, part_of in parts(batch[text]):
+                ids, lengths = machine.encode([t or "" for t in part_of.to_pylist()])
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 row = {"part": part, "first": first, "keys": keys.slice(a, b - a).to_pylist(), "lengths": (lengths + 1).tolist(), "payload": simple8b.encode(ids)}
                 first += len(ids)
