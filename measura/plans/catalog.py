@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from measura.plans import text
+from measura.plans import relational, text
 
-FAMILIES = (text,)
+FAMILIES = (relational, text)
 
 QUERIES = {name: query for family in FAMILIES for name, (query, _) in family.REGISTRY.items()}
 ORACLES = {name: sql for family in FAMILIES for name, (_, sql) in family.REGISTRY.items() if sql}

@@ -1,10 +1,14 @@
-"""Census, n-gram and word-profile queries over text (survey 2.2, 2.5)."""
+"""Censuses, n-grams, byte pairs and word profiles of text (survey 2.2, 2.3, 2.5).
+
+Ranks follow the rule: by count, then by first appearance (document, then place).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from measura.operators import census
+from measura.plans.shared import family
 from measura.sources.tables import table
 
 
@@ -12,6 +16,11 @@ def collision_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.collision_census(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+RANKED = """ranked AS (
+          SELECT sym, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, first_doc, first_pos) AS BIGINT) AS place FROM (
+            SELECT sym, SUM(n) AS n, MIN(doc_id) AS first_doc, MIN(doc_id * 1000000 + first_pos) AS first_pos FROM (
+              SELECT sym, doc_id, COUNT(*) AS n, MIN(pos) AS first_pos FROM s GROUP BY sym, doc_id) x GROUP BY sym) y)"""
+
 REGISTRY = {
     "collision_census": (
         collision_census,
@@ -24,4 +33,106 @@ REGISTRY = {
         FROM c GROUP BY doc_id
         """,
     ),
-}
+} | family(
+    collision_entropy="""
+        WITH n AS (SELECT doc_id, sym, COUNT(*) AS n FROM s GROUP BY doc_id, sym)
+        SELECT doc_id, ROUND(-LOG2(CAST(SUM(n * n) AS DOUBLE) / (CAST(SUM(n) AS DOUBLE) * CAST(SUM(n) AS DOUBLE))), 9) AS bits FROM n GROUP BY doc_id""",
+    top_share="""
+        WITH n AS (SELECT doc_id, sym, COUNT(*) AS n FROM s GROUP BY doc_id, sym)
+        SELECT doc_id, MAX(n) AS top, CAST(SUM(n) AS BIGINT) AS total, COUNT(*) AS distinct_syms FROM n GROUP BY doc_id""",
+    block_census="""
+        WITH g AS (SELECT doc_id, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM s),
+             n AS (SELECT doc_id, block, COUNT(*) AS n FROM g WHERE block IS NOT NULL GROUP BY doc_id, block)
+        SELECT doc_id, COUNT(*) AS blocks, CAST(SUM(n) AS BIGINT) AS total, CAST(SUM(n * n) AS BIGINT) AS sum_sq FROM n GROUP BY doc_id""",
+    block_increments="""
+        WITH g AS (SELECT doc_id, sym AS b1, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS b2,
+                          sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) || LEAD(sym, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS b3 FROM s),
+             f AS (SELECT doc_id, 1 AS k, b1 AS b FROM g UNION ALL SELECT doc_id, 2, b2 FROM g WHERE b2 IS NOT NULL UNION ALL SELECT doc_id, 3, b3 FROM g WHERE b3 IS NOT NULL),
+             n AS (SELECT doc_id, k, b, COUNT(*) AS n FROM f GROUP BY doc_id, k, b),
+             d AS (SELECT doc_id, k, CAST(COUNT(*) AS BIGINT) AS kinds FROM n GROUP BY doc_id, k)
+        SELECT doc_id, CAST(k AS BIGINT) AS k, kinds, kinds - LAG(kinds) OVER (PARTITION BY doc_id ORDER BY k) AS more FROM d""",
+    block_entropy="""
+        WITH g AS (SELECT doc_id, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM s),
+             n AS (SELECT doc_id, b, COUNT(*) AS n FROM g WHERE b IS NOT NULL GROUP BY doc_id, b),
+             t AS (SELECT doc_id, b, n, SUM(n) OVER (PARTITION BY doc_id) AS t FROM n)
+        SELECT doc_id, ROUND(-SUM(CAST(n AS DOUBLE) / t * LOG2(CAST(n AS DOUBLE) / t)), 6) AS bits FROM t GROUP BY doc_id""",
+    reseat_first_seen="""
+        WITH f AS (SELECT doc_id, sym, MIN(pos) AS first_pos, COUNT(*) AS n FROM s GROUP BY doc_id, sym)
+        SELECT doc_id, sym, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY first_pos) - 1 AS BIGINT) AS seat, n FROM f""",
+    coarsen_top="""
+        WITH """ + RANKED + """
+        SELECT s.doc_id, CASE WHEN r.place <= 15 THEN r.sym ELSE '#' END AS sym, COUNT(*) AS n
+        FROM s JOIN ranked r ON s.sym = r.sym GROUP BY s.doc_id, CASE WHEN r.place <= 15 THEN r.sym ELSE '#' END""",
+    symbol_ranks="WITH " + RANKED + " SELECT sym, CAST(n AS BIGINT) AS n, place FROM ranked",
+    utf8_widths="""
+        SELECT doc_id, CASE WHEN b < 128 THEN 1 WHEN b >= 240 THEN 4 WHEN b >= 224 THEN 3 WHEN b >= 192 THEN 2 END AS width, COUNT(*) AS n
+        FROM o WHERE b < 128 OR b >= 192 GROUP BY doc_id, CASE WHEN b < 128 THEN 1 WHEN b >= 240 THEN 4 WHEN b >= 224 THEN 3 WHEN b >= 192 THEN 2 END""",
+    case_runs="""
+        WITH u AS (SELECT doc_id, pos, pos - ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM o WHERE b BETWEEN 65 AND 90),
+             r AS (SELECT doc_id, island, COUNT(*) AS len FROM u GROUP BY doc_id, island)
+        SELECT doc_id, COUNT(*) AS runs, MAX(len) AS longest, CAST(SUM(CASE WHEN len >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS long_runs, CAST(SUM(len) AS BIGINT) AS capitals FROM r GROUP BY doc_id""",
+    script_share="""
+        SELECT doc_id, CAST(SUM(CASE WHEN b BETWEEN 65 AND 90 OR b BETWEEN 97 AND 122 THEN 1 ELSE 0 END) AS BIGINT) AS latin,
+               CAST(SUM(CASE WHEN b >= 192 THEN 1 ELSE 0 END) AS BIGINT) AS wide, CAST(SUM(CASE WHEN b < 128 OR b >= 192 THEN 1 ELSE 0 END) AS BIGINT) AS characters FROM o GROUP BY doc_id""",
+    byte_pair_support="""
+        WITH p AS (SELECT doc_id, b * 256 + LEAD(b) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM o)
+        SELECT pair, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM p WHERE pair IS NOT NULL GROUP BY pair""",
+    byte_levels="""
+        SELECT b, COUNT(*) AS n, CAST(MIN(pos) AS BIGINT) AS first_pos FROM o GROUP BY b""",
+    total_variation_lang="""
+        WITH c AS (SELECT lang, word, COUNT(*) AS n FROM w GROUP BY lang, word),
+             t AS (SELECT lang, CAST(SUM(n) AS BIGINT) AS t FROM c GROUP BY lang),
+             l AS (SELECT a.lang AS l1, b.lang AS l2, a.t AS t1, b.t AS t2 FROM t a CROSS JOIN t b WHERE a.lang < b.lang),
+             v AS (SELECT DISTINCT word FROM c)
+        SELECT l.l1, l.l2, CAST(SUM(ABS(COALESCE(x.n, 0) * l.t2 - COALESCE(y.n, 0) * l.t1)) AS BIGINT) AS numerator, MAX(2 * l.t1 * l.t2) AS denominator
+        FROM l CROSS JOIN v LEFT JOIN c x ON x.lang = l.l1 AND x.word = v.word LEFT JOIN c y ON y.lang = l.l2 AND y.word = v.word
+        WHERE x.n IS NOT NULL OR y.n IS NOT NULL GROUP BY l.l1, l.l2""",
+    split_half_distance="""
+        WITH h AS (SELECT doc_id, sym, pos, MAX(pos) OVER (PARTITION BY doc_id) + 1 AS n FROM s),
+             c AS (SELECT doc_id, sym, CAST(SUM(CASE WHEN pos < DIV(n, 2) THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(SUM(CASE WHEN pos >= DIV(n, 2) THEN 1 ELSE 0 END) AS BIGINT) AS b FROM h GROUP BY doc_id, sym),
+             t AS (SELECT doc_id, CAST(SUM(a) AS BIGINT) AS ta, CAST(SUM(b) AS BIGINT) AS tb FROM c GROUP BY doc_id)
+        SELECT c.doc_id, CAST(SUM(ABS(c.a * t.tb - c.b * t.ta)) AS BIGINT) AS numerator, MAX(2 * t.ta * t.tb) AS denominator FROM c JOIN t ON c.doc_id = t.doc_id GROUP BY c.doc_id""",
+    common_vocabulary="""
+        WITH c AS (SELECT word, COUNT(*) AS n, MIN(doc_id * 1000000 + pos) AS first_at FROM w GROUP BY word)
+        SELECT word, n, place FROM (SELECT word, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS BIGINT) AS place FROM c) x WHERE place <= 50""",
+    word_profile="""
+        WITH c AS (SELECT word, COUNT(*) AS n, MIN(doc_id * 1000000 + pos) AS first_at FROM w GROUP BY word),
+             top AS (SELECT word FROM (SELECT word, ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS place FROM c) x WHERE place <= 50)
+        SELECT w.doc_id, w.word, COUNT(*) AS n FROM w JOIN top t ON w.word = t.word GROUP BY w.doc_id, w.word""",
+    word_length_hist="""
+        SELECT lang, CAST(LEAST(LENGTH(word), 20) AS BIGINT) AS len, COUNT(*) AS n FROM w GROUP BY lang, CAST(LEAST(LENGTH(word), 20) AS BIGINT)""",
+    word_length_spread="""
+        SELECT doc_id, COUNT(*) AS n, CAST(SUM(LEAST(LENGTH(word), 20)) AS BIGINT) AS total, CAST(SUM(LEAST(LENGTH(word), 20) * LEAST(LENGTH(word), 20)) AS BIGINT) AS squares FROM w GROUP BY doc_id""",
+    line_surprise="""
+        WITH p AS (SELECT doc_id, b * 256 + LEAD(b) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM o),
+             c AS (SELECT pair, COUNT(*) AS n FROM p WHERE pair IS NOT NULL GROUP BY pair),
+             t AS (SELECT CAST(SUM(n) AS BIGINT) AS t FROM c),
+             d AS (SELECT doc_id, pair, COUNT(*) AS m FROM p WHERE pair IS NOT NULL GROUP BY doc_id, pair)
+        SELECT d.doc_id, ROUND(SUM(-d.m * LOG2((c.n + 1.0E0) / (t.t + 65536.0E0))) / SUM(d.m), 6) AS bits FROM d JOIN c ON d.pair = c.pair CROSS JOIN t GROUP BY d.doc_id""",
+    bigram_web="""
+        WITH """ + RANKED + """,
+             r AS (SELECT s.doc_id, s.pos, k.place, LEAD(k.place) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS next_place FROM s JOIN ranked k ON s.sym = k.sym)
+        SELECT place AS a, next_place AS b, COUNT(*) AS n FROM r WHERE place <= 24 AND next_place <= 24 GROUP BY place, next_place""",
+    bigram_pmi="""
+        WITH """ + RANKED + """,
+             r AS (SELECT s.doc_id, k.place AS a, LEAD(k.place) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS b FROM s JOIN ranked k ON s.sym = k.sym),
+             j AS (SELECT a, b, COUNT(*) AS n FROM r WHERE a <= 24 AND b <= 24 GROUP BY a, b),
+             x AS (SELECT a, b, n, SUM(n) OVER (PARTITION BY a) AS na, SUM(n) OVER (PARTITION BY b) AS nb, SUM(n) OVER () AS t FROM j)
+        SELECT a, b, ROUND(LOG2((n + 0.5E0) * t / (CAST(na AS DOUBLE) * nb)), 6) AS pmi FROM x""",
+    nearest_centroid_lang="""
+        WITH c AS (SELECT word, COUNT(*) AS n, MIN(doc_id * 1000000 + pos) AS first_at FROM w GROUP BY word),
+             top AS (SELECT word FROM (SELECT word, ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS place FROM c) x WHERE place <= 30),
+             d AS (SELECT w.doc_id, w.lang, w.word, COUNT(*) AS n FROM w JOIN top t ON w.word = t.word GROUP BY w.doc_id, w.lang, w.word),
+             m AS (SELECT lang, COUNT(DISTINCT doc_id) AS docs FROM d GROUP BY lang),
+             l AS (SELECT lang, word, CAST(SUM(n) AS BIGINT) AS n FROM d GROUP BY lang, word),
+             f AS (SELECT m.lang, t.word, m.docs, COALESCE(l.n, 0) AS n FROM m CROSS JOIN top t LEFT JOIN l ON l.lang = m.lang AND l.word = t.word),
+             g AS (SELECT x.doc_id, x.lang AS own, f.lang, SUM(POWER(COALESCE(d.n, 0) - CAST(f.n - CASE WHEN x.lang = f.lang THEN COALESCE(d.n, 0) ELSE 0 END AS DOUBLE) / GREATEST(1, f.docs - CASE WHEN x.lang = f.lang THEN 1 ELSE 0 END), 2)) AS dist
+                   FROM (SELECT DISTINCT doc_id, lang FROM d) x CROSS JOIN f LEFT JOIN d ON d.doc_id = x.doc_id AND d.word = f.word GROUP BY x.doc_id, x.lang, f.lang)
+        SELECT own, picked, COUNT(*) AS n FROM (SELECT own, lang AS picked, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY ROUND(dist, 6), lang) AS place FROM g) y WHERE place = 1 GROUP BY own, picked""",
+    profile_distance="""
+        WITH c AS (SELECT lang, word, COUNT(*) AS n FROM w GROUP BY lang, word),
+             t AS (SELECT lang, word, CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY lang) AS p FROM c),
+             v AS (SELECT DISTINCT word FROM c), l AS (SELECT DISTINCT lang FROM c)
+        SELECT a.lang AS l1, b.lang AS l2, ROUND(SQRT(SUM(POWER(COALESCE(x.p, 0) - COALESCE(y.p, 0), 2))), 9) AS distance
+        FROM l a JOIN l b ON a.lang < b.lang CROSS JOIN v LEFT JOIN t x ON x.lang = a.lang AND x.word = v.word LEFT JOIN t y ON y.lang = b.lang AND y.word = v.word GROUP BY a.lang, b.lang""",
+)
