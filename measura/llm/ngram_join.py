@@ -4,10 +4,11 @@ A text's set holds its distinct shingles of ``words`` words (a shorter text is o
 similarity reaches num/den share l tokens or more among the first n - ceil(n * num/den) + l tokens of each (n: its
 size) under *any* order of all tokens.  Candidates must do so under ORDERS different orders before they are verified:
 
-1. Tokens that are frequent in some stretch of the corpus are counted, so that every order can put frequent tokens
-   last; within a class of frequency, each order has its own seeded hash.
-2. Equal sets are one class, told by a 64-bit sum of token hashes.  The classes' prefixes under the first order are
-   grouped by token; groups of one class are dropped.
+1. A set's sample are its tokens whose hash lies in a fixed share of the range, or its prefix if that is longer.  As
+   all sets sample alike, the number of texts with a sampled token is exact.
+2. Equal sets are one class, told by a 64-bit sum of token hashes.  The first order puts tokens of one class first, then
+   sampled tokens from rare to frequent, then the others by hash.  A class whose prefix holds tokens of its own only
+   has no links and is left; of the others, the shared tokens of the prefix make groups.
 3. Pairs of groups of up to SMALL members are counted: a pair that shares no larger group must share l tokens, where l
    is 1 for small sets and up to DEPTH for larger ones, and be of fitting sizes.  In every larger group all members
    are paired with one of them (its hub).  Pairs that pass the prefixes under the other orders are verified on the
@@ -16,9 +17,8 @@ size) under *any* order of all tokens.  Candidates must do so under ORDERS diffe
    blocks in a task of its own, which returns no more links than connect what it links.  So pairs of a large group
    aren't listed, nothing is capped, and no link between different components is lost.
 
-What is bounded: the table of frequent tokens holds the ``frequent`` most frequent ones.  It only shapes the orders, and
-any order gives the same links.  Two different sets are taken as equal if their 64-bit sums collide (expected pairs:
-the square of the number of classes over 2^65).
+Two different sets are taken as equal if their 64-bit sums collide (expected pairs: the square of the number of
+classes over 2^65).
 
 Edge cases: null and empty texts and texts without words have an empty set and are groups of their own; null ids are never
 a group's id unless all its ids are null; repeated rows are separate rows of one class; an empty table gives an empty
@@ -28,13 +28,13 @@ result.  Input columns named like an output column are replaced by it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from measura.llm.textops import encoded, mix, parts, span_hashes, word_spans
 from measura.operators.graph import components
@@ -43,12 +43,12 @@ from measura.session import materialize
 #: Lower-cases A-Z; white space parts words.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 STEP = np.uint64(0xD6E8FEB86659FD93)
-SEEDS = np.array([0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xB5026F5AA96619E9], np.uint64)
-ORDERS = len(SEEDS)
+#: Seeds of the orders besides the first.
+SEEDS = np.array([0x9E6C63D0876A9A47, 0xB5026F5AA96619E9], np.uint64)
+ORDERS = 1 + len(SEEDS)
 SMALL, BLOCK = 32, 256
-DEPTH, PER_TOKEN = 6, 20  # l: one more for every PER_TOKEN tokens of a set, DEPTH at most
-CHUNK = 2_000_000  # tokens counted together in pass 1
-LEAST = 3  # occurrences in a chunk from which a token is reported
+DEPTH, PER_TOKEN = 3, 40  # l: one more for every PER_TOKEN tokens of a set, DEPTH at most
+SPREAD = 1.5  # share of the hash range sampled, as a multiple of 1 - num/den
 BROADCAST_ROWS = 1_000_000
 
 
@@ -85,67 +85,40 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(mix(np.array([tokens.sum(dtype=np.uint64)], np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
-class Orders:
-    """The global orders: frequent tokens last, by class of frequency, and a seeded hash within a class."""
+def prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + least_shared(n)
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(tokens)
-        self.tokens, self.kinds = tokens[order], np.log2(np.maximum(counts[order], 1)).astype(np.uint64) + np.uint64(1)
 
-    def prefixes(self, tokens: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-        """The tokens' keys in the prefix under every order, sorted."""
-        size = len(tokens) - -(-num * len(tokens) // den) + least_shared(len(tokens))
-        kind = np.zeros(len(tokens), np.uint64)
-        if len(self.tokens):
-            place = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            kind = np.where(self.tokens[place] == tokens, self.kinds[place], np.uint64(0))
-        out = []
-        for seed in SEEDS:
-            keys = (kind << np.uint64(58)) | (mix(tokens ^ seed) >> np.uint64(6))
-            out.append(np.sort(np.partition(keys, size - 1)[:size]))
-        return out
+def prefixes(tokens: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """The tokens' keys in the prefix under every seeded order, sorted."""
+    size = prefix_size(len(tokens), num, den)
+    return [np.sort(np.partition(keys, size - 1)[:size]) for keys in (mix(tokens ^ seed) for seed in SEEDS)]
 
 
-def read_sets(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
-    for batch in batches:
-        for a, _, part in parts(batch[text]):
-            yield batch, a, token_sets(encoded(part), words)
+def sample_limit(num: int, den: int) -> int:
+    return int(SPREAD * (den - num) / den * (1 << 63)) * 2
 
 
-def frequent_counter(text: str, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (token, n) of tokens in LEAST different sets or more of a chunk."""
+def sample(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The tokens below the limit, or as many as the prefix holds; tokens are sorted."""
+    return tokens[: max(int(np.searchsorted(tokens, np.uint64(sample_limit(num, den)))), prefix_size(len(tokens), num, den))]
 
-    def told(sets: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-        often = n >= LEAST
-        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        size = 0
-        for _, _, sets in read_sets(batches, text, words):
-            for s in sets:
-                if len(s) and (f := fingerprint(s)) not in held:
-                    held[f] = s
-                    size += len(s)
-            if size >= CHUNK:
-                yield told(list(held.values()))
-                held, size = {}, 0
-        yield told(list(held.values()))
-
-    return run
+def read_sets(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+    for batch in batches:
+        for a, _, part in parts(batch[text]):
+            yield batch, a, token_sets(encoded(part), words)
 
 
-def prefixer(shared: Any, text: str, words: int, num: int, den: int, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def sampler(text: str, words: int, num: int, den: int, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(*shared.value)
         for batch, a, sets in read_sets(batches, text, words):
             prints = [fingerprint(s) if len(s) else None for s in sets]
-            prefix = [orders.prefixes(s, num, den)[0].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            picked = [sample(s, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             part = batch.slice(a, len(sets))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefix)]).astype(np.int32), np.concatenate([*prefix, np.zeros(0, np.int64)]))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, picked)]).astype(np.int32), np.concatenate([*picked, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays(
-                [*(part[c] for c in keep), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), lists], names=[*keep, "n_shingles", "print", "prefix"]
+                [*(part[c] for c in keep), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), lists], names=[*keep, "n_shingles", "print", "sample"]
             )
 
     return run
@@ -154,15 +127,15 @@ def prefixer(shared: Any, text: str, words: int, num: int, den: int, keep: list[
 SETS = "print long, n int, tokens binary, p1 binary, p2 binary"
 
 
-def set_maker(shared: Any, words: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def set_maker(words: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, seen = Orders(*shared.value), set()
+        seen: set[int] = set()
         for _, _, sets in read_sets(batches, "text", words):
             rows = []
             for s in sets:
                 if (f := fingerprint(s)) not in seen:
                     seen.add(f)
-                    _, p1, p2 = orders.prefixes(s, num, den)
+                    p1, p2 = prefixes(s, num, den)
                     rows.append((f, len(s), s.tobytes(), p1.tobytes(), p2.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["print", "n", "tokens", "p1", "p2"]
@@ -265,7 +238,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return with_sets.select("a", "b", "a_tokens", "b_tokens", "a_p1", "b_p1", "a_p2", "b_p2").mapInArrow(verifier(num, den), "a long, b long")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, frequent: int = 1 << 17, keep: list[str] | None = None) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, keep: list[str] | None = None) -> DataFrame:
     """docs with n_shingles and component_id (the smallest key that links reach).
 
     keep: the columns of docs to return (None: all); the key is read besides.
@@ -274,20 +247,29 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     new = ("n_shingles", "component_id")
     columns = [c for c in (docs.columns if keep is None else keep) if c not in new]
     body = F.col(f"`{text}`").alias("text")
-    counted = docs.select(body).mapInArrow(frequent_counter("text", words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(frequent).collect()
-    shared = spark.sparkContext.broadcast((np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)))
-    del top
-
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{key}`").alias("key"), body, F.xxhash64(body).alias("text_key"))
     held = ["row", "key", "text_key"] if columns != [key] else ["key", "text_key"]
-    schema = T.StructType([f for f in rows.schema.fields if f.name in held] + [T.StructField("n_shingles", T.LongType()), T.StructField("print", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    nodes = materialize(rows.select("text", *held).mapInArrow(prefixer(shared, "text", words, num, den, held), schema), "ngram-nodes")
+    schema = T.StructType([f for f in rows.schema.fields if f.name in held] + [T.StructField("n_shingles", T.LongType()), T.StructField("print", T.LongType()), T.StructField("sample", T.ArrayType(T.LongType()))])
+    nodes = materialize(rows.select("text", *held).mapInArrow(sampler("text", words, num, den, held), schema), "ngram-nodes")
+
+    classes = nodes.where("print IS NOT NULL").groupBy("print").agg(F.min("key").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").cast("int").alias("n"), F.max(F.size("sample")).alias("sampled"))
+    classes = materialize(classes, "ngram-classes")
 
-    postings = nodes.select("print", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    several = postings.groupBy("token").agg(F.min("print").alias("hub"), F.max("print").alias("other")).where("hub < other").select("token", "hub")
-    live = materialize(postings.join(several, "token").distinct(), "ngram-live")
-    members = live.groupBy("token").agg(F.count("*").alias("members"))
+    # Tokens of several texts, then those of several classes: most tokens are left at the first count.
+    postings = nodes.select("print", F.explode("sample").alias("token"))
+    repeated = postings.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
+    held_by = materialize(postings.join(repeated, "token").groupBy("print", "token").agg(F.max("texts").alias("texts")), "ngram-held")
+    several = held_by.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
+    common = held_by.join(several, "token").join(classes.select("print", "n", "sampled"), "print")
+    limit = sample_limit(num, den)
+    by_class = W.partitionBy("print")
+    # Of the prefix, what the class's own tokens don't fill.
+    size = F.expr(f"n - ({num}L * n + {den - 1}) div {den} + least({DEPTH}, 1 + n div {PER_TOKEN})")
+    room = size - (F.col("sampled") - F.count("*").over(by_class))
+    place = F.row_number().over(by_class.orderBy((F.col("token") < 0) | (F.col("token") >= limit), "texts", "token"))
+    live = common.withColumn("room", room).withColumn("place", place).where("place <= room").select("token", "print", "n")
+    live = materialize(live, "ngram-live")
+    members = live.groupBy("token").agg(F.count("*").alias("members"), F.min("print").alias("hub")).where("members > 1")
     few = live.join(members.where(F.col("members") <= SMALL), "token")
     many = live.join(members.where(F.col("members") > SMALL), "token")
 
@@ -299,9 +281,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     # One text of every class that has candidates.
     involved = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    chosen = materialize(nodes.join(involved, "print", "left_semi").groupBy("print").agg(F.min("text_key").alias("text_key")).select("text_key").distinct(), "ngram-chosen")
+    chosen = materialize(classes.join(involved, "print", "left_semi").select("text_key").distinct(), "ngram-chosen")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    made = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen, "text_key", "left_semi").select("text").mapInArrow(set_maker(shared, words, num, den), SETS)
+    made = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen, "text_key", "left_semi").select("text").mapInArrow(set_maker(words, num, den), SETS)
     sets = materialize(made.dropDuplicates(["print"]), "ngram-sets")
     links = materialize(verify(pairs, sets, num, den), "ngram-links")
     roots = materialize(components(links), "ngram-roots")
@@ -316,11 +298,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     final = components(links.unionByName(more)) if not more.isEmpty() else roots
     final = materialize(final, "ngram-final")
-    classes = nodes.where("print IS NOT NULL").groupBy("print").agg(F.min("key").alias("least"))
     classes = classes.join(final.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    classes = materialize(classes, "ngram-classes")
+    classes = materialize(classes, "ngram-named")
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
     named = classes.join(least, "root").select("print", "component")
-    out = nodes.drop("prefix").join(named, "print", "left")
+    out = nodes.drop("sample").join(named, "print", "left")
     component = F.when(F.col("print").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id")
     return out.select(*(["row.*"] if "row" in held else [F.col("key").alias(key)]), "n_shingles", component)
