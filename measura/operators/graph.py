@@ -35,3 +35,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         pairs = following
     ends = pairs.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
     return ends.unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def k_core(edges: DataFrame, k: int, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, degree) of the largest part of the graph in which every node keeps k neighbours or more.
+
+    Peels nodes of smaller degree until none is left to peel; each round is written, so lost executors cost a re-read.
+    """
+    spark = edges.sparkSession
+    first, second = F.col(f"`{a}`"), F.col(f"`{b}`")
+    pairs = materialize(edges.select(F.least(first, second).alias("lo"), F.greatest(first, second).alias("hi")).where("lo < hi").distinct(), "core")
+    while True:
+        ends = pairs.select(F.explode(F.array("lo", "hi")).alias("node"))
+        degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
+        weak = materialize(degrees.where(F.col("degree") < k).select("node"), "core-weak")
+        if weak.isEmpty():
+            return degrees
+        kept = pairs.join(weak, F.col("lo") == F.col("node"), "left_anti").join(weak, F.col("hi") == F.col("node"), "left_anti")
+        following = materialize(kept, "core")
+        drop_materialized(spark, pairs, weak)
+        pairs = following

@@ -15,7 +15,8 @@ from measura.sources import views
 from measura.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-MACRO = re.compile(r"\b(DIV|XOR)\(([^(),]+), ([^(),]+)\)")
+INNER = r"((?:[^(),]|\((?:[^()]|\([^()]*\))*\))+)"
+MACRO = re.compile(r"\b(DIV|XOR)\(" + INNER + ", " + INNER + r"\)")
 SPARK_FORM = {"DIV": "({0} div {1})", "XOR": "({0} ^ {1})"}
 OTHER_FORM = {"DIV": "({0} // {1})", "XOR": "xor({0}, {1})"}
 
