@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from measura.plans import lattice, programs, relational, sequence, sift, text
+from measura.plans import games, lattice, programs, relational, sequence, sift, streams, text
 
-FAMILIES = (relational, text, sequence, sift, programs, lattice)
+FAMILIES = (relational, text, sequence, sift, programs, lattice, games, streams)
 
 QUERIES = {name: query for family in FAMILIES for name, (query, _) in family.REGISTRY.items()}
 ORACLES = {name: sql for family in FAMILIES for name, (_, sql) in family.REGISTRY.items() if sql}
