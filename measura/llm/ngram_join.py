@@ -13,9 +13,10 @@ size) under *any* order of all tokens.  Candidates must do so under ORDERS diffe
    is 1 for small sets and up to DEPTH for larger ones, and be of fitting sizes.  In every larger group all members
    are paired with one of them (its hub).  Pairs that pass the prefixes under the other orders are verified on the
    full sets, and the links make components.
-4. Larger groups that still hold several components are compared in full, in blocks of about BLOCK members, each pair of
-   blocks in a task of its own, which returns no more links than connect what it links.  So pairs of a large group
-   aren't listed, nothing is capped, and no link between different components is lost.
+4. Larger groups that still hold several components are compared in full, in blocks of about BLOCK members or
+   BLOCK_TOKENS tokens, each pair of blocks on its own; a pair is verified in the first such group it shares, and no
+   more links are returned than connect what is linked.  So pairs of a large group aren't listed, nothing is capped,
+   and no link between different components is lost.
 
 Two different sets are taken as equal if their 64-bit sums collide (expected pairs: the square of the number of
 classes over 2^65).
@@ -46,10 +47,11 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Seeds of the orders besides the first.
 SEEDS = np.array([0x9E6C63D0876A9A47, 0xB5026F5AA96619E9], np.uint64)
 ORDERS = 1 + len(SEEDS)
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK, BLOCK_TOKENS = 32, 1024, 1_000_000
 DEPTH, PER_TOKEN = 3, 40  # l: one more for every PER_TOKEN tokens of a set, DEPTH at most
 SPREAD = 1.5  # share of the hash range sampled, as a multiple of 1 - num/den
 BROADCAST_ROWS = 1_000_000
+FEW = 20  # below one pair in so many, pairs of blocks are verified one by one
 
 
 def token_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -96,7 +98,8 @@ def prefixes(tokens: np.ndarray, num: int, den: int) -> list[np.ndarray]:
 
 
 def sample_limit(num: int, den: int) -> int:
-    return int(SPREAD * (den - num) / den * (1 << 63)) * 2
+    """Hashes below it are sampled: under half of the range, so that they are also the non-negative signed ones below it."""
+    return int(min(SPREAD * (den - num) / den, 0.49) * (1 << 63)) * 2
 
 
 def sample(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -207,14 +210,25 @@ def block_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
         left, right = [r for r in rows if r["block"] == i], [r for r in rows if r["block"] == j]
         out = []
         if left and right:
+            # Pairs of one component, and pairs that share a group of a smaller token, are left.
+            fits = np.array([r["root"] for r in left])[:, None] != np.array([r["root"] for r in right])
+            earlier = lambda r: np.array([t for t in sorted(r["mine"]) if t < r["token"]], np.int64).view(np.uint64)
+            fits &= shared_counts([np.sort(earlier(r)) for r in left], [np.sort(earlier(r)) for r in right]) == 0
             least = np.minimum.outer([least_shared(r["n"]) for r in left], [least_shared(r["n"]) for r in right])
-            fits = np.ones(least.shape, bool)
             for p in ("p1", "p2"):
-                fits &= shared_counts([array(r[p]) for r in left], [array(r[p]) for r in right]) >= least
+                if fits.any():
+                    fits &= shared_counts([array(r[p]) for r in left], [array(r[p]) for r in right]) >= least
             if fits.any():
-                both = shared_counts([array(r["tokens"]) for r in left], [array(r["tokens"]) for r in right])
-                union = np.array([r["n"] for r in left])[:, None] + np.array([r["n"] for r in right]) - both
-                fits &= den * both >= num * union
+                across, down = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
+                x, y = [array(left[k]["tokens"]) for k in across], [array(right[k]["tokens"]) for k in down]
+                if fits.sum() * FEW < len(x) * len(y):
+                    both = np.zeros((len(x), len(y)), np.int64)
+                    for a, b in zip(*np.nonzero(fits[np.ix_(across, down)]), strict=True):
+                        both[a, b] = meets(x[a], y[b])
+                else:
+                    both = shared_counts(x, y)
+                union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y]) - both
+                fits[np.ix_(across, down)] &= den * both >= num * union
             root = {r["root"]: r["root"] for r in rows}
 
             def find(x: int) -> int:
@@ -288,12 +302,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     links = materialize(verify(pairs, sets, num, den), "ngram-links")
     roots = materialize(components(links), "ngram-roots")
 
-    placed = many.join(roots.withColumnRenamed("node", "print"), "print", "left").select("token", "print", "members", F.coalesce("root", "print").alias("root"))
-    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    placed = materialize(placed.join(open_, "token"), "ngram-open")
-    cut = placed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    placed = many.join(roots.withColumnRenamed("node", "print"), "print", "left").select("token", "print", "n", "members", F.coalesce("root", "print").alias("root"))
+    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("tokens")).where("lo < hi").select("token", "tokens")
+    placed = materialize(placed.join(open_, "token").drop("n"), "ngram-open")
+    mine = placed.groupBy("print").agg(F.collect_list("token").alias("mine"))
+    cut = placed.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", "print", "root", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    blocks = dealt.join(sets, "print").groupBy("token", "i", "j").applyInArrow(block_links(num, den), "a long, b long")
+    blocks = dealt.join(sets.join(mine, "print"), "print").groupBy("token", "i", "j").applyInArrow(block_links(num, den), "a long, b long")
     more = materialize(blocks, "ngram-more")
 
     final = components(links.unionByName(more)) if not more.isEmpty() else roots
