@@ -91,7 +91,7 @@ class Models:
     languages: list[str]
     grams: list[Level]  # by order - 1
     backoff: list[Level]  # by length of the context - 1
-    floor: float
+    floor: np.ndarray  # of a character that no language has shown
     limits: np.ndarray  # highest cross-entropy accepted, by language
 
     def log_probs(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -164,10 +164,12 @@ def kneser_ney(counts: dict[str, dict[str, int]]) -> Models:
             of, kind = lookup(own, total, contexts), lookup(own, kinds, contexts)
             weights[:, k] = np.where(of > 0, discount * kind / np.maximum(of, 1), 1.0)
         levels.append(Level(*hashed(union, n, base, symbols, np.log(values))))
-        if n > 1:
+        if n == 1:
+            unseen = np.log(floor * weights[0])
+        else:
             backoff.append(Level(*hashed(contexts, n - 1, base, symbols, np.log(weights))))
         below_numbers, below = union, values
-    return Models(languages, levels, backoff, float(np.log(floor)), np.full(len(languages), np.inf))
+    return Models(languages, levels, backoff, unseen, np.full(len(languages), np.inf))
 
 
 def hashed(numbers: np.ndarray, n: int, base: int, symbols: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
