@@ -51,6 +51,7 @@ SMALL, BLOCK, BLOCK_TOKENS = 32, 1024, 1_000_000
 DEPTH, PER_TOKEN = 3, 40  # l: one more for every PER_TOKEN tokens of a set, DEPTH at most
 SPREAD = 1.5  # share of the hash range sampled, as a multiple of 1 - num/den
 BROADCAST_ROWS = 1_000_000
+SLICE = 300_000  # bytes of text whose arrays are held at once
 FEW = 20  # below one pair in so many, pairs of blocks are verified one by one
 
 
@@ -109,7 +110,7 @@ def sample(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def read_sets(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     for batch in batches:
-        for a, _, part in parts(batch[text]):
+        for a, _, part in parts(batch[text], SLICE):
             yield batch, a, token_sets(encoded(part), words)
 
 
