@@ -14,7 +14,7 @@ like an output column are replaced by it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -30,13 +30,19 @@ def ring_points(spark, shards: int, vnodes: int, cells: int, seed: int) -> DataF
     return ids.select(F.pmod(F.xxhash64(F.lit(seed), shard, v), F.lit(cells)).cast("int").alias("pos"), shard.alias("shard"), v.alias("v"))
 
 
+def next_or_first(column: str) -> Column:
+    """The value of the first cell at or after a cell that has one, or of the first of all: a running value from behind,
+    as a frame that reaches ahead would be walked again for every row."""
+    behind = W.orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    value = F.when(F.col(column).isNotNull(), F.struct("cell", F.col(column).alias("v")))
+    return F.coalesce(F.last(column, True).over(behind), F.min(value).over(W.partitionBy())["v"])
+
+
 def cell_owners(spark, points: DataFrame, cells: int) -> DataFrame:
     """(cell, shard): the first point at or after the cell; past the last point the ring starts again."""
     first = points.groupBy("pos").agg(F.min_by("shard", F.struct("shard", "v")).alias("at"))
     ring = spark.range(cells).select(F.col("id").cast("int").alias("cell")).join(F.broadcast(first), F.col("cell") == F.col("pos"), "left")
-    ahead = W.orderBy("cell").rowsBetween(W.currentRow, W.unboundedFollowing)
-    whole = W.orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return ring.select("cell", F.coalesce(F.first("at", True).over(ahead), F.first("at", True).over(whole)).alias("shard"))
+    return ring.select("cell", next_or_first("at").alias("shard"))
 
 
 def clockwise(points: DataFrame, room: DataFrame, overflow: DataFrame) -> DataFrame:
@@ -87,9 +93,7 @@ def segments(counts: DataFrame, points: DataFrame, shards: int) -> DataFrame:
     room = every.join(kept, "shard", "left").select("shard", (cap - F.coalesce("kept", F.lit(0))).cast("long").alias("free"))
     # An overflowing cell enters the walk at the point that owns it.
     stand = points.select("pos").distinct().withColumn("cell", F.col("pos")).withColumn("is_point", F.lit(True))
-    ahead = W.orderBy("cell").rowsBetween(W.currentRow, W.unboundedFollowing)
-    whole = W.orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    over = own.join(F.broadcast(stand), "cell", "left").withColumn("to", F.coalesce(F.first("pos", True).over(ahead), F.first("pos", True).over(whole)))
+    over = own.join(F.broadcast(stand), "cell", "left").withColumn("to", next_or_first("pos"))
     over = over.where("over > 0").select("cell", F.col("to").alias("pos"), "keep", "over", "n")
     # Cells after the last point wrap to the first one and so come first in its queue.
     wraps = F.when(F.col("cell") > F.col("pos"), 0).otherwise(1)
