@@ -10,20 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def ladder_rungs(most: int = 80) -> list[int]:
-    rungs = [1, 1]
-    while len(rungs) < most:
-        rungs.append(rungs[-1] + rungs[-2])
-    return rungs
-
-
-def gcd(a: Column, b: Column) -> Column:
-    """Euclid's algorithm, folded: 93 rounds are enough for two 64-bit values."""
-    start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
-    step = lambda s, _: F.struct(s["b"].alias("a"), F.when(s["b"] == 0, s["a"]).otherwise(s["a"] % F.greatest(s["b"], F.lit(1))).alias("b"))
-    stop = lambda s, i: F.when(s["b"] == 0, s).otherwise(step(s, i))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, stop, lambda s: s["a"])
+from measura.functions.exact import gcd, ladder_rungs, wrapped
 
 
 class Program:
@@ -96,8 +83,7 @@ class Program:
 
     def wrap(self, name: str, of: str, bits: int) -> Program:
         """The low bits as a signed value."""
-        half = 1 << (bits - 1)
-        return self._with(name, F.pmod(F.col(of) + half, F.lit(2 * half)) - half)
+        return self._with(name, wrapped(F.col(of), bits))
 
     def table(self, name: str, of: str, values: list[int]) -> Program:
         """Entry of a table whose length is a power of two, by the low bits."""

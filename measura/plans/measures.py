@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from measura.functions import exact, text
 from measura.operators import sequences
 from measura.sources import views
 from measura.sources.tables import table
@@ -37,6 +38,19 @@ def component_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.by_frame(views.grid(spark, sf_dir), "t", sequences.component_tree, 16)
 
 
+def mark_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combining marks, uppercase runs and letter shares of each document."""
+    docs = table(spark, sf_dir, "documents")
+    runs = text.uppercase_runs(F.col("text"))
+    return docs.select("doc_id", text.marks("text").alias("marks"), F.size(runs).alias("runs"), F.array_max(runs).alias("longest"), text.share_of(F.col("text"), r"\p{L}")["of"].alias("letters"))
+
+
+def curve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by Morton place, with bands, zig-zag and Gray codes of their lanes."""
+    g = views.grid(spark, sf_dir)
+    return g.select("t", "y", "x", exact.morton(F.col("x"), F.col("y"), 4).alias("place"), exact.band(F.col("lane")).alias("band"), exact.zigzag(F.col("lane") - 800).alias("zig"), exact.gray(F.col("lane")).alias("gray"))
+
+
 def streaming_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate counts and quantiles beside exact ones, for tables past exact sorting."""
     rows = table(spark, sf_dir, "lineitem")
@@ -50,5 +64,15 @@ REGISTRY = {
     "hilbert_order": (hilbert_order, None),
     "cluster_tree": (cluster_tree, None),
     "component_tree": (component_tree, None),
+    "mark_inventory": (mark_inventory, None),
+    "curve_keys": (
+        curve_keys,
+        """
+        WITH RECURSIVE f(a, b) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT b, a + b FROM f WHERE b < 1000000000),
+             g AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS t, l_partkey % 16 AS y, l_suppkey % 16 AS x, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lane FROM lineitem GROUP BY 1, 2, 3)
+        SELECT t, y, x, CAST((x & 1) + (x & 2) * 2 + (x & 4) * 4 + (x & 8) * 8 + 2 * ((y & 1) + (y & 2) * 2 + (y & 4) * 4 + (y & 8) * 8) AS BIGINT) AS place,
+               (SELECT COUNT(*) FROM f WHERE f.a <= g.lane) AS band, CASE WHEN lane >= 800 THEN 2 * (lane - 800) ELSE -2 * (lane - 800) - 1 END AS zig, xor(lane, lane >> 1) AS gray FROM g
+        """,
+    ),
     "approximate_profiles": (streaming_statistics, None),
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from measura.operators.lanes import with_lanes
 from measura.operators.program import Program
 from measura.plans.shared import family
 from measura.sources.tables import table
@@ -27,7 +28,22 @@ def prog_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program.apply(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(program.names()))
 
 
+def prog_group_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities summed over groups of eight lanes."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", F.col("l_quantity").cast("long").alias("qty"))
+    lanes = with_lanes(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"])
+    return lanes.groupBy(F.expr("lane div 8").alias("grp")).agg(F.sum("qty").alias("total"))
+
+
 REGISTRY = {
+    "prog_group_sum": (
+        prog_group_sum,
+        """
+        SELECT lane // 8 AS grp, CAST(SUM(qty) AS BIGINT) AS total
+        FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS lane, CAST(l_quantity AS BIGINT) AS qty FROM lineitem)
+        GROUP BY 1
+        """,
+    ),
     "prog_mixed": (
         prog_mixed,
         """
@@ -66,9 +82,6 @@ REGISTRY = {
              t AS (SELECT k AS cell, (k * 37 + 11) % 16 AS value FROM bits)
         SELECT r.k, r.line, r.part, r.supp, t.value FROM records r JOIN t ON t.cell = r.qty % 16""",
     prog_latch="WITH " + RECORDS + " SELECT k, MIN(line) AS first_lane FROM records WHERE qty > 40 GROUP BY k",
-    prog_group_sum="WITH " + RECORDS + """,
-             lanes AS (SELECT ROW_NUMBER() OVER (ORDER BY k, line, part, supp, price) - 1 AS lane, qty FROM records)
-        SELECT DIV(lane, 8) AS grp, CAST(SUM(qty) AS BIGINT) AS total FROM lanes GROUP BY DIV(lane, 8)""",
     prog_exact_quotient="WITH " + RECORDS + " SELECT k, line, part, supp, DIV(price * qty, qty) AS back, price % qty AS rest FROM records WHERE qty > 0",
     prog_ratio_compare="WITH " + RECORDS + """
         SELECT a.k, a.line, b.line AS other, a.part, b.part AS other_part, CASE WHEN a.price * b.qty > b.price * a.qty THEN 1 WHEN a.price * b.qty < b.price * a.qty THEN -1 ELSE 0 END AS dearer
