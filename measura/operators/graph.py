@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from measura.session import drop_materialized, materialize
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable from every node that has an edge.
 
     Alternates two star contractions until nothing changes: every node's larger neighbours, then its smaller ones,
     are tied to the smallest neighbour.  The number of rounds grows with the logarithm of the nodes; nothing but two
-    figures of the edge set reaches the driver.  Null ends and loops are left out.
+    figures of the edge set reaches the driver.  Null ends and loops are left out.  parts: the most files that a round is
+    written in, where the caller knows how many the edges need.
     """
     spark = edges.sparkSession
     first, second = F.col(f"`{a}`"), F.col(f"`{b}`")
-    pairs = materialize(edges.select(F.least(first, second).alias("lo"), F.greatest(first, second).alias("hi")).where("lo < hi").distinct(), "components")
+
+    def written(df: DataFrame) -> DataFrame:
+        return materialize(df.coalesce(parts) if parts else df, "components")
+
+    pairs = written(edges.select(F.least(first, second).alias("lo"), F.greatest(first, second).alias("hi")).where("lo < hi").distinct())
     known = None
     while True:
         figures = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
@@ -30,7 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         smallest = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = large.join(smallest, F.col("hi") == F.col("u"))
         out = small.select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
-        following = materialize(out, "components")
+        following = written(out)
         drop_materialized(spark, pairs)
         pairs = following
     ends = pairs.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
