@@ -27,6 +27,7 @@ from pyspark.sql.window import Window as W
 
 from measura.session import materialize
 
+LEAF_PARTS = 8  # files of the tables with a row for each leaf
 DIGITS = 3  # hexadecimal digits looked at in each of the two steps
 NEW = ("leaf_budget", "uses")
 
@@ -99,14 +100,14 @@ def mix(
         F.coalesce(F.col(f"`{key}`").cast("string"), F.concat(F.lit("text:"), F.md5(body))).alias("key"),
     )
     leaves = placed.groupBy(*names).agg(F.sum("tokens").alias("supply"))
-    budgets = materialize(leaf_budgets(leaves, names, weights, budget, max_epochs), "mix-budgets")
+    budgets = materialize(leaf_budgets(leaves, names, weights, budget, max_epochs).coalesce(LEAF_PARTS), "mix-budgets")
     drawn = placed.join(budgets, names).withColumn("epochs", F.when(F.col("supply") > 0, F.expr("budget div supply")).otherwise(0)).withColumn("front", F.when(F.col("supply") > 0, F.col("budget") % F.col("supply")).otherwise(0))
     drawn = drawn.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("epochs").cast("string"), "key")))
     drawn = drawn.withColumn("d1", F.substring("h", 1, DIGITS)).withColumn("d2", F.substring("h", DIGITS + 1, DIGITS))
-    first = materialize(ends(drawn, names, "d1", "front"), "mix-first")
+    first = materialize(ends(drawn, names, "d1", "front").coalesce(LEAF_PARTS), "mix-first")
     split = drawn.join(first, names, "left")
     inner = split.where("d1 = d1_end").withColumn("front", F.col("front") - F.col("d1_before"))
-    second = materialize(ends(inner, names, "d2", "front"), "mix-second")
+    second = materialize(ends(inner, names, "d2", "front").coalesce(LEAF_PARTS), "mix-second")
     split = split.join(second, names, "left")
     edge = F.coalesce((F.col("d1") == F.col("d1_end")) & (F.col("d2") == F.col("d2_end")), F.lit(False))
     upto = F.sum("tokens").over(W.partitionBy(*names).orderBy("h", "key", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow))

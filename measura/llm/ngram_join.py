@@ -52,6 +52,7 @@ DEPTH, PER_TOKEN = 3, 40  # l: one more for every PER_TOKEN tokens of a set, DEP
 SPREAD = 1.5  # share of the hash range sampled, as a multiple of 1 - num/den
 BROADCAST_ROWS = 1_000_000
 SLICE = 300_000  # bytes of text whose arrays are held at once
+LEAST_PARTS, TOKENS_A_PART = 8, 2_000_000
 FEW = 20  # below one pair in so many, pairs of blocks are verified one by one
 
 
@@ -267,13 +268,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     schema = T.StructType([f for f in rows.schema.fields if f.name in held] + [T.StructField("n_shingles", T.LongType()), T.StructField("print", T.LongType()), T.StructField("sample", T.ArrayType(T.LongType()))])
     nodes = materialize(rows.select("text", *held).mapInArrow(sampler("text", words, num, den, held), schema), "ngram-nodes")
 
+    # Intermediate tables are written as a part for so many sampled tokens: few files, and none past a task's memory.
+    total = nodes.agg(F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(LEAST_PARTS, total // TOKENS_A_PART)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df.coalesce(parts), name)
+
     classes = nodes.where("print IS NOT NULL").groupBy("print").agg(F.min("key").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").cast("int").alias("n"), F.max(F.size("sample")).alias("sampled"))
-    classes = materialize(classes, "ngram-classes")
+    classes = kept(classes, "ngram-classes")
 
     # Tokens of several texts, then those of several classes: most tokens are left at the first count.
     postings = nodes.select("print", F.explode("sample").alias("token"))
     repeated = postings.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
-    held_by = materialize(postings.join(repeated, "token").groupBy("print", "token").agg(F.max("texts").alias("texts")), "ngram-held")
+    held_by = kept(postings.join(repeated, "token").groupBy("print", "token").agg(F.max("texts").alias("texts")), "ngram-held")
     several = held_by.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
     common = held_by.join(several, "token").join(classes.select("print", "n", "sampled"), "print")
     limit = sample_limit(num, den)
@@ -283,7 +291,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     room = size - (F.col("sampled") - F.count("*").over(by_class))
     place = F.row_number().over(by_class.orderBy((F.col("token") < 0) | (F.col("token") >= limit), "texts", "token"))
     live = common.withColumn("room", room).withColumn("place", place).where("place <= room").select("token", "print", "n")
-    live = materialize(live, "ngram-live")
+    live = kept(live, "ngram-live")
     members = live.groupBy("token").agg(F.count("*").alias("members"), F.min("print").alias("hub")).where("members > 1")
     few = live.join(members.where(F.col("members") <= SMALL), "token")
     many = live.join(members.where(F.col("members") > SMALL), "token")
@@ -292,30 +300,30 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     shared_tokens = side("a").join(side("b"), "token").where(f"a < b AND {den} * least(na, nb) >= {num} * greatest(na, nb)").groupBy("a", "b").agg(F.count("*").alias("together"), F.min(F.least("na", "nb")).alias("n"))
     pairs = shared_tokens.where(f"together >= least({DEPTH}, 1 + n div {PER_TOKEN})").select("a", "b")
     star = many.where("print <> hub").select(F.col("hub").alias("a"), F.col("print").alias("b"))
-    pairs = materialize(pairs.unionByName(star).distinct(), "ngram-pairs")
+    pairs = kept(pairs.unionByName(star).distinct(), "ngram-pairs")
 
     # One text of every class that has candidates.
     involved = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    chosen = materialize(classes.join(involved, "print", "left_semi").select("text_key").distinct(), "ngram-chosen")
+    chosen = kept(classes.join(involved, "print", "left_semi").select("text_key").distinct(), "ngram-chosen")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     made = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen, "text_key", "left_semi").select("text").mapInArrow(set_maker(words, num, den), SETS)
-    sets = materialize(made.dropDuplicates(["print"]), "ngram-sets")
-    links = materialize(verify(pairs, sets, num, den), "ngram-links")
-    roots = materialize(components(links), "ngram-roots")
+    sets = kept(made.dropDuplicates(["print"]), "ngram-sets")
+    links = kept(verify(pairs, sets, num, den), "ngram-links")
+    roots = kept(components(links, parts=parts), "ngram-roots")
 
     placed = many.join(roots.withColumnRenamed("node", "print"), "print", "left").select("token", "print", "n", "members", F.coalesce("root", "print").alias("root"))
     open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("tokens")).where("lo < hi").select("token", "tokens")
-    placed = materialize(placed.join(open_, "token").drop("n"), "ngram-open")
+    placed = kept(placed.join(open_, "token").drop("n"), "ngram-open")
     mine = placed.groupBy("print").agg(F.collect_list("token").alias("mine"))
     cut = placed.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", "print", "root", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     blocks = dealt.join(sets.join(mine, "print"), "print").groupBy("token", "i", "j").applyInArrow(block_links(num, den), "a long, b long")
-    more = materialize(blocks, "ngram-more")
+    more = kept(blocks, "ngram-more")
 
-    final = components(links.unionByName(more)) if not more.isEmpty() else roots
-    final = materialize(final, "ngram-final")
+    final = components(links.unionByName(more), parts=parts) if not more.isEmpty() else roots
+    final = kept(final, "ngram-final")
     classes = classes.join(final.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    classes = materialize(classes, "ngram-named")
+    classes = kept(classes, "ngram-named")
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
     named = classes.join(least, "root").select("print", "component")
     out = nodes.drop("sample").join(named, "print", "left")

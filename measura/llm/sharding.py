@@ -85,7 +85,7 @@ def segments(counts: DataFrame, points: DataFrame, shards: int) -> DataFrame:
         .withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("cap") - F.coalesce(before, F.lit(0)))))
         .withColumn("over", F.col("n") - F.col("keep"))
     )
-    own = materialize(own, "ring-own")
+    own = materialize(own.coalesce(1), "ring-own")
     # A shard may own no cell at all when its points coincide with others': it still has room.
     total = own.groupBy().agg(F.coalesce(F.max("total"), F.lit(0)).alias("total"))
     every = points.select("shard").distinct().join(F.broadcast(total))
@@ -98,7 +98,7 @@ def segments(counts: DataFrame, points: DataFrame, shards: int) -> DataFrame:
     # Cells after the last point wrap to the first one and so come first in its queue.
     wraps = F.when(F.col("cell") > F.col("pos"), 0).otherwise(1)
     line = W.orderBy(wraps, "cell").rowsBetween(W.unboundedPreceding, -1)
-    over = materialize(over.withColumn("first", F.coalesce(F.sum("over").over(line), F.lit(0))), "ring-over")
+    over = materialize(over.withColumn("first", F.coalesce(F.sum("over").over(line), F.lit(0))).coalesce(1), "ring-over")
     taken = clockwise(points, room, over)
     marks = over.select("first", F.col("cell"), F.lit(None).cast("int").alias("shard"), "keep", "over").unionByName(
         taken.select("first", F.lit(None).cast("int").alias("cell"), "shard", F.lit(None).cast("long").alias("keep"), F.lit(None).cast("long").alias("over"))
@@ -126,7 +126,7 @@ def shard_ring(
 ) -> DataFrame:
     """docs with size, text_crc32, shard and slot.  See the module for the method and the edge cases.
 
-    Broadcast: tables of at most ``cells + 2 * shards * vnodes`` narrow rows, which are parameters.
+    Written in one part and broadcast: tables of at most ``cells + 2 * shards * vnodes`` narrow rows, which are parameters.
     """
     spark = docs.sparkSession
     new = ("size", "text_crc32", "shard", "slot")
@@ -141,7 +141,7 @@ def shard_ring(
     ).withColumn("cell", F.pmod(F.shiftright("h", 20), F.lit(cells)).cast("int"))
     points = ring_points(spark, shards, vnodes, cells, seed)
     counts = cell_owners(spark, points, cells).join(placed.groupBy("cell").agg(F.count("*").alias("n")), "cell", "left").select("cell", "shard", F.coalesce("n", F.lit(0)).alias("n"))
-    parts = materialize(segments(materialize(counts, "ring-counts"), points, shards), "ring-segments")
+    parts = materialize(segments(materialize(counts.coalesce(1), "ring-counts"), points, shards).coalesce(1), "ring-segments")
     ranked = placed.withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy("h", "key", "size", "text_crc32")) - 1)
     joined = ranked.join(F.broadcast(parts), (ranked.cell == parts.cell) & (ranked["rank"] >= parts.lo) & (ranked["rank"] < parts.hi))
     return joined.select("row.*", "size", "text_crc32", parts.shard.alias("shard"), (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
