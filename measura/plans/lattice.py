@@ -112,6 +112,25 @@ REGISTRY = {
     axis_agreement="WITH " + FULL + """
         SELECT a.t, l.k AS lag, COUNT(*) AS pairs, CAST(SUM(CASE WHEN DIV(a.lane, 64) = DIV(b.lane, 64) THEN 1 ELSE 0 END) AS BIGINT) AS same
         FROM full_grid a CROSS JOIN lags l JOIN full_grid b ON b.t = a.t AND b.y = a.y AND b.x = a.x + l.k WHERE a.x < 8 GROUP BY a.t, l.k""",
+    period_peaks="WITH " + FULL + """,
+             m AS (SELECT a.t, l.k AS lag, SUM(CASE WHEN DIV(a.lane, 64) = DIV(b.lane, 64) THEN 1 ELSE 0 END) AS same
+                   FROM full_grid a CROSS JOIN lags l JOIN full_grid b ON b.t = a.t AND b.y = a.y AND b.x = a.x + l.k WHERE a.x < 8 GROUP BY a.t, l.k),
+             r AS (SELECT t, lag, same - GREATEST(LAG(same) OVER (PARTITION BY t ORDER BY lag), LEAD(same) OVER (PARTITION BY t ORDER BY lag)) AS rise FROM m)
+        SELECT p.t, p.lag AS period, CAST(LEAST(p.rise, d.rise) AS BIGINT) AS height FROM r p JOIN r d ON d.t = p.t AND d.lag = 2 * p.lag WHERE p.lag >= 2 AND 2 * p.lag + 1 <= 8 AND p.rise > 0 AND d.rise > 0""",
+    track_scores="""
+        WITH truth AS (SELECT a.day, a.z, a.y, b.y AS to_y FROM c a JOIN c b ON b.day = a.day + 1 AND b.z = a.z AND b.y = a.y),
+             near AS (SELECT a.day, a.z, a.y, b.y AS to_y, ROW_NUMBER() OVER (PARTITION BY a.day, a.z, a.y ORDER BY ABS(b.y - a.y - 1), b.y) AS place FROM c a JOIN c b ON b.day = a.day + 1 AND b.z = a.z AND ABS(b.y - a.y) <= 2),
+             found AS (SELECT day, z, y, to_y FROM near WHERE place = 1),
+             m AS (SELECT COALESCE(t.day, f.day) AS day, CASE WHEN t.day IS NOT NULL AND f.day IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN t.day IS NULL THEN 1 ELSE 0 END AS fp, CASE WHEN f.day IS NULL THEN 1 ELSE 0 END AS fn
+                   FROM truth t FULL JOIN found f ON t.day = f.day AND t.z = f.z AND t.y = f.y AND t.to_y = f.to_y)
+        SELECT day, CAST(SUM(tp) AS BIGINT) AS tp, CAST(SUM(fp) AS BIGINT) AS fp, CAST(SUM(fn) AS BIGINT) AS fn FROM m GROUP BY day""",
+    symmetry_sites="""
+        WITH ops AS (SELECT 0 AS op, 1 AS a, 0 AS b, 0 AS c, 1 AS d UNION ALL SELECT 1, 0, -1, 1, 0 UNION ALL SELECT 2, -1, 0, 0, -1 UNION ALL SELECT 3, 0, 1, -1, 0), cells AS (SELECT DISTINCT y, x FROM g WHERE y < 4 AND x < 4)
+        SELECT o.op, s.y, s.x, (o.a * s.x + o.b * s.y + 16) % 16 AS sx, (o.c * s.x + o.d * s.y + 16) % 16 AS sy FROM cells s CROSS JOIN ops o""",
+    frame_chains="""
+        WITH RECURSIVE first_day AS (SELECT MIN(day) AS d FROM c), walk(day, z, y, len) AS (SELECT c.day, c.z, c.y, CAST(1 AS BIGINT) FROM c JOIN first_day ON c.day = first_day.d
+             UNION ALL SELECT n.day, n.z, n.y, w.len + 1 FROM walk w JOIN c n ON n.day = w.day + 1 AND n.z = w.z AND n.y = w.y)
+        SELECT z, y, MAX(len) AS len FROM walk GROUP BY z, y""",
     noise_flicker="WITH " + FULL + """
         SELECT a.t, CAST(SUM((b.lane - a.lane) * (b.lane - a.lane)) AS BIGINT) AS squares, COUNT(*) AS n FROM full_grid a JOIN full_grid b ON b.t = a.t + 1 AND b.y = a.y AND b.x = a.x GROUP BY a.t""",
     noise_neighbors="WITH " + FULL + """

@@ -6,7 +6,24 @@ points of the needle from the places slot * (m div 4) + (slot * 7) mod (m div 4)
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from measura.operators import membership
 from measura.plans.shared import family
+from measura.sources import views
+from measura.sources.tables import table
+
+HASHES, BITS = 3, 1 << 16
+
+
+def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of the benchmark the documents' Bloom filter may hold."""
+    held = membership.build(views.words(spark, sf_dir), "word", HASHES, BITS)
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(found).alias("word")).distinct()
+    return membership.contains(asked, "word", held, HASHES, BITS)
+
 
 NEEDLES = "needles AS (SELECT item_id, SUBSTR(text, 9, 12) AS needle FROM benchmark WHERE LENGTH(text) >= 20)"
 ANCHORS = NEEDLES + """,
@@ -17,7 +34,15 @@ SURVIVORS = ANCHORS + """,
              hits AS (SELECT a.item_id, s.doc_id, s.pos - a.off AS spot, COUNT(*) AS agree FROM anchors a JOIN grams s ON s.sym = a.sym WHERE s.pos >= a.off GROUP BY a.item_id, s.doc_id, s.pos - a.off),
              alive AS (SELECT item_id, doc_id, spot FROM hits WHERE agree = 4)"""
 
-REGISTRY = family(
+FNV = "list_reduce(list_prepend(CAST({start} AS BIGINT), [CAST(('0x' || x) AS BIGINT) for x in regexp_extract_all(hex(encode(word)), '..')]), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+BLOOM = f"""
+        WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents), q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM benchmark),
+             hw AS (SELECT word, {FNV.format(start=membership.START)} AS a, {FNV.format(start=membership.START + 1)} AS b FROM w), hq AS (SELECT word, {FNV.format(start=membership.START)} AS a, {FNV.format(start=membership.START + 1)} AS b FROM q),
+             bits AS (SELECT DISTINCT (a + i * b) % {BITS} AS bit FROM hw, (SELECT unnest(range({HASHES})) AS i)),
+             asked AS (SELECT DISTINCT word, (a + i * b) % {BITS} AS bit FROM hq, (SELECT unnest(range({HASHES})) AS i))
+        SELECT asked.word, COUNT(*) = COUNT(bits.bit) AS maybe FROM asked LEFT JOIN bits ON asked.bit = bits.bit GROUP BY asked.word"""
+
+REGISTRY = {"bloom_membership": (bloom_membership, BLOOM)} | family(
     anchor_offsets="WITH " + ANCHORS + " SELECT item_id, slot, off, sym FROM anchors",
     survivor_counts="WITH " + SURVIVORS + " SELECT item_id, COUNT(*) AS alive, COUNT(DISTINCT doc_id) AS docs FROM alive GROUP BY item_id",
     needle_count="WITH " + SURVIVORS + """

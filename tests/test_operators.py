@@ -7,8 +7,9 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from measura.operators import census, frames, graph
+from measura.operators import census, frames, graph, membership
 from measura.operators.program import Program, ladder_rungs
 
 
@@ -92,3 +93,20 @@ def test_entry_lists_queries_and_oracles():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bloom_filter_never_misses(spark):
+    held = spark.createDataFrame([(f"wört{i}",) for i in range(200)] + [(None,)], "w string")
+    asked = spark.createDataFrame([(f"wört{i}",) for i in range(300)] + [("",)], "w string")
+    bits = membership.build(held.where("w IS NOT NULL"), "w", 3, 1 << 14)
+    rows = {r["w"]: r["maybe"] for r in membership.contains(asked, "w", bits, 3, 1 << 14).collect()}
+    assert all(rows[f"wört{i}"] for i in range(200))
+    assert sum(rows.values()) < 215
+
+    def fnv(data, h):
+        for b in data:
+            h = ((h ^ b) * membership.PRIME) % (1 << 32)
+        return h
+
+    got = spark.createDataFrame([("aé",)], "w string").select(membership.fnv1a(F.col("w"), 0)).first()[0]
+    assert got == fnv("aé".encode(), membership.START)
