@@ -42,7 +42,7 @@ def classes() -> np.ndarray:
 @cache
 def machine() -> tuple[np.ndarray, np.ndarray]:
     """(next state, starts a piece), both indexed by symbol * STATES + state."""
-    step, starts = np.zeros((9, STATES), np.uint8), np.zeros((9, STATES), bool)
+    step, starts = np.zeros((9, STATES), np.intp), np.zeros((9, STATES), bool)
     joins = {LETTER: (IN_LETTERS, (IN_LETTERS, AFTER_BLANK)), NUMBER: (IN_NUMBERS, (IN_NUMBERS, AFTER_BLANK)), OTHER: (IN_OTHERS, (IN_OTHERS, AFTER_BLANK))}
     for q in range(STATES):
         for x, (kind, ok) in joins.items():
@@ -76,26 +76,27 @@ def symbols(points: np.ndarray) -> np.ndarray:
     return kind
 
 
-def piece_starts(kind: np.ndarray, chunk: int = 256) -> np.ndarray:
+def piece_starts(kind: np.ndarray, chunk: int = 512) -> np.ndarray:
     """Positions at which pieces start, the sentinels' own among them."""
     step, starts = machine()
     lanes = -(-len(kind) // chunk)
-    padded = np.full(lanes * chunk, END, np.uint16)
+    padded = np.full(lanes * chunk, END, np.intp)
     padded[: len(kind)] = kind
     columns = np.ascontiguousarray(padded.reshape(lanes, chunk).T) * STATES
-    maps = np.tile(np.arange(STATES, dtype=np.uint8), (lanes, 1))
+    maps = np.tile(np.arange(STATES), (lanes, 1))
+    at = np.empty_like(maps)
     for column in columns:
-        maps = step[column[:, None] + maps]
+        np.take(step, np.add(column[:, None], maps, out=at), out=maps, mode="clip")
     reach = 1
     while reach < lanes:  # after each round a map covers twice as many chunks
-        maps = np.concatenate([maps[:reach], np.take_along_axis(maps[reach:], maps[:-reach].astype(np.intp), 1)])
+        maps = np.concatenate([maps[:reach], np.take_along_axis(maps[reach:], maps[:-reach], 1)])
         reach *= 2
-    state = np.append(np.uint8(START), maps[:-1, START]).astype(np.uint8)
+    state = np.append(START, maps[:-1, START])
     flags = np.empty((chunk, lanes), bool)
     for j, column in enumerate(columns):
-        at = column + state
-        flags[j] = starts[at]
-        state = step[at]
+        place = column + state
+        flags[j] = starts[place]
+        state = step[place]
     return np.flatnonzero(flags.T.ravel()[: len(kind)])
 
 

@@ -37,7 +37,10 @@ def longest_runs(bits: np.ndarray, room: np.ndarray) -> np.ndarray:
             step = min(reach, n - reach)
             widest[:-step or None] = np.maximum(widest[:-step or None], np.append(widest[step:], np.zeros(0, np.int8))[: len(widest) - step])
             reach += step
-        best[(widest <= WIDTHS[k]) & (room >= n)] = k
+        fits = (widest <= WIDTHS[k]) & (room >= n)
+        if not fits.any() and (widest > WIDTHS[k]).all():
+            break  # longer words take narrower values yet
+        best[fits] = k
     return best
 
 
