@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import json
 import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from measura.sources import arrays
@@ -70,3 +73,60 @@ def test_seal_changes_with_one_value(spark):
     one = {r["g"]: r["root"] for r in arrays.seal(df, ["g"], ["k"], "v").collect()}
     two = {r["g"]: r["root"] for r in arrays.seal(df.withColumn("v", F.when(F.col("k") == 4001, 0).otherwise(F.col("v"))), ["g"], ["k"], "v").collect()}
     assert one[0] == two[0] and one[1] != two[1]
+
+
+def tiff(pages: np.ndarray, deflate: bool) -> bytes:
+    body, out, offsets = b"", bytearray(b"II*\0\0\0\0\0"), []
+    for page in pages:
+        strips = [zlib.compress(r.tobytes()) if deflate else r.tobytes() for r in np.array_split(page, 2)]
+        places = []
+        for s in strips:
+            places.append(len(out))
+            out += s
+        table = len(out)
+        out += struct.pack("<4I", *places, *map(len, strips))
+        entries = [(256, 4, 1, page.shape[1]), (257, 4, 1, page.shape[0]), (258, 3, 1, 8 * page.dtype.itemsize), (259, 3, 1, 8 if deflate else 1), (273, 4, 2, table), (279, 4, 2, table + 8), (339, 3, 1, 2 if page.dtype.kind == "i" else 1)]
+        offsets.append(len(out))
+        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + b"\0\0\0\0"
+    struct.pack_into("<I", out, 4, offsets[0])
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        struct.pack_into("<I", out, a + 2 + 7 * 12, b)
+    return bytes(out) + body
+
+
+def dicom(a: np.ndarray) -> bytes:
+    short = lambda g, e, v: struct.pack("<HH2sHH", g, e, b"US", 2, v)
+    frames = str(a.shape[0]).encode().ljust(2)
+    return b"\0" * 128 + b"DICM" + struct.pack("<HH2sH", 0x28, 8, b"IS", 2) + frames + short(0x28, 0x10, a.shape[1]) + short(0x28, 0x11, a.shape[2]) + short(0x28, 0x100, 16) + short(0x28, 0x103, 0) + struct.pack("<HH2sHI", 0x7FE0, 0x10, b"OW", 0, a.nbytes) + a.tobytes()
+
+
+def as_map(rows, sample):
+    return {(r["t"], r["z"], r["y"], r["x"]): r["lane"] for r in rows if r["sample"] == sample}
+
+
+def expected(a):
+    return {k: int(v) + (32768 if a.dtype.kind == "i" else 0) for k, v in np.ndenumerate(a.reshape((1,) * (4 - a.ndim) + a.shape))}
+
+
+def test_tiff_and_dicom(spark, tmp_path):
+    plain, packed, pixels = RNG.integers(0, 65536, (3, 4, 5), dtype=np.uint16), RNG.integers(-9, 9, (2, 6, 3), dtype=np.int8), RNG.integers(0, 4096, (2, 3, 4), dtype=np.uint16)
+    (tmp_path / "a.tif").write_bytes(tiff(plain, False))
+    (tmp_path / "b.tiff").write_bytes(tiff(packed, True))
+    (tmp_path / "c.dcm").write_bytes(dicom(pixels))
+    rows = arrays.lattice(spark, str(tmp_path)).collect()
+    assert as_map(rows, "a.tif") == expected(plain)
+    assert as_map(rows, "b.tiff") == expected(packed)
+    assert as_map(rows, "c.dcm") == expected(pixels)
+
+
+@pytest.mark.parametrize("codec", [None, "zlib", "gzip", "zstd"])
+def test_zarr(spark, tmp_path, codec):
+    a = RNG.integers(0, 65536, (5, 7), dtype=np.uint16)
+    pack = {None: bytes, "zlib": zlib.compress, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress}[codec]
+    (tmp_path / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [5, 7], "chunks": [3, 4], "dtype": "<u2", "order": "C", "fill_value": 0, "filters": None, "compressor": codec and {"id": codec}}))
+    padded = np.zeros((6, 8), np.uint16)
+    padded[:5, :7] = a
+    for i in range(2):
+        for j in range(2):
+            (tmp_path / f"{i}.{j}").write_bytes(pack(padded[3 * i : 3 * i + 3, 4 * j : 4 * j + 4].tobytes()))
+    assert as_map(arrays.zarr(spark, str(tmp_path)).collect(), tmp_path.name) == expected(a)
