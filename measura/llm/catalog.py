@@ -19,6 +19,7 @@ QUERIES = {
 
 #: Queries with a SQL form; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
+    "op2_secrets": op2_secrets.ORACLE,
     "op3_decontamination": op3_decontamination.ORACLE,
     "op5_mixing": op5_mixing.ORACLE,
     "op6_ngram_join": op6_ngram_join.ORACLE,
