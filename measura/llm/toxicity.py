@@ -35,6 +35,7 @@ from measura.session import materialize
 
 PREFIXES = (4, 5, 6)
 MEMO = 300_000
+BATCH, STEPS = 256, 1_500  # rows of a step; the least steps of a fit, however few its rows
 
 
 def term_buckets(word: bytes, buckets: int) -> tuple[int, ...]:
@@ -94,16 +95,16 @@ def ragged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, columns: int, rank: int, epochs: int, rate: float, shrink: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adagrad on the logistic loss, in mini-batches of an order fixed by the seed."""
+    """Adagrad on the logistic loss, in mini-batches of an order fixed by the seed, for the epochs or STEPS if those are more."""
     rng = np.random.default_rng(seed)
     rate_pos = labels.mean()
     bias = float(np.log(rate_pos / (1 - rate_pos)))
     w, v = np.zeros(columns), rng.normal(0, 0.01, (columns, rank))
     gw, gv, gb = np.full(columns, 1e-2), np.full((columns, rank), 1e-2), 1e-2
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * BATCH // max(1, len(rows))))):
         order = rng.permutation(len(rows))
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
             flat, bounds = ragged([rows[i] for i in part])
             who = np.repeat(np.arange(len(part)), np.diff(bounds))
             vs = v[flat]
