@@ -101,7 +101,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, columns: int, rank:
     bias = float(np.log(rate_pos / (1 - rate_pos)))
     w, v = np.zeros(columns), rng.normal(0, 0.01, (columns, rank))
     gw, gv, gb = np.full(columns, 1e-2), np.full((columns, rank), 1e-2), 1e-2
-    for _ in range(max(epochs, -(-STEPS * BATCH // max(1, len(rows))))):
+    for _ in range(max(epochs, -(-STEPS // max(1, -(-len(rows) // BATCH))))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
