@@ -58,8 +58,10 @@ REGISTRY = {"bloom_membership": (bloom_membership, BLOOM)} | family(
     death_levels="WITH " + ANCHORS + """,
              f AS (SELECT sym, COUNT(*) AS n FROM grams WHERE sym IS NOT NULL GROUP BY sym),
              p AS (SELECT a.item_id, a.off, a.sym, ROW_NUMBER() OVER (PARTITION BY a.item_id ORDER BY COALESCE(f.n, 0), a.slot) AS place FROM anchors a LEFT JOIN f ON a.sym = f.sym),
-             h AS (SELECT p.item_id, s.doc_id, s.pos - p.off AS spot, p.place FROM p JOIN grams s ON s.sym = p.sym WHERE s.pos >= p.off),
-             l AS (SELECT item_id, doc_id, spot, MAX(CASE WHEN place = 1 THEN 1 ELSE 0 END) AS h1, MAX(CASE WHEN place = 2 THEN 1 ELSE 0 END) AS h2, MAX(CASE WHEN place = 3 THEN 1 ELSE 0 END) AS h3, MAX(CASE WHEN place = 4 THEN 1 ELSE 0 END) AS h4 FROM h GROUP BY item_id, doc_id, spot)
+             first_hit AS (SELECT p.item_id, s.doc_id, s.pos - p.off AS spot FROM p JOIN grams s ON s.sym = p.sym WHERE p.place = 1 AND s.pos >= p.off),
+             later AS (SELECT f.item_id, f.doc_id, f.spot, p.place FROM first_hit f JOIN p ON p.item_id = f.item_id JOIN grams s ON s.doc_id = f.doc_id AND s.pos = f.spot + p.off AND s.sym = p.sym WHERE p.place > 1),
+             l AS (SELECT f.item_id, f.doc_id, f.spot, 1 AS h1, MAX(CASE WHEN v.place = 2 THEN 1 ELSE 0 END) AS h2, MAX(CASE WHEN v.place = 3 THEN 1 ELSE 0 END) AS h3, MAX(CASE WHEN v.place = 4 THEN 1 ELSE 0 END) AS h4
+                   FROM first_hit f LEFT JOIN later v ON v.item_id = f.item_id AND v.doc_id = f.doc_id AND v.spot = f.spot GROUP BY f.item_id, f.doc_id, f.spot)
         SELECT item_id, CAST(h1 + h1 * h2 + h1 * h2 * h3 + h1 * h2 * h3 * h4 AS BIGINT) AS levels, COUNT(*) AS n FROM l WHERE h1 = 1 GROUP BY item_id, CAST(h1 + h1 * h2 + h1 * h2 * h3 + h1 * h2 * h3 * h4 AS BIGINT)""",
     equality_pattern_count="""
         WITH p AS (SELECT doc_id, pos, sym, LEAD(sym, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS s1, LEAD(sym, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS s2, LEAD(sym, 3) OVER (PARTITION BY doc_id ORDER BY pos) AS s3 FROM s)
