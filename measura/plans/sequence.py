@@ -99,9 +99,11 @@ REGISTRY = family(
     gray_bits="""
         SELECT x.part, x.pos, b.k AS bit, DIV(x.gray, CAST(POWER(2, b.k) AS BIGINT)) % 2 AS value FROM (SELECT part, pos, XOR(v, h) AS gray FROM (SELECT part, pos, v, DIV(v, 2) AS h FROM q) y) x CROSS JOIN bits b WHERE b.k < 6""",
     morton_order="""
-        WITH z AS (SELECT l_partkey AS x, l_suppkey AS y, COUNT(*) AS n FROM lineitem WHERE l_partkey < 256 GROUP BY l_partkey, l_suppkey)
+        WITH z AS (SELECT l_partkey AS x, l_suppkey AS y, COUNT(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey),
+             largest AS (SELECT MAX(GREATEST(l_partkey, l_suppkey)) AS top FROM lineitem),
+             powers AS (SELECT CAST(POWER(2, lo.k + 16 * hi.k) AS BIGINT) AS p FROM bits lo CROSS JOIN bits hi WHERE lo.k + 16 * hi.k < 31)
         SELECT x, y, n, CAST(SUM((DIV(x, b.p) % 2) * b.p * b.p + (DIV(y, b.p) % 2) * 2 * b.p * b.p) AS BIGINT) AS z
-        FROM z CROSS JOIN (SELECT CAST(POWER(2, k) AS BIGINT) AS p FROM bits) b GROUP BY x, y, n""",
+        FROM z CROSS JOIN (SELECT p FROM powers CROSS JOIN largest WHERE p = 1 OR p <= top) b GROUP BY x, y, n""",
     levels_around_mean="""
         WITH m AS (SELECT part, CAST(SUM(v) AS BIGINT) AS total, COUNT(*) AS n FROM q GROUP BY part)
         SELECT x.part, x.pos, LEAST(255, GREATEST(0, 128 + DIV(x.d, x.n))) AS level FROM (SELECT q.part, q.pos, 4 * (q.v * m.n - m.total) AS d, m.n FROM q JOIN m ON q.part = m.part) x""",
