@@ -25,6 +25,20 @@ ZIGZAG = FULL + """,
              steps AS (SELECT t, y, x, lane - COALESCE(LAG(lane) OVER (PARTITION BY t ORDER BY y, x), 0) AS d, DIV(y * 16 + x, 64) AS block FROM full_grid),
              zig AS (SELECT t, block, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z FROM steps)"""
 
+#: The kinds that the reading of cells tells apart (0 to 6), each a source.
+SOURCES = 7
+#: Source after source takes a free target or none; walks with the same targets taken are one row with their number and weight.
+ARRANGED = f"""opts AS (SELECT a.day, a.z AS source, b.y AS target, COUNT(*) AS weight FROM c a JOIN c b ON b.day = a.day AND b.z = a.z GROUP BY a.day, a.z, b.y),
+             days AS (SELECT DISTINCT day FROM opts),
+             choices AS (SELECT day, source, CAST(POWER(2, target) AS BIGINT) AS bit, CAST(weight AS BIGINT) AS weight FROM opts
+                         UNION ALL SELECT days.day, k.k, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM days CROSS JOIN bits k WHERE k.k < {SOURCES}),
+             walk0 AS (SELECT day, CAST(0 AS BIGINT) AS mask, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS weight FROM days)""" + "".join(
+    f""",
+             walk{k + 1} AS (SELECT w.day, w.mask + o.bit AS mask, CAST(SUM(w.n) AS BIGINT) AS n, CAST(SUM(w.weight * o.weight) AS BIGINT) AS weight
+                       FROM walk{k} w JOIN choices o ON o.day = w.day AND o.source = {k} AND (w.mask & o.bit) = 0 GROUP BY w.day, w.mask + o.bit)"""
+    for k in range(SOURCES)
+)
+
 
 def components_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected cells of each day's frame, by the smallest cell they reach."""
@@ -144,16 +158,8 @@ REGISTRY = {
     fibonacci_bands="""
         WITH ladder AS (SELECT CAST(ROUND(POWER((1 + SQRT(5.0E0)) / 2, k + 1) / SQRT(5.0E0)) AS BIGINT) AS rung FROM rungs)
         SELECT g.t, g.y, g.x, COUNT(l.rung) AS band FROM g LEFT JOIN ladder l ON l.rung <= g.lane GROUP BY g.t, g.y, g.x""",
-    marginal_sums="""
-        WITH RECURSIVE opts AS (SELECT a.day, a.z AS source, b.y AS target, COUNT(*) AS weight FROM c a JOIN c b ON b.day = a.day AND b.z = a.z WHERE a.z < 3 AND b.y < 4 GROUP BY a.day, a.z, b.y),
-             days AS (SELECT DISTINCT day FROM opts),
-             walk(day, source, mask, weight) AS (
-               SELECT day, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM days
-               UNION ALL
-               SELECT w.day, w.source + 1, w.mask + COALESCE(o.bit, 0), w.weight * COALESCE(o.weight, 1)
-               FROM walk w JOIN (SELECT day, source, CAST(POWER(2, target) AS BIGINT) AS bit, CAST(weight AS BIGINT) AS weight FROM opts UNION ALL SELECT days.day, s.k, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM days CROSS JOIN (SELECT k FROM bits WHERE k < 3) s) o
-                 ON o.day = w.day AND o.source = w.source AND (w.mask & o.bit) = 0 WHERE w.source < 3)
-        SELECT day, COUNT(*) AS arrangements, CAST(SUM(weight) AS BIGINT) AS total FROM walk WHERE source = 3 GROUP BY day""",
+    marginal_sums="WITH " + ARRANGED + f"""
+        SELECT day, CAST(SUM(n) AS BIGINT) AS arrangements, CAST(SUM(weight) AS BIGINT) AS total FROM walk{SOURCES} GROUP BY day""",
     edge_jaccard="""
         WITH a AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R'),
              m AS (SELECT COALESCE(a.p, b.p) AS p, CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN b.p IS NULL THEN 1 ELSE 0 END AS fn, CASE WHEN a.p IS NULL THEN 1 ELSE 0 END AS fp FROM a FULL JOIN b ON a.p = b.p AND a.s = b.s)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+from itertools import product
+from math import prod
 
 from measura.plans import catalog
 
@@ -14,6 +16,16 @@ def lineitem(spark, folder, keys):
     return str(folder)
 
 
+KINDS = ("click", "error", "purchase", "scroll", "signup", "view", "another kind")
+
+
+def events(spark, folder, cells):
+    """A table whose occupied cells are these (day of January, kind, user)."""
+    rows = [(i, datetime.datetime(2024, 1, day, 9), user, KINDS[z], 1.0, "{}") for i, (day, z, user) in enumerate(cells)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
 def interleaved(x, y):
     return sum(((x >> k & 1) << 2 * k) + ((y >> k & 1) << 2 * k + 1) for k in range(31))
 
@@ -22,3 +34,18 @@ def test_morton_order_of_large_keys(spark, tmp_path):
     keys = [(0, 0), (3, 5), (255, 9), (256, 9), (1_999, 99), (1_999, 99), (70_000, 65_537), (2**31 - 1, 2**31 - 1)]
     got = {(r["x"], r["y"]): (r["n"], r["z"]) for r in catalog.QUERIES["morton_order"](spark, lineitem(spark, tmp_path, keys)).collect()}
     assert got == {k: (keys.count(k), interleaved(*k)) for k in keys}
+
+
+def test_marginal_sums_of_all_kinds_and_users(spark, tmp_path):
+    days = {1: {0: [1, 5], 3: [5, 9, 15], 6: [1, 15]}, 2: {k: [k, 8 + k] for k in range(7)}, 3: {4: [7]}}
+    cells = [(day, z, y) for day, kinds in days.items() for z, ys in kinds.items() for y in ys]
+    got = catalog.QUERIES["marginal_sums"](spark, events(spark, tmp_path, cells + cells[:3])).collect()
+    want = {}
+    for day, kinds in days.items():
+        weights = []
+        for picked in product(*([None, *ys] for ys in kinds.values())):
+            targets = [p for p in picked if p is not None]
+            if len(set(targets)) == len(targets):
+                weights.append(prod(len(ys) for p, ys in zip(picked, kinds.values(), strict=True) if p is not None))
+        want[day] = (len(weights), sum(weights))
+    assert {(datetime.date(1970, 1, 1) + datetime.timedelta(r["day"])).day: (r["arrangements"], r["total"]) for r in got} == want
