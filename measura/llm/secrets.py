@@ -1,10 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.  Native: DataFrame functions only.
 
 Patterns find spans in each text.  Every span's value is hashed, and the hashes are aggregated over the whole corpus by
-distinct repositories (texts, so that copies of one text count once) and distinct owners.  A value with few owners looks
-live; one that many owners show is a copied example.  Kinds listed in ``BASE`` are always reported.  The kind ``token``
-(long runs that mix capitals, small letters and digits) is what the method adds: it is reported only where its value
-belongs to few owners and it overlaps no base span.
+distinct repositories (texts, so that copies of one text count once) and distinct owners.  A value of few owners in few
+repositories looks live; one that many owners show, or that one owner shows in many texts, is a copied example.  Kinds
+listed in ``BASE`` are always reported.  The kind ``token`` (long runs that mix capitals, small letters and digits) is what
+the method adds: it is reported only where its value looks live and it overlaps no base span.
 
 Spans are counted in code points, the end exclusive.  Positions come from the lengths of the matches and of what lies
 between them, so a text is searched once for each kind, and once more for the kinds it has.
@@ -60,11 +60,11 @@ def rendered(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", live_owners: int = 2, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", live_owners: int = 2, live_repositories: int = 8, keep: list[str] | None = None) -> DataFrame:
     """docs with ``found``: spans (start, kind, end, value, owners, repositories, live), by start and then kind.
 
-    kind is a place in KINDS; live is whether at most live_owners owners show the value.  keep: the columns of docs to
-    return (None: all), which are written once beside the spans.
+    kind is a place in KINDS; live is whether at most live_owners owners show the value, in at most live_repositories
+    distinct texts.  keep: the columns of docs to return (None: all), which are written once beside the spans.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c != "found"])
     body = docs.select(row.alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"), F.col(f"`{owner}`").cast("string").alias("owner"))
@@ -76,7 +76,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", live_owners
     marked = materialize(marked, "secret-spans")
     each = marked.select("id", "owner", "repository", F.explode("spans").alias("s")).select("id", "owner", "repository", "s.*").withColumn("digest", F.sha2("value", 256))
     use = each.groupBy("digest").agg(F.count_distinct(F.coalesce("owner", F.lit("\0"))).alias("owners"), F.count_distinct("repository").alias("repositories"))
-    judged = each.join(use, "digest").withColumn("live", F.col("owners") <= live_owners)
+    judged = each.join(use, "digest").withColumn("live", (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories))
     kept = judged.where((F.col("kind") < len(BASE)) | F.col("live"))
     lists = kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repositories", "live"))).alias("found"))
     empty = F.array().cast(lists.schema["found"].dataType)
