@@ -142,9 +142,9 @@ REGISTRY = {
         WITH ops AS (SELECT 0 AS op, 1 AS a, 0 AS b, 0 AS c, 1 AS d UNION ALL SELECT 1, 0, -1, 1, 0 UNION ALL SELECT 2, -1, 0, 0, -1 UNION ALL SELECT 3, 0, 1, -1, 0), cells AS (SELECT DISTINCT y, x FROM g WHERE y < 4 AND x < 4)
         SELECT o.op, s.y, s.x, (o.a * s.x + o.b * s.y + 16) % 16 AS sx, (o.c * s.x + o.d * s.y + 16) % 16 AS sy FROM cells s CROSS JOIN ops o""",
     frame_chains="""
-        WITH RECURSIVE first_day AS (SELECT MIN(day) AS d FROM c), walk(day, z, y, len) AS (SELECT c.day, c.z, c.y, CAST(1 AS BIGINT) FROM c JOIN first_day ON c.day = first_day.d
-             UNION ALL SELECT n.day, n.z, n.y, w.len + 1 FROM walk w JOIN c n ON n.day = w.day + 1 AND n.z = w.z AND n.y = w.y)
-        SELECT z, y, MAX(len) AS len FROM walk GROUP BY z, y""",
+        WITH runs AS (SELECT day, z, y, day - ROW_NUMBER() OVER (PARTITION BY z, y ORDER BY day) AS island FROM c),
+             chains AS (SELECT z, y, COUNT(*) AS len FROM runs GROUP BY z, y, island)
+        SELECT z, y, MAX(len) AS len FROM chains GROUP BY z, y""",
     noise_flicker="WITH " + FULL + """
         SELECT a.t, CAST(SUM((b.lane - a.lane) * (b.lane - a.lane)) AS BIGINT) AS squares, COUNT(*) AS n FROM full_grid a JOIN full_grid b ON b.t = a.t + 1 AND b.y = a.y AND b.x = a.x GROUP BY a.t""",
     noise_neighbors="WITH " + FULL + """

@@ -49,3 +49,10 @@ def test_marginal_sums_of_all_kinds_and_users(spark, tmp_path):
                 weights.append(prod(len(ys) for p, ys in zip(picked, kinds.values(), strict=True) if p is not None))
         want[day] = (len(weights), sum(weights))
     assert {(datetime.date(1970, 1, 1) + datetime.timedelta(r["day"])).day: (r["arrangements"], r["total"]) for r in got} == want
+
+
+def test_frame_chains_that_begin_later(spark, tmp_path):
+    held = {(0, 2): [1, 2, 5, 6, 7], (4, 9): [3], (5, 15): [2, 3, 4, 8], (6, 0): [1, 3, 5]}
+    cells = [(day, z, y) for (z, y), days in held.items() for day in days]
+    got = catalog.QUERIES["frame_chains"](spark, events(spark, tmp_path, cells + cells[:2])).collect()
+    assert sorted((r["z"], r["y"], r["len"]) for r in got) == [(0, 2, 3), (4, 9, 1), (5, 15, 3), (6, 0, 1)]
