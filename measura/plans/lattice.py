@@ -139,7 +139,7 @@ REGISTRY = {
                    FROM truth t FULL JOIN found f ON t.day = f.day AND t.z = f.z AND t.y = f.y AND t.to_y = f.to_y)
         SELECT day, CAST(SUM(tp) AS BIGINT) AS tp, CAST(SUM(fp) AS BIGINT) AS fp, CAST(SUM(fn) AS BIGINT) AS fn FROM m GROUP BY day""",
     symmetry_sites="""
-        WITH ops AS (SELECT 0 AS op, 1 AS a, 0 AS b, 0 AS c, 1 AS d UNION ALL SELECT 1, 0, -1, 1, 0 UNION ALL SELECT 2, -1, 0, 0, -1 UNION ALL SELECT 3, 0, 1, -1, 0), cells AS (SELECT DISTINCT y, x FROM g WHERE y < 4 AND x < 4)
+        WITH ops AS (SELECT 0 AS op, 1 AS a, 0 AS b, 0 AS c, 1 AS d UNION ALL SELECT 1, 0, -1, 1, 0 UNION ALL SELECT 2, -1, 0, 0, -1 UNION ALL SELECT 3, 0, 1, -1, 0), cells AS (SELECT DISTINCT y, x FROM g)
         SELECT o.op, s.y, s.x, (o.a * s.x + o.b * s.y + 16) % 16 AS sx, (o.c * s.x + o.d * s.y + 16) % 16 AS sy FROM cells s CROSS JOIN ops o""",
     frame_chains="""
         WITH runs AS (SELECT day, z, y, day - ROW_NUMBER() OVER (PARTITION BY z, y ORDER BY day) AS island FROM c),

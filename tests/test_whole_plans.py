@@ -56,3 +56,12 @@ def test_frame_chains_that_begin_later(spark, tmp_path):
     cells = [(day, z, y) for (z, y), days in held.items() for day in days]
     got = catalog.QUERIES["frame_chains"](spark, events(spark, tmp_path, cells + cells[:2])).collect()
     assert sorted((r["z"], r["y"], r["len"]) for r in got) == [(0, 2, 3), (4, 9, 1), (5, 15, 3), (6, 0, 1)]
+
+
+def test_symmetry_sites_of_the_whole_lattice(spark, tmp_path):
+    keys = [(0, 0), (3, 3), (4, 1), (1, 4), (15, 15), (16 + 9, 32 + 12)]
+    got = catalog.QUERIES["symmetry_sites"](spark, lineitem(spark, tmp_path, keys)).collect()
+    want = []
+    for y, x in {(part % 16, supplier % 16) for part, supplier in keys}:
+        want += [(op, y, x, sx % 16, sy % 16) for op, (sx, sy) in enumerate([(x, y), (-y, x), (-x, -y), (y, -x)])]
+    assert sorted((r["op"], r["y"], r["x"], r["sx"], r["sy"]) for r in got) == sorted(want)
