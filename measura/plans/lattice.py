@@ -47,13 +47,13 @@ def components_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items tie a part to a supplier: which parts hang together through suppliers of large orders."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
+    """Line items tie a part to a supplier: which parts hang together through suppliers."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
     return graph.components(rows)
 
 
 def core_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
     return graph.k_core(rows, 4)
 
 

@@ -65,3 +65,12 @@ def test_symmetry_sites_of_the_whole_lattice(spark, tmp_path):
     for y, x in {(part % 16, supplier % 16) for part, supplier in keys}:
         want += [(op, y, x, sx % 16, sy % 16) for op, (sx, sy) in enumerate([(x, y), (-y, x), (-x, -y), (y, -x)])]
     assert sorted((r["op"], r["y"], r["x"], r["sx"], r["sy"]) for r in got) == sorted(want)
+
+
+def test_part_graphs_take_small_orders(spark, tmp_path):
+    keys = [(part, supplier) for part in range(1, 5) for supplier in range(1, 5)] + [(5, 1), (6, 9), (6, 9)]
+    folder = lineitem(spark, tmp_path, keys)
+    roots = {r["node"]: r["root"] for r in catalog.QUERIES["part_components"](spark, folder).collect()}
+    assert roots == {2 * p: 2 for p in range(1, 6)} | {2 * s + 1: 2 for s in range(1, 5)} | {12: 12, 19: 12}
+    core = {r["node"]: r["degree"] for r in catalog.QUERIES["k_core"](spark, folder).collect()}
+    assert core == {2 * p: 4 for p in range(1, 5)} | {2 * s + 1: 4 for s in range(1, 5)}
