@@ -5,18 +5,22 @@ similarity reaches num/den share l tokens or more among the first n - ceil(n * n
 size) under *any* order of all tokens.  Candidates must do so under ORDERS different orders before they are verified:
 
 1. A set's sample are its tokens whose hash lies in a fixed share of the range, or its prefix if that is longer.  As
-   all sets sample alike, the number of texts with a sampled token is exact.
+   all sets sample alike, the number of classes with a sampled token is exact.
 2. Equal sets are one class, told by a 64-bit sum of token hashes.  The first order puts tokens of one class first, then
-   sampled tokens from rare to frequent, then the others by hash.  A class whose prefix holds tokens of its own only
-   has no links and is left; of the others, the shared tokens of the prefix make groups.
-3. Pairs of groups of up to SMALL members are counted: a pair that shares no larger group must share l tokens, where l
-   is 1 for small sets and up to DEPTH for larger ones, and be of fitting sizes.  In every larger group all members
-   are paired with one of them (its hub).  Pairs that pass the prefixes under the other orders are verified on the
-   full sets, and the links make components.
-4. Larger groups that still hold several components are compared in full, in blocks of about BLOCK members or
-   BLOCK_TOKENS tokens, each pair of blocks on its own; a pair is verified in the first such group it shares, and no
-   more links are returned than connect what is linked.  So pairs of a large group aren't listed, nothing is capped,
-   and no link between different components is lost.
+   sampled tokens from rare to frequent, then the others by hash.  Tokens of very many classes (found in a share of the
+   classes, at most HOT_TOKENS of them at any size) are ordered by an estimate of their number, so that no task has to
+   hold the classes of one token to count them.
+3. At their first shared token under the first order, at places i and j of their prefixes, two linked sets of n and m
+   tokens have 1 + min(n - i, m - j) tokens left to share at most; pairs for which that is less than a link needs, or
+   whose sizes don't fit, aren't candidates by that token.
+4. Tokens of up to SMALL classes list their candidate pairs.  For a token of more, the classes that stand early enough
+   to be the smaller set of a link are its heads: all classes are paired with one head (the hub), and nothing more is
+   done where no head is.  Pairs that share enough tokens of the prefixes under the other orders are verified on the full
+   sets, and the links make components.
+5. Tokens with heads whose classes still make several components are compared in full: heads with all, in blocks of about
+   BLOCK classes or BLOCK_TOKENS tokens; in large groups blocks hold sets of one band of sizes, and meet their own and
+   the next band only.  No more links are returned than connect what is linked.  So pairs of a large group aren't
+   listed, nothing is capped, and no link between different components is lost.
 
 Two different sets are taken as equal if their 64-bit sums collide (expected pairs: the square of the number of
 classes over 2^65).
@@ -39,7 +43,7 @@ from pyspark.sql.window import Window as W
 
 from measura.llm.textops import encoded, mix, parts, span_hashes, word_spans
 from measura.operators.graph import components
-from measura.session import materialize
+from measura.session import drop_materialized, free_shuffles, materialize
 
 #: Lower-cases A-Z; white space parts words.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -48,11 +52,11 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 SEEDS = np.array([0x9E6C63D0876A9A47, 0xB5026F5AA96619E9], np.uint64)
 ORDERS = 1 + len(SEEDS)
 SMALL, BLOCK, BLOCK_TOKENS = 32, 1024, 1_000_000
-DEPTH, PER_TOKEN = 3, 40  # l: one more for every PER_TOKEN tokens of a set, DEPTH at most
+DEPTH, PER_TOKEN = 3, 40  # l under the seeded orders: one more for every PER_TOKEN tokens of a set, DEPTH at most
+HOT_SHARE, HOT_LEAST, HOT_TOKENS = 64, 16, 1 << 16  # hot: in HOT_LEAST classes of one in HOT_SHARE, HOT_TOKENS at most
 SPREAD = 1.5  # share of the hash range sampled, as a multiple of 1 - num/den
 BROADCAST_ROWS = 1_000_000
 SLICE = 300_000  # bytes of text whose arrays are held at once
-LEAST_PARTS, TOKENS_A_PART = 8, 2_000_000
 FEW = 20  # below one pair in so many, pairs of blocks are verified one by one
 
 
@@ -89,13 +93,13 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(mix(np.array([tokens.sum(dtype=np.uint64)], np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
-def prefix_size(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + least_shared(n)
+def prefix_size(n: int, num: int, den: int, shared: int = 1) -> int:
+    return n - -(-num * n // den) + shared
 
 
 def prefixes(tokens: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     """The tokens' keys in the prefix under every seeded order, sorted."""
-    size = prefix_size(len(tokens), num, den)
+    size = prefix_size(len(tokens), num, den, least_shared(len(tokens)))
     return [np.sort(np.partition(keys, size - 1)[:size]) for keys in (mix(tokens ^ seed) for seed in SEEDS)]
 
 
@@ -116,10 +120,16 @@ def read_sets(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Itera
 
 
 def sampler(text: str, words: int, num: int, den: int, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds n_shingles, the class's print, and the sample in the first row of a class that the task meets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int | None] = {None}
         for batch, a, sets in read_sets(batches, text, words):
             prints = [fingerprint(s) if len(s) else None for s in sets]
-            picked = [sample(s, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            picked = []
+            for f, s in zip(prints, sets, strict=True):
+                picked.append(np.zeros(0, np.int64) if f in seen else sample(s, num, den).view(np.int64))
+                seen.add(f)
             part = batch.slice(a, len(sets))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, picked)]).astype(np.int32), np.concatenate([*picked, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays(
@@ -129,21 +139,16 @@ def sampler(text: str, words: int, num: int, den: int, keep: list[str]) -> Calla
     return run
 
 
-SETS = "print long, n int, tokens binary, p1 binary, p2 binary"
+FILTERS = "print long, n int, p1 binary, p2 binary"
+SETS = FILTERS + ", tokens binary"
 
 
 def set_maker(words: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for _, _, sets in read_sets(batches, "text", words):
-            rows = []
-            for s in sets:
-                if (f := fingerprint(s)) not in seen:
-                    seen.add(f)
-                    p1, p2 = prefixes(s, num, den)
-                    rows.append((f, len(s), s.tobytes(), p1.tobytes(), p2.tobytes()))
+            rows = [(fingerprint(s), len(s), *(p.tobytes() for p in prefixes(s, num, den)), s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["print", "n", "tokens", "p1", "p2"]
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["print", "n", "p1", "p2", "tokens"]
             )
 
     return run
@@ -163,25 +168,32 @@ def array(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-def verifier(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def passing(fine: Callable[[dict, int], bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b) of the rows for which fine(columns, row) holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {c: batch[c].to_pylist() for c in batch.schema.names}
-            out = []
-            for i in range(len(batch)):
-                # The further orders' filters first, then the sets themselves.
-                x, y = array(cols["a_tokens"][i]), array(cols["b_tokens"][i])
-                least = least_shared(min(len(x), len(y)))
-                if any(meets(array(cols[f"a_{p}"][i]), array(cols[f"b_{p}"][i])) < least for p in ("p1", "p2")):
-                    continue
-                both = meets(x, y)
-                if den * both >= num * (len(x) + len(y) - both):
-                    out.append((cols["a"][i], cols["b"][i]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            rows = [i for i in range(len(batch)) if fine(cols, i)]
+            yield pa.RecordBatch.from_arrays([pa.array([cols[k][i] for i in rows], pa.int64()) for k in ("a", "b")], names=["a", "b"])
 
     return run
 
 
+def share_prefixes(cols: dict, i: int) -> bool:
+    least = least_shared(min(cols["a_n"][i], cols["b_n"][i]))
+    return all(meets(array(cols[f"a_{p}"][i]), array(cols[f"b_{p}"][i])) >= least for p in ("p1", "p2"))
+
+
+def similar(num: int, den: int) -> Callable[[dict, int], bool]:
+    def fine(cols: dict, i: int) -> bool:
+        x, y = array(cols["a_tokens"][i]), array(cols["b_tokens"][i])
+        both = meets(x, y)
+        return den * both >= num * (len(x) + len(y) - both)
+
+    return fine
+
+
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, a stretch of the tokens at a time."""
     sides = []
@@ -204,19 +216,20 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
 
 
 def block_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
-    """Links between members of two blocks (or inside one), as many as connect them."""
+    """Links between the heads of one block (lb) and the members of another (rb), as many as connect them."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (r["block"], r["print"]))
-        i, j = rows[0]["i"], rows[0]["j"]
-        left, right = [r for r in rows if r["block"] == i], [r for r in rows if r["block"] == j]
+        rows = sorted(group.to_pylist(), key=lambda r: r["print"])
+        left, right = [r for r in rows if r["head"] and r["lb"] == r["i"]], [r for r in rows if r["rb"] == r["j"]]
         out = []
         if left and right:
-            # Pairs of one component, and pairs that share a group of a smaller token, are left.
-            fits = np.array([r["root"] for r in left])[:, None] != np.array([r["root"] for r in right])
-            earlier = lambda r: np.array([t for t in sorted(r["mine"]) if t < r["token"]], np.int64).view(np.uint64)
-            fits &= shared_counts([np.sort(earlier(r)) for r in left], [np.sort(earlier(r)) for r in right]) == 0
-            least = np.minimum.outer([least_shared(r["n"]) for r in left], [least_shared(r["n"]) for r in right])
+            column = lambda side, c: np.array([r[c] for r in side], np.int64)
+            n, m = column(left, "n")[:, None], column(right, "n")[None, :]
+            # Pairs of one component are left, and those that the place of the token rules out.
+            fits = column(left, "root")[:, None] != column(right, "root")
+            fits &= (n <= m) & (den * n >= num * m)
+            fits &= (1 + np.minimum(n - column(left, "place")[:, None], m - column(right, "place"))) * (num + den) >= num * (n + m)
+            least = np.minimum(DEPTH, 1 + n // PER_TOKEN)
             for p in ("p1", "p2"):
                 if fits.any():
                     fits &= shared_counts([array(r[p]) for r in left], [array(r[p]) for r in right]) >= least
@@ -249,9 +262,53 @@ def block_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    side = lambda s: sets.select(F.col("print").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n", "tokens", "p1", "p2")))
-    with_sets = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{den} * least(a_n, b_n) >= {num} * greatest(a_n, b_n)")
-    return with_sets.select("a", "b", "a_tokens", "b_tokens", "a_p1", "b_p1", "a_p2", "b_p2").mapInArrow(verifier(num, den), "a long, b long")
+    """Linked pairs.  The prefixes, a fraction of the sets, are read for all pairs, and full sets for those that pass."""
+    side = lambda s, *more: sets.select(F.col("print").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in more))
+    passed = pairs.join(side("a", "n", "p1", "p2"), "a").join(side("b", "n", "p1", "p2"), "b").mapInArrow(passing(share_prefixes), "a long, b long")
+    passed = materialize(passed, "ngram-passed")
+    links = materialize(passed.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").mapInArrow(passing(similar(num, den)), "a long, b long"), "ngram-links")
+    drop_materialized(pairs.sparkSession, passed)
+    return links
+
+
+def hot_tokens(postings: DataFrame, total: int) -> DataFrame:
+    """(token, classes) of the tokens of very many classes, by an estimate; at most HOT_TOKENS rows (total: all postings)."""
+    least = max(HOT_LEAST, -(-total // HOT_TOKENS))
+    some = postings.where(F.pmod("print", F.lit(HOT_SHARE)) == 0).groupBy("token").agg(F.count("*").alias("seen"))
+    return materialize(some.where(F.col("seen") >= least).select("token", (F.col("seen") * HOT_SHARE).alias("classes")).coalesce(1), "ngram-hot")
+
+
+def candidate(a: str, b: str, num: int, den: int) -> str:
+    """SQL: whether sets with n tokens and a shared token at ``place`` may be linked by it."""
+    return f"({den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) AND {num + den} * (1 + least({a}.n - {a}.place, {b}.n - {b}.place)) >= {num} * ({a}.n + {b}.n))"
+
+
+def listed_pairs(few: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of every token, which has at most SMALL classes."""
+    members = few.groupBy("token").agg(F.collect_list(F.struct("print", "n", "place")).alias("g")).where("size(g) > 1")
+    pair = "named_struct('a', least(x.print, y.print), 'b', greatest(x.print, y.print))"
+    found = f"flatten(transform(g, (x, k) -> transform(filter(slice(g, k + 2, size(g)), y -> {candidate('x', 'y', num, den)}), y -> {pair})))"
+    return members.select(F.explode(F.expr(found)).alias("p")).select("p.a", "p.b").distinct()
+
+
+def dealt_blocks(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """placed (token, print, n, place, head, root) once for every pair of blocks (i, j) in which it is a head or a member."""
+    size = placed.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    one = (F.col("members") <= BLOCK) & (F.col("tokens") <= BLOCK_TOKENS)
+    banded = placed.join(size, "token").withColumn("band", F.when(one, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)).cast("int"))
+    blocks = lambda of: F.ceil(F.greatest(F.sum(F.when(of, 1).otherwise(0)) / BLOCK, F.sum(F.when(of, F.col("n")).otherwise(0)) / BLOCK_TOKENS)).cast("int")
+    bands = banded.groupBy("token", "band").agg(blocks(F.col("head")).alias("l"), blocks(F.lit(True)).alias("r"))
+    # At most one entry for each band of sizes: about 100 for sets of up to 40,000 tokens at a similarity of 0.9.
+    bands = bands.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("l", "r")))).alias("bands"))
+    at = "coalesce(try_element_at(bands, {}).{}, 0)"
+    name = "named_struct('i', concat({}, ':', {}), 'j', concat({}, ':', {}))"
+    turn = lambda band, of, i, j: f"flatten(transform({band}, w -> transform(filter(sequence(0, {at.format('w', of)}), k -> k < {at.format('w', of)}), k -> {name.format(*i, *j)})))"
+    as_head = turn("array(band, band + 1)", "r", ("band", "l"), ("w", "k"))
+    as_member = turn("array(band - 1, band)", "l", ("w", "k"), ("band", "r"))
+    out = banded.join(bands, "token").withColumn("l", F.expr(f"pmod(xxhash64(print), greatest(1, {at.format('band', 'l')}))")).withColumn("r", F.expr(f"pmod(xxhash64(print), greatest(1, {at.format('band', 'r')}))"))
+    out = out.withColumn("lb", F.concat_ws(":", "band", "l")).withColumn("rb", F.concat_ws(":", "band", "r"))
+    turns = F.expr(f"array_distinct(concat(IF(head, {as_head}, array()), {as_member}))")
+    return out.withColumn("turn", F.explode(turns)).select("token", "print", "place", "head", "root", "lb", "rb", "turn.i", "turn.j")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, keep: list[str] | None = None) -> DataFrame:
@@ -267,65 +324,66 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     held = ["row", "key", "text_key"] if columns != [key] else ["key", "text_key"]
     schema = T.StructType([f for f in rows.schema.fields if f.name in held] + [T.StructField("n_shingles", T.LongType()), T.StructField("print", T.LongType()), T.StructField("sample", T.ArrayType(T.LongType()))])
     nodes = materialize(rows.select("text", *held).mapInArrow(sampler("text", words, num, den, held), schema), "ngram-nodes")
-
-    # Intermediate tables are written as a part for so many sampled tokens: few files, and none past a task's memory.
-    total = nodes.agg(F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(LEAST_PARTS, total // TOKENS_A_PART)
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df.coalesce(parts), name)
-
-    classes = nodes.where("print IS NOT NULL").groupBy("print").agg(F.min("key").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").cast("int").alias("n"), F.max(F.size("sample")).alias("sampled"))
-    classes = kept(classes, "ngram-classes")
-
-    # Tokens of several texts, then those of several classes: most tokens are left at the first count.
-    postings = nodes.select("print", F.explode("sample").alias("token"))
-    repeated = postings.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
-    held_by = kept(postings.join(repeated, "token").groupBy("print", "token").agg(F.max("texts").alias("texts")), "ngram-held")
-    several = held_by.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
-    common = held_by.join(several, "token").join(classes.select("print", "n", "sampled"), "print")
-    limit = sample_limit(num, den)
+    size = nodes.agg(F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("n")).first()["n"]
+    ids = materialize(nodes.drop("sample"), "ngram-ids")
+    classes = materialize(nodes.where("print IS NOT NULL").groupBy("print").agg(F.min("key").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").cast("int").alias("n"), F.max(F.size("sample")).alias("sampled")), "ngram-classes")
+
+    # Tokens of several classes; equal rows of (token, print) come from different tasks.
+    postings = nodes.where(F.size("sample") > 0).select("print", F.explode("sample").alias("token"))
+    hot = hot_tokens(postings, size)
+    cold = postings.join(F.broadcast(hot), "token", "left_anti").repartition("token").groupBy("token", "print").agg(F.lit(0).alias("classes"))
+    cold = cold.withColumn("classes", F.count("*").over(W.partitionBy("token"))).where("classes > 1")
+    warm = postings.join(F.broadcast(hot), "token").select("token", "print", "classes").distinct()
+    shared = cold.unionByName(warm).join(classes.select("print", "n", "sampled"), "print")
     by_class = W.partitionBy("print")
-    # Of the prefix, what the class's own tokens don't fill.
-    size = F.expr(f"n - ({num}L * n + {den - 1}) div {den} + least({DEPTH}, 1 + n div {PER_TOKEN})")
-    room = size - (F.col("sampled") - F.count("*").over(by_class))
-    place = F.row_number().over(by_class.orderBy((F.col("token") < 0) | (F.col("token") >= limit), "texts", "token"))
-    live = common.withColumn("room", room).withColumn("place", place).where("place <= room").select("token", "print", "n")
-    live = kept(live, "ngram-live")
-    members = live.groupBy("token").agg(F.count("*").alias("members"), F.min("print").alias("hub")).where("members > 1")
-    few = live.join(members.where(F.col("members") <= SMALL), "token")
-    many = live.join(members.where(F.col("members") > SMALL), "token")
-
-    side = lambda p: few.select("token", F.col("print").alias(p), F.col("n").alias(f"n{p}"))
-    shared_tokens = side("a").join(side("b"), "token").where(f"a < b AND {den} * least(na, nb) >= {num} * greatest(na, nb)").groupBy("a", "b").agg(F.count("*").alias("together"), F.min(F.least("na", "nb")).alias("n"))
-    pairs = shared_tokens.where(f"together >= least({DEPTH}, 1 + n div {PER_TOKEN})").select("a", "b")
-    star = many.where("print <> hub").select(F.col("hub").alias("a"), F.col("print").alias("b"))
-    pairs = kept(pairs.unionByName(star).distinct(), "ngram-pairs")
-
-    # One text of every class that has candidates.
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    chosen = kept(classes.join(involved, "print", "left_semi").select("text_key").distinct(), "ngram-chosen")
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    made = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen, "text_key", "left_semi").select("text").mapInArrow(set_maker(words, num, den), SETS)
-    sets = kept(made.dropDuplicates(["print"]), "ngram-sets")
-    links = kept(verify(pairs, sets, num, den), "ngram-links")
-    roots = kept(components(links, parts=parts), "ngram-roots")
-
-    placed = many.join(roots.withColumnRenamed("node", "print"), "print", "left").select("token", "print", "n", "members", F.coalesce("root", "print").alias("root"))
-    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("tokens")).where("lo < hi").select("token", "tokens")
-    placed = kept(placed.join(open_, "token").drop("n"), "ngram-open")
-    mine = placed.groupBy("print").agg(F.collect_list("token").alias("mine"))
-    cut = placed.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", "print", "root", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    blocks = dealt.join(sets.join(mine, "print"), "print").groupBy("token", "i", "j").applyInArrow(block_links(num, den), "a long, b long")
-    more = kept(blocks, "ngram-more")
-
-    final = components(links.unionByName(more), parts=parts) if not more.isEmpty() else roots
-    final = kept(final, "ngram-final")
-    classes = classes.join(final.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    classes = kept(classes, "ngram-named")
-    least = classes.groupBy("root").agg(F.min("least").alias("component"))
-    named = classes.join(least, "root").select("print", "component")
-    out = nodes.drop("sample").join(named, "print", "left")
+    # Tokens of one class come first.
+    own = F.col("sampled") - F.count("*").over(by_class)
+    rank = F.row_number().over(by_class.orderBy((F.col("token") < 0) | (F.col("token") >= sample_limit(num, den)), "classes", "token"))
+    live = shared.withColumn("place", (own + rank).cast("int")).where(f"place <= n - ({num}L * n + {den - 1}) div {den} + 1").select("token", "print", "n", "place")
+    live = materialize(live, "ngram-live")
+    drop_materialized(spark, nodes, hot)
+    free_shuffles(spark)
+
+    head = F.expr(f"{num + den} * (1 + n - place) >= {2 * num} * n")
+    many = live.groupBy("token").agg(F.count("*").alias("members"), F.min(F.when(head, F.struct("print", "n", "place"))).alias("hub")).where(F.col("members") > SMALL)
+    many = materialize(many.select("token", "hub"), "ngram-many")
+    small = F.broadcast(many.select("token")) if many.count() <= BROADCAST_ROWS else many.select("token")
+    groups_of = live.join(many.where("hub IS NOT NULL"), "token")
+    star = groups_of.withColumn("own", F.struct("print", "n", "place")).where(f"print <> hub.print AND {candidate('own', 'hub', num, den)}")
+    star = star.select(F.least("print", "hub.print").alias("a"), F.greatest("print", "hub.print").alias("b"))
+    pairs = materialize(listed_pairs(live.join(small, "token", "left_anti"), num, den).unionByName(star).distinct(), "ngram-pairs")
+
+    # One text of every class that has candidates or is in a large group.
+    grouped = materialize(groups_of.select("token", "print", "n", "place", head.alias("head")), "ngram-grouped")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("print")).unionByName(grouped.select("print")).distinct()
+    chosen = materialize(classes.join(involved, "print", "left_semi").select("text_key"), "ngram-chosen")
+    drop_materialized(spark, live, many)
+    chosen_keys = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    texts = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen_keys, "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = materialize(texts.select("text").mapInArrow(set_maker(words, num, den), SETS), "ngram-sets")
+    drop_materialized(spark, chosen)
+    free_shuffles(spark)
+    links = verify(pairs, sets, num, den)
+    drop_materialized(spark, pairs)
+    roots = materialize(components(links), "ngram-roots")
+    free_shuffles(spark)
+
+    rooted = grouped.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = materialize(rooted, "ngram-rooted")
+    drop_materialized(spark, grouped)
+    open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    open_ = materialize(rooted.join(open_, "token"), "ngram-open")
+    drop_materialized(spark, rooted)
+    blocks = dealt_blocks(open_, num, den).join(sets, "print").groupBy("token", "i", "j").applyInArrow(block_links(num, den), "a long, b long")
+    more = materialize(blocks, "ngram-more")
+    drop_materialized(spark, sets, open_)
+    free_shuffles(spark)
+
+    final = materialize(components(links.unionByName(more)), "ngram-final") if not more.isEmpty() else roots
+    named = classes.join(final.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    named = materialize(named, "ngram-named")
+    drop_materialized(spark, links, more, classes)
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    out = ids.join(named.join(least, "root").select("print", "component"), "print", "left")
     component = F.when(F.col("print").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id")
     return out.select(*(["row.*"] if "row" in held else [F.col("key").alias(key)]), "n_shingles", component)

@@ -20,7 +20,9 @@ from measura.llm.textops import span_hashes
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACES, LAST_BLANK, LAST_SPACE, END = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_BLANK, IN_SPACES, ONE_MORE, TWO_MORE = range(8)
 STATES = 8
+SYNC = 4  # columns after which maps are compared
 SENTINEL = 0x110000
+LETTERS_END = 0x40000  # no letter or number stands in the planes from here on
 #: Characters of the Unicode property White_Space.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Endings that follow an apostrophe as one piece.
@@ -31,9 +33,9 @@ SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 def classes() -> np.ndarray:
     """Class of every code point, and END for the sentinel."""
     out = np.full(SENTINEL + 1, OTHER, np.uint8)
-    kinds = [unicodedata.category(chr(c))[0] for c in range(SENTINEL)]
-    out[:SENTINEL][np.array([k == "L" for k in kinds])] = LETTER
-    out[:SENTINEL][np.array([k == "N" for k in kinds])] = NUMBER
+    kinds = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(LETTERS_END)).encode(), "S1")
+    out[:LETTERS_END][kinds == b"L"] = LETTER
+    out[:LETTERS_END][kinds == b"N"] = NUMBER
     out[list(WHITE)] = SPACES
     out[SENTINEL] = END
     return out
@@ -85,8 +87,16 @@ def piece_starts(kind: np.ndarray, chunk: int = 512) -> np.ndarray:
     columns = np.ascontiguousarray(padded.reshape(lanes, chunk).T) * STATES
     maps = np.tile(np.arange(STATES), (lanes, 1))
     at = np.empty_like(maps)
-    for column in columns:
+    one = None  # the exit states, once no chunk's map depends on its entry state any more
+    for j, column in enumerate(columns):
+        if one is not None:
+            one = step[column + one]
+            continue
         np.take(step, np.add(column[:, None], maps, out=at), out=maps, mode="clip")
+        if j % SYNC == SYNC - 1 and (maps == maps[:, :1]).all():
+            one = maps[:, 0]
+    if one is not None:
+        maps = np.repeat(one[:, None], STATES, 1)
     reach = 1
     while reach < lanes:  # after each round a map covers twice as many chunks
         maps = np.concatenate([maps[:reach], np.take_along_axis(maps[reach:], maps[:-reach], 1)])

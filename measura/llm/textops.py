@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Multiplier of the word hash (odd, so that it has an inverse modulo 2^64) and that inverse.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-MASK = (1 << 64) - 1
+#: Word hashes are polynomials modulo this prime; modulo 2^64, sums of powers of any odd base would vanish on
+#: crafted texts (Thue-Morse words and their complements).
+PRIME = (1 << 61) - 1
+BASE = 0x11A3B5C7D9EF1357
+INVERSE = pow(BASE, -1, PRIME)
 
 
 def slices(lengths: list[int], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -47,16 +48,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def low(x: np.ndarray, bits: int) -> np.ndarray:
+    return x & np.uint64((1 << bits) - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = low(x, 61) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def shifted(x: np.ndarray, bits: int) -> np.ndarray:
+    """x * 2^bits modulo PRIME, not fully reduced: the bits that pass 2^61 come back at the bottom."""
+    return (x >> np.uint64(61 - bits)) + (low(x, 61 - bits) << np.uint64(bits))
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, from products of their 32-bit halves."""
+    half = np.uint64(32)
+    a1, a0, b1, b0 = a >> half, low(a, 32), b >> half, low(b, 32)
+    lowest = a0 * b0
+    return reduced((a1 * b1 << np.uint64(3)) + shifted(a1 * b0 + a0 * b1, 32) + low(lowest, 61) + (lowest >> np.uint64(61)))
+
+
 class Powers:
-    """Powers of BASE and of its inverse, grown as needed."""
+    """Powers of BASE and of its inverse modulo PRIME, grown as needed."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))) for b in (BASE, INVERSE))
+        while len(self.up) < n:
+            size = len(self.up)
+            self.up, self.down = (np.concatenate([x, product(x, np.uint64(pow(b, size, PRIME)))]) for x, b in ((self.up, BASE), (self.down, INVERSE)))
         return self.up, self.down
 
 
@@ -64,12 +88,19 @@ POWERS = Powers()
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for every span, by prefix sums of a polynomial."""
+    """64-bit hash of values[start:end] (values below 2^21) for every span, by prefix sums of a polynomial.
+
+    Two different spans collide with a chance of about their length over 2^61.
+    """
     up, down = POWERS.upto(len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    up = up[: len(values)]
+    value = values.astype(np.uint64) + np.uint64(1)
+    term = shifted(value * (up >> np.uint64(31)), 31) + value * low(up, 31)
+    sums = np.zeros((2, len(values) + 1), np.uint64)  # of the halves, so that no sum passes 2^64
+    np.cumsum(term >> np.uint64(31), out=sums[0, 1:])
+    np.cumsum(low(term, 31), out=sums[1, 1:])
+    total = reduced(shifted(reduced(sums[0, ends] - sums[0, starts]), 31) + sums[1, ends] - sums[1, starts])
+    return mix(product(total, down[starts]) + ((ends - starts).astype(np.uint64) << np.uint64(32)))
 
 
 def word_spans(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
