@@ -33,10 +33,12 @@ def build_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or, where that is unset
-    (a local session, as in tests), a folder of this process that goes when it ends."""
+    in a local session (as in tests), a folder of this process that goes when it ends."""
     set_to = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if set_to:
         return set_to.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         own = tempfile.mkdtemp(prefix="measura-")
@@ -57,6 +59,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have ended: it does so when the driver's garbage is collected,
+    which in a job that needs little of the driver's memory may otherwise come hours later."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_materialized(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete what materialize() wrote for these frames, once nothing reads it any more."""
     base = shared_dir(spark)
