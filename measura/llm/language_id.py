@@ -7,8 +7,9 @@ shown, another the weights with which a context falls back to the shorter one.
 cross-entropy per character is chosen; if that is above what texts of the language reach (a quantile on calibration
 rows), the choice is marked as rejected.
 
-What is bounded: fitting uses at most about ``per_language`` labelled rows of each of at most ``languages`` languages
-(those with most rows), chosen by a hash of their id; a fifth of them calibrates.  Prediction reads every whole text.
+What is bounded: fitting uses at most about ``per_language`` labelled rows of each language, chosen by a hash of their id; a
+fifth of them calibrates where a language has ``CALIBRATE`` rows or more; one with fewer is fitted on all of them, and
+nothing is rejected for it.  Prediction reads every whole text.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; rows without id or language teach nothing;
 without any labelled row every text is ``und``; equal cross-entropies go to the first language by name; repeated rows
@@ -35,6 +36,7 @@ from measura.session import materialize
 
 ORDER = 4
 UNKNOWN = "und"
+CALIBRATE = 25
 #: Odd multipliers of the characters of an n-gram, the last character first.
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -44,6 +46,11 @@ def letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
 
 
+@cache
+def plain_letters() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
 def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points, start, end): the normalised texts, each after ORDER - 1 spaces of padding; empty without letters."""
     points = np.frombuffer("\x00".join(["", *(t.lower().replace("\x00", " ") for t in texts), ""]).encode("utf-32-le"), "<u4").astype(np.uint32)
@@ -115,6 +122,8 @@ class Models:
         """(characters, nats per character under every language); no characters: infinite."""
         points, starts, ends = characters(texts)
         size = ends - starts
+        # A text of marks alone has no letters.
+        size = np.where(np.add.reduceat(np.append(plain_letters()[points], False), starts) * (size > 0) > 0, size, 0) if len(starts) else size
         sums = np.full((len(texts), len(self.languages)), np.inf)
         some = np.flatnonzero(size > 0)
         if len(some):
@@ -190,17 +199,18 @@ def gram_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, languages: int = 256, quantile: float = 0.995, slack: float = 0.1, seed: int = 3) -> Models | None:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, quantile: float = 0.995, slack: float = 0.1, seed: int = 3) -> Models | None:
     """Models from docs, which may hold any rows allowed for learning."""
     spark = docs.sparkSession
     known = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     share = F.create_map(*(x for name, n in sizes.items() for x in (F.lit(name), F.lit(int(min(1.0, per_language / n) * (1 << 30))))))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string")), F.lit(1 << 30))
     sample = materialize(known.where(draw < F.try_element_at(share, F.col("lang"))), "language-sample")
-    aside = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id").cast("string")), F.lit(5)) == 0
+    few = [name for name, n in sizes.items() if n < CALIBRATE]
+    aside = (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id").cast("string")), F.lit(5)) == 0) & ~F.col("lang").isin(few)
     counts: dict[str, dict[str, int]] = {}
     for r in sample.where(~aside).mapInArrow(gram_counter, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]

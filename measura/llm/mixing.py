@@ -8,7 +8,7 @@ family can't take is left to the family's own siblings, one level up.  So shorta
 A leaf with budget b and s tokens takes b div s whole epochs and, of one more, the documents at the front of an order
 seeded by the epoch whose tokens add up to at most b mod s.
 
-All figures are whole numbers: shares are rounded down, so a family may get up to one token a child less than its budget.
+A text's tokens are its UTF-8 bytes by 4, rounded up: an estimate that needs no tokenizer.  All figures are whole numbers: shares are rounded down, so a family may get up to one token a child less than its budget.
 The last epoch's front is found by hash digits: the tokens below each value of the first digits show in which value
 the front ends, those of the next digits narrow it, and only the documents that share both are ordered.
 

@@ -311,13 +311,14 @@ def dealt_blocks(placed: DataFrame, num: int, den: int) -> DataFrame:
     return out.withColumn("turn", F.explode(turns)).select("token", "print", "place", "head", "root", "lb", "rb", "turn.i", "turn.j")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, keep: list[str] | None = None) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, keep: list[str] | None = None, mark: str | None = None) -> DataFrame:
     """docs with n_shingles and component_id (the smallest key that links reach).
 
-    keep: the columns of docs to return (None: all); the key is read besides.
+    keep: the columns of docs to return (None: all); the key is read besides.  mark: the name of one more column, which is
+    equal in rows of one group and in no others, whatever their keys, and null for empty sets.
     """
     spark = docs.sparkSession
-    new = ("n_shingles", "component_id")
+    new = ("n_shingles", "component_id", mark)
     columns = [c for c in (docs.columns if keep is None else keep) if c not in new]
     body = F.col(f"`{text}`").alias("text")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{key}`").alias("key"), body, F.xxhash64(body).alias("text_key"))
@@ -384,6 +385,6 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     named = materialize(named, "ngram-named")
     drop_materialized(spark, links, more, classes)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    out = ids.join(named.join(least, "root").select("print", "component"), "print", "left")
+    out = ids.join(named.join(least, "root").select("print", "component", "root"), "print", "left")
     component = F.when(F.col("print").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id")
-    return out.select(*(["row.*"] if "row" in held else [F.col("key").alias(key)]), "n_shingles", component)
+    return out.select(*(["row.*"] if "row" in held else [F.col("key").alias(key)]), "n_shingles", component, *([F.col("root").alias(mark)] if mark else []))

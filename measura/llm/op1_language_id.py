@@ -19,4 +19,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = language_id.fit(docs.select("doc_id", "lang", "text").where(fold() != HELD_OUT))
     found = language_id.predict(docs.select("doc_id", "text"), models)
-    return found.select("doc_id", (fold() == HELD_OUT).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "cross_entropy", "rejected")
+    return found.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "cross_entropy", "rejected")

@@ -43,8 +43,8 @@ WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, s
      base AS ({" UNION ALL ".join(found_by(k) for k in secrets.BASE)}),
      added AS ({" UNION ALL ".join(found_by(k) for k in secrets.ADDED)}),
      spans AS (SELECT * FROM base UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = a.id AND a.s < b.s + b.n AND b.s < a.s + a.n)),
-     used AS (SELECT value, COUNT(DISTINCT coalesce(source, chr(0))) AS owners FROM spans JOIN d USING (id) GROUP BY value),
-     kept AS (SELECT spans.*, owners <= 2 AS live FROM spans JOIN used USING (value) WHERE kind < {len(secrets.BASE)} OR owners <= 2),
+     used AS (SELECT value, COUNT(DISTINCT coalesce(source, chr(0))) AS owners, COUNT(DISTINCT t) AS repositories FROM spans JOIN d USING (id) GROUP BY value),
+     kept AS (SELECT spans.*, owners <= 2 AND repositories <= 8 AS live FROM spans JOIN used USING (value) WHERE kind < {len(secrets.BASE)} OR (owners <= 2 AND repositories <= 8)),
      r AS (SELECT id, {", ".join(f"COUNT(*) FILTER (name = '{k}') AS n_{k}" for k in secrets.BASE)}, string_agg(name || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) FILTER (kind < {len(secrets.BASE)}) AS b,
                   string_agg(name || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) AS a, COUNT(*) FILTER (live) AS n_live FROM kept GROUP BY id)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN r USING (id)

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from measura.llm import mixing
 from measura.sources.tables import table
 
-#: The domain of a source is told by the length of its name; weights by node name at each level.
-DOMAINS = 4
-WEIGHTS = [{"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {}]
+#: The sources of every domain; other sources are of the domain OTHER.  A parameter of the mix, as are the weights.
+DOMAINS = {"web": [f"src{i}" for i in range(8)], "books": [f"src{i}" for i in range(8, 13)], "forums": [f"src{i}" for i in range(13, 17)], "code": [f"src{i}" for i in range(17, 20)]}
+OTHER = "other"
+#: Weights by node name at each level; nodes without one weigh 1.
+WEIGHTS = [{"web": 4, "books": 3, "forums": 2, "code": 1}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {"src0": 2}]
 MAX_EPOCHS = 2
 
 
 def levels() -> dict[str, Column]:
-    source = F.coalesce(F.col("source"), F.lit(""))
-    return {"domain": F.concat(F.lit("d"), (F.length(source) % DOMAINS).cast("string")), "language": F.col("lang"), "origin": F.col("source")}
+    domain = F.lit(OTHER)
+    for name, sources in DOMAINS.items():
+        domain = F.when(F.col("source").isin(sources), name).otherwise(domain)
+    return {"domain": domain, "language": F.col("lang"), "origin": F.col("source")}
 
 
 def budget() -> Column:
@@ -44,9 +48,10 @@ def dealt(k: int, names: list[str], weights: dict[str, int], parent_budget: str)
     b{k} AS (SELECT {own}, (CASE WHEN is_full THEN cap ELSE least(cap, CASE WHEN shares > 0 THEN rest * weight // shares ELSE 0 END) END)::HUGEINT AS budget FROM h{k})"""
 
 
+DOMAIN = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(x) for x in sources)}) THEN '{name}'" for name, sources in DOMAINS.items()) + f" ELSE '{OTHER}' END"
 NAMES = ["domain", "language", "origin"]
 ORACLE = f"""
-WITH d AS (SELECT doc_id, 'd' || (length(coalesce(source, '')) % {DOMAINS}) AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS origin, (strlen(coalesce(text, '')) + 3) // 4 AS tokens FROM documents),
+WITH d AS (SELECT doc_id, {DOMAIN} AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS origin, (strlen(coalesce(text, '')) + 3) // 4 AS tokens FROM documents),
      leaves AS (SELECT domain, language, origin, SUM(tokens)::HUGEINT AS supply, (SUM(tokens) * {MAX_EPOCHS})::HUGEINT AS cap FROM d GROUP BY ALL),
      root AS (SELECT least(SUM(supply) * 3 // 4, SUM(cap)) AS total FROM leaves),
      {dealt(1, NAMES, WEIGHTS[0], "total")}, {dealt(2, NAMES, WEIGHTS[1], "budget")}, {dealt(3, NAMES, WEIGHTS[2], "budget")},

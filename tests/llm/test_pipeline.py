@@ -86,6 +86,20 @@ def test_repeated_and_nameless_documents(spark):
     assert got == [(False, 1), (False, 2), (False, 3), (True, 0)]
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(1, "a b c d e f g", "en", "s", 1), (1, "h i j k l m n", "en", "s", 1), (2, "a  b c d e f g", "en", "s", 1), (-5, "x y z u v w", "en", "s", 1), (None, "x y z u v w", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect())
+    assert got == [(-5, "x y z u v w"), (1, "a b c d e f g"), (1, "h i j k l m n")]
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, SF), "test-empty")
+        assert docs.count() == 0
+
+
 def test_every_operator_has_a_query():
     numbers = {int(re.match(r"op(\d+)_", name)[1]) for name in catalog.QUERIES}
     assert numbers == set(range(1, 11))
