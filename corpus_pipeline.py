@@ -1,7 +1,10 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-A document without an id is told by its text.
+
+Edge cases: a row is told by its id and its text, so texts that share an id are documents of their own, as are texts without
+one.  Null and empty texts aren't toxic by themselves, have no copies, hold no benchmark passage, cost no tokens and go to a
+shard like any other.  Without labels of both kinds no text is toxic.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measura.llm import mixing, ngram_join, op5_mixing, op10_toxicity, sharding, toxicity, wu_manber
-from measura.session import materialize
+from measura.session import drop_materialized, free_shuffles, materialize
 from measura.sources.tables import table
 
 #: Ids of kept documents are broadcast up to this number; beyond it they are joined by a shuffle.
@@ -27,23 +30,27 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that 5-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays.
+    """Of documents that 5-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays (ties: of
+    the smallest text hash; an id before none).
 
-    Repeated rows of one id are one document.
+    Rows with one id and one text are one document; texts without words are linked with nothing, so all stay.
     """
-    key = F.coalesce("doc_id", -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
-    keyed = docs.select(key.alias("key"), "text")
-    found = ngram_join.groups(keyed, "key", "text", words=5, num=80, den=100, keep=["key"])
-    kept = materialize(found.where("key = component_id").groupBy("key").agg(F.count("*").alias("rows")), "pipeline-kept")
-    ids = kept.select(F.col("key").alias("kept"))
-    ids = F.broadcast(ids) if kept.count() <= BROADCAST_ROWS else ids
-    stay = docs.join(ids, key == F.col("kept"), "left_semi")
-    if kept.where("rows > 1").isEmpty():
+    told = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash")]
+    found = ngram_join.groups(docs.select("doc_id", "text", *told), words=5, num=80, den=100, keep=["no_id", "id", "hash"], mark="group")
+    row = F.struct("no_id", "id", "hash")
+    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(row).alias("row"))
+    copies = found.groupBy("no_id", "id", "hash", "group").agg(F.count("*").alias("rows"))
+    kept = materialize(copies.join(first, "group", "left").where(row.eqNullSafe(F.col("row")) | F.col("group").isNull()).select(row.alias("told"), (F.col("rows") > 1).alias("repeated"), F.col("group").isNull().alias("empty")), "pipeline-kept")
+    drop_materialized(spark, found)
+    free_shuffles(spark)
+    bounded = F.broadcast if kept.count() <= BROADCAST_ROWS else lambda df: df
+    keyed = docs.withColumn("told", F.struct(*told))
+    several = F.col("repeated") & ~F.col("empty")
+    stay = keyed.join(bounded(kept.where(~several).select("told")), "told", "left_semi").select(*docs.columns)
+    repeated = kept.where(several).select("told")
+    if repeated.isEmpty():
         return stay
-    repeated = kept.where("rows > 1").select(F.col("key").alias("kept"))
-    single = stay.join(repeated, key == F.col("kept"), "left_anti")
-    several = stay.join(repeated, key == F.col("kept"), "left_semi").withColumn("key", key).dropDuplicates(["key"]).select(*docs.columns)
-    return single.unionByName(several)
+    return stay.unionByName(keyed.join(bounded(repeated), "told", "left_semi").dropDuplicates(["told"]).select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,9 +88,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{k}")
+            if before is not None:
+                drop_materialized(spark, before)
+            before = docs
+            free_shuffles(spark)
     return docs
