@@ -59,22 +59,39 @@ REGISTRY = family(
     invariant_beyond_null="WITH " + SHUFFLED + """
         SELECT user_id, pos % 7 AS phase FROM e GROUP BY user_id, pos % 7 HAVING MIN(sym) = MAX(sym)
         EXCEPT SELECT user_id, pos % 7 AS phase FROM shuffled GROUP BY user_id, pos % 7 HAVING MIN(sym) = MAX(sym)""",
-    window_median="""
+    window_median=(
+        """
+        WITH x AS (SELECT user_id, pos, SORT_ARRAY(COLLECT_LIST(v) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS near FROM e)
+        SELECT user_id, pos, near[DIV(SIZE(near) + 1, 2) - 1] AS median FROM x""",
+        """
         WITH x AS (SELECT a.user_id, a.pos, b.v, ROW_NUMBER() OVER (PARTITION BY a.user_id, a.pos ORDER BY b.v, b.pos) AS place, COUNT(*) OVER (PARTITION BY a.user_id, a.pos) AS n
                    FROM e a JOIN e b ON a.user_id = b.user_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2)
         SELECT user_id, pos, v AS median FROM x WHERE place = DIV(n + 1, 2)""",
-    local_outliers="""
+    ),
+    local_outliers=(
+        """
+        WITH x AS (SELECT user_id, pos, v, COLLECT_LIST(STRUCT(v, pos)) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM e),
+             y AS (SELECT user_id, pos, v, TRANSFORM(SORT_ARRAY(FILTER(near, z -> z.pos <> pos)), z -> z.v) AS near FROM x),
+             m AS (SELECT user_id, pos, v, near, near[1] AS median FROM y WHERE SIZE(near) = 4),
+             g AS (SELECT user_id, pos, ABS(v - median) AS own_gap, ARRAY_MAX(TRANSFORM(near, z -> ABS(z - median))) AS widest FROM m)
+        SELECT user_id, pos, own_gap, widest FROM g WHERE own_gap > widest""",
+        """
         WITH x AS (SELECT a.user_id, a.pos, a.v AS own, b.v, ROW_NUMBER() OVER (PARTITION BY a.user_id, a.pos ORDER BY b.v, b.pos) AS place, COUNT(*) OVER (PARTITION BY a.user_id, a.pos) AS n
                    FROM e a JOIN e b ON a.user_id = b.user_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND b.pos <> a.pos),
              m AS (SELECT user_id, pos, v AS median FROM x WHERE place = DIV(n + 1, 2) AND n = 4)
         SELECT x.user_id, x.pos, MAX(ABS(x.own - m.median)) AS own_gap, MAX(ABS(x.v - m.median)) AS widest FROM x JOIN m ON x.user_id = m.user_id AND x.pos = m.pos
         GROUP BY x.user_id, x.pos HAVING MAX(ABS(x.own - m.median)) > MAX(ABS(x.v - m.median))""",
+    ),
     context_mean="""
         WITH x AS (SELECT user_id, pos, v, LAG(sym) OVER (PARTITION BY user_id ORDER BY pos) AS before_sym, LEAD(sym) OVER (PARTITION BY user_id ORDER BY pos) AS after_sym FROM e)
         SELECT before_sym, after_sym, COUNT(*) AS n, CAST(SUM(v) AS BIGINT) AS total FROM x WHERE before_sym IS NOT NULL AND after_sym IS NOT NULL GROUP BY before_sym, after_sym""",
-    gap_dispersion="""
+    gap_dispersion=(
+        """
+        SELECT doc_id, sym, COUNT(*) AS gaps, SUM(gap) AS total, SUM(gap * gap) AS squares FROM gaps GROUP BY doc_id, sym HAVING COUNT(*) >= 31""",
+        """
         WITH x AS (SELECT doc_id, sym, pos - LAG(pos) OVER (PARTITION BY doc_id, sym ORDER BY pos) AS gap FROM s)
         SELECT doc_id, sym, COUNT(*) AS gaps, CAST(SUM(gap) AS BIGINT) AS total, CAST(SUM(gap * gap) AS BIGINT) AS squares FROM x WHERE gap IS NOT NULL GROUP BY doc_id, sym HAVING COUNT(*) >= 31""",
+    ),
     null_gap_ratio="WITH " + SHUFFLED + """,
              a AS (SELECT user_id, sym, pos - LAG(pos) OVER (PARTITION BY user_id, sym ORDER BY pos) AS gap FROM e),
              b AS (SELECT user_id, sym, pos - LAG(pos) OVER (PARTITION BY user_id, sym ORDER BY pos) AS gap FROM shuffled),

@@ -17,8 +17,8 @@ from measura.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 INNER = r"((?:[^(),]|\((?:[^()]|\([^()]*\))*\))+)"
 MACRO = re.compile(r"\b(DIV|XOR)\(" + INNER + ", " + INNER + r"\)")
-SPARK_FORM = {"DIV": "({0} div {1})", "XOR": "({0} ^ {1})"}
-OTHER_FORM = {"DIV": "({0} // {1})", "XOR": "xor({0}, {1})"}
+SPARK_FORM = {"DIV": "(({0}) div ({1}))", "XOR": "(({0}) ^ ({1}))"}
+OTHER_FORM = {"DIV": "(({0}) // ({1}))", "XOR": "xor({0}, {1})"}
 
 
 def spelled(sql: str, forms: dict[str, str]) -> str:
@@ -33,10 +33,8 @@ def names_in(sql: str) -> list[str]:
     return [n for n in (*views.SPARK, *views.TABLES) if n in found]
 
 
-def planned(sql: str) -> tuple[Query, str]:
-    """(query, oracle) of one SQL text."""
+def spark_form(sql: str) -> Query:
     used = names_in(sql)
-    readings = [n for n in used if n in views.SPARK]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames = {n: views.SPARK[n](spark, sf_dir) if n in views.SPARK else table(spark, sf_dir, n) for n in used}
@@ -44,12 +42,19 @@ def planned(sql: str) -> tuple[Query, str]:
         text = re.sub(r"\b(FROM|JOIN)(\s+)(\w+)", lambda m: f"{m[1]}{m[2]}{{{m[3]}}}" + f" AS {m[3]}" * (not re.match(r"\s+(?:AS\s+)?(?!ON\b|WHERE\b|GROUP\b|JOIN\b|LEFT\b|ORDER\b|USING\b|FULL\b|CROSS\b|UNION\b|EXCEPT\b|INTERSECT\b|HAVING\b|LIMIT\b|WINDOW\b|INNER\b|TABLESAMPLE\b)[A-Za-z_]", text[m.end() :])) if m[3] in frames else m[0], text)
         return spark.sql(text, **frames)
 
+    return query
+
+
+def other_form(sql: str) -> str:
+    readings = [n for n in names_in(sql) if n in views.SPARK]
     other = spelled(sql, OTHER_FORM)
     if readings:
         heads = ", ".join(f"{n} AS ({views.SQL[n]})" for n in readings)
         other = re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", lambda m: f"WITH {m[1] or ''}{heads}, ", other, count=1) if re.match(r"\s*WITH\b", other) else f"WITH {heads} {other}"
-    return query, other
+    return other
 
 
-def family(**texts: str) -> dict[str, tuple[Query, str]]:
-    return {name: planned(sql) for name, sql in texts.items()}
+def family(**texts: str | tuple[str, str]) -> dict[str, tuple[Query, str]]:
+    """One text for both engines, or a plan of Spark's own and the text it is checked against."""
+    both = {name: (sql, sql) if isinstance(sql, str) else sql for name, sql in texts.items()}
+    return {name: (spark_form(own), other_form(other)) for name, (own, other) in both.items()}

@@ -34,6 +34,22 @@ SURVIVORS = ANCHORS + """,
              hits AS (SELECT a.item_id, s.doc_id, s.pos - a.off AS spot, COUNT(*) AS agree FROM anchors a JOIN grams s ON s.sym = a.sym WHERE s.pos >= a.off GROUP BY a.item_id, s.doc_id, s.pos - a.off),
              alive AS (SELECT item_id, doc_id, spot FROM hits WHERE agree = 4)"""
 
+# Spark's own plans: every place is met with its next 12 code points, put together inside the document's row, by the few
+# needles, which are broadcast; the four anchors are one key, so no hit is written that the cascade would drop again.
+OFFSETS = (0, 4, 8, 9)
+
+
+def cut(text: str, off: int) -> str:
+    return f"SUBSTR({text}, {off + 1}, 3)"
+
+
+ALIVE = NEEDLES + f""",
+             alive AS (SELECT n.item_id, n.needle, w.doc_id, w.pos AS spot, w.win FROM needles n JOIN s12 w ON {" AND ".join(f"{cut('w.win', o)} = {cut('n.needle', o)}" for o in OFFSETS)})"""
+RARITY = ANCHORS.split(",\n             grams AS")[0] + """,
+             f AS (SELECT s3.sym, COUNT(*) AS n FROM s3 JOIN (SELECT DISTINCT sym FROM anchors) a ON a.sym = s3.sym GROUP BY s3.sym),
+             p AS (SELECT a.item_id, a.slot, a.off, a.sym, COALESCE(f.n, 0) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY a.item_id ORDER BY COALESCE(f.n, 0), a.slot) AS BIGINT) AS place FROM anchors a LEFT JOIN f ON a.sym = f.sym)"""
+PLACES = "place1 AS (SELECT * FROM p WHERE place = 1), rest AS (SELECT item_id, " + ", ".join(f"MAX(CASE WHEN place = {k} THEN off END) AS off{k}, MAX(CASE WHEN place = {k} THEN sym END) AS sym{k}" for k in (2, 3, 4)) + " FROM p GROUP BY item_id)"
+
 FNV = "list_reduce(list_prepend(CAST({start} AS BIGINT), [CAST(('0x' || x) AS BIGINT) for x in regexp_extract_all(hex(encode(word)), '..')]), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
 BLOOM = f"""
         WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents), q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM benchmark),
@@ -44,18 +60,38 @@ BLOOM = f"""
 
 REGISTRY = {"bloom_membership": (bloom_membership, BLOOM)} | family(
     anchor_offsets="WITH " + ANCHORS + " SELECT item_id, slot, off, sym FROM anchors",
-    survivor_counts="WITH " + SURVIVORS + " SELECT item_id, COUNT(*) AS alive, COUNT(DISTINCT doc_id) AS docs FROM alive GROUP BY item_id",
-    needle_count="WITH " + SURVIVORS + """
+    survivor_counts=(
+        "WITH " + ALIVE + " SELECT item_id, COUNT(*) AS alive, COUNT(DISTINCT doc_id) AS docs FROM alive GROUP BY item_id",
+        "WITH " + SURVIVORS + " SELECT item_id, COUNT(*) AS alive, COUNT(DISTINCT doc_id) AS docs FROM alive GROUP BY item_id",
+    ),
+    needle_count=(
+        "WITH " + ALIVE + " SELECT item_id, doc_id, COUNT(*) AS found FROM alive WHERE win = needle GROUP BY item_id, doc_id",
+        "WITH " + SURVIVORS + """
         SELECT v.item_id, v.doc_id, COUNT(*) AS found FROM alive v JOIN documents d ON d.doc_id = v.doc_id JOIN needles n ON n.item_id = v.item_id
         WHERE SUBSTR(d.text, CAST(v.spot + 1 AS INT), 12) = n.needle GROUP BY v.item_id, v.doc_id""",
-    probe_order="WITH " + ANCHORS + """,
+    ),
+    probe_order=(
+        "WITH " + RARITY + " SELECT item_id, slot, n, place FROM p",
+        "WITH " + ANCHORS + """,
              f AS (SELECT sym, COUNT(*) AS n FROM grams WHERE sym IS NOT NULL GROUP BY sym)
         SELECT a.item_id, a.slot, COALESCE(f.n, 0) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY a.item_id ORDER BY COALESCE(f.n, 0), a.slot) AS BIGINT) AS place FROM anchors a LEFT JOIN f ON a.sym = f.sym""",
-    probe_reads="WITH " + ANCHORS + """,
+    ),
+    probe_reads=(
+        "WITH " + RARITY + """, t AS (SELECT COUNT(*) AS t FROM s)
+        SELECT item_id, t.t AS first_reads, MAX(CASE WHEN place = 1 THEN n END) AS second_reads FROM p CROSS JOIN t GROUP BY item_id, t.t""",
+        "WITH " + ANCHORS + """,
              f AS (SELECT sym, COUNT(*) AS n FROM grams WHERE sym IS NOT NULL GROUP BY sym), t AS (SELECT COUNT(*) AS t FROM s),
              p AS (SELECT a.item_id, COALESCE(f.n, 0) AS n, ROW_NUMBER() OVER (PARTITION BY a.item_id ORDER BY COALESCE(f.n, 0), a.slot) AS place FROM anchors a LEFT JOIN f ON a.sym = f.sym)
         SELECT item_id, t.t AS first_reads, MAX(CASE WHEN place = 1 THEN n END) AS second_reads FROM p CROSS JOIN t GROUP BY item_id, t.t""",
-    death_levels="WITH " + ANCHORS + """,
+    ),
+    death_levels=(
+        "WITH " + RARITY + ", " + PLACES + f""",
+             ranges AS (SELECT doc_id, win, EXPLODE(ARRAY{OFFSETS}) AS off FROM s12),
+             first_hit AS (SELECT p.item_id, w.win FROM ranges w JOIN place1 p ON p.off = w.off AND p.sym = SUBSTR(w.win, w.off + 1, 3)),
+             h AS (SELECT f.item_id, {", ".join(f"SUBSTR(f.win, CAST(r.off{k} + 1 AS INT), 3) = r.sym{k} AS h{k}" for k in (2, 3, 4))} FROM first_hit f JOIN rest r ON r.item_id = f.item_id),
+             l AS (SELECT item_id, CAST(CASE WHEN NOT h2 THEN 1 WHEN NOT h3 THEN 2 WHEN NOT h4 THEN 3 ELSE 4 END AS BIGINT) AS levels FROM h)
+        SELECT item_id, levels, COUNT(*) AS n FROM l GROUP BY item_id, levels""",
+        "WITH " + ANCHORS + """,
              f AS (SELECT sym, COUNT(*) AS n FROM grams WHERE sym IS NOT NULL GROUP BY sym),
              p AS (SELECT a.item_id, a.off, a.sym, ROW_NUMBER() OVER (PARTITION BY a.item_id ORDER BY COALESCE(f.n, 0), a.slot) AS place FROM anchors a LEFT JOIN f ON a.sym = f.sym),
              first_hit AS (SELECT p.item_id, s.doc_id, s.pos - p.off AS spot FROM p JOIN grams s ON s.sym = p.sym WHERE p.place = 1 AND s.pos >= p.off),
@@ -63,19 +99,32 @@ REGISTRY = {"bloom_membership": (bloom_membership, BLOOM)} | family(
              l AS (SELECT f.item_id, f.doc_id, f.spot, 1 AS h1, MAX(CASE WHEN v.place = 2 THEN 1 ELSE 0 END) AS h2, MAX(CASE WHEN v.place = 3 THEN 1 ELSE 0 END) AS h3, MAX(CASE WHEN v.place = 4 THEN 1 ELSE 0 END) AS h4
                    FROM first_hit f LEFT JOIN later v ON v.item_id = f.item_id AND v.doc_id = f.doc_id AND v.spot = f.spot GROUP BY f.item_id, f.doc_id, f.spot)
         SELECT item_id, CAST(h1 + h1 * h2 + h1 * h2 * h3 + h1 * h2 * h3 * h4 AS BIGINT) AS levels, COUNT(*) AS n FROM l WHERE h1 = 1 GROUP BY item_id, CAST(h1 + h1 * h2 + h1 * h2 * h3 + h1 * h2 * h3 * h4 AS BIGINT)""",
-    equality_pattern_count="""
+    ),
+    equality_pattern_count=(
+        """
+        SELECT doc_id, SUM(CASE WHEN c0 = c2 AND c1 = c3 THEN 1 ELSE 0 END) AS abab, SUM(CASE WHEN c0 = c3 AND c1 = c2 THEN 1 ELSE 0 END) AS abba FROM s4 WHERE c3 IS NOT NULL GROUP BY doc_id""",
+        """
         WITH p AS (SELECT doc_id, pos, sym, LEAD(sym, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS s1, LEAD(sym, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS s2, LEAD(sym, 3) OVER (PARTITION BY doc_id ORDER BY pos) AS s3 FROM s)
         SELECT doc_id, CAST(SUM(CASE WHEN sym = s2 AND s1 = s3 THEN 1 ELSE 0 END) AS BIGINT) AS abab, CAST(SUM(CASE WHEN sym = s3 AND s1 = s2 THEN 1 ELSE 0 END) AS BIGINT) AS abba FROM p WHERE s3 IS NOT NULL GROUP BY doc_id""",
-    raster_cells="WITH " + SURVIVORS + """,
+    ),
+    raster_cells=(
+        "WITH " + ALIVE + """
+        SELECT v.item_id, DIV(v.spot * 16, LENGTH(l.text)) AS cell, COUNT(*) AS n, MIN(v.spot) AS lo, MAX(v.spot) AS hi FROM alive v JOIN documents l ON l.doc_id = v.doc_id GROUP BY v.item_id, DIV(v.spot * 16, LENGTH(l.text))""",
+        "WITH " + SURVIVORS + """,
              len AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id)
         SELECT v.item_id, DIV(v.spot * 16, l.n) AS cell, COUNT(*) AS n, MIN(v.spot) AS lo, MAX(v.spot) AS hi FROM alive v JOIN len l ON l.doc_id = v.doc_id GROUP BY v.item_id, DIV(v.spot * 16, l.n)""",
+    ),
     rank_projection="""
         WITH f AS (SELECT doc_id, sym, COUNT(*) AS n, MIN(pos) AS first_pos FROM s GROUP BY doc_id, sym)
         SELECT doc_id, sym, LEAST(255, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY n, first_pos) - 1 AS BIGINT)) AS rank_byte FROM f""",
     dispatch_choice="""
         WITH n AS (SELECT doc_id, sym, COUNT(*) AS n FROM s GROUP BY doc_id, sym)
         SELECT doc_id, CASE WHEN 100 * SUM(n) * SUM(n) < 85 * COUNT(*) * SUM(n * n) THEN 'free' ELSE 'in order' END AS engine FROM n GROUP BY doc_id""",
-    survivors_by_intersection="WITH " + ANCHORS + """
+    survivors_by_intersection=(
+        "WITH " + NEEDLES + f"""
+        SELECT DISTINCT n.item_id, w.doc_id, w.pos AS spot FROM needles n JOIN s12 w ON {cut('w.win', 0)} = {cut('n.needle', 0)} AND {cut('w.win', 9)} = {cut('n.needle', 9)}""",
+        "WITH " + ANCHORS + """
         SELECT a.item_id, x.doc_id, x.pos - a.off AS spot FROM anchors a JOIN grams x ON x.sym = a.sym WHERE a.slot = 0 AND x.pos >= a.off
         INTERSECT SELECT a.item_id, x.doc_id, x.pos - a.off AS spot FROM anchors a JOIN grams x ON x.sym = a.sym WHERE a.slot = 3 AND x.pos >= a.off""",
+    ),
 )

@@ -21,6 +21,11 @@ RANKED = """ranked AS (
             SELECT sym, SUM(n) AS n, MIN(doc_id) AS first_doc, MIN(doc_id * 1000000 + first_pos) AS first_pos FROM (
               SELECT sym, doc_id, COUNT(*) AS n, MIN(pos) AS first_pos FROM s GROUP BY sym, doc_id) x GROUP BY sym) y)"""
 
+#: Pairs are counted before their symbols are ranked, so that only distinct pairs meet the ranks.
+WEB = """,
+             j AS (SELECT x.place AS a, y.place AS b, p.n FROM (SELECT sym, nxt, COUNT(*) AS n FROM s2 WHERE nxt IS NOT NULL GROUP BY sym, nxt) p
+                   JOIN ranked x ON p.sym = x.sym JOIN ranked y ON p.nxt = y.sym WHERE x.place <= 24 AND y.place <= 24)"""
+
 REGISTRY = {
     "collision_census": (
         collision_census,
@@ -40,17 +45,28 @@ REGISTRY = {
     top_share="""
         WITH n AS (SELECT doc_id, sym, COUNT(*) AS n FROM s GROUP BY doc_id, sym)
         SELECT doc_id, MAX(n) AS top, CAST(SUM(n) AS BIGINT) AS total, COUNT(*) AS distinct_syms FROM n GROUP BY doc_id""",
-    block_census="""
+    block_census=(
+        """
+        WITH n AS (SELECT doc_id, b2, COUNT(*) AS n FROM s3 WHERE b2 IS NOT NULL GROUP BY doc_id, b2)
+        SELECT doc_id, COUNT(*) AS blocks, CAST(SUM(n) AS BIGINT) AS total, CAST(SUM(n * n) AS BIGINT) AS sum_sq FROM n GROUP BY doc_id""",
+        """
         WITH g AS (SELECT doc_id, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM s),
              n AS (SELECT doc_id, block, COUNT(*) AS n FROM g WHERE block IS NOT NULL GROUP BY doc_id, block)
         SELECT doc_id, COUNT(*) AS blocks, CAST(SUM(n) AS BIGINT) AS total, CAST(SUM(n * n) AS BIGINT) AS sum_sq FROM n GROUP BY doc_id""",
-    block_increments="""
+    ),
+    block_increments=(
+        """
+        WITH f AS (SELECT doc_id, EXPLODE(FILTER(ARRAY(STRUCT(1 AS k, b1 AS b), STRUCT(2 AS k, b2 AS b), STRUCT(3 AS k, sym AS b)), x -> x.b IS NOT NULL)) AS x FROM s3),
+             d AS (SELECT doc_id, x.k AS k, COUNT(DISTINCT x.b) AS kinds FROM f GROUP BY doc_id, x.k)
+        SELECT doc_id, CAST(k AS BIGINT) AS k, kinds, kinds - LAG(kinds) OVER (PARTITION BY doc_id ORDER BY k) AS more FROM d""",
+        """
         WITH g AS (SELECT doc_id, sym AS b1, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS b2,
                           sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) || LEAD(sym, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS b3 FROM s),
              f AS (SELECT doc_id, 1 AS k, b1 AS b FROM g UNION ALL SELECT doc_id, 2, b2 FROM g WHERE b2 IS NOT NULL UNION ALL SELECT doc_id, 3, b3 FROM g WHERE b3 IS NOT NULL),
              n AS (SELECT doc_id, k, b, COUNT(*) AS n FROM f GROUP BY doc_id, k, b),
              d AS (SELECT doc_id, k, CAST(COUNT(*) AS BIGINT) AS kinds FROM n GROUP BY doc_id, k)
         SELECT doc_id, CAST(k AS BIGINT) AS k, kinds, kinds - LAG(kinds) OVER (PARTITION BY doc_id ORDER BY k) AS more FROM d""",
+    ),
     block_entropy="""
         WITH g AS (SELECT doc_id, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM s),
              n AS (SELECT doc_id, b, COUNT(*) AS n FROM g WHERE b IS NOT NULL GROUP BY doc_id, b),
@@ -59,10 +75,17 @@ REGISTRY = {
     reseat_first_seen="""
         WITH f AS (SELECT doc_id, sym, MIN(pos) AS first_pos, COUNT(*) AS n FROM s GROUP BY doc_id, sym)
         SELECT doc_id, sym, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY first_pos) - 1 AS BIGINT) AS seat, n FROM f""",
-    coarsen_top="""
+    coarsen_top=(
+        """
+        WITH """ + RANKED + """,
+             n AS (SELECT doc_id, sym, COUNT(*) AS n FROM s GROUP BY doc_id, sym)
+        SELECT n.doc_id, CASE WHEN r.place <= 15 THEN r.sym ELSE '#' END AS sym, SUM(n.n) AS n
+        FROM n JOIN ranked r ON n.sym = r.sym GROUP BY n.doc_id, CASE WHEN r.place <= 15 THEN r.sym ELSE '#' END""",
+        """
         WITH """ + RANKED + """
         SELECT s.doc_id, CASE WHEN r.place <= 15 THEN r.sym ELSE '#' END AS sym, COUNT(*) AS n
         FROM s JOIN ranked r ON s.sym = r.sym GROUP BY s.doc_id, CASE WHEN r.place <= 15 THEN r.sym ELSE '#' END""",
+    ),
     symbol_ranks="WITH " + RANKED + " SELECT sym, CAST(n AS BIGINT) AS n, place FROM ranked",
     utf8_widths="""
         SELECT doc_id, CASE WHEN b < 128 THEN 1 WHEN b >= 240 THEN 4 WHEN b >= 224 THEN 3 WHEN b >= 192 THEN 2 END AS width, COUNT(*) AS n
@@ -74,9 +97,13 @@ REGISTRY = {
     script_share="""
         SELECT doc_id, CAST(SUM(CASE WHEN b BETWEEN 65 AND 90 OR b BETWEEN 97 AND 122 THEN 1 ELSE 0 END) AS BIGINT) AS latin,
                CAST(SUM(CASE WHEN b >= 192 THEN 1 ELSE 0 END) AS BIGINT) AS wide, CAST(SUM(CASE WHEN b < 128 OR b >= 192 THEN 1 ELSE 0 END) AS BIGINT) AS characters FROM o GROUP BY doc_id""",
-    byte_pair_support="""
+    byte_pair_support=(
+        """
+        SELECT pair, SUM(n) AS n, COUNT(*) AS docs FROM (SELECT pair, doc_id, COUNT(*) AS n FROM o2 GROUP BY pair, doc_id) x GROUP BY pair""",
+        """
         WITH p AS (SELECT doc_id, b * 256 + LEAD(b) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM o)
         SELECT pair, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM p WHERE pair IS NOT NULL GROUP BY pair""",
+    ),
     byte_levels="""
         SELECT b, COUNT(*) AS n, CAST(MIN(pos) AS BIGINT) AS first_pos FROM o GROUP BY b""",
     total_variation_lang="""
@@ -103,22 +130,36 @@ REGISTRY = {
         SELECT lang, CAST(LEAST(LENGTH(word), 20) AS BIGINT) AS len, COUNT(*) AS n FROM w GROUP BY lang, CAST(LEAST(LENGTH(word), 20) AS BIGINT)""",
     word_length_spread="""
         SELECT doc_id, COUNT(*) AS n, CAST(SUM(LEAST(LENGTH(word), 20)) AS BIGINT) AS total, CAST(SUM(LEAST(LENGTH(word), 20) * LEAST(LENGTH(word), 20)) AS BIGINT) AS squares FROM w GROUP BY doc_id""",
-    line_surprise="""
+    line_surprise=(
+        """
+        WITH d AS (SELECT doc_id, pair, COUNT(*) AS m FROM o2 GROUP BY doc_id, pair),
+             c AS (SELECT pair, SUM(m) AS n FROM d GROUP BY pair), t AS (SELECT SUM(n) AS t FROM c)
+        SELECT d.doc_id, ROUND(SUM(-d.m * LOG2((c.n + 1.0E0) / (t.t + 65536.0E0))) / SUM(d.m), 6) AS bits FROM d JOIN c ON d.pair = c.pair CROSS JOIN t GROUP BY d.doc_id""",
+        """
         WITH p AS (SELECT doc_id, b * 256 + LEAD(b) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM o),
              c AS (SELECT pair, COUNT(*) AS n FROM p WHERE pair IS NOT NULL GROUP BY pair),
              t AS (SELECT CAST(SUM(n) AS BIGINT) AS t FROM c),
              d AS (SELECT doc_id, pair, COUNT(*) AS m FROM p WHERE pair IS NOT NULL GROUP BY doc_id, pair)
         SELECT d.doc_id, ROUND(SUM(-d.m * LOG2((c.n + 1.0E0) / (t.t + 65536.0E0))) / SUM(d.m), 6) AS bits FROM d JOIN c ON d.pair = c.pair CROSS JOIN t GROUP BY d.doc_id""",
-    bigram_web="""
+    ),
+    bigram_web=(
+        "WITH " + RANKED + WEB + " SELECT a, b, n FROM j",
+        """
         WITH """ + RANKED + """,
              r AS (SELECT s.doc_id, s.pos, k.place, LEAD(k.place) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS next_place FROM s JOIN ranked k ON s.sym = k.sym)
         SELECT place AS a, next_place AS b, COUNT(*) AS n FROM r WHERE place <= 24 AND next_place <= 24 GROUP BY place, next_place""",
-    bigram_pmi="""
+    ),
+    bigram_pmi=(
+        "WITH " + RANKED + WEB + """,
+             x AS (SELECT a, b, n, SUM(n) OVER (PARTITION BY a) AS na, SUM(n) OVER (PARTITION BY b) AS nb, SUM(n) OVER () AS t FROM j)
+        SELECT a, b, ROUND(LOG2((n + 0.5E0) * t / (CAST(na AS DOUBLE) * nb)), 6) AS pmi FROM x""",
+        """
         WITH """ + RANKED + """,
              r AS (SELECT s.doc_id, k.place AS a, LEAD(k.place) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS b FROM s JOIN ranked k ON s.sym = k.sym),
              j AS (SELECT a, b, COUNT(*) AS n FROM r WHERE a <= 24 AND b <= 24 GROUP BY a, b),
              x AS (SELECT a, b, n, SUM(n) OVER (PARTITION BY a) AS na, SUM(n) OVER (PARTITION BY b) AS nb, SUM(n) OVER () AS t FROM j)
         SELECT a, b, ROUND(LOG2((n + 0.5E0) * t / (CAST(na AS DOUBLE) * nb)), 6) AS pmi FROM x""",
+    ),
     nearest_centroid_lang="""
         WITH c AS (SELECT word, COUNT(*) AS n, MIN(doc_id * 1000000 + pos) AS first_at FROM w GROUP BY word),
              top AS (SELECT word FROM (SELECT word, ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS place FROM c) x WHERE place <= 30),

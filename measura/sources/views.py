@@ -21,11 +21,52 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where("sym <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), "sym")
 
 
+def neighbours(spark: SparkSession, sf_dir: str, width: int, of: str = "text") -> DataFrame:
+    """(doc_id, pos, c0, c1, ...): each character with those after it, null past the end, put together inside the row, so that
+    no character leaves its document's task."""
+    chars = F.split(F.expr(of), "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", chars.alias("chars"))
+    shifted = F.arrays_zip(*(F.slice("chars", k + 1, F.greatest(F.size("chars") - k, F.lit(0))).alias(f"c{k}") for k in range(width)))
+    rows = docs.select("doc_id", F.posexplode(shifted).alias("pos", "w"))
+    return rows.where("w.c0 <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), "w.*")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, sym, nxt): code points with the one after them."""
+    return neighbours(spark, sf_dir, 2).withColumnsRenamed({"c0": "sym", "c1": "nxt"})
+
+
+def threes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, b1, b2, sym): runs of one, two and three code points, null past the end."""
+    return neighbours(spark, sf_dir, 3).select("doc_id", "pos", F.col("c0").alias("b1"), F.concat("c0", "c1").alias("b2"), F.concat("c0", "c1", "c2").alias("sym"))
+
+
+def twelves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, win): runs of 12 code points, shorter at the end."""
+    return neighbours(spark, sf_dir, 12).select("doc_id", "pos", F.concat_ws("", *(f"c{k}" for k in range(12))).alias("win"))
+
+
+#: A text whose characters are the bytes of another one.
+AS_BYTES = "decode(encode(text, 'UTF-8'), 'ISO-8859-1')"
+
+
 def octets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, b): UTF-8 bytes of the documents."""
-    pairs = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pairs).alias("pos", "x"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.conv("x", 16, 10).cast("long").alias("b"))
+    return neighbours(spark, sf_dir, 1, AS_BYTES).select("doc_id", "pos", F.ascii("c0").cast("long").alias("b"))
+
+
+def octet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, pair): neighbouring bytes as first * 256 + second."""
+    rows = neighbours(spark, sf_dir, 2, AS_BYTES).where("c1 IS NOT NULL")
+    return rows.select("doc_id", "pos", (F.ascii("c0") * 256 + F.ascii("c1")).cast("long").alias("pair"))
+
+
+def symbol_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sym, gap): steps between neighbouring places of a symbol in its document."""
+    placed = F.sort_array(F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("sym"), i.alias("pos"))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", placed.alias("p"))
+    both = docs.select("doc_id", F.explode(F.arrays_zip(F.col("p").alias("a"), F.expr("slice(p, 2, greatest(size(p) - 1, 0))").alias("b"))).alias("x"))
+    return both.where("x.a.sym = x.b.sym AND x.a.sym <> ''").select("doc_id", F.col("x.a.sym").alias("sym"), (F.col("x.b.pos") - F.col("x.a.pos")).cast("long").alias("gap"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +112,13 @@ def numbers(low: int, high: int):
 
 SPARK = {
     "s": symbols,
+    "s2": pairs,
+    "s3": threes,
+    "s12": twelves,
+    "s4": lambda spark, sf_dir: neighbours(spark, sf_dir, 4),
+    "gaps": symbol_gaps,
     "o": octets,
+    "o2": octet_pairs,
     "w": words,
     "e": steps,
     "q": quantities,

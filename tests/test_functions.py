@@ -57,3 +57,24 @@ def test_lanes(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"))
     assert all(r["k"] == r["lane"] for r in with_lanes(df, ["k"]).collect())
     assert with_lanes(df.limit(0), ["k"]).count() == 0
+
+
+def test_macros_divide_whole_operands():
+    from measura.plans.shared import OTHER_FORM, SPARK_FORM, spelled
+
+    assert spelled("DIV(n + 1, 2)", OTHER_FORM) == "((n + 1) // (2))"
+    assert spelled("XOR(a, DIV(a + b, c - d))", SPARK_FORM) == "((a) ^ (((a + b) div (c - d))))"
+
+
+def test_medians_by_brute_force(spark):
+    import statistics
+
+    from measura.plans import catalog
+    from measura.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    users = {}
+    for r in views.steps(spark, sf).collect():
+        users.setdefault(r["user_id"], {})[r["pos"]] = r["v"]
+    want = {(u, p): statistics.median_low([of[k] for k in range(p - 2, p + 3) if k in of]) for u, of in users.items() for p in of}
+    assert {(r["user_id"], r["pos"]): r["median"] for r in catalog.QUERIES["window_median"](spark, sf).collect()} == want
