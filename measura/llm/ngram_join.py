@@ -44,6 +44,7 @@ from pyspark.sql.window import Window as W
 from measura.llm.textops import encoded, mix, parts, span_hashes, word_spans
 from measura.operators.graph import components
 from measura.session import drop_materialized, free_shuffles, materialize
+from measura.sources.tables import spread
 
 #: Lower-cases A-Z; white space parts words.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -317,7 +318,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     keep: the columns of docs to return (None: all); the key is read besides.  mark: the name of one more column, which is
     equal in rows of one group and in no others, whatever their keys, and null for empty sets.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, spread(docs)
     new = ("n_shingles", "component_id", mark)
     columns = [c for c in (docs.columns if keep is None else keep) if c not in new]
     body = F.col(f"`{text}`").alias("text")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measura.llm import toxicity
-from measura.sources.tables import table
+from measura.sources.tables import spread, table
 
 FOLDS, HELD_OUT = 5, 0
 
@@ -21,6 +21,6 @@ def learn(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     scored = toxicity.score(docs, learn(spark, sf_dir)).drop("text")
     return scored.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measura.llm import language_id
-from measura.sources.tables import table
+from measura.sources.tables import spread, table
 
 FOLDS, HELD_OUT = 4, 2
 
@@ -16,7 +16,7 @@ def fold(key: str = "doc_id") -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     models = language_id.fit(docs.select("doc_id", "lang", "text").where(fold() != HELD_OUT))
     found = language_id.predict(docs.select("doc_id", "text"), models)
     return found.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "cross_entropy", "rejected")

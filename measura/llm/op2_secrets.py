@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measura.llm import secrets
-from measura.sources.tables import table
+from measura.sources.tables import spread, table
 
 
 def count(kind: str) -> Column:
@@ -14,7 +14,7 @@ def count(kind: str) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     found = secrets.scan(docs, keep=["doc_id"])
     base = F.filter("found", lambda x: x["kind"] < len(secrets.BASE))
     return found.select(
