@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from measura.llm import mixing, ngram_join, op5_mixing, op10_toxicity, sharding, toxicity, wu_manber
 from measura.session import drop_materialized, free_shuffles, materialize
-from measura.sources.tables import table
+from measura.sources.tables import spread, table
 
 #: Ids of kept documents are broadcast up to this number; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -88,7 +88,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, before = spread(table(spark, sf_dir, "documents")), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
