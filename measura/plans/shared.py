@@ -33,12 +33,25 @@ def names_in(sql: str) -> list[str]:
     return [n for n in (*views.SPARK, *views.TABLES) if n in found]
 
 
+#: Rows of the benchmark up to which what is derived from it, a few short rows for each item, is broadcast.
+FEW_ITEMS = 250_000
+
+
+def hinted(sql: str, spark: SparkSession, sf_dir: str) -> str:
+    """FEW(x) as a hint that suits the number of benchmark items.  Without it the planner goes by the documents' size on
+    disk, which says nothing of their exploded characters, and may broadcast those."""
+    if "FEW(" not in sql:
+        return sql
+    few = table(spark, sf_dir, "benchmark").count() <= FEW_ITEMS
+    return sql.replace("FEW(", "BROADCAST(" if few else "SHUFFLE_HASH(")
+
+
 def spark_form(sql: str) -> Query:
     used = names_in(sql)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames = {n: views.SPARK[n](spark, sf_dir) if n in views.SPARK else table(spark, sf_dir, n) for n in used}
-        text = spelled(sql, SPARK_FORM)
+        text = hinted(spelled(sql, SPARK_FORM), spark, sf_dir)
         text = re.sub(r"\b(FROM|JOIN)(\s+)(\w+)", lambda m: f"{m[1]}{m[2]}{{{m[3]}}}" + f" AS {m[3]}" * (not re.match(r"\s+(?:AS\s+)?(?!ON\b|WHERE\b|GROUP\b|JOIN\b|LEFT\b|ORDER\b|USING\b|FULL\b|CROSS\b|UNION\b|EXCEPT\b|INTERSECT\b|HAVING\b|LIMIT\b|WINDOW\b|INNER\b|TABLESAMPLE\b)[A-Za-z_]", text[m.end() :])) if m[3] in frames else m[0], text)
         return spark.sql(text, **frames)
 

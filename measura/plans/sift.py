@@ -44,9 +44,9 @@ def cut(text: str, off: int) -> str:
 
 
 ALIVE = NEEDLES + f""",
-             alive AS (SELECT n.item_id, n.needle, w.doc_id, w.pos AS spot, w.win FROM needles n JOIN s12 w ON {" AND ".join(f"{cut('w.win', o)} = {cut('n.needle', o)}" for o in OFFSETS)})"""
+             alive AS (SELECT /*+ FEW(n) */ n.item_id, n.needle, w.doc_id, w.pos AS spot, w.win FROM needles n JOIN s12 w ON {" AND ".join(f"{cut('w.win', o)} = {cut('n.needle', o)}" for o in OFFSETS)})"""
 RARITY = ANCHORS.split(",\n             grams AS")[0] + """,
-             f AS (SELECT s3.sym, COUNT(*) AS n FROM s3 JOIN (SELECT DISTINCT sym FROM anchors) a ON a.sym = s3.sym GROUP BY s3.sym),
+             f AS (SELECT /*+ FEW(a) */ s3.sym, COUNT(*) AS n FROM s3 JOIN (SELECT DISTINCT sym FROM anchors) a ON a.sym = s3.sym GROUP BY s3.sym),
              p AS (SELECT a.item_id, a.slot, a.off, a.sym, COALESCE(f.n, 0) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY a.item_id ORDER BY COALESCE(f.n, 0), a.slot) AS BIGINT) AS place FROM anchors a LEFT JOIN f ON a.sym = f.sym)"""
 PLACES = "place1 AS (SELECT * FROM p WHERE place = 1), rest AS (SELECT item_id, " + ", ".join(f"MAX(CASE WHEN place = {k} THEN off END) AS off{k}, MAX(CASE WHEN place = {k} THEN sym END) AS sym{k}" for k in (2, 3, 4)) + " FROM p GROUP BY item_id)"
 
@@ -86,9 +86,9 @@ REGISTRY = {"bloom_membership": (bloom_membership, BLOOM)} | family(
     ),
     death_levels=(
         "WITH " + RARITY + ", " + PLACES + f""",
-             ranges AS (SELECT doc_id, win, EXPLODE(ARRAY{OFFSETS}) AS off FROM s12),
-             first_hit AS (SELECT p.item_id, w.win FROM ranges w JOIN place1 p ON p.off = w.off AND p.sym = SUBSTR(w.win, w.off + 1, 3)),
-             h AS (SELECT f.item_id, {", ".join(f"SUBSTR(f.win, CAST(r.off{k} + 1 AS INT), 3) = r.sym{k} AS h{k}" for k in (2, 3, 4))} FROM first_hit f JOIN rest r ON r.item_id = f.item_id),
+             first_hit AS (SELECT /*+ FEW(p) */ p.item_id, s.doc_id, CAST(s.pos - p.off AS INT) AS spot FROM s3 s JOIN place1 p ON p.sym = s.sym WHERE s.pos >= p.off),
+             wins AS (SELECT f.item_id, SUBSTR(d.text, f.spot + 1, 12) AS win FROM first_hit f JOIN documents d ON d.doc_id = f.doc_id),
+             h AS (SELECT /*+ FEW(r) */ f.item_id, {", ".join(f"SUBSTR(f.win, CAST(r.off{k} + 1 AS INT), 3) = r.sym{k} AS h{k}" for k in (2, 3, 4))} FROM wins f JOIN rest r ON r.item_id = f.item_id),
              l AS (SELECT item_id, CAST(CASE WHEN NOT h2 THEN 1 WHEN NOT h3 THEN 2 WHEN NOT h4 THEN 3 ELSE 4 END AS BIGINT) AS levels FROM h)
         SELECT item_id, levels, COUNT(*) AS n FROM l GROUP BY item_id, levels""",
         "WITH " + ANCHORS + """,
@@ -122,7 +122,7 @@ REGISTRY = {"bloom_membership": (bloom_membership, BLOOM)} | family(
         SELECT doc_id, CASE WHEN 100 * SUM(n) * SUM(n) < 85 * COUNT(*) * SUM(n * n) THEN 'free' ELSE 'in order' END AS engine FROM n GROUP BY doc_id""",
     survivors_by_intersection=(
         "WITH " + NEEDLES + f"""
-        SELECT DISTINCT n.item_id, w.doc_id, w.pos AS spot FROM needles n JOIN s12 w ON {cut('w.win', 0)} = {cut('n.needle', 0)} AND {cut('w.win', 9)} = {cut('n.needle', 9)}""",
+        SELECT /*+ FEW(n) */ DISTINCT n.item_id, w.doc_id, w.pos AS spot FROM needles n JOIN s12 w ON {cut('w.win', 0)} = {cut('n.needle', 0)} AND {cut('w.win', 9)} = {cut('n.needle', 9)}""",
         "WITH " + ANCHORS + """
         SELECT a.item_id, x.doc_id, x.pos - a.off AS spot FROM anchors a JOIN grams x ON x.sym = a.sym WHERE a.slot = 0 AND x.pos >= a.off
         INTERSECT SELECT a.item_id, x.doc_id, x.pos - a.off AS spot FROM anchors a JOIN grams x ON x.sym = a.sym WHERE a.slot = 3 AND x.pos >= a.off""",

@@ -56,9 +56,10 @@ REGISTRY = {
     ),
     block_increments=(
         """
-        WITH f AS (SELECT doc_id, EXPLODE(FILTER(ARRAY(STRUCT(1 AS k, b1 AS b), STRUCT(2 AS k, b2 AS b), STRUCT(3 AS k, sym AS b)), x -> x.b IS NOT NULL)) AS x FROM s3),
-             d AS (SELECT doc_id, x.k AS k, COUNT(DISTINCT x.b) AS kinds FROM f GROUP BY doc_id, x.k)
-        SELECT doc_id, CAST(k AS BIGINT) AS k, kinds, kinds - LAG(kinds) OVER (PARTITION BY doc_id ORDER BY k) AS more FROM d""",
+        WITH t AS (SELECT doc_id, b1, b2, sym FROM s3 GROUP BY doc_id, b1, b2, sym),
+             k AS (SELECT doc_id, COUNT(DISTINCT b1) AS k1, COUNT(DISTINCT b2) AS k2, COUNT(DISTINCT sym) AS k3 FROM t GROUP BY doc_id),
+             d AS (SELECT doc_id, EXPLODE(FILTER(ARRAY(STRUCT(1L AS k, k1 AS kinds, CAST(NULL AS BIGINT) AS fewer), STRUCT(2L AS k, k2 AS kinds, k1 AS fewer), STRUCT(3L AS k, k3 AS kinds, k2 AS fewer)), x -> x.kinds > 0)) AS x FROM k)
+        SELECT doc_id, x.k AS k, x.kinds, x.kinds - x.fewer AS more FROM d""",
         """
         WITH g AS (SELECT doc_id, sym AS b1, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS b2,
                           sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) || LEAD(sym, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS b3 FROM s),

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from measura.sources.tables import table
+from measura.sources.tables import spread, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, sym): code points of the documents, from position 0."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "sym"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "sym"))
     return docs.where("sym <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), "sym")
 
 
@@ -25,7 +26,7 @@ def neighbours(spark: SparkSession, sf_dir: str, width: int, of: str = "text") -
     """(doc_id, pos, c0, c1, ...): each character with those after it, null past the end, put together inside the row, so that
     no character leaves its document's task."""
     chars = F.split(F.expr(of), "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", chars.alias("chars"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", chars.alias("chars"))
     shifted = F.arrays_zip(*(F.slice("chars", k + 1, F.greatest(F.size("chars") - k, F.lit(0))).alias(f"c{k}") for k in range(width)))
     rows = docs.select("doc_id", F.posexplode(shifted).alias("pos", "w"))
     return rows.where("w.c0 <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), "w.*")
@@ -64,7 +65,7 @@ def octet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sym, gap): steps between neighbouring places of a symbol in its document."""
     placed = F.sort_array(F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("sym"), i.alias("pos"))))
-    docs = table(spark, sf_dir, "documents").select("doc_id", placed.alias("p"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", placed.alias("p"))
     both = docs.select("doc_id", F.explode(F.arrays_zip(F.col("p").alias("a"), F.expr("slice(p, 2, greatest(size(p) - 1, 0))").alias("b"))).alias("x"))
     return both.where("x.a.sym = x.b.sym AND x.a.sym <> ''").select("doc_id", F.col("x.a.sym").alias("sym"), (F.col("x.b.pos") - F.col("x.a.pos")).cast("long").alias("gap"))
 
@@ -72,7 +73,7 @@ def symbol_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, pos, word): runs of a-z and apostrophes of the lower-cased documents."""
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(found).alias("pos", "word"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(found).alias("pos", "word"))
     return rows.select("doc_id", "lang", F.col("pos").cast("long").alias("pos"), "word")
 
 
