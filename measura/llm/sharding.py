@@ -140,7 +140,9 @@ def shard_ring(
         F.col(f"`{key}`").alias("key"),
     ).withColumn("cell", F.pmod(F.shiftright("h", 20), F.lit(cells)).cast("int"))
     points = ring_points(spark, shards, vnodes, cells, seed)
-    counts = cell_owners(spark, points, cells).join(placed.groupBy("cell").agg(F.count("*").alias("n")), "cell", "left").select("cell", "shard", F.coalesce("n", F.lit(0)).alias("n"))
+    # Added up by all tasks first: a row for each cell is left for the single part.
+    filled = materialize(placed.groupBy("cell").agg(F.count("*").alias("n")), "ring-cells")
+    counts = cell_owners(spark, points, cells).join(F.broadcast(filled), "cell", "left").select("cell", "shard", F.coalesce("n", F.lit(0)).alias("n"))
     parts = materialize(segments(materialize(counts.coalesce(1), "ring-counts"), points, shards).coalesce(1), "ring-segments")
     ranked = placed.withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy("h", "key", "size", "text_crc32")) - 1)
     joined = ranked.join(F.broadcast(parts), (ranked.cell == parts.cell) & (ranked["rank"] >= parts.lo) & (ranked["rank"] < parts.hi))
