@@ -39,3 +39,31 @@ def uppercase_runs(text: Column) -> Column:
 def share_of(text: Column, pattern: str) -> Column:
     """(matching characters, all characters)."""
     return F.struct(F.regexp_count(text, F.lit(pattern)).cast("long").alias("of"), F.length(text).cast("long").alias("total"))
+
+
+#: Names of grammatical categories in a gloss line.  Fixed values.
+GLOSS_TAGS = "1SG 2SG 3SG 1PL 2PL 3PL 1DU 2DU 3DU SG PL DU NOM ACC ERG ABS GEN DAT LOC ART DEM DET POSS PASS CAUS APPL TR INTR REFL RECIP IMPF PERF PROG ASP TNS PAST FUT IRR SUBJ IND CONJ NEG Q WH REP EVID HYP INCH RES REL AUG DIM TEL FACT DISC COMP CONCL CONF ADH REIN KAT CLF MID CTR NCTR LEX".split()
+TAG_PATTERN = r"\b(?:" + "|".join(sorted(GLOSS_TAGS, key=lambda t: (-len(t), t))) + r")\b"
+OPENING, CLOSING = "‘“\"'", "’”\"'"
+
+
+def gloss_tags(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(TAG_PATTERN)).cast("long")
+
+
+def is_gloss(line: Column) -> Column:
+    """Names two categories or more; a key of abbreviations, which chains definitions, doesn't count."""
+    chained = (F.regexp_count(line, F.lit(";")) >= 2) | (F.regexp_count(line, F.lit(": ")) >= 2)
+    return (gloss_tags(line) >= 2) & ~chained
+
+
+def translation(line: Column) -> Column:
+    """What stands from the first opening quote to the last closing one, if that is three characters or more; else null."""
+    found = F.regexp_extract(F.trim(line), f"^[^{OPENING}]*[{OPENING}](.{{3,}})[{CLOSING}]", 1)
+    return F.when(found != "", F.trim(found))
+
+
+def morphemes(line: Column) -> Column:
+    """Pieces of a line's words at the marks that part morphemes."""
+    pieces = F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.greatest(F.lit(1), F.size(F.filter(F.split(w, r"[-=ʬ¬‧.<>{}\[\]‹›ˈ]"), lambda p: p != ""))))
+    return F.aggregate(pieces, F.lit(0), lambda s, n: s + n).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +61,41 @@ def k_core(edges: DataFrame, k: int, a: str = "a", b: str = "b") -> DataFrame:
         following = materialize(kept, "core")
         drop_materialized(spark, pairs, weak)
         pairs = following
+
+
+def max_clique(edges: DataFrame, group: str, a: str = "a", b: str = "b") -> DataFrame:
+    """(group, size, members): the largest set of nodes of each group's graph that are all joined to one another; of several,
+    the first by its sorted members.  Groups without an edge have no row.
+
+    One group is one task's work: branch and bound over neighbour sets, for graphs of up to some hundred nodes.
+    """
+
+    def best_of(pairs: set[tuple[int, int]]) -> list[int]:
+        nodes = sorted({x for p in pairs for x in p})
+        place = {x: i for i, x in enumerate(nodes)}
+        near = [0] * len(nodes)
+        for x, y in pairs:
+            near[place[x]] |= 1 << place[y]
+            near[place[y]] |= 1 << place[x]
+        best: list[int] = []
+
+        def grow(chosen: list[int], open_: int) -> None:
+            nonlocal best
+            if len(chosen) > len(best):
+                best = chosen
+            while open_ and len(chosen) + open_.bit_count() > len(best):
+                i = (open_ & -open_).bit_length() - 1  # in order of nodes, so that the first of equal size is kept
+                open_ &= open_ - 1
+                grow([*chosen, i], open_ & near[i])
+
+        grow([], (1 << len(nodes)) - 1)
+        return [nodes[i] for i in best]
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        found = best_of({(x, y) for x, y in zip(rows["a"], rows["b"], strict=True) if x != y})
+        keys, ok = rows["g"][:1], len(found) > 0
+        return pa.table({"g": pa.array(keys if ok else [], pa.int64()), "size": pa.array([len(found)] if ok else [], pa.int64()), "members": pa.array([found] if ok else [], pa.list_(pa.int64()))})
+
+    ends = edges.select(F.col(f"`{group}`").cast("long").alias("g"), F.col(f"`{a}`").cast("long").alias("a"), F.col(f"`{b}`").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    return ends.groupBy("g").applyInArrow(run, "g long, size long, members array<bigint>").withColumnRenamed("g", group)

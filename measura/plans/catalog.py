@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from measura.plans import files, games, lattice, measures, noise, programs, relational, sequence, sift, streams, text
+from measura.plans import files, forms, games, lattice, measures, noise, programs, relational, sequence, sift, streams, text
 
-FAMILIES = (relational, text, sequence, sift, programs, lattice, noise, games, measures, streams, files)
+FAMILIES = (relational, text, sequence, sift, programs, lattice, noise, games, measures, streams, files, forms)
 
 QUERIES = {name: query for family in FAMILIES for name, (query, _) in family.REGISTRY.items()}
 ORACLES = {name: sql for family in FAMILIES for name, (_, sql) in family.REGISTRY.items() if sql}

@@ -76,8 +76,6 @@ REGISTRY = {
         SELECT idx, CAST(re AS BIGINT) AS amplitude, CAST(1 AS BIGINT) AS half_powers FROM cnot""",
     key_words="""
         SELECT conv_id, COUNT(*) AS turns, CAST(SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS asked, CAST(SUM(LENGTH(text)) AS BIGINT) AS characters FROM conversations GROUP BY conv_id""",
-    gloss_lines="""
-        SELECT page_id, CAST(LENGTH(html) - LENGTH(REPLACE(html, '<', '')) AS BIGINT) AS tags, CASE WHEN html LIKE '%<table%' THEN 1 ELSE 0 END AS has_table FROM pages""",
     family_of_note="""
         SELECT SPLIT_PART(p_type, ' ', 1) AS family, COUNT(*) AS n FROM part GROUP BY SPLIT_PART(p_type, ' ', 1)""",
 )
