@@ -57,6 +57,7 @@ DEPTH, PER_TOKEN = 3, 40  # l under the seeded orders: one more for every PER_TO
 HOT_SHARE, HOT_LEAST, HOT_TOKENS = 64, 16, 1 << 16  # hot: in HOT_LEAST classes of one in HOT_SHARE, HOT_TOKENS at most
 SPREAD = 1.5  # share of the hash range sampled, as a multiple of 1 - num/den
 BROADCAST_ROWS = 1_000_000
+PAIRS = 512  # pairs whose sets are Python objects at once
 SLICE = 300_000  # bytes of text whose arrays are held at once
 FEW = 20  # below one pair in so many, pairs of blocks are verified one by one
 
@@ -173,7 +174,7 @@ def passing(fine: Callable[[dict, int], bool]) -> Callable[[Iterator[pa.RecordBa
     """Pairs (a, b) of the rows for which fine(columns, row) holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, PAIRS) for b in batches for a in range(0, len(b), PAIRS)):
             cols = {c: batch[c].to_pylist() for c in batch.schema.names}
             rows = [i for i in range(len(batch)) if fine(cols, i)]
             yield pa.RecordBatch.from_arrays([pa.array([cols[k][i] for i in rows], pa.int64()) for k in ("a", "b")], names=["a", "b"])

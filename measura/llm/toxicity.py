@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measura.llm.textops import encoded
+from measura.llm.textops import encoded, parts
 from measura.llm.wu_manber import words
 from measura.session import materialize
 
@@ -192,7 +192,9 @@ def scorer(shared: Any, text: str, keep: list[str]) -> Callable[[Iterator[pa.Rec
         machine: Machine = shared.value
         terms = Terms(machine.buckets, machine.index)
         for batch in batches:
-            score = machine.score([np.array(sorted(terms.of(b)), np.int64) for b in encoded(batch[text])])
+            # A part of the texts at a time: the factors of all their terms are held at once.
+            found = [machine.score([np.array(sorted(terms.of(b)), np.int64) for b in encoded(part)]) for _, _, part in parts(batch[text])]
+            score = np.concatenate([*found, np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(score, pa.float64())], names=[*keep, "score"])
 
     return run
