@@ -34,7 +34,7 @@ from measura.llm.wu_manber import words
 from measura.session import materialize
 
 PREFIXES = (4, 5, 6)
-MEMO = 300_000
+MEMO = 100_000  # words whose terms a worker keeps
 BATCH, STEPS = 256, 1_500  # rows of a step; the least steps of a fit, however few its rows
 
 
