@@ -11,22 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def match_rate(docs: DataFrame, key: str, text: str, window: int = 256, every: int = 64) -> DataFrame:
+def match_rate(docs: DataFrame, key: str, text: str, window: int = 256, every: int = 1) -> DataFrame:
     """(key, places, matched): at every ``every``-th place, the length of the shortest string from there that the window
     before it doesn't hold, added up.  Null texts have no places."""
 
-    def longest(body: str, at: int) -> int:
-        behind, low, high = body[max(0, at - window) : at], 0, len(body) - at
-        while low < high:  # strings that occur have prefixes that occur
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if body[at : at + middle] in behind else (low, middle - 1)
-        return low + 1
+    def matched(body: str) -> int:
+        total, known = 0, 0
+        for at in range(window, len(body), every):
+            behind, most = body[at - window : at], min(len(body) - at, window)
+            known = max(0, known - every)  # what is left of the last place's match still lies in this window
+            while known < most and body[at : at + known + 1] in behind:
+                known += 1
+            total += known + 1
+        return total
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            places = [range(window, len(t or ""), every) for t in frame[text]]
-            matched = [sum(longest(t, at) for at in p) for t, p in zip(frame[text], places, strict=True)]
-            yield pd.DataFrame({key: frame[key], "places": [len(p) for p in places], "matched": matched})
+            bodies = [t or "" for t in frame[text]]
+            yield pd.DataFrame({key: frame[key], "places": [len(range(window, len(t), every)) for t in bodies], "matched": [matched(t) for t in bodies]})
 
     return docs.select(key, text).mapInPandas(run, f"{key} long, places long, matched long")
 

@@ -35,7 +35,13 @@ REGISTRY = {
         SELECT heap, seq[heap + 1] AS grundy FROM g
         """,
     ),
-    "hadamard_cover": (walsh, "SELECT a.range AS r, b.range AS other, CAST(8 AS BIGINT) AS agree FROM range(16) a, range(16) b WHERE a.range < b.range"),
+    "hadamard_cover": (
+        walsh,
+        """
+        WITH v AS (SELECT r.range AS r, c.range AS c, bit_count(r.range & c.range) % 2 AS v FROM range(16) r, range(16) c)
+        SELECT a.r, b.r AS other, COUNT(*) FILTER (a.v = b.v) AS agree FROM v a JOIN v b ON a.c = b.c AND a.r < b.r GROUP BY a.r, b.r
+        """,
+    ),
 } | family(
     nim_losses="""
         WITH h AS (SELECT a.k AS a, b.k AS b, c.k AS c FROM bits a CROSS JOIN bits b CROSS JOIN bits c WHERE a.k <= b.k AND b.k <= c.k)

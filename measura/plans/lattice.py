@@ -120,12 +120,12 @@ REGISTRY = {
         WITH l AS (SELECT a.k - 1 AS dz, b.k - 1 AS dy FROM bits a CROSS JOIN bits b WHERE a.k < 3 AND b.k < 3)
         SELECT a.day, l.dz, l.dy, COUNT(*) AS score FROM c a CROSS JOIN l JOIN c b ON b.day = a.day + 1 AND b.z = a.z + l.dz AND b.y = a.y + l.dy GROUP BY a.day, l.dz, l.dy""",
     box_sums="""
-        WITH box AS (SELECT day, MIN(z) AS z0, MAX(z) AS z1, MIN(y) AS y0, MAX(y) AS y1 FROM c WHERE y < 8 GROUP BY day)
-        SELECT b.day, COUNT(*) AS cells, CAST(SUM(c.y) AS BIGINT) AS total FROM box b JOIN c ON c.day = b.day AND c.z BETWEEN b.z0 AND b.z1 AND c.y BETWEEN b.y0 AND b.y1 GROUP BY b.day""",
+        WITH box AS (SELECT day, z, MIN(y) AS y0, MAX(y) AS y1 FROM c GROUP BY day, z)
+        SELECT b.day, b.z, COUNT(*) AS cells, CAST(SUM(c.y) AS BIGINT) AS total FROM box b JOIN c ON c.day = b.day AND c.z BETWEEN b.z - 1 AND b.z + 1 AND c.y BETWEEN b.y0 AND b.y1 GROUP BY b.day, b.z""",
     extents="SELECT day, MIN(z) AS z0, MAX(z) AS z1, MIN(y) AS y0, MAX(y) AS y1 FROM c GROUP BY day",
     axis_agreement="WITH " + FULL + """
         SELECT a.t, l.k AS lag, COUNT(*) AS pairs, CAST(SUM(CASE WHEN DIV(a.lane, 64) = DIV(b.lane, 64) THEN 1 ELSE 0 END) AS BIGINT) AS same
-        FROM full_grid a CROSS JOIN lags l JOIN full_grid b ON b.t = a.t AND b.y = a.y AND b.x = a.x + l.k WHERE a.x < 8 GROUP BY a.t, l.k""",
+        FROM full_grid a CROSS JOIN lags l JOIN full_grid b ON b.t = a.t AND b.y = a.y AND b.x = a.x + l.k GROUP BY a.t, l.k""",
     period_peaks="WITH " + FULL + """,
              m AS (SELECT a.t, l.k AS lag, SUM(CASE WHEN DIV(a.lane, 64) = DIV(b.lane, 64) THEN 1 ELSE 0 END) AS same
                    FROM full_grid a CROSS JOIN lags l JOIN full_grid b ON b.t = a.t AND b.y = a.y AND b.x = a.x + l.k WHERE a.x < 8 GROUP BY a.t, l.k),

@@ -16,11 +16,12 @@ def test_hilbert_index_walks_one_cell_at_a_time(spark):
     assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(rows, rows[1:], strict=False))
 
 
-def test_match_rate(spark):
-    text = "abcabcabd" * 60
+@pytest.mark.parametrize("every", [1, 7, 30])
+def test_match_rate(spark, every):
+    text = "abcabcabd" * 40 + "".join(np.random.default_rng(3).choice(list("ab"), 300))
     df = spark.createDataFrame([(1, text), (2, None), (3, "ab")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["places"], r["matched"]) for r in sequences.match_rate(df, "doc_id", "text", 50, 30).collect()}
-    places = range(50, len(text), 30)
+    got = {r["doc_id"]: (r["places"], r["matched"]) for r in sequences.match_rate(df, "doc_id", "text", 50, every).collect()}
+    places = range(50, len(text), every)
     want = sum(next((n for n in range(1, len(text) - at + 1) if text[at : at + n] not in text[at - 50 : at]), len(text) - at + 1) for at in places)
     assert got == {1: (len(places), want), 2: (0, 0), 3: (0, 0)}
 

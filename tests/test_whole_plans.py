@@ -74,3 +74,14 @@ def test_part_graphs_take_small_orders(spark, tmp_path):
     assert roots == {2 * p: 2 for p in range(1, 6)} | {2 * s + 1: 2 for s in range(1, 5)} | {12: 12, 19: 12}
     core = {r["node"]: r["degree"] for r in catalog.QUERIES["k_core"](spark, folder).collect()}
     assert core == {2 * p: 4 for p in range(1, 5)} | {2 * s + 1: 4 for s in range(1, 5)}
+
+
+def test_box_sums_of_every_kind(spark, tmp_path):
+    cells = [(day, z, y) for day, z, y in product((1, 2), range(7), range(16)) if (day * 5 + z * 3 + y * y) % 7 < 2]
+    got = catalog.QUERIES["box_sums"](spark, events(spark, tmp_path, cells + cells[:3])).collect()
+    want = []
+    for day, z in sorted({(d, k) for d, k, _ in cells}):
+        own = [y for d, k, y in cells if (d, k) == (day, z)]
+        held = [y for d, k, y in cells if d == day and abs(k - z) <= 1 and min(own) <= y <= max(own)]
+        want.append((day, z, len(held), sum(held)))
+    assert sorted(((datetime.date(1970, 1, 1) + datetime.timedelta(r["day"])).day, r["z"], r["cells"], r["total"]) for r in got) == want
