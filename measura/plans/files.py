@@ -62,11 +62,14 @@ def source(suffix: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def source_zarr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark, 'source')}/lattice"
-    for name, data in writers.zarr(as_array(spark, sf_dir), 5).items():
-        writers.put(spark, f"{path}/{name}", data)
-    return longs(frames_first(arrays.zarr(spark, path)))
+def source_zarr(version: Callable[[np.ndarray, int], dict[str, bytes]]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{folder(spark, 'source')}/lattice"
+        for name, data in version(as_array(spark, sf_dir), 5).items():
+            writers.put(spark, f"{path}/{name}", data)
+        return longs(frames_first(arrays.zarr(spark, path)))
+
+    return query
 
 
 def source_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +171,8 @@ BITS = LATTICE + f""",
 """
 
 REGISTRY = {f"source_{name}": (source(suffix), READ_BACK) for name, suffix in (("npy", "npy"), ("npz", "npz"), ("stack", "stack"), ("nrrd", "nrrd"), ("nifti", "nii.gz"), ("tiff", "tif"), ("dicom", "dcm"))} | {
-    "source_zarr": (source_zarr, READ_BACK),
+    "source_zarr": (source_zarr(writers.zarr), READ_BACK),
+    "source_zarr_3": (source_zarr(writers.zarr_3), READ_BACK),
     "source_zip": (source_zip, READ_BACK),
     "coding_bits": (coding_bits, BITS),
     "coding_round_trip": (coding_round_trip, READ_BACK),

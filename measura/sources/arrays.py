@@ -184,37 +184,70 @@ def small_file(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def zarr(spark: SparkSession, path: str) -> DataFrame:
-    """Lattice rows of a version 2 zarr array: one task a chunk; absent chunks hold the fill value and give no rows.
+def unpacked(data: bytes, codec: str | None, size: int) -> bytes:
+    if codec == "zstd":
+        return zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+    return zlib.decompress(data, 15 if codec == "zlib" else 31) if codec else data
 
-    Chunks are plain or packed by zlib, gzip or zstd; the order is C and the separator a dot.
-    """
-    meta = json.loads(small_file(spark, f"{path.rstrip('/')}/.zarray"))
-    codec = (meta.get("compressor") or {}).get("id")
-    if meta["order"] != "C" or meta.get("filters") or codec not in (None, "zlib", "gzip", "zstd"):
-        raise ValueError("only plain, zlib, gzip or zstd chunks in C order without filters are read")
-    shape, chunks, kind = meta["shape"], meta["chunks"], np.dtype(meta["dtype"])
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+
+def chunk_rows(spark: SparkSession, path: str, shape: list[int], chunks: list[int], kind: np.dtype, codec: str | None, separator: str, begin: str = "") -> DataFrame:
+    """Lattice rows of an array in chunks, one file a chunk, named by ``begin`` and the chunk's place on every axis."""
+    root = path.rstrip("/")
+    name, size = root.rsplit("/", 1)[-1], int(np.prod(chunks)) * kind.itemsize
+    pieces = len(chunks) if separator == "/" else 1  # parts of the path that hold the chunk's place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                if codec == "zstd":
-                    data = zstandard.ZstdDecompressor().decompress(data, max_output_size=int(np.prod(chunks)) * kind.itemsize)
-                elif codec:
-                    data = zlib.decompress(data, 15 if codec == "zlib" else 31)
-                corner = [int(i) * c for i, c in zip(where.rsplit("/", 1)[-1].split("."), chunks, strict=True)]
-                block = np.frombuffer(data, kind).reshape(chunks)[tuple(slice(0, max(0, n - a)) for n, a in zip(shape, corner, strict=True))]
+                place = "/".join(where.rsplit("/", pieces)[1:]).removeprefix(begin)
+                corner = [int(i) * c for i, c in zip(place.split(separator), chunks, strict=True)]
+                block = np.frombuffer(unpacked(data, codec, size), kind).reshape(chunks)[tuple(slice(0, max(0, n - a)) for n, a in zip(shape, corner, strict=True))]
                 values = lanes(block)
                 places = np.indices(values.shape, np.int32).reshape(4, -1)
                 for axis, a in enumerate([0] * (4 - len(corner)) + corner):
                     places[axis] += a
                 yield pa.RecordBatch.from_arrays([pa.array([name] * values.size), *(pa.array(p) for p in places), pa.array(values.ravel().astype(np.int32))], names=["sample", "t", "z", "y", "x", "lane"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{begin}[0-9]*").load(root).select("path", "content")
     return files.mapInArrow(run, LATTICE)
 
 
+def zarr(spark: SparkSession, path: str) -> DataFrame:
+    """Lattice rows of a zarr array of version 2 or 3: one task a chunk; absent chunks hold the fill value and give no rows.
+
+    Version 2: chunks plain or packed by zlib, gzip or zstd, in C order, with any separator.  Version 3: a regular grid of
+    either key encoding, bytes of either order, packed by gzip or zstd or not at all; chunks in shards, transposed or with
+    checksums fail the query.
+    """
+    root = path.rstrip("/")
+    if exists(spark, f"{root}/zarr.json"):
+        return zarr_3(spark, root)
+    meta = json.loads(small_file(spark, f"{root}/.zarray"))
+    codec = (meta.get("compressor") or {}).get("id")
+    if meta["order"] != "C" or meta.get("filters") or codec not in (None, "zlib", "gzip", "zstd"):
+        raise ValueError("only plain, zlib, gzip or zstd chunks in C order without filters are read")
+    return chunk_rows(spark, root, meta["shape"], meta["chunks"], np.dtype(meta["dtype"]), codec, meta.get("dimension_separator", "."))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def zarr_3(spark: SparkSession, root: str) -> DataFrame:
+    meta = json.loads(small_file(spark, f"{root}/zarr.json"))
+    first, *packed = meta["codecs"]
+    if meta["node_type"] != "array" or meta["chunk_grid"]["name"] != "regular" or first["name"] != "bytes" or len(packed) > 1 or any(c["name"] not in ("gzip", "zstd") for c in packed):
+        raise ValueError("only arrays in a regular grid of bytes, gzip or zstd chunks are read")
+    order = ">" if first.get("configuration", {}).get("endian") == "big" else "<"
+    keys = meta["chunk_key_encoding"]
+    plain = keys["name"] == "v2"  # without the c in front
+    separator = keys.get("configuration", {}).get("separator", "." if plain else "/")
+    codec = packed[0]["name"] if packed else None
+    begin = "" if plain or separator == "/" else f"c{separator}"
+    return chunk_rows(spark, root, meta["shape"], meta["chunk_grid"]["configuration"]["chunk_shape"], np.dtype(meta["data_type"]).newbyteorder(order), codec, separator, begin)
+
+
 def samples(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(sample, bytes): the files of a source, without their content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

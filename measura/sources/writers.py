@@ -8,6 +8,7 @@ import json
 import struct
 import zipfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -89,12 +90,24 @@ def zipped(a: np.ndarray) -> bytes:
 def zarr(a: np.ndarray, chunk: int) -> dict[str, bytes]:
     """Files of a version 2 array in cubes of ``chunk``, packed by zlib."""
     meta = {"zarr_format": 2, "shape": a.shape, "chunks": [chunk] * a.ndim, "dtype": "<u2", "order": "C", "fill_value": 0, "filters": None, "compressor": {"id": "zlib", "level": 1}}
+    return {".zarray": json.dumps(meta).encode()} | {".".join(map(str, corner)): zlib.compress(block.tobytes()) for corner, block in cubes(a, chunk)}
+
+
+def zarr_3(a: np.ndarray, chunk: int) -> dict[str, bytes]:
+    """Files of a version 3 array in cubes of ``chunk``, packed by gzip."""
+    meta = {
+        "zarr_format": 3, "node_type": "array", "shape": a.shape, "data_type": "uint16", "fill_value": 0, "attributes": {},
+        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [chunk] * a.ndim}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}},
+        "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": 1}}],
+    }
+    return {"zarr.json": json.dumps(meta).encode()} | {"/".join(["c", *map(str, corner)]): gzip.compress(block.tobytes()) for corner, block in cubes(a, chunk)}
+
+
+def cubes(a: np.ndarray, chunk: int) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Places and contents of an array's chunks, those at its ends filled up with zeros."""
     padded = np.pad(a, [(0, -n % chunk) for n in a.shape]).astype("<u2")
-    out = {".zarray": json.dumps(meta).encode()}
     for corner in np.ndindex(*(n // chunk for n in padded.shape)):
-        block = padded[tuple(slice(i * chunk, (i + 1) * chunk) for i in corner)]
-        out[".".join(map(str, corner))] = zlib.compress(np.ascontiguousarray(block).tobytes())
-    return out
+        yield corner, padded[tuple(slice(i * chunk, (i + 1) * chunk) for i in corner)]
 
 
 WRITERS = {"npy": npy, "npz": npz, "stack": stack, "nrrd": nrrd, "nii.gz": nifti, "tif": tiff, "dcm": dicom, "zip": zipped}

@@ -130,3 +130,28 @@ def test_zarr(spark, tmp_path, codec):
         for j in range(2):
             (tmp_path / f"{i}.{j}").write_bytes(pack(padded[3 * i : 3 * i + 3, 4 * j : 4 * j + 4].tobytes()))
     assert as_map(arrays.zarr(spark, str(tmp_path)).collect(), tmp_path.name) == expected(a)
+
+
+@pytest.mark.parametrize(("keys", "separator", "codec", "endian"), [("default", "/", "gzip", "little"), ("default", ".", None, "big"), ("v2", ".", "zstd", "little"), ("v2", "/", "gzip", "big")])
+def test_zarr_3(spark, tmp_path, keys, separator, codec, endian):
+    a = RNG.integers(0, 65536, (5, 7), dtype=np.uint16)
+    pack = {None: bytes, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress}[codec]
+    codecs = [{"name": "bytes", "configuration": {"endian": endian}}, *([{"name": codec, "configuration": {}}] if codec else [])]
+    grid = {"name": "regular", "configuration": {"chunk_shape": [3, 4]}}
+    meta = {"zarr_format": 3, "node_type": "array", "shape": [5, 7], "data_type": "uint16", "chunk_grid": grid, "chunk_key_encoding": {"name": keys, "configuration": {"separator": separator}}, "fill_value": 0, "codecs": codecs}
+    (tmp_path / "zarr.json").write_text(json.dumps(meta))
+    padded = np.zeros((6, 8), ">u2" if endian == "big" else "<u2")
+    padded[:5, :7] = a
+    for i in range(2):
+        for j in range(2):
+            file = tmp_path / separator.join([*(["c"] if keys == "default" else []), str(i), str(j)])
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(pack(padded[3 * i : 3 * i + 3, 4 * j : 4 * j + 4].tobytes()))
+    assert as_map(arrays.zarr(spark, str(tmp_path)).collect(), tmp_path.name) == expected(a)
+
+
+def test_zarr_3_in_shards_fails(spark, tmp_path):
+    meta = {"node_type": "array", "chunk_grid": {"name": "regular"}, "codecs": [{"name": "sharding_indexed", "configuration": {}}]}
+    (tmp_path / "zarr.json").write_text(json.dumps(meta))
+    with pytest.raises(ValueError, match="regular grid"):
+        arrays.zarr(spark, str(tmp_path))
