@@ -19,7 +19,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assigned(centres: str) -> str:
     """SQL of the nearest centroid (c) and its distance (d) of every vector."""
-    far = "list_sum(list_transform(list_zip(k.q, m.q), p -> (p[1] - p[2]) * (p[1] - p[2])))"
+    far = "list_sum(list_transform(list_zip(k.q, m.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
     return f"SELECT id, v, q, w.d AS d, w.c AS c FROM (SELECT k.id, any_value(k.v) AS v, any_value(k.q) AS q, min(struct_pack(d := CAST({far} AS BIGINT), c := m.c)) AS w FROM kept k CROSS JOIN {centres} m GROUP BY k.id)"
 
 
@@ -32,8 +32,8 @@ def moved(r: int) -> str:
 
 ORACLE = f"""
 WITH kept AS MATERIALIZED (
-       SELECT row_number() OVER () AS id, vec_id AS v, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-       WHERE len(embedding) = {DIMENSION} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {DIMENSION}),
+       SELECT row_number() OVER () AS id, vec_id AS v, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+       WHERE len(embedding) = {DIMENSION} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMENSION}),
      m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT q, sha256('{SEED}:' || v) AS h FROM kept WHERE v IS NOT NULL ORDER BY h, q LIMIT {CLUSTERS})),
      {", ".join(moved(r) for r in range(ROUNDS))},
      last AS MATERIALIZED ({assigned(f"m{ROUNDS}")}),
