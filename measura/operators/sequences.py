@@ -109,12 +109,17 @@ def cluster_tree(profiles: DataFrame, name: str, cell: str, share: str) -> DataF
 
 
 def component_tree(values: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(node, parent, level, size) of the tree of the upper level sets of a plane: nodes are merged from the highest
-    value down, each under the highest cell of the set that takes it in."""
+    """(node, parent, level, cells) of the tree of the upper level sets of a plane.
+
+    Cells are swept from the highest value down (ties: the first place first); where sets meet, the one with the highest top
+    goes on and the others end, with the cells they held before.
+    """
     height, width = values.shape
-    order = np.lexsort((np.arange(values.size), -values.ravel()))
+    flat = values.ravel()
+    order = np.lexsort((np.arange(values.size), -flat))
+    step = np.empty(values.size, int)
+    step[order] = np.arange(values.size)
     parent, size, seen = np.arange(values.size), np.ones(values.size, int), np.zeros(values.size, bool)
-    top = np.arange(values.size)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -123,21 +128,19 @@ def component_tree(values: np.ndarray) -> list[tuple[int, int, int, int]]:
         return i
 
     out = []
-    flat = values.ravel()
-    for i in order:
+    for i in order.tolist():
         seen[i] = True
-        y, x = divmod(int(i), width)
-        for j in (i - width if y else -1, i + width if y + 1 < height else -1, i - 1 if x else -1, i + 1 if x + 1 < width else -1):
-            if j >= 0 and seen[j]:
-                a, b = find(int(i)), find(int(j))
-                if a != b:
-                    high, low = (a, b) if (flat[top[a]], -top[a]) > (flat[top[b]], -top[b]) else (b, a)
-                    if top[low] != i:
-                        out.append((int(top[low]), int(top[high]), int(flat[i]), int(size[low])))
-                    parent[low] = high
-                    size[high] += size[low]
+        y, x = divmod(i, width)
+        near = (i - width if y else -1, i + width if y + 1 < height else -1, i - 1 if x else -1, i + 1 if x + 1 < width else -1)
+        sets = sorted({find(j) for j in near if j >= 0 and seen[j]}, key=lambda j: step[j])  # a set's root is its top
+        if not sets:
+            continue
+        top, *ended = sets
+        out += [(j, top, int(flat[i]), int(size[j])) for j in ended]
+        parent[[i, *ended]] = top
+        size[top] += 1 + sum(size[j] for j in ended)
     root = find(int(order[0]))
-    return [*out, (int(top[root]), -1, int(flat.min()), int(size[root]))]
+    return [*out, (root, -1, int(flat.min()), int(size[root]))]
 
 
 def by_frame(rows: DataFrame, frame: str, of: Callable[[np.ndarray], list[tuple[int, int, int, int]]], side: int) -> DataFrame:

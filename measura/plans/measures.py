@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from measura.functions import exact, text
 from measura.operators import sequences
+from measura.plans import trees
 from measura.sources import views
 from measura.sources.tables import table
 
@@ -63,7 +64,7 @@ REGISTRY = {
     "power_exponent": (power_exponent, None),
     "hilbert_order": (hilbert_order, None),
     "cluster_tree": (cluster_tree, None),
-    "component_tree": (component_tree, None),
+    "component_tree": (component_tree, trees.FRAMES),
     "mark_inventory": (mark_inventory, None),
     "curve_keys": (
         curve_keys,
