@@ -133,56 +133,84 @@ class Models:
         return size, sums
 
 
+def packed(codes: np.ndarray, base: int) -> np.ndarray:
+    """A sortable key for each row of letter numbers: a whole number, or bytes where the alphabet is too large for one."""
+    n = codes.shape[1]
+    if base**ORDER < 1 << 63:
+        return codes.astype(np.int64) @ (base ** np.arange(n - 1, -1, -1, dtype=np.int64))
+    return np.ascontiguousarray(codes.astype(">u4")).view(f"S{4 * n}").ravel() if n else np.zeros(len(codes), "S1")
+
+
+@dataclass
+class Grams:
+    """Distinct n-grams in ascending order of their keys."""
+
+    codes: np.ndarray  # [grams, n]
+    keys: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, base: int, weights: np.ndarray | None = None) -> tuple[Grams, np.ndarray]:
+        """(the distinct rows, how often each occurs or its total weight)."""
+        keys, first, back = np.unique(packed(codes, base), return_index=True, return_inverse=True)
+        return cls(codes[first], keys), np.bincount(back.ravel(), weights, len(keys)).astype(np.float64)
+
+    def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+        return place, self.keys[place] == sought
+
+    def looked_up(self, values: np.ndarray, sought: np.ndarray) -> np.ndarray:
+        place, hit = self.find(sought)
+        return np.where(hit, values[place], 0.0)
+
+
 def kneser_ney(counts: dict[str, dict[str, int]]) -> Models:
     """Models from the counts of ORDER-grams of every language."""
     languages = sorted(counts)
     alphabet = {c: i for i, c in enumerate(sorted({c for of in counts.values() for g in of for c in g}))}
     base = len(alphabet) + 1
     symbols = np.array([ord(c) for c in alphabet], np.uint32)
-    # types[l][n]: distinct n-grams as numbers with, for the highest order, counts and, below, continuation counts.
-    grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in range(1, ORDER + 1)}
+    # For every order and language: distinct n-grams with, for the highest order, counts and, below, continuation counts.
+    grams: dict[int, list[tuple[Grams, np.ndarray]]] = {n: [] for n in range(1, ORDER + 1)}
     for name in languages:
         codes = np.array([[alphabet[c] for c in g] for g in counts[name]], np.int64).reshape(-1, ORDER)
-        number = codes @ (base ** np.arange(ORDER - 1, -1, -1))
-        order = np.argsort(number)
-        number, count = number[order], np.array(list(counts[name].values()), np.float64)[order]
-        grams[ORDER].append((number, count))
+        found, count = Grams.of(codes, base, np.array(list(counts[name].values()), np.float64))
+        grams[ORDER].append((found, count))
         for n in range(ORDER - 1, 0, -1):
-            number, count = np.unique(number % base**n, return_counts=True)
-            grams[n].append((number, count.astype(np.float64)))
-    lookup = lambda numbers, values, sought: np.where((at := np.minimum(np.searchsorted(numbers, sought), len(numbers) - 1), numbers[at] == sought)[1], values[at], 0.0)
+            found, count = Grams.of(found.codes[:, 1:], base)
+            grams[n].append((found, count))
     floor = 1.0 / (len(alphabet) + 1)
     levels, backoff = [], []
-    below_numbers, below = np.zeros(1, np.int64), np.full((1, len(languages)), floor)
+    below_grams, below = None, np.full((1, len(languages)), floor)
     for n in range(1, ORDER + 1):
-        union = np.unique(np.concatenate([g for g, _ in grams[n]]))
-        context, shorter = union // base, union % base ** (n - 1)
-        down = below[np.searchsorted(below_numbers, shorter)] if n > 1 else np.full((len(union), len(languages)), floor)
-        values = np.empty((len(union), len(languages)))
-        contexts = np.unique(context)
-        weights = np.ones((len(contexts), len(languages)))
-        for k, (numbers, count) in enumerate(grams[n]):
+        union, _ = Grams.of(np.concatenate([g.codes for g, _ in grams[n]]), base)
+        context = packed(union.codes[:, :-1], base)
+        down = below[below_grams.find(packed(union.codes[:, 1:], base))[0]] if below_grams else np.full((len(union.keys), len(languages)), floor)
+        values = np.empty((len(union.keys), len(languages)))
+        contexts, _ = Grams.of(union.codes[:, :-1], base)
+        weights = np.ones((len(contexts.keys), len(languages)))
+        for k, (found, count) in enumerate(grams[n]):
             once, twice = (count == 1).sum(), (count == 2).sum()
             discount = once / (once + 2 * twice) if once and twice else 0.5
-            own, inverse = np.unique(numbers // base, return_inverse=True)
-            total, kinds = np.bincount(inverse, count), np.bincount(inverse).astype(np.float64)
-            of, kind = lookup(own, total, context), lookup(own, kinds, context)
-            seen = lookup(numbers, count, union)
+            own, total = Grams.of(found.codes[:, :-1], base, count)
+            _, kinds = Grams.of(found.codes[:, :-1], base)
+            of, kind = own.looked_up(total, context), own.looked_up(kinds, context)
+            seen = found.looked_up(count, union.keys)
             safe = np.maximum(of, 1)
             values[:, k] = np.where(of > 0, (np.maximum(seen - discount, 0) + discount * kind * down[:, k]) / safe, down[:, k])
-            of, kind = lookup(own, total, contexts), lookup(own, kinds, contexts)
+            of, kind = own.looked_up(total, contexts.keys), own.looked_up(kinds, contexts.keys)
             weights[:, k] = np.where(of > 0, discount * kind / np.maximum(of, 1), 1.0)
-        levels.append(Level(*hashed(union, n, base, symbols, np.log(values))))
+        levels.append(Level(*hashed(union.codes, symbols, np.log(values))))
         if n == 1:
             unseen = np.log(floor * weights[0])
         else:
-            backoff.append(Level(*hashed(contexts, n - 1, base, symbols, np.log(weights))))
-        below_numbers, below = union, values
+            backoff.append(Level(*hashed(contexts.codes, symbols, np.log(weights))))
+        below_grams, below = union, values
     return Models(languages, levels, backoff, unseen, np.full(len(languages), np.inf))
 
 
-def hashed(numbers: np.ndarray, n: int, base: int, symbols: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    points = np.stack([symbols[numbers // base**k % base] for k in range(n)], 1)  # the last character first
+def hashed(codes: np.ndarray, symbols: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = codes.shape[1]
+    points = symbols[codes[:, ::-1]]  # the last character first
     keys = mix(((points.astype(np.uint64) + np.uint64(1)) * STEPS[:n]).sum(1, dtype=np.uint64) + np.uint64(n))
     order = np.argsort(keys)
     return keys[order], values[order].astype(np.float32)

@@ -6,7 +6,7 @@ size) under *any* order of all tokens.  Candidates must do so under ORDERS diffe
 
 1. A set's sample are its tokens whose hash lies in a fixed share of the range, or its prefix if that is longer.  As
    all sets sample alike, the number of classes with a sampled token is exact.
-2. Equal sets are one class, told by a 64-bit sum of token hashes.  The first order puts tokens of one class first, then
+2. Equal sets are one class, told by sums of token hashes.  The first order puts tokens of one class first, then
    sampled tokens from rare to frequent, then the others by hash.  Tokens of very many classes (found in a share of the
    classes, at most HOT_TOKENS of them at any size) are ordered by an estimate of their number, so that no task has to
    hold the classes of one token to count them.
@@ -22,8 +22,9 @@ size) under *any* order of all tokens.  Candidates must do so under ORDERS diffe
    the next band only.  No more links are returned than connect what is linked.  So pairs of a large group aren't
    listed, nothing is capped, and no link between different components is lost.
 
-Two different sets are taken as equal if their 64-bit sums collide (expected pairs: the square of the number of
-classes over 2^65).
+Words and shingles are told by 64-bit hashes under a key drawn for each run, so no text can have been made to collide; two
+tokens that don't depend on it do so with a chance of about 2^-60.  Sets are told by two sums of such hashes, 128 bits
+together: where the first sums of different sets agree, the run is repeated with another key.
 
 Edge cases: null and empty texts and texts without words have an empty set and are groups of their own; null ids are never
 a group's id unless all its ids are null; repeated rows are separate rows of one class; an empty table gives an empty
@@ -41,17 +42,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from measura.llm.textops import encoded, mix, parts, span_hashes, word_spans
+from measura.llm.textops import encoded, mix, new_key, parts, span_hashes, word_spans
 from measura.operators.graph import components
 from measura.session import drop_materialized, free_shuffles, materialize
 from measura.sources.tables import spread
 
 #: Lower-cases A-Z; white space parts words.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
-STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Seeds of the orders besides the first.
 SEEDS = np.array([0x9E6C63D0876A9A47, 0xB5026F5AA96619E9], np.uint64)
 ORDERS = 1 + len(SEEDS)
+TWIN = np.uint64(0xD6E8FEB86659FD93)
 SMALL, BLOCK, BLOCK_TOKENS = 32, 1024, 1_000_000
 DEPTH, PER_TOKEN = 3, 40  # l under the seeded orders: one more for every PER_TOKEN tokens of a set, DEPTH at most
 HOT_SHARE, HOT_LEAST, HOT_TOKENS = 64, 16, 1 << 16  # hot: in HOT_LEAST classes of one in HOT_SHARE, HOT_TOKENS at most
@@ -62,16 +63,17 @@ SLICE = 300_000  # bytes of text whose arrays are held at once
 FEW = 20  # below one pair in so many, pairs of blocks are verified one by one
 
 
-def token_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text."""
+def token_sets(texts: list[bytes], words: int, key: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of every text; the key decides how words and shingles are hashed."""
     data, starts, ends, first = word_spans(texts, WORD_TABLE)
     out = []
     if not len(starts):
         return [np.zeros(0, np.uint64) for _ in texts]
-    hashes = span_hashes(data, starts, ends)
+    hashes = span_hashes(data, starts, ends, key)
+    step = mix(np.array([key], np.uint64))[0] | np.uint64(1)
     total = np.zeros(max(len(hashes) - words + 1, 0), np.uint64)
     for k in range(words):
-        total = total * STEP + hashes[k : k + len(total)]
+        total = total * step + hashes[k : k + len(total)]
     total = mix(total + np.uint64(words))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
@@ -79,7 +81,7 @@ def token_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         elif b > a:
             short = np.zeros(1, np.uint64)
             for k in range(a, b):
-                short = short * STEP + hashes[k : k + 1]
+                short = short * step + hashes[k : k + 1]
             out.append(mix(short + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -95,6 +97,11 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(mix(np.array([tokens.sum(dtype=np.uint64)], np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
+def second_print(tokens: np.ndarray) -> int:
+    """A print of its own, by which two sets of one fingerprint() are told apart."""
+    return int(mix(tokens ^ TWIN).sum(dtype=np.uint64).view(np.int64))
+
+
 def prefix_size(n: int, num: int, den: int, shared: int = 1) -> int:
     return n - -(-num * n // den) + shared
 
@@ -115,18 +122,18 @@ def sample(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     return tokens[: max(int(np.searchsorted(tokens, np.uint64(sample_limit(num, den)))), prefix_size(len(tokens), num, den))]
 
 
-def read_sets(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+def read_sets(batches: Iterator[pa.RecordBatch], text: str, words: int, key: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     for batch in batches:
         for a, _, part in parts(batch[text], SLICE):
-            yield batch, a, token_sets(encoded(part), words)
+            yield batch, a, token_sets(encoded(part), words, key)
 
 
-def sampler(text: str, words: int, num: int, den: int, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds n_shingles, the class's print, and the sample in the first row of a class that the task meets."""
+def sampler(text: str, words: int, key: int, num: int, den: int, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds n_shingles, the class's print, its second print, and the sample in the first row of a class that the task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int | None] = {None}
-        for batch, a, sets in read_sets(batches, text, words):
+        for batch, a, sets in read_sets(batches, text, words, key):
             prints = [fingerprint(s) if len(s) else None for s in sets]
             picked = []
             for f, s in zip(prints, sets, strict=True):
@@ -135,7 +142,8 @@ def sampler(text: str, words: int, num: int, den: int, keep: list[str]) -> Calla
             part = batch.slice(a, len(sets))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, picked)]).astype(np.int32), np.concatenate([*picked, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays(
-                [*(part[c] for c in keep), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), lists], names=[*keep, "n_shingles", "print", "sample"]
+                [*(part[c] for c in keep), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array([second_print(s) for s in sets], pa.int64()), lists],
+                names=[*keep, "n_shingles", "print", "twin", "sample"],
             )
 
     return run
@@ -145,9 +153,9 @@ FILTERS = "print long, n int, p1 binary, p2 binary"
 SETS = FILTERS + ", tokens binary"
 
 
-def set_maker(words: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def set_maker(words: int, key: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sets in read_sets(batches, "text", words):
+        for _, _, sets in read_sets(batches, "text", words, key):
             rows = [(fingerprint(s), len(s), *(p.tobytes() for p in prefixes(s, num, den)), s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["print", "n", "p1", "p2", "tokens"]
@@ -319,17 +327,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     keep: the columns of docs to return (None: all); the key is read besides.  mark: the name of one more column, which is
     equal in rows of one group and in no others, whatever their keys, and null for empty sets.
     """
-    spark, docs = docs.sparkSession, spread(docs)
+    spark, docs, secret = docs.sparkSession, spread(docs), new_key()
     new = ("n_shingles", "component_id", mark)
     columns = [c for c in (docs.columns if keep is None else keep) if c not in new]
     body = F.col(f"`{text}`").alias("text")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{key}`").alias("key"), body, F.xxhash64(body).alias("text_key"))
     held = ["row", "key", "text_key"] if columns != [key] else ["key", "text_key"]
-    schema = T.StructType([f for f in rows.schema.fields if f.name in held] + [T.StructField("n_shingles", T.LongType()), T.StructField("print", T.LongType()), T.StructField("sample", T.ArrayType(T.LongType()))])
-    nodes = materialize(rows.select("text", *held).mapInArrow(sampler("text", words, num, den, held), schema), "ngram-nodes")
+    schema = T.StructType([f for f in rows.schema.fields if f.name in held] + [T.StructField("n_shingles", T.LongType()), T.StructField("print", T.LongType()), T.StructField("twin", T.LongType()), T.StructField("sample", T.ArrayType(T.LongType()))])
+    nodes = materialize(rows.select("text", *held).mapInArrow(sampler("text", words, secret, num, den, held), schema), "ngram-nodes")
     size = nodes.agg(F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("n")).first()["n"]
-    ids = materialize(nodes.drop("sample"), "ngram-ids")
-    classes = materialize(nodes.where("print IS NOT NULL").groupBy("print").agg(F.min("key").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").cast("int").alias("n"), F.max(F.size("sample")).alias("sampled")), "ngram-classes")
+    ids = materialize(nodes.drop("sample", "twin"), "ngram-ids")
+    found = nodes.where("print IS NOT NULL").groupBy("print")
+    classes = found.agg(F.min("key").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").cast("int").alias("n"), F.max(F.size("sample")).alias("sampled"), (F.min("twin") < F.max("twin")).alias("mixed"))
+    classes = materialize(classes, "ngram-classes")
+    if not classes.where("mixed").isEmpty():  # sets of one print that differ: another key tells them apart
+        drop_materialized(spark, nodes, ids, classes)
+        return groups(docs, key, text, words, num, den, keep, mark)
 
     # Tokens of several classes; equal rows of (token, print) come from different tasks.
     postings = nodes.where(F.size("sample") > 0).select("print", F.explode("sample").alias("token"))
@@ -362,8 +375,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     chosen = materialize(classes.join(involved, "print", "left_semi").select("text_key"), "ngram-chosen")
     drop_materialized(spark, live, many)
     chosen_keys = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    texts = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen_keys, "text_key", "left_semi").dropDuplicates(["text_key"])
-    sets = materialize(texts.select("text").mapInArrow(set_maker(words, num, den), SETS), "ngram-sets")
+    texts = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen_keys, "text_key", "left_semi")
+    texts = texts.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["text_key", "digest"])  # texts made for one text_key are read as well
+    sets = materialize(texts.select("text").mapInArrow(set_maker(words, secret, num, den), SETS), "ngram-sets")
     drop_materialized(spark, chosen)
     free_shuffles(spark)
     links = verify(pairs, sets, num, den)

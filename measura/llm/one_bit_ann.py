@@ -13,8 +13,9 @@ Equal vectors are measured once for each block of rows, and equal queries once.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and ids that are null, take no part,
 nor do vectors of another length than the commonest (ties: the shorter).  Ties go to the smaller id.  A row that is
-repeated with its vector counts once; a query never finds its own id.  Fewer candidates than k: all are returned.  An
-empty table gives an empty result.
+repeated with its vector counts once; a query never finds its own id.  An id with several vectors asks with each of them:
+every list holds k rows of other ids, and the lists stand under the one id.  Fewer candidates than k: all are returned.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -114,8 +115,9 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Queries:
-    ids: np.ndarray  # one id for each distinct vector
+    ids: np.ndarray  # one for each list
     vectors: np.ndarray
+    own: list[int | None]  # the id whose rows are left out, where a list is of one id
 
 
 def indexer(shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -155,20 +157,31 @@ def searcher(shared: Any, keep: int, confidence: float) -> Callable[[Iterator[pa
                 order = np.lexsort((ids, back))
                 group = back[order]
                 start = np.searchsorted(group, np.arange(len(distinct) + 1))
+                # Distinct vectors that only rows of a list's own id have.
+                hidden = {j: np.bincount(back[ids == i], minlength=len(distinct)) == np.diff(start) for j, i in enumerate(queries.own) if i is not None}
                 for b in range(0, n, 512):
                     q = queries.vectors[b : b + 512]
                     estimate, low = lower_bounds(index, q, at[first], code[first], norm[first], agree[first], confidence)
+                    for j in range(len(q)):
+                        if b + j in hidden:
+                            estimate[hidden[b + j], j] = low[hidden[b + j], j] = np.inf
                     near = np.argpartition(estimate, min(keep, len(distinct)) - 1, axis=0)[: min(keep, len(distinct))]
                     for j in range(len(q)):
-                        sure = exact(distinct[near[:, j]], q[j])
+                        own, close = queries.own[b + j], near[:, j]
+                        if own is not None:
+                            close = close[~hidden[b + j][close]]
+                        sure = exact(distinct[close], q[j])
                         held = np.sort(np.concatenate([best_d[b + j], sure]))
                         limit = held[keep - 1] if len(held) >= keep else np.inf
                         rows = np.flatnonzero(low[:, j] <= limit * limit * (1 + 1e-6) + 1e-6)
-                        rows = np.union1d(rows, near[:, j])
+                        rows = np.union1d(rows, close)
+                        if own is not None:
+                            rows = rows[~hidden[b + j][rows]]
                         dist = exact(distinct[rows], q[j])
                         fine = dist <= limit
-                        d = np.concatenate([np.repeat(v, min(keep, start[r + 1] - start[r])) for r, v in zip(rows[fine], dist[fine], strict=True)] + [best_d[b + j]])
-                        i = np.concatenate([ids[order[start[r] : min(start[r] + keep, start[r + 1])]] for r in rows[fine]] + [best_i[b + j]])
+                        of = [ids[order[start[r] : min(start[r] + keep, start[r + 1])]] for r in rows[fine]] if own is None else [(x := ids[order[start[r] : start[r + 1]]])[x != own][:keep] for r in rows[fine]]
+                        d = np.concatenate([*(np.repeat(v, len(x)) for x, v in zip(of, dist[fine], strict=True)), best_d[b + j]])
+                        i = np.concatenate([*of, best_i[b + j]])
                         top = np.lexsort((i, d))
                         # A repeated row is one candidate.
                         i, d = i[top], d[top]
@@ -205,20 +218,25 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", embedding
     index = fit_index(fitted_on, centres, rounds, seed)
     stored = materialize(rows.mapInArrow(indexer(spark.sparkContext.broadcast(index)), "id long, vector array<double>, centre int, code binary, norm double, agree double"), "one-bit-index")
     asked = stored.where(is_query).select("id", "vector").distinct()
-    blocks = max(1, -(-asked.count() // block))
+    # Ids with one vector share the lists of equal vectors, of k + 1 rows; each vector of another id has its own.
+    several = asked.groupBy("id").agg((F.count("*") > 1).alias("several"))
+    asked = materialize(asked.join(several, "id").select("id", "vector", F.when(F.col("several"), F.col("id")).alias("own")), "one-bit-asked")
+    blocks = max(1, -(-asked.count() // block))  # of at most about block lists
     out = empty
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vector"), F.lit(blocks)) == b)
-        first = materialize(part.groupBy("vector").agg(F.min("id").alias("query")), "one-bit-queries")
-        mine = sorted((r["query"], r["vector"]) for r in first.collect())
+        first = part.groupBy("vector", "own").agg(F.min("id").alias("least"))
+        mine = sorted((r["least"], r["vector"], r["own"] is not None) for r in first.collect())
         if not mine:
             continue
-        queries = Queries(np.array([i for i, _ in mine]), np.array([v for _, v in mine]))
+        queries = Queries(np.arange(len(mine)), np.array([v for _, v, _ in mine]), [i if alone else None for i, _, alone in mine])
+        first = spark.createDataFrame([(n, v, i if alone else None) for n, (i, v, alone) in enumerate(mine)], "query long, vector array<double>, own long")
         found = stored.select("id", "vector", "centre", "code", "norm", "agree").mapInArrow(searcher(spark.sparkContext.broadcast((index, queries)), k + 1, confidence), "query long, id long, score double")
         best = found.distinct().withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("score", "id"))).where(F.col("place") <= k + 1)
         # At most block lists of k + 1 rows, and block vectors: both are broadcast to the ids that ask for them.
         lists = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("near"))
-        lists = part.join(F.broadcast(first), "vector").select("query", F.col("id").alias("query_id")).join(F.broadcast(lists), "query")
+        asking = part.alias("p").join(F.broadcast(first).alias("f"), (F.col("p.vector") == F.col("f.vector")) & F.col("p.own").eqNullSafe(F.col("f.own")))
+        lists = asking.select("query", F.col("p.id").alias("query_id")).join(F.broadcast(lists), "query")
         own = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
         ranked = lists.select("query_id", F.posexplode(own).alias("place", "x")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
         out = ranked if out is empty else out.unionByName(ranked)

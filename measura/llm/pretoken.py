@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 
-from measura.llm.textops import span_hashes
+from measura.llm.textops import new_key, span_hashes, unequal
 
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACES, LAST_BLANK, LAST_SPACE, END = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_BLANK, IN_SPACES, ONE_MORE, TWO_MORE = range(8)
@@ -110,12 +110,15 @@ def piece_starts(kind: np.ndarray, chunk: int = 512) -> np.ndarray:
     return np.flatnonzero(flags.T.ravel()[: len(kind)])
 
 
+KEY = new_key()  # of this process: hashes are compared inside it only
+
+
 @dataclass
 class Pieces:
     text: str  # all texts, a character between them
+    points: np.ndarray  # its code points
     starts: np.ndarray
     ends: np.ndarray
-    hashes: np.ndarray
     #: first[i]:first[i + 1] are the pieces of text i.
     first: np.ndarray
 
@@ -123,6 +126,18 @@ class Pieces:
         text = self.text
         return [text[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
 
+    def distinct(self) -> tuple[list[str], np.ndarray]:
+        """(distinct pieces, the place among them of every piece): told by hash, and compared with what stands for them."""
+        _, first, back = np.unique(span_hashes(self.points, self.starts, self.ends, KEY), return_index=True, return_inverse=True)
+        strings, back = self.strings(first), back.ravel()
+        wrong = unequal(self.points, self.starts, self.ends, first[back])
+        if len(wrong):
+            place: dict[str, int] = {}
+            for i, s in zip(wrong.tolist(), self.strings(wrong), strict=True):
+                back[i] = place.setdefault(s, len(strings) + len(place))
+            strings += place
+        return strings, back
+
 
 def pieces(texts: list[str]) -> Pieces:
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -137,7 +152,7 @@ def pieces(texts: list[str]) -> Pieces:
     real = inside[starts]
     starts, stops = starts[real], stops[real]
     first = np.searchsorted(starts, np.append(0, ends + 1))
-    return Pieces(text, starts, stops, span_hashes(points, starts, stops), first)
+    return Pieces(text, points, starts, stops, first)
 
 
 @cache

@@ -6,8 +6,8 @@ repositories looks live; one that many owners show, or that one owner shows in m
 listed in ``BASE`` are always reported.  The kind ``token`` (long runs that mix capitals, small letters and digits) is what
 the method adds: it is reported only where its value looks live and it overlaps no base span.
 
-Spans are counted in code points, the end exclusive.  Positions come from the lengths of the matches and of what lies
-between them, so a text is searched once for each kind, and once more for the kinds it has.
+Spans are counted in code points, the end exclusive.  Positions are running sums over the lengths of the matches and of what
+lies between them, so the work grows with a text's matches and not with their square.
 
 Edge cases: a null text is empty; a null owner is an owner of its own; repeated rows are separate rows; an empty table
 gives an empty result.  Input columns named like an output column are replaced by it.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from measura.session import materialize
 
@@ -30,29 +31,38 @@ BASE = {
 QUICK = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 ADDED = {"token": (r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[a-z0-9_-]*[A-Z])(?=[A-Z0-9_-]*[a-z])[A-Za-z0-9_-]{24,}", 0, 24)}
 KINDS = [*BASE, *ADDED]
+MATCHES = "array<struct<kind:int,i:int,gap:int,size:int,value:string>>"
 
 
-def spans(text: str, kind: str) -> Column:
-    """Array of (start, kind, end, value) of one kind: leftmost matches that don't overlap, short values dropped."""
-    pattern, group, least = (BASE | ADDED)[kind]
-    pattern = F.lit(QUICK.get(kind, pattern))
-    body = F.col(text)
-    whole = F.regexp_extract_all(body, pattern, F.lit(0))
-    value = F.regexp_extract_all(body, pattern, F.lit(group)) if group else whole
-    rest = F.split(body, QUICK.get(kind, (BASE | ADDED)[kind][0]), -1)
-    at = F.transform(
-        F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(rest, 1, F.size(whole)).alias("gap")),
-        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("size"), x["v"].alias("v")),
+def matches(text: str, kind: str) -> Column:
+    """Array of (kind, i, gap, size, value) of one kind: leftmost matches that don't overlap, each with the gap before it."""
+    pattern, group, _ = (BASE | ADDED)[kind]
+    pattern = QUICK.get(kind, pattern)
+    whole = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)) if group else whole
+    rest = F.slice(F.split(F.col(text), pattern, -1), 1, F.size(whole))
+    found = F.transform(
+        F.arrays_zip(whole.alias("m"), value.alias("v"), rest.alias("gap")),
+        lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("size"), x["v"].alias("value")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
-    step = lambda s, x: F.struct(
-        (s["at"] + x["gap"] + x["size"]).alias("at"),
-        F.array_append(
-            s["out"], F.struct((s["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["v"].alias("value"))
-        ).alias("out"),
-    )
-    found = F.aggregate(at, start, step, lambda s: F.filter(s["out"], lambda x: F.length(x["value"]) >= least))
-    return F.when(F.col(text).rlike(QUICK.get(kind, (BASE | ADDED)[kind][0])), found).otherwise(start["out"])
+    return F.when(F.col(text).rlike(pattern), found).otherwise(F.array().cast(MATCHES))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """found (id, kind, i, gap, size, value, ...) with start and end, without short values and added spans that meet a base one.
+
+    Ends are running sums of a kind's matches.  Of a span's neighbours by start, the base spans before it must end by its
+    start, and those after it must not begin before its end: running extremes in both directions.
+    """
+    end = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("id", "kind").orderBy("i")).cast("int")
+    least = F.array(*(F.lit((BASE | ADDED)[k][2]) for k in KINDS))
+    spans = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).where(F.length("value") >= F.get(least, F.col("kind")))
+    base = F.col("kind") < len(BASE)
+    by = W.partitionBy("id")
+    reach = F.max(F.when(base, F.col("end"))).over(by.orderBy("start", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ahead = F.min(F.when(base, F.col("start"))).over(by.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))
+    return spans.withColumn("reach", reach).withColumn("ahead", ahead).where(base | apart).drop("reach", "ahead", "i", "gap", "size")
 
 
 def rendered(found: Column) -> Column:
@@ -68,13 +78,10 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", live_owners
     """
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c != "found"])
     body = docs.select(row.alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"), F.col(f"`{owner}`").cast("string").alias("owner"))
-    base = body.withColumn("base", F.concat(*(spans("body", k) for k in BASE))).withColumn("added", F.concat(*(spans("body", k) for k in ADDED)))
-    added = F.filter("added", lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    marked = base.select(
-        F.monotonically_increasing_id().alias("id"), "row", "owner", F.when(F.size("base") + F.size("added") > 0, F.xxhash64("body")).alias("repository"), F.concat("base", added).alias("spans")
-    )
-    marked = materialize(marked, "secret-spans")
-    each = marked.select("id", "owner", "repository", F.explode("spans").alias("s")).select("id", "owner", "repository", "s.*").withColumn("digest", F.sha2("value", 256))
+    body = body.withColumn("matches", F.concat(*(matches("body", k) for k in KINDS)))
+    marked = materialize(body.select(F.monotonically_increasing_id().alias("id"), "row", "owner", F.when(F.size("matches") > 0, F.sha2("body", 256)).alias("repository"), "matches"), "secret-matches")
+    each = placed(marked.select("id", "owner", "repository", F.explode("matches").alias("s")).select("id", "owner", "repository", "s.*")).withColumn("digest", F.sha2("value", 256))
+    each = materialize(each, "secret-spans")
     use = each.groupBy("digest").agg(F.count_distinct(F.coalesce("owner", F.lit("\0"))).alias("owners"), F.count_distinct("repository").alias("repositories"))
     judged = each.join(use, "digest").withColumn("live", (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories))
     kept = judged.where((F.col("kind") < len(BASE)) | F.col("live"))

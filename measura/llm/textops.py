@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Word hashes are polynomials modulo this prime; modulo 2^64, sums of powers of any odd base would vanish on
-#: crafted texts (Thue-Morse words and their complements).
+#: crafted texts (Thue-Morse words and their complements).  Their base is a key drawn when a job or a worker starts: whoever
+#: knows the base can compute two words with one hash.
 PRIME = (1 << 61) - 1
-BASE = 0x11A3B5C7D9EF1357
-INVERSE = pow(BASE, -1, PRIME)
 
 
 def slices(lengths: list[int], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -71,28 +72,36 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return reduced((a1 * b1 << np.uint64(3)) + shifted(a1 * b0 + a0 * b1, 32) + low(lowest, 61) + (lowest >> np.uint64(61)))
 
 
+def new_key() -> int:
+    """A key that no text can have been made for."""
+    return 2 + secrets.randbelow(PRIME - 3)
+
+
 class Powers:
-    """Powers of BASE and of its inverse modulo PRIME, grown as needed."""
+    """Powers of a key and of its inverse modulo PRIME, grown as needed."""
 
-    def __init__(self) -> None:
+    def __init__(self, key: int) -> None:
+        self.bases = key, pow(key, -1, PRIME)
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             size = len(self.up)
-            self.up, self.down = (np.concatenate([x, product(x, np.uint64(pow(b, size, PRIME)))]) for x, b in ((self.up, BASE), (self.down, INVERSE)))
+            self.up, self.down = (np.concatenate([x, product(x, np.uint64(pow(b, size, PRIME)))]) for x, b in zip((self.up, self.down), self.bases, strict=True))
         return self.up, self.down
 
 
-POWERS = Powers()
+@cache
+def powers(key: int) -> Powers:
+    return Powers(key)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
     """64-bit hash of values[start:end] (values below 2^21) for every span, by prefix sums of a polynomial.
 
-    Two different spans collide with a chance of about their length over 2^61.
+    Two spans that don't depend on the key collide with a chance of about their length over 2^61.
     """
-    up, down = POWERS.upto(len(values) + 1)
+    up, down = powers(key).upto(len(values) + 1)
     up = up[: len(values)]
     value = values.astype(np.uint64) + np.uint64(1)
     term = shifted(value * (up >> np.uint64(31)), 31) + value * low(up, 31)
@@ -103,6 +112,22 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(product(total, down[starts]) + ((ends - starts).astype(np.uint64) << np.uint64(32)))
 
 
+def unequal(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Spans that differ from the span of[i] that stands for them."""
+    size = ends - starts
+    other = starts[of]
+    wrong = size != ends[of] - other
+    to = np.flatnonzero((other != starts) & ~wrong)
+    if len(to):
+        n = size[to]
+        last = np.cumsum(n)
+        run = np.arange(int(last[-1])) - np.repeat(last - n, n)
+        off = values[np.repeat(starts[to], n) + run] != values[np.repeat(other[to], n) + run]
+        if off.any():
+            wrong[to[np.unique(np.searchsorted(last, np.flatnonzero(off), side="right"))]] = True
+    return np.flatnonzero(wrong)
+
+
 def word_spans(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends, first): the words of all texts after translating by ``table``, in which 0x20 parts words.
 
@@ -115,47 +140,3 @@ def word_spans(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray
     starts, ends = edges[::2], edges[1::2]
     bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
     return data, starts, ends, np.searchsorted(starts, bounds)
-
-
-class HashTable:
-    """Whole numbers by 64-bit hash, in sorted arrays: a large one and a small one of what came last.
-
-    Past ``limit`` entries it says that it is full; the owner then starts afresh.
-    """
-
-    def __init__(self, limit: int) -> None:
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
-
-    def __len__(self) -> int:
-        return sum(len(k) for k, _ in self.parts)
-
-    def full(self, more: int) -> bool:
-        return len(self) > 0 and len(self) + more > self.limit
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values, -1 where a key is unknown."""
-        out = np.full(len(keys), -1, np.int64)
-        for known, values in self.parts:
-            if len(known):
-                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[place] == keys
-                out[hit] = values[place[hit]]
-        return out
-
-    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Adds unknown keys."""
-        large, small = self.parts
-        small = self.merged(small, (keys, values.astype(np.int32)))
-        if len(small[0]) > max(1 << 16, len(large[0]) // 8):
-            large, small = self.merged(large, small), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        self.parts = [large, small]
-
-    @staticmethod
-    def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], values[order]

@@ -5,7 +5,8 @@ of chunks.  The merge machine then counts the tokens of each distinct piece: its
 token of the prefix's encoding, and a transition from token p to token t is allowed if and only if the two stay apart
 when encoded side by side.  The encoding of a prefix has exactly one such last token, so the machine is deterministic,
 and each transition carries the tokens emitted so far.  Transitions are compiled when first met.  Many pieces are
-advanced at once, one column of bytes at a time; their counts are kept by hash, in a table of bounded size.
+advanced at once, one column of bytes at a time; their counts are kept, in a table of bounded size.  Hashes narrow the
+search for equal pieces and for tokens; what they find is compared byte by byte.
 
 Edge cases: null and empty texts have no bytes and no tokens; a special string inside a text is one token, as the
 library counts it by default; repeated rows are counted alike.  Input columns named like an output column are
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measura.llm.pretoken import Pieces, added, pieces, spec
-from measura.llm.textops import HashTable, parts, span_hashes
+from measura.llm.pretoken import KEY, Pieces, added, pieces, spec
+from measura.llm.textops import parts, span_hashes
 
-MEMO = 1_000_000
+MEMO = 400_000
 WIDE = 24  # longer pieces are taken one by one
 BEGIN = -2
 
@@ -52,9 +54,10 @@ class MergeMachine:
         lengths = np.array([len(b) for b in self.token])
         joined, ids = np.frombuffer(b"".join(self.token), np.uint8), np.array(list(self.token.values()))
         ends = np.cumsum(lengths)
-        keys = span_hashes(joined, ends - lengths, ends)
+        keys = span_hashes(joined, ends - lengths, ends, KEY)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
+        self.bytes, self.starts, self.sizes = joined, (ends - lengths)[order], lengths[order]
 
     def merge(self, text: bytes) -> list[bytes]:
         """The encoding by the merge list itself: the first of the lowest-ranked pairs is joined until none is left."""
@@ -108,10 +111,9 @@ class MergeMachine:
                 if not len(open_):
                     break
                 at = begin[open_] + end
-                keys = span_hashes(joined, at - n, at) if len(open_) * 8 > len(joined) else self.few(joined, at - n, n)
-                place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                hit = self.keys[place] == keys
-                rows, to = open_[hit], self.ids[place[hit]]
+                keys = span_hashes(joined, at - n, at, KEY) if len(open_) * 8 > len(joined) else self.few(joined, at - n, n)
+                hit, place = self.tokens_at(joined, at - n, n, keys)
+                rows, to = open_[hit], self.ids[place]
                 pair = last[rows, end - n] << 20 | to
                 distinct, back = np.unique(pair, return_inverse=True)
                 fine = np.array([self.stays(int(k)) for k in distinct], bool)[back] if len(distinct) else np.zeros(0, bool)
@@ -122,11 +124,19 @@ class MergeMachine:
         out[short] = count[np.arange(len(short)), size]
         return out
 
+    def tokens_at(self, joined: np.ndarray, starts: np.ndarray, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which spans of n bytes are tokens, the places of these): those of an equal hash whose bytes are equal."""
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero((self.keys[place] == keys) & (self.sizes[place] == n))
+        run = np.arange(n)
+        same = (joined[starts[hit][:, None] + run] == self.bytes[self.starts[place[hit]][:, None] + run]).all(1)
+        return hit[same], place[hit[same]]
+
     @staticmethod
     def few(joined: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
         """span_hashes of a few spans of one length."""
         rows = joined[starts[:, None] + np.arange(n)]
-        return span_hashes(rows.ravel(), np.arange(len(starts)) * n, np.arange(1, len(starts) + 1) * n)
+        return span_hashes(rows.ravel(), np.arange(len(starts)) * n, np.arange(1, len(starts) + 1) * n, KEY)
 
 
 @cache
@@ -137,19 +147,18 @@ def merge_machine(path: str) -> MergeMachine:
 class Counter:
     def __init__(self, path: str) -> None:
         self.machine, self.special = merge_machine(path), added(path)
-        self.known = HashTable(MEMO)
+        self.known: dict[str, int] = {}
 
     def of_pieces(self, p: Pieces) -> np.ndarray:
-        distinct, first, back = np.unique(p.hashes, return_index=True, return_inverse=True)
-        counts = self.known.get(distinct)
+        strings, back = p.distinct()
+        if self.known and len(self.known) + len(strings) > MEMO:
+            self.known.clear()
+        counts = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
         new = np.flatnonzero(counts < 0)
         if len(new):
-            counts[new] = self.machine.count([s.encode() for s in p.strings(first[new])])
-            if self.known.full(len(new)):
-                self.known.clear()
-                self.known.put(distinct, counts)
-            else:
-                self.known.put(distinct[new], counts[new])
+            fresh = [strings[i] for i in new]
+            counts[new] = self.machine.count([s.encode() for s in fresh])
+            self.known.update(zip(fresh, counts[new].tolist(), strict=True))
         return counts[back]
 
     def count(self, texts: list[str]) -> np.ndarray:

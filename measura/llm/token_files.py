@@ -5,8 +5,8 @@ the part, the place of its first id in the part, the documents' keys and lengths
 carries the records, so they can be in any store that Spark reaches.  A document's first position in the whole
 sequence is the sum of the parts before its own plus its place in the part.
 
-Ids are the library's: pieces that the pre-tokenizer separates are encoded once each by the library and looked up by
-hash after that, in a table of bounded size; texts with special strings are given to the library whole.
+Ids are the library's: pieces that the pre-tokenizer separates are encoded once each by the library and looked up after
+that, in a table of bounded size; texts with special strings are given to the library whole.
 
 Edge cases: null and empty texts hold the end id alone; null keys come first; equal keys are ordered by text; repeated
 rows are kept; an empty table gives files without records.
@@ -19,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from measura.llm import simple8b
 from measura.llm.pretoken import added, pieces
-from measura.llm.textops import HashTable, parts
+from measura.llm.textops import parts
 from measura.session import shared_dir
 
-MEMO = 1_000_000
+MEMO = 400_000
 GROUP = 64  # pieces given to the library in one string
 RECORD = "part int, first bigint, keys array<bigint>, lengths array<int>, payload binary"
 
@@ -44,7 +44,7 @@ class Encoder:
 
         self.library, self.special = Tokenizer.from_file(path), added(path)
         self.bar = self.library.token_to_id(self.special[0]) if self.special else None
-        self.known = HashTable(MEMO)
+        self.known: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -66,7 +66,7 @@ class Encoder:
         bars = np.flatnonzero(ids == self.bar)
         return ids[ids != self.bar], np.diff(np.append(-1, bars)) - 1
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def learn(self, texts: list[str]) -> None:
         new, size = self.apart(texts)
         start, n = self.slots, len(size)
         if start + n > len(self.lengths):
@@ -77,7 +77,7 @@ class Encoder:
         self.lengths[start : start + n] = size
         self.offsets[start : start + n] = self.used + np.cumsum(size) - size
         self.used, self.slots = self.used + len(new), start + n
-        self.known.put(hashes, np.arange(start, start + n))
+        self.known.update(zip(texts, range(start, start + n), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other, their lengths)."""
@@ -85,13 +85,15 @@ class Encoder:
         if not all(plain):
             return self.whole(texts)
         p = pieces(texts)
-        distinct, first, back = np.unique(p.hashes, return_index=True, return_inverse=True)
-        if self.known.full(len(distinct)):
+        strings, back = p.distinct()
+        if self.known and len(self.known) + len(strings) > MEMO:
             self.clear()
-        new = np.flatnonzero(self.known.get(distinct) < 0)
+        slot = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(slot < 0)
         if len(new):
-            self.learn(distinct[new], p.strings(first[new]))
-        slot = self.known.get(distinct)[back]
+            slot[new] = self.slots + np.arange(len(new))
+            self.learn([strings[i] for i in new])
+        slot = slot[back]
         size = self.lengths[slot].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

@@ -35,7 +35,7 @@ from measura.session import materialize
 
 PREFIXES = (4, 5, 6)
 MEMO = 100_000  # words whose terms a worker keeps
-BATCH, STEPS = 256, 1_500  # rows of a step; the least steps of a fit, however few its rows
+BATCH = 256  # rows of a step
 
 
 def term_buckets(word: bytes, buckets: int) -> tuple[int, ...]:
@@ -94,14 +94,14 @@ def ragged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)).astype(np.int64), bounds
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, columns: int, rank: int, epochs: int, rate: float, shrink: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adagrad on the logistic loss, in mini-batches of an order fixed by the seed, for the epochs or STEPS if those are more."""
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, columns: int, rank: int, epochs: int, rate: float, shrink: float, seed: int, steps: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adagrad on the logistic loss, in mini-batches of an order fixed by the seed, for the epochs or ``steps`` if those are more."""
     rng = np.random.default_rng(seed)
     rate_pos = labels.mean()
     bias = float(np.log(rate_pos / (1 - rate_pos)))
     w, v = np.zeros(columns), rng.normal(0, 0.01, (columns, rank))
     gw, gv, gb = np.full(columns, 1e-2), np.full((columns, rank), 1e-2), 1e-2
-    for _ in range(max(epochs, -(-STEPS // max(1, -(-len(rows) // BATCH))))):
+    for _ in range(max(epochs, -(-steps // max(1, -(-len(rows) // BATCH))))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
@@ -159,9 +159,10 @@ def chooser(text: str, label: str, buckets: int, index: dict[int, int]) -> Calla
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = 20_000, buckets: int = 1 << 20, terms: int = 3000, least: int = 4, rank: int = 6, epochs: int = 12, rate: float = 0.1, shrink: float = 1e-5, seed: int = 11
+    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = 20_000, buckets: int = 1 << 20, terms: int = 3000, least: int = 4, rank: int = 6, epochs: int = 12, rate: float = 0.1, shrink: float = 1e-5, seed: int = 11, steps: int = 1500
 ) -> Machine:
-    """Fits on at most about max_rows rows of ``labels`` (key, label), which may hold any rows allowed for learning."""
+    """Fits on at most about max_rows rows of ``labels`` (key, label), which may hold any rows allowed for learning, for
+    ``epochs`` or, where few rows make those short, ``steps`` steps."""
     known = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     total = known.count()
     if total > max_rows:
@@ -183,7 +184,7 @@ def fit(
     index = {r["bucket"]: i for i, r in enumerate(best.select("bucket").collect())}
     rows = sample.mapInArrow(chooser("text", "label", buckets, index), "id long, label int, terms binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["terms"])))
-    fitted = fit_machine([np.frombuffer(bytes(r["terms"]), np.int32) for r in rows], np.array([r["label"] for r in rows], float), len(index), rank, epochs, rate, shrink, seed)
+    fitted = fit_machine([np.frombuffer(bytes(r["terms"]), np.int32) for r in rows], np.array([r["label"] for r in rows], float), len(index), rank, epochs, rate, shrink, seed, steps)
     return Machine(buckets, index, *fitted)
 
 

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 import tokenizers
 
-from measura.llm import catalog, language_id, ngram_join, sharding, textops, token_counts, token_files
+from measura.llm import catalog, language_id, ngram_join, pretoken, sharding, textops, token_counts, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,6 +44,98 @@ def test_crafted_words_do_not_collide(spark, n):
     assert {r["component_id"] for r in ngram_join.groups(docs).collect()} == {0, 1}
 
 
+def lattice_pair(base: int, size: int = 20) -> tuple[str, str]:
+    """Two words of ``size`` letters with one polynomial under a known base: a short vector of the lattice of all
+    coefficient vectors that vanish there, by LLL reduction on whole numbers."""
+    p = textops.PRIME
+    rows = [[p] + [0] * (size - 1)] + [[-pow(base, i, p)] + [int(k == i) for k in range(1, size)] for i in range(1, size)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+
+    def orthogonal():
+        out, mu = [], [[0.0] * size for _ in range(size)]
+        for i, row in enumerate(rows):
+            v = [float(x) for x in row]
+            for j in range(i):
+                mu[i][j] = dot(rows[i], out[j]) / dot(out[j], out[j])
+                v = [x - mu[i][j] * y for x, y in zip(v, out[j], strict=True)]
+            out.append(v)
+        return out, mu
+
+    for _ in range(2):  # the second time with short rows, whose figures are exact enough
+        k = 1
+        out, mu = orthogonal()
+        while k < size:
+            for j in range(k - 1, -1, -1):
+                if abs(mu[k][j]) > 0.5:
+                    by = round(mu[k][j])
+                    rows[k] = [x - by * y for x, y in zip(rows[k], rows[j], strict=True)]
+                    out, mu = orthogonal()
+            if dot(out[k], out[k]) >= (0.99 - mu[k][k - 1] ** 2) * dot(out[k - 1], out[k - 1]):
+                k += 1
+            else:
+                rows[k], rows[k - 1] = rows[k - 1], rows[k]
+                out, mu = orthogonal()
+                k = max(k - 1, 1)
+    short = next(r for r in sorted(rows, key=lambda r: max(map(abs, r))) if sum(c * pow(base, i, p) for i, c in enumerate(r)) % p == 0)
+    assert max(map(abs, short)) < 26
+    return tuple("".join(chr(97 + max(sign * c, 0)) for c in short) for sign in (1, -1))
+
+
+FOUND = ("baaabaacafcbaaaacdad", "abfdaadacaaaffcaaaaa")  # made for the base that an earlier version had in its source
+
+
+def test_lattice_words_do_not_collide(spark):
+    known = 0x11A3B5C7D9EF1357
+    pairs = [FOUND, lattice_pair(known)]
+    for a, b in pairs:
+        data, spans = np.frombuffer((a + b).encode(), np.uint8), (np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]))
+        assert len(set(textops.span_hashes(data, *spans, known).tolist())) == 1  # the words are what they are made for
+        assert len(set(textops.span_hashes(data, *spans, textops.new_key()).tolist())) == 2
+    texts = [w for pair in pairs for w in pair]
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.Counter(PATH).count(texts).tolist() == [len(x) for x in want]
+    ids, lengths = token_files.Encoder(PATH).encode(texts)
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.groups(docs).collect()} == {0, 1, 2, 3}
+
+
+def test_words_made_for_the_key_itself_are_still_told_apart(monkeypatch):
+    """Even with the key known, counts and ids are the library's: what a hash finds is compared."""
+    texts = list(FOUND)
+    for module in (pretoken, token_counts):
+        monkeypatch.setattr(module, "KEY", 0x11A3B5C7D9EF1357)
+    monkeypatch.setattr(token_counts, "merge_machine", token_counts.MergeMachine)
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.Counter(PATH).count(texts).tolist() == [len(x) for x in want]
+    ids, _ = token_files.Encoder(PATH).encode(texts)
+    assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_prints_that_collide_lead_to_another_key(spark, monkeypatch):
+    first = textops.new_key()
+    keys = iter([first, textops.new_key()])
+    monkeypatch.setattr(ngram_join, "new_key", lambda: next(keys))
+    real = ngram_join.sampler
+
+    def colliding(text, words, key, num, den, keep):
+        run = real(text, words, key, num, den, keep)
+        if key != first:
+            return run
+
+        def same(batches):
+            for batch in run(batches):
+                at = batch.schema.get_field_index("print")
+                yield batch.set_column(at, "print", pa.array([None if x is None else 7 for x in batch["print"].to_pylist()], pa.int64()))
+
+        return same
+
+    monkeypatch.setattr(ngram_join, "sampler", colliding)
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "one two three")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.groups(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert next(keys, None) is None
+
+
 def write(folder, rows):
     pq.write_table(pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])), f"{folder}/documents.parquet")
     pq.write_table(pa.Table.from_pylist([{"doc_id": i, "quality": 1, "toxic": i % 2} for i in range(20)], pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())])), f"{folder}/labels.parquet")
@@ -102,7 +194,7 @@ def test_one_more_shard_moves_few_rows(spark):
     taken = sum(v == 24 for v in shards[1].values())
     assert taken == 960
     # Dealing by remainder moves 96 %; the ring moves what the new shard takes and what its neighbours pass on.
-    assert taken <= moved <= 0.45 * len(shards[0])
+    assert taken <= moved <= 0.1 * len(shards[0])
 
 
 @pytest.mark.parametrize("name", ["op1_language_id", "op2_secrets", "op7_token_files", "op8_token_counts", "op9_sharding", "op10_toxicity"])

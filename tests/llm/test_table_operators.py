@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,34 @@ def test_nearest_rows(spark, dimension):
     assert set(got) == set(range(0, 400, 25)) and hits >= 0.97 * 160
 
 
+def test_an_id_with_several_vectors_finds_ten_others(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(14, 8)).astype(np.float32).astype(float)
+    near = [(x[0] + 0.001 * k).tolist() for k in range(3)]
+    rows = [(100, v) for v in near] + [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(200, x[3].tolist()), (300, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in one_bit_ann.nearest(df, F.col("id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    want = {}
+    for q, v in rows:
+        if q % 100 == 0:
+            d = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows if i != q)[:10]
+            want.setdefault(q, []).extend((k + 1, s, i) for k, (s, i) in enumerate(d))
+    assert len(got[100]) == 30 and sorted(got) == [100, 200, 300]
+    for q in want:
+        assert [(k, i) for k, _, i in sorted(got[q])] == [(k, i) for k, _, i in sorted(want[q])]
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abcdefgh{i:06d}" if i % 2 else "AKIA" + f"{i:016d}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text, "a"), (2, "", None)], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    row = next(r for r in secrets.scan(docs, keep=["doc_id"]).select("doc_id", F.size("found").alias("n"), F.try_element_at("found", F.lit(-1)).alias("last")).collect() if r["doc_id"] == 1)
+    assert row["n"] == 200_000 and text[row["last"]["start"] : row["last"]["end"]] == "token=abcdefgh199999"
+    assert time.perf_counter() - began < 20
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (5, [1.0, 2.0]), (7, [3.0, 2.0])], "vec_id long, embedding array<float>")
     rows = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in one_bit_ann.nearest(df, F.col("id") == 0).collect())

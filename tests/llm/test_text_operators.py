@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from measura.llm import language_id, op1_language_id, op10_toxicity, simple8b, token_counts, token_files, toxicity, wu_manber
 from measura.llm.pretoken import pieces
-from measura.llm.textops import HashTable, span_hashes
+from measura.llm.textops import new_key, span_hashes, unequal
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -60,19 +60,29 @@ def test_simple8b_blocks_and_widths():
     assert (np.concatenate([simple8b.decode_block(record, b) for b in range(-(-len(values) // simple8b.BLOCK))]) == values).all()
 
 
-def test_hash_table():
-    table, rng = HashTable(10**6), np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 2**63, 200_000, dtype=np.uint64))
-    for part in np.array_split(rng.permutation(len(keys)), 9):
-        table.put(np.sort(keys[part]), part[np.argsort(keys[part])])
-    assert (table.get(keys) == np.arange(len(keys))).all()
-    assert table.get(np.array([1], np.uint64)).tolist() == [-1]
-
-
-def test_span_hashes_depend_on_content_alone():
+def test_span_hashes_depend_on_content_and_key():
     data = np.frombuffer(b"abc-abc-abd", np.uint8)
-    h = span_hashes(data, np.array([0, 4, 8]), np.array([3, 7, 11]))
+    spans = np.array([0, 4, 8]), np.array([3, 7, 11])
+    key, other = new_key(), new_key()
+    h = span_hashes(data, *spans, key)
     assert h[0] == h[1] != h[2]
+    assert (h != span_hashes(data, *spans, other)).all()
+
+
+def test_unequal_spans():
+    data = np.frombuffer(b"abc-abc-abd-ab", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12]), np.array([3, 7, 11, 14])
+    assert unequal(data, starts, ends, np.array([0, 0, 0, 0])).tolist() == [2, 3]
+    assert unequal(data, starts, ends, np.arange(4)).tolist() == []
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    import measura.llm.pretoken as pretoken
+
+    monkeypatch.setattr(pretoken, "span_hashes", lambda points, starts, ends, key: (ends - starts).astype(np.uint64))  # all of one length collide
+    p = pieces(["one two six two", "ten one"])
+    strings, back = p.distinct()
+    assert [strings[k] for k in back] == p.strings(np.arange(len(p.starts))) and len(set(strings)) == len(strings)
 
 
 def test_token_counts_of_odd_rows(spark, odd_docs):
@@ -143,6 +153,22 @@ def test_language_accuracy_on_held_out_rows(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_model_of_a_large_alphabet():
+    letters = [chr(c) for c in range(0x100, 0x32000) if chr(c).isalpha()][:70_000]
+    counts = {"a": {"".join(letters[i : i + 4]): 1 + i % 3 for i in range(0, 69_996, 2)}, "b": {"".join(letters[i : i + 4]): 2 for i in range(1, 69_996, 2)}}
+    few = {k: dict(list(v.items())[:40]) for k, v in counts.items()}
+    for of in (counts, few):
+        models = language_id.kneser_ney(of)
+        points = np.array([ord(c) for c in "".join(letters[:8])], np.uint32)
+        assert np.isfinite(models.log_probs(points, np.arange(3, 8))).all()
+    want = language_id.kneser_ney(few).log_probs(points, np.arange(3, 8))
+    language_id.packed, kept = (lambda codes, base: np.ascontiguousarray(codes.astype(">u4")).view(f"S{4 * codes.shape[1]}").ravel() if codes.shape[1] else np.zeros(len(codes), "S1")), language_id.packed
+    try:
+        assert language_id.kneser_ney(few).log_probs(points, np.arange(3, 8)) == pytest.approx(want)
+    finally:
+        language_id.packed = kept
+
+
 def test_language_probabilities_add_up():
     counts = {"a": {"   x": 3, "  xy": 2, "  xx": 1, " xyx": 2}, "b": {"   y": 1, "  yy": 1, " yyy": 4}}
     models = language_id.kneser_ney(counts)
@@ -180,14 +206,54 @@ def test_machine_learns_a_pair_that_single_terms_miss():
 
 
 def test_toxicity_on_held_out_rows(spark, sf):
-    sf = sf.replace("0.001", "0.01")
+    sf = sf.replace("0.001", "0.1")
     found = {r["doc_id"]: r for r in op10_toxicity.query(spark, sf).collect()}
     truth = duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall()
     held = [(found[i], t) for i, t in truth if found[i]["held_out"]]
-    assert sum(r["predicted"] == t for r, t in held) >= 0.9 * len(held)
+    toxic = [r["predicted"] for r, t in held if t]
+    assert len(toxic) >= 50 and sum(toxic) >= 0.75 * len(toxic)
     assert sum(r["predicted"] for r, t in held if not t) <= 0.02 * len(held)
 
 
+def double_sum(bias, w, v, row):
+    return bias + sum(w[i] for i in row) + sum(float(v[i] @ v[j]) for a, i in enumerate(row) for j in row[a + 1 :])
+
+
+def test_margin_is_the_double_sum():
+    rng = np.random.default_rng(4)
+    w, v = rng.normal(size=9), rng.normal(size=(9, 3))
+    rows = [np.flatnonzero(rng.random(9) < 0.5) for _ in range(20)] + [np.zeros(0, np.int64)]
+    got = toxicity.Machine(9, {}, 0.3, w, v).margin(rows)
+    assert got == pytest.approx([double_sum(0.3, w, v, r.tolist()) for r in rows])
+
+
+def test_one_step_follows_the_gradient():
+    """A fit of one batch moves every parameter by Adagrad along the slope of the mean loss, found by finite differences."""
+    rng = np.random.default_rng(5)
+    rows, y = [np.flatnonzero(rng.random(6) < 0.6).astype(np.int32) for _ in range(30)], (rng.random(30) < 0.4).astype(float)
+    rate, start = 0.1, np.random.default_rng(7)
+    v0 = start.normal(0, 0.01, (6, 2))
+    bias, w, v = toxicity.fit_machine(rows, y, 6, 2, 1, rate, 0.0, 7, steps=1)
+    bias0 = float(np.log(y.mean() / (1 - y.mean())))
+    assert bias0 == pytest.approx(bias, abs=0.02)
+
+    def loss(b, ww, vv):
+        m = np.array([double_sum(b, ww, vv, r.tolist()) for r in rows])
+        return float(np.mean(np.logaddexp(0, m) - y * m))
+
+    e = 1e-5
+    after = loss(bias, np.zeros(6), v0)  # factors and weights are moved from the start's slopes, taken before the bias moved
+    assert np.isfinite(after)
+    for i in range(6):
+        step = np.eye(6)[i] * e
+        g = (loss(bias0, step, v0) - loss(bias0, -step, v0)) / (2 * e)
+        assert w[i] == pytest.approx(-rate * g / np.sqrt(1e-2 + g * g), rel=1e-3, abs=1e-6)
+        for k in range(2):
+            shift = np.zeros((6, 2))
+            shift[i, k] = e
+            g = (loss(bias0, np.zeros(6), v0 + shift) - loss(bias0, np.zeros(6), v0 - shift)) / (2 * e)
+            assert v[i, k] - v0[i, k] == pytest.approx(-rate * g / np.sqrt(1e-2 + g * g), rel=1e-2, abs=1e-6)
+
 def test_toxicity_of_odd_rows_without_labels(spark, odd_docs):
     none = spark.createDataFrame([(None, 1), (4, None)], "doc_id long, toxic int")
     machine = toxicity.fit(odd_docs, none)
