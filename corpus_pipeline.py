@@ -35,7 +35,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows with one id and one text are one document; texts without words are linked with nothing, so all stay.
     """
-    told = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash")]
+    digest = F.unhex(F.left(F.sha2(F.col("text"), 256), F.lit(32)))  # 128 bits
+    told = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(digest, F.lit(bytearray())).alias("hash")]
     found = ngram_join.groups(docs.select("doc_id", "text", *told), words=5, num=80, den=100, keep=["no_id", "id", "hash"], mark="group")
     row = F.struct("no_id", "id", "hash")
     first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(row).alias("row"))
