@@ -69,3 +69,80 @@ def decode(data: bytes, count: int) -> np.ndarray:
         at += k
         out.append(value)
     return unfolded(np.array(out, np.int64))
+
+
+ESCAPE, RAW, HEAD, WIDEST = 24, 32, 5, 24  # ones that announce RAW bits; bits of a block's parameter; its largest value
+
+
+def zigzag(values: np.ndarray) -> np.ndarray:
+    return np.where(values >= 0, 2 * values, -2 * values - 1)
+
+
+def unzigzag(numbers: np.ndarray) -> np.ndarray:
+    return np.where(numbers % 2 == 0, numbers // 2, -(numbers + 1) // 2)
+
+
+def widths(numbers: np.ndarray, k: np.ndarray | int) -> np.ndarray:
+    """Bits of each number under a parameter: its quotient in ones, a zero and k bits, or the escape."""
+    quotient = numbers >> k
+    return np.where(quotient < ESCAPE, quotient + 1 + k, ESCAPE + RAW)
+
+
+def pack(numbers: np.ndarray) -> tuple[bytes, int, np.ndarray]:
+    """(bytes, bits, first bit of every block) of numbers from 0 below 2^RAW, in blocks of BLOCK with the parameter that makes each
+    shortest (ties: the smallest)."""
+    if not len(numbers):
+        return b"", 0, np.zeros(0, np.int64)
+    blocks, of = -(-len(numbers) // BLOCK), np.arange(len(numbers)) // BLOCK
+    ks = np.stack([np.bincount(of, widths(numbers, k), blocks) for k in range(WIDEST + 1)]).argmin(0)
+    k = ks[of]
+    quotient = numbers >> k
+    far = quotient >= ESCAPE
+    size = widths(numbers, k)
+    heads = HEAD * (of + 1)
+    end = np.cumsum(size) + heads
+    start = end - size
+    total = int(end[-1])
+    bits = np.zeros(total, np.uint8)
+    first = start[::BLOCK] - HEAD
+    for b in range(HEAD):
+        bits[first + b] = ks >> (HEAD - 1 - b) & 1
+    ones = np.where(far, ESCAPE, quotient)
+    run = np.arange(int(ones.sum())) - np.repeat(np.cumsum(ones) - ones, ones)
+    bits[np.repeat(start, ones) + run] = 1
+    tail = np.where(far, RAW, k)
+    for b in range(RAW):
+        has = np.flatnonzero(tail > b)
+        bits[end[has] - 1 - b] = numbers[has] >> b & 1
+    return np.packbits(bits).tobytes(), total, first
+
+
+def unpack(data: bytes, count: int, first: np.ndarray) -> np.ndarray:
+    """The numbers of pack(): the blocks are read side by side, one number of each at a time, from their own first bits."""
+    out = np.zeros(len(first) * BLOCK, np.int64)
+    if not count:
+        return out[:0]
+    bits = np.concatenate([np.unpackbits(np.frombuffer(data, np.uint8)), np.zeros(RAW + WIDEST + 1, np.uint8)])
+    zero = np.where(bits == 0, np.arange(len(bits)), len(bits))
+    zero = np.minimum.accumulate(zero[::-1])[::-1]  # the next zero from every place on
+
+    def number(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(at), np.int64)
+        for b in range(int(size.max(initial=0))):
+            more = size > b
+            value[more] = value[more] << 1 | bits[at[more] + b]
+        return value
+
+    at = first.astype(np.int64)
+    k = number(at, np.full(len(at), HEAD))
+    at = at + HEAD
+    for j in range(BLOCK):
+        live = np.flatnonzero(np.arange(len(first)) * BLOCK + j < count)
+        ones = zero[at[live]] - at[live]
+        far = ones >= ESCAPE
+        begin = at[live] + np.where(far, ESCAPE, ones + 1)
+        size = np.where(far, RAW, k[live])
+        low = number(begin, size)
+        out[live * BLOCK + j] = np.where(far, low, (ones << k[live]) + low)
+        at[live] = begin + size
+    return out[:count]
