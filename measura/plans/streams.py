@@ -14,6 +14,23 @@ def replayed(operator, mode: str = "append", drain: bool = True):
     return query
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def stream_rests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # timers need a store that keeps them in order
+    try:
+        return events.replay(spark, f"{sf_dir}/events.parquet", events.rests)
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.late_counted(spark, f"{sf_dir}/events.parquet")
+
+
 SECONDS = "CAST(epoch(ts) AS BIGINT)"
 
 REGISTRY = {
@@ -33,5 +50,17 @@ REGISTRY = {
         SELECT user_id, CAST(floor(epoch(MIN(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(MAX(ts) + INTERVAL 2 HOUR)) AS BIGINT) AS end_s, COUNT(*) AS n FROM s GROUP BY user_id, sid""",
     ),
     "stream_dedupe": (replayed(events.first_of_each, drain=False), "SELECT DISTINCT event_id, user_id, event_type FROM events"),
+    "stream_led_to": (
+        replayed(events.led_to, drain=False),
+        "SELECT p.user_id, p.event_id AS purchase, c.event_id AS click FROM events p JOIN events c ON c.user_id = p.user_id AND c.event_type = 'click' AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 2 HOUR WHERE p.event_type = 'purchase'",
+    ),
+    "stream_rests": (
+        stream_rests,
+        "SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS idle_from_s FROM (SELECT user_id, ts, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events) WHERE later IS NULL OR later > ts + INTERVAL 6 HOUR",
+    ),
+    "stream_late": (
+        stream_late,
+        "SELECT COUNT(DISTINCT event_id) AS kept, COUNT(*) FILTER (event_id % 97 = 0 AND ts - INTERVAL 10 DAY < (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR) AS late FROM events",
+    ),
     "stream_ledger": (replayed(events.ledger, "update", drain=False), None),
 }

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from measura.session import shared_dir
@@ -65,6 +66,83 @@ def ledger(events: DataFrame, capacity: int = 500) -> DataFrame:
     return sized.groupBy("user_id").applyInPandasWithState(step, "user_id long, admitted long, refused long, peak long", "used long, admitted long, refused long, peak long", "update", GroupStateTimeout.NoTimeout)
 
 
+def led_to(events: DataFrame, within: str = "2 hours") -> DataFrame:
+    """Purchases with the clicks of the same user at most ``within`` before them: two streams, each with its watermark, whose
+    state is kept for as long as a partner may still come."""
+    side = lambda kind, name: events.where(F.col("event_type") == kind).select(F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(name), F.col("ts").alias(f"{name}_ts")).withWatermark(f"{name}_ts", LATE)
+    near = F.expr(f"click_user = purchase_user AND click_ts <= purchase_ts AND click_ts >= purchase_ts - INTERVAL {within}")
+    return side("purchase", "purchase").join(side("click", "click"), near).select(F.col("purchase_user").alias("user_id"), "purchase", "click")
+
+
+class Idle(StatefulProcessor):
+    """Reports each rest of a user longer than ``rest`` seconds, by its beginning: at the next event, or by a timer that goes off
+    once the watermark has passed the rest's end."""
+
+    def __init__(self, rest: int) -> None:
+        self.rest = rest * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+
+    def out(self, user: int, found: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": pd.Series([user] * len(found), dtype="int64"), "idle_from_s": pd.Series([x // 1_000_000 for x in found], dtype="int64")})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, the interface's names
+        times = sorted(int(t) for frame in rows for t in frame["us"])
+        last = self.last.get()[0] if self.last.exists() else None
+        found = [a for a, b in zip([last, *times] if last is not None else times, times if last is not None else times[1:], strict=False) if b - a > self.rest]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        latest = max(times[-1], last if last is not None else times[-1])
+        self.last.update((latest,))
+        self.handle.registerTimer((latest + self.rest) // 1000 + 1)
+        yield self.out(key[0], found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = [self.last.get()[0]] if self.last.exists() else []
+        self.last.clear()
+        yield self.out(key[0], found)
+
+    def close(self) -> None:
+        pass
+
+
+def rests(events: DataFrame, rest: int = 6 * 3600) -> DataFrame:
+    """(user_id, idle_from_s): rests of more than ``rest`` seconds, the last one of each user among them."""
+    timed_rows = events.withWatermark("ts", LATE).select("user_id", "ts", F.unix_micros("ts").alias("us"))
+    return timed_rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Idle(rest), outputStructType="user_id long, idle_from_s long", outputMode="Append", timeMode="EventTime")
+
+
+def late_counted(spark: SparkSession, path: str, days: int = 10, every: int = 97) -> DataFrame:
+    """(kept, late): a table read as a stream, and after it copies of every ``every``-th event ``days`` back in time, under ids of their
+    own: how many distinct events were kept, and how many rows came behind the watermark."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    table = spark.read.parquet(path)
+    table.write.parquet(f"{folder}/in")
+    # The time is part of the key, so that state older than the watermark goes and rows behind it are told.
+    out = timed(spark.readStream.schema(table.schema).parquet(f"{folder}/in")).withWatermark("ts", LATE).dropDuplicates(["event_id", "ts"]).select("event_id", "ts")
+    dropped = 0
+
+    def run() -> int:
+        query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+    dropped += run()
+    # Rows are late by the watermark of the batch before theirs: the latest row, again, makes a batch between.
+    table.orderBy(F.desc("ts")).limit(1).write.mode("append").parquet(f"{folder}/in")
+    dropped += run()
+    ids = table.schema["event_id"].dataType
+    behind = table.where(F.pmod("event_id", F.lit(every)) == 0).withColumn("ts", F.col("ts") - F.expr(f"INTERVAL {days} DAYS")).withColumn("event_id", (-1 - F.col("event_id")).cast(ids)).select(*table.columns)
+    # Behind the watermark of every row of the table, however early: only these are planted.
+    latest = table.agg(F.max("ts").alias("m")).first()["m"]
+    if latest is not None:
+        behind.where(F.col("ts") < F.lit(latest) - F.expr(f"INTERVAL {LATE}")).write.mode("append").parquet(f"{folder}/in")
+        dropped += run()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").agg(F.count_distinct("event_id").alias("kept")).withColumn("late", F.lit(dropped).cast("long"))
+
+
 def replay(spark: SparkSession, path: str, operator: Callable[[DataFrame], DataFrame], mode: str = "append", drain: bool = True) -> DataFrame:
     """What the operator has written once the table at ``path`` has been read as a stream.
 
