@@ -43,7 +43,7 @@ def share_of(text: Column, pattern: str) -> Column:
 
 #: Names of grammatical categories in a gloss line.  Fixed values.
 GLOSS_TAGS = "1SG 2SG 3SG 1PL 2PL 3PL 1DU 2DU 3DU SG PL DU NOM ACC ERG ABS GEN DAT LOC ART DEM DET POSS PASS CAUS APPL TR INTR REFL RECIP IMPF PERF PROG ASP TNS PAST FUT IRR SUBJ IND CONJ NEG Q WH REP EVID HYP INCH RES REL AUG DIM TEL FACT DISC COMP CONCL CONF ADH REIN KAT CLF MID CTR NCTR LEX".split()
-TAG_PATTERN = r"\b(?:" + "|".join(sorted(GLOSS_TAGS, key=lambda t: (-len(t), t))) + r")\b"
+TAG_PATTERN = r"\b(?:" + "|".join(GLOSS_TAGS) + r")\b"
 OPENING, CLOSING = "‘“\"'", "’”\"'"
 
 
@@ -63,7 +63,11 @@ def translation(line: Column) -> Column:
     return F.when(found != "", F.trim(found))
 
 
+#: Marks between the morphemes of a word.  Fixed values.
+BREAKS = r"[-=ʬ¬‧.<>{}\[\]‹›ˈ]"
+
+
 def morphemes(line: Column) -> Column:
     """Pieces of a line's words at the marks that part morphemes."""
-    pieces = F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.greatest(F.lit(1), F.size(F.filter(F.split(w, r"[-=ʬ¬‧.<>{}\[\]‹›ˈ]"), lambda p: p != ""))))
+    pieces = F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.greatest(F.lit(1), F.size(F.filter(F.split(w, BREAKS), lambda p: p != ""))))
     return F.aggregate(pieces, F.lit(0), lambda s, n: s + n).cast("long")

@@ -238,8 +238,10 @@ def mutual_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hand_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many orders deal each kind of five-card hand (card k of an order: (17 key + 11 k) mod 52, by 4: rank and suit)."""
-    cards = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (F.col("o_orderkey") * 17 + k * 11) % 52)
+    """How many orders deal each kind of five-card hand: the first five cards of a deck in the order of md5(key:card); a card by 4
+    gives rank and suit."""
+    deck = F.transform(F.sequence(F.lit(0), F.lit(51)), lambda c: F.struct(F.md5(F.concat_ws(":", F.col("o_orderkey").cast("string"), c.cast("string"))).alias("at"), c.alias("card")))
+    cards = F.transform(F.slice(F.array_sort(deck), 1, 5), lambda x: x["card"])
     hands = table(spark, sf_dir, "orders").select(F.array_sort(F.transform(cards, lambda c: F.floor(c / 4))).alias("r"), F.size(F.array_distinct(F.transform(cards, lambda c: c % 4))).alias("suits"))
     same = F.size(F.array_distinct("r"))
     pairs = F.aggregate(F.sequence(F.lit(0), F.lit(12)), F.lit(0), lambda s, v: s + F.pow(F.size(F.filter("r", lambda x: x == v)), F.lit(2)).cast("int"))
@@ -273,7 +275,7 @@ TOP = f"""
 # A body's cells may be reached from its smallest cell by way of larger ones alone, so exactly one cell of a body has no smaller root.
 BODIES = TOP + ", n AS (SELECT t, level, COUNT(*) AS cells FROM cells GROUP BY ALL), o AS (SELECT t, level, COUNT(*) AS bodies FROM least GROUP BY ALL)"
 HANDS = """
-    WITH c AS (SELECT o_orderkey AS k, (o_orderkey * 17 + i.range * 11) % 52 AS card FROM orders CROSS JOIN range(5) i),
+    WITH c AS (SELECT o_orderkey AS k, i.range AS card FROM orders CROSS JOIN range(52) i QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY md5(o_orderkey || ':' || i.range)) <= 5),
          n AS (SELECT k, card // 4 AS r, COUNT(*) AS n FROM c GROUP BY ALL),
          s AS (SELECT k, COUNT(DISTINCT card % 4) AS suits, string_agg(DISTINCT chr(CAST(65 + card // 4 AS INT)), '' ORDER BY chr(CAST(65 + card // 4 AS INT))) AS line FROM c GROUP BY k),
          g AS (SELECT k, string_agg(n::VARCHAR, '' ORDER BY n DESC) AS shape FROM n GROUP BY k),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measura.operators import frames, graph
+from measura.plans import bodies
 from measura.plans.shared import family
 from measura.sources import views
 from measura.sources.tables import table
@@ -65,10 +66,16 @@ def heaviest_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.heaviest_matching(weighted, ["day"]).groupBy("day").agg(F.sum("weight").alias("total"), F.count("*").alias("pairs"))
 
 
+TIED = "edges AS MATERIALIZED (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL), ends AS MATERIALIZED (SELECT a AS u, b AS v FROM edges UNION ALL SELECT b, a FROM edges)"
+#: Rounds in which the SQL forms spread labels or peel nodes; both have settled long before on these tables.
+ROUNDS = 16
+SPREAD = ", ".join(f"l{k} AS MATERIALIZED (SELECT e.u, least(MIN(l.label), any_value(o.label)) AS label FROM ends e JOIN l{k - 1} l ON l.u = e.v JOIN l{k - 1} o ON o.u = e.u GROUP BY e.u)" for k in range(1, ROUNDS + 1))
+PEELED = ", ".join(f"k{k} AS MATERIALIZED (SELECT e.u FROM ends e JOIN k{k - 1} a ON a.u = e.u JOIN k{k - 1} b ON b.u = e.v GROUP BY e.u HAVING COUNT(*) >= 4)" for k in range(1, ROUNDS + 1))
+
 REGISTRY = {
-    "components": (components_of_frames, None),
-    "k_core": (core_of_parts, None),
-    "part_components": (customer_components, None),
+    "components": (components_of_frames, bodies.COMPONENTS),
+    "k_core": (core_of_parts, f"WITH {TIED}, k0 AS (SELECT DISTINCT u FROM ends), {PEELED} SELECT e.u AS node, COUNT(*) AS degree FROM ends e JOIN k{ROUNDS} a ON a.u = e.u JOIN k{ROUNDS} b ON b.u = e.v GROUP BY e.u"),
+    "part_components": (customer_components, f"WITH {TIED}, l0 AS (SELECT DISTINCT u, u AS label FROM ends), {SPREAD} SELECT u AS node, label AS root FROM l{ROUNDS}"),
     "heaviest_matching": (heaviest_matching, None),
 } | family(
     grid_survey="SELECT t, COUNT(*) AS cells, CAST(SUM(lane) AS BIGINT) AS total, MIN(lane) AS lo, MAX(lane) AS hi FROM g GROUP BY t",

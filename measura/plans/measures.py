@@ -58,11 +58,29 @@ def streaming_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_quantity", [0.25, 0.5, 0.75], 10_000).alias("quartiles"), F.count("*").alias("n"))
 
 
+#: The curve built from the cell of level 0: each level puts four copies together, the first and last of them turned.
+HILBERT = """
+    WITH RECURSIVE h(level, side, x, y, place) AS (
+           SELECT 0, CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+           UNION ALL
+           SELECT level + 1, 2 * side, CASE q WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN x + side ELSE 2 * side - 1 - y END, CASE q WHEN 0 THEN x WHEN 1 THEN y + side WHEN 2 THEN y + side ELSE side - 1 - x END, place + q * side * side
+           FROM h CROSS JOIN (SELECT unnest(range(4)) AS q) WHERE level < 4),
+         g AS (%s)
+    SELECT g.t, g.y, g.x, h.place FROM g JOIN h ON h.level = 4 AND h.x = g.x AND h.y = g.y""" % views.SQL["g"]
+
+STAYS = """
+    WITH RECURSIVE e AS (%s),
+         r(user_id, pos, began, stays) AS (
+           SELECT user_id, pos, v, CAST(1 AS BIGINT) FROM e WHERE pos = 0
+           UNION ALL
+           SELECT e.user_id, e.pos, CASE WHEN abs(e.v - r.began) > 2000 THEN e.v ELSE r.began END, r.stays + CASE WHEN abs(e.v - r.began) > 2000 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.pos = r.pos + 1)
+    SELECT user_id, MAX(stays) AS stays, COUNT(*) AS steps FROM r GROUP BY user_id""" % views.SQL["e"]
+
 REGISTRY = {
     "match_rate": (match_rate, None),
-    "stay_runs": (stay_runs, None),
+    "stay_runs": (stay_runs, STAYS),
     "power_exponent": (power_exponent, None),
-    "hilbert_order": (hilbert_order, None),
+    "hilbert_order": (hilbert_order, HILBERT),
     "cluster_tree": (cluster_tree, None),
     "component_tree": (component_tree, trees.FRAMES),
     "mark_inventory": (mark_inventory, None),

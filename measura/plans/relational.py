@@ -22,6 +22,8 @@ REGISTRY = family(
         WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O')""",
     join_anti_idle="""
         SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""",
+    join_anti_busy="""
+        SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O' AND o.o_totalprice > 250000)""",
     join_full_nation="""
         SELECT COALESCE(a.k, b.k) AS nationkey, COALESCE(a.n, 0) AS customers, COALESCE(b.n, 0) AS suppliers
         FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey) a
@@ -62,6 +64,7 @@ REGISTRY = family(
         SELECT user_id, pos, v - LAG(v) OVER (PARTITION BY user_id ORDER BY pos) AS step, LEAD(sym) OVER (PARTITION BY user_id ORDER BY pos) AS next_sym FROM e""",
     set_union="SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     set_intersect="SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
+    set_except_buyers="SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 250000",
     set_except="SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier",
     set_intersect_all="SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' INTERSECT ALL SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'",
     topk_orders="SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",

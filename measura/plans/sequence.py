@@ -56,6 +56,11 @@ REGISTRY = family(
           SELECT part, k, same, pairs, ROW_NUMBER() OVER (PARTITION BY part ORDER BY CAST(same AS DOUBLE) / pairs DESC, k DESC) AS place FROM m) x WHERE place = 1""",
     invariant_cells="""
         SELECT user_id, pos % 7 AS phase, MIN(sym) AS sym, COUNT(*) AS n FROM e GROUP BY user_id, pos % 7 HAVING MIN(sym) = MAX(sym)""",
+    invariant_cells_29="""
+        SELECT user_id, pos % 29 AS phase, MIN(sym) AS sym, COUNT(*) AS n FROM e GROUP BY user_id, pos % 29 HAVING MIN(sym) = MAX(sym)""",
+    invariant_beyond_null_29="WITH " + SHUFFLED + """
+        SELECT user_id, pos % 29 AS phase FROM e GROUP BY user_id, pos % 29 HAVING MIN(sym) = MAX(sym)
+        EXCEPT SELECT user_id, pos % 29 AS phase FROM shuffled GROUP BY user_id, pos % 29 HAVING MIN(sym) = MAX(sym)""",
     invariant_beyond_null="WITH " + SHUFFLED + """
         SELECT user_id, pos % 7 AS phase FROM e GROUP BY user_id, pos % 7 HAVING MIN(sym) = MAX(sym)
         EXCEPT SELECT user_id, pos % 7 AS phase FROM shuffled GROUP BY user_id, pos % 7 HAVING MIN(sym) = MAX(sym)""",

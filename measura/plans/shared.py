@@ -1,7 +1,8 @@
 """Queries whose plan is stated in SQL over the readings of measura.sources.views.
 
-The plan's text is shared with the checking engine, which gets its own SQL form of every reading.  Two things are
-spelled differently by the engines and are written as macros: DIV(a, b), division toward zero, and XOR(a, b).
+The plan's text is shared with the checking engine, which gets its own SQL form of every reading.  Three things are
+spelled differently by the engines and are written as macros: DIV(a, b), division toward zero, XOR(a, b), and PAIR(a, b), a
+value that is ordered by a and then b.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from measura.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 INNER = r"((?:[^(),]|\((?:[^()]|\([^()]*\))*\))+)"
-MACRO = re.compile(r"\b(DIV|XOR)\(" + INNER + ", " + INNER + r"\)")
-SPARK_FORM = {"DIV": "(({0}) div ({1}))", "XOR": "(({0}) ^ ({1}))"}
-OTHER_FORM = {"DIV": "(({0}) // ({1}))", "XOR": "xor({0}, {1})"}
+MACRO = re.compile(r"\b(DIV|XOR|PAIR)\(" + INNER + ", " + INNER + r"\)")
+SPARK_FORM = {"DIV": "(({0}) div ({1}))", "XOR": "(({0}) ^ ({1}))", "PAIR": "struct({0}, {1})"}
+OTHER_FORM = {"DIV": "(({0}) // ({1}))", "XOR": "xor({0}, {1})", "PAIR": "struct_pack(a := {0}, b := {1})"}
 
 
 def spelled(sql: str, forms: dict[str, str]) -> str:

@@ -21,7 +21,7 @@ HASHES, BITS = 3, 1 << 16
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of the benchmark the documents' Bloom filter may hold."""
     held = membership.build(views.words(spark, sf_dir), "word", HASHES, BITS)
-    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(views.WORD), F.lit(0))
     asked = table(spark, sf_dir, "benchmark").select(F.explode(found).alias("word")).distinct()
     return membership.contains(asked, "word", held, HASHES, BITS)
 
@@ -138,9 +138,10 @@ def descent_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+WORDS = views.WORD.replace("'", "''")
 FNV = "list_reduce(list_prepend(CAST({start} AS BIGINT), [CAST(('0x' || x) AS BIGINT) for x in regexp_extract_all(hex(encode(word)), '..')]), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
 BLOOM = f"""
-        WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents), q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM benchmark),
+        WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORDS}')) AS word FROM documents), q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORDS}')) AS word FROM benchmark),
              hw AS (SELECT word, {FNV.format(start=membership.START)} AS a, {FNV.format(start=membership.START + 1)} AS b FROM w), hq AS (SELECT word, {FNV.format(start=membership.START)} AS a, {FNV.format(start=membership.START + 1)} AS b FROM q),
              bits AS (SELECT DISTINCT (a + i * b) % {BITS} AS bit FROM hw, (SELECT unnest(range({HASHES})) AS i)),
              asked AS (SELECT DISTINCT word, (a + i * b) % {BITS} AS bit FROM hq, (SELECT unnest(range({HASHES})) AS i))

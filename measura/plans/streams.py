@@ -62,5 +62,15 @@ REGISTRY = {
         stream_late,
         "SELECT COUNT(DISTINCT event_id) AS kept, COUNT(*) FILTER (event_id % 97 = 0 AND ts - INTERVAL 10 DAY < (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR) AS late FROM events",
     ),
-    "stream_ledger": (replayed(events.ledger, "update", drain=False), None),
+    "stream_ledger": (
+        replayed(events.ledger, "update", drain=False),
+        """
+        WITH RECURSIVE e AS (SELECT user_id, event_type, CAST(abs(round(value)) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+             r(user_id, n, used, admitted, refused, peak) AS (
+               SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM e
+               UNION ALL
+               SELECT user_id, n, CASE WHEN frees THEN 0 WHEN fits THEN used + size ELSE used END, admitted + CASE WHEN fits AND NOT frees THEN 1 ELSE 0 END, refused + CASE WHEN fits OR frees THEN 0 ELSE 1 END, CASE WHEN fits AND NOT frees THEN greatest(peak, used + size) ELSE peak END
+               FROM (SELECT r.user_id, e.n, r.used, r.admitted, r.refused, r.peak, e.size, e.event_type = 'purchase' AS frees, r.used + e.size <= 500 AS fits FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+        SELECT user_id, arg_max(admitted, n) AS admitted, arg_max(refused, n) AS refused, arg_max(peak, n) AS peak FROM r GROUP BY user_id""",
+    ),
 }

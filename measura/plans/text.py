@@ -17,8 +17,8 @@ def collision_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RANKED = """ranked AS (
-          SELECT sym, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, first_doc, first_pos) AS BIGINT) AS place FROM (
-            SELECT sym, SUM(n) AS n, MIN(doc_id) AS first_doc, MIN(doc_id * 1000000 + first_pos) AS first_pos FROM (
+          SELECT sym, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS BIGINT) AS place FROM (
+            SELECT sym, SUM(n) AS n, MIN(PAIR(doc_id, first_pos)) AS first_at FROM (
               SELECT sym, doc_id, COUNT(*) AS n, MIN(pos) AS first_pos FROM s GROUP BY sym, doc_id) x GROUP BY sym) y)"""
 
 #: Pairs are counted before their symbols are ranked, so that only distinct pairs meet the ranks.
@@ -121,10 +121,10 @@ REGISTRY = {
              t AS (SELECT doc_id, CAST(SUM(a) AS BIGINT) AS ta, CAST(SUM(b) AS BIGINT) AS tb FROM c GROUP BY doc_id)
         SELECT c.doc_id, CAST(SUM(ABS(c.a * t.tb - c.b * t.ta)) AS BIGINT) AS numerator, MAX(2 * t.ta * t.tb) AS denominator FROM c JOIN t ON c.doc_id = t.doc_id GROUP BY c.doc_id""",
     common_vocabulary="""
-        WITH c AS (SELECT word, COUNT(*) AS n, MIN(doc_id * 1000000 + pos) AS first_at FROM w GROUP BY word)
+        WITH c AS (SELECT word, COUNT(*) AS n, MIN(PAIR(doc_id, pos)) AS first_at FROM w GROUP BY word)
         SELECT word, n, place FROM (SELECT word, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS BIGINT) AS place FROM c) x WHERE place <= 50""",
     word_profile="""
-        WITH c AS (SELECT word, COUNT(*) AS n, MIN(doc_id * 1000000 + pos) AS first_at FROM w GROUP BY word),
+        WITH c AS (SELECT word, COUNT(*) AS n, MIN(PAIR(doc_id, pos)) AS first_at FROM w GROUP BY word),
              top AS (SELECT word FROM (SELECT word, ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS place FROM c) x WHERE place <= 50)
         SELECT w.doc_id, w.word, COUNT(*) AS n FROM w JOIN top t ON w.word = t.word GROUP BY w.doc_id, w.word""",
     word_length_hist="""
@@ -162,7 +162,7 @@ REGISTRY = {
         SELECT a, b, ROUND(LOG2((n + 0.5E0) * t / (CAST(na AS DOUBLE) * nb)), 6) AS pmi FROM x""",
     ),
     nearest_centroid_lang="""
-        WITH c AS (SELECT word, COUNT(*) AS n, MIN(doc_id * 1000000 + pos) AS first_at FROM w GROUP BY word),
+        WITH c AS (SELECT word, COUNT(*) AS n, MIN(PAIR(doc_id, pos)) AS first_at FROM w GROUP BY word),
              top AS (SELECT word FROM (SELECT word, ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS place FROM c) x WHERE place <= 30),
              d AS (SELECT w.doc_id, w.lang, w.word, COUNT(*) AS n FROM w JOIN top t ON w.word = t.word GROUP BY w.doc_id, w.lang, w.word),
              m AS (SELECT lang, COUNT(DISTINCT doc_id) AS docs FROM d GROUP BY lang),

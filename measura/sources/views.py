@@ -70,9 +70,13 @@ def symbol_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("x.a.sym = x.b.sym AND x.a.sym <> ''").select("doc_id", F.col("x.a.sym").alias("sym"), (F.col("x.b.pos") - F.col("x.a.pos")).cast("long").alias("gap"))
 
 
+#: A word: letters with their marks, and apostrophes.
+WORD = r"[\p{L}\p{M}']+"
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, pos, word): runs of a-z and apostrophes of the lower-cased documents."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))
+    """(doc_id, lang, pos, word): runs of letters, marks and apostrophes of the lower-cased documents, in any script."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(found).alias("pos", "word"))
     return rows.select("doc_id", "lang", F.col("pos").cast("long").alias("pos"), "word")
 
@@ -134,7 +138,7 @@ SPARK = {
 SQL = {
     "s": "SELECT doc_id, generate_subscripts(string_split(text, ''), 1) - 1 AS pos, unnest(string_split(text, '')) AS sym FROM documents WHERE text <> ''",
     "o": "SELECT doc_id, pos, CAST(('0x' || x) AS BIGINT) AS b FROM (SELECT doc_id, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) - 1 AS pos, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents)",
-    "w": "SELECT doc_id, lang, generate_subscripts(regexp_extract_all(lower(text), '[a-z'']+'), 1) - 1 AS pos, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents",
+    "w": r"SELECT doc_id, lang, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{M}'']+'), 1) - 1 AS pos, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}'']+')) AS word FROM documents",
     "e": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS sym, CAST(round(value * 100) AS BIGINT) AS v FROM events",
     "q": "SELECT l_partkey AS part, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate) - 1 AS pos, CAST(l_quantity AS BIGINT) AS v FROM lineitem",
     "g": "SELECT CAST(year(l_shipdate) AS BIGINT) AS t, l_partkey % 16 AS y, l_suppkey % 16 AS x, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lane FROM lineitem GROUP BY 1, 2, 3",
