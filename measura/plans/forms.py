@@ -106,8 +106,8 @@ def wide_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLACES = 50
 
 
-def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named constants to PLACES places, cut off, each by two routes in whole numbers that must agree."""
+def named_constants(spark: SparkSession) -> DataFrame:
+    """(name, digits): named constants to PLACES places, cut off, each by two routes in whole numbers that must agree."""
     guard = 10
     unit = 10 ** (PLACES + guard)
 
@@ -256,10 +256,18 @@ def hand_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 FERMIONS = (("up", 1, 2, 3), ("down", 1, -1, 3), ("electron", 1, -3, 1), ("electron neutrino", 1, 0, 1), ("charm", 2, 2, 3), ("strange", 2, -1, 3), ("muon", 2, -3, 1), ("muon neutrino", 2, 0, 1), ("top", 3, 2, 3), ("bottom", 3, -1, 3), ("tau", 3, -3, 1), ("tau neutrino", 3, 0, 1))
 
 
+def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's size times every named constant, in units of its thirtieth place."""
+    sizes = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"))
+    digits = F.regexp_replace(F.substring(F.regexp_replace("digits", r"\\.", ""), 1, 31), "^0+", "").alias("digits")
+    return sizes.crossJoin(F.broadcast(named_constants(spark).select("name", digits))).select("p_partkey", "name", wide.product(F.col("digits"), F.col("size")).alias("product"))
+
+
 def generation_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Charges of each generation add up to nothing, colours counted."""
+    """Suppliers dealt to generations of particles: particles that they hold, and their charges, which add up to nothing."""
     rows = spark.createDataFrame(FERMIONS, "name string, generation long, thirds long, colours long")
-    return rows.groupBy("generation").agg(F.count("*").alias("particles"), F.sum(F.col("thirds") * F.col("colours")).alias("charge"), F.max("name").alias("last_name"))
+    held = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3 + 1).alias("generation"), "s_nationkey").join(F.broadcast(rows), "generation")
+    return held.groupBy("s_nationkey", "generation").agg(F.count("*").alias("particles"), F.sum(F.col("thirds") * F.col("colours")).alias("charge"), F.max("name").alias("last_name"))
 
 
 WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
@@ -317,7 +325,7 @@ REGISTRY = {
     ),
     "constants": (
         constants,
-        """SELECT * FROM (VALUES ('pi', '3.14159265358979323846264338327950288419716939937510'), ('e', '2.71828182845904523536028747135266249775724709369995'), ('root two', '1.41421356237309504880168872420969807856967187537694'),
+        """SELECT p_partkey, name, CAST(CAST(substr(replace(digits, '.', ''), 1, 31) AS HUGEINT) * p_size AS VARCHAR) AS product FROM part CROSS JOIN (VALUES ('pi', '3.14159265358979323846264338327950288419716939937510'), ('e', '2.71828182845904523536028747135266249775724709369995'), ('root two', '1.41421356237309504880168872420969807856967187537694'),
         ('ln two', '0.69314718055994530941723212145817656807550013436025'), ('golden', '1.61803398874989484820458683436563811772030917980576')) v(name, digits)""",
     ),
     "double_fields": (
@@ -344,5 +352,9 @@ REGISTRY = {
         SELECT p.* FROM p JOIN f ON p.day = f.day AND p.z1 = f.z1 AND p.y1 = f.y1 AND (p.cost, p.z2, p.y2) = f.best JOIN r ON p.day = r.day AND p.z2 = r.z2 AND p.y2 = r.y2 AND (p.cost, p.z1, p.y1) = r.best""",
     ),
     "hand_ranks": (hand_ranks, HANDS),
-    "generation_charges": (generation_charges, "SELECT * FROM (VALUES (1::BIGINT, 4::BIGINT, 0::BIGINT, 'up'), (2, 4, 0, 'strange'), (3, 4, 0, 'top')) v(generation, particles, charge, last_name)"),
+    "generation_charges": (
+        generation_charges,
+        """SELECT s_nationkey, s_suppkey % 3 + 1 AS generation, COUNT(*) AS particles, CAST(SUM(thirds * colours) AS BIGINT) AS charge, MAX(name) AS last_name
+        FROM supplier JOIN (VALUES """ + ", ".join(f"('{n}', {g}, {t}, {c})" for n, g, t, c in FERMIONS) + """) f(name, generation, thirds, colours) ON f.generation = s_suppkey % 3 + 1 GROUP BY 1, 2""",
+    ),
 }

@@ -66,11 +66,11 @@ REGISTRY = {
     contested_positions="""
         SELECT l_partkey, l_suppkey, COUNT(DISTINCT l_quantity) AS readings FROM lineitem GROUP BY l_partkey, l_suppkey HAVING COUNT(DISTINCT l_quantity) > 1""",
     group_tests="""
-        WITH links AS (SELECT k, (k * 37 + 11) % 50 AS cost FROM bits), asks AS (SELECT k AS r FROM bits),
+        WITH links AS (SELECT l_suppkey % 16 AS k, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS cost FROM lineitem GROUP BY l_suppkey % 16), asks AS (SELECT k AS r FROM bits),
              s AS (SELECT a.r, SUM(CASE WHEN BIT_COUNT((a.r + 1) & (l.k + 1)) % 2 = 1 THEN l.cost ELSE 0 END) AS inside, SUM(l.cost) AS total FROM asks a CROSS JOIN links l GROUP BY a.r)
         SELECT r, CAST(inside AS BIGINT) AS inside, CAST(4 * inside - 2 * total AS BIGINT) AS contrast FROM s""",
     bell_state="""
-        WITH start_state AS (SELECT k AS idx, CASE WHEN k = 0 THEN 1 ELSE 0 END AS re FROM bits WHERE k < 4),
+        WITH start_state AS (SELECT l_orderkey % 4 AS idx, COUNT(*) AS re FROM lineitem GROUP BY l_orderkey % 4),
              had AS (SELECT a.idx, CASE WHEN a.idx % 2 = 0 THEN a.re + b.re ELSE b.re - a.re END AS re FROM start_state a JOIN start_state b ON b.idx = XOR(a.idx, 1)),
              cnot AS (SELECT CASE WHEN idx % 2 = 1 THEN XOR(idx, 2) ELSE idx END AS idx, re FROM had)
         SELECT idx, CAST(re AS BIGINT) AS amplitude, CAST(1 AS BIGINT) AS half_powers FROM cnot""",

@@ -77,6 +77,7 @@ REGISTRY = family(
         SELECT n.n_name, r.r_name, COUNT(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
         JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name, r.r_name""",
     recursive_reach="""
-        WITH RECURSIVE walk(k, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT (k * 3 + 1) % 32, depth + 1 FROM walk WHERE depth < 31)
+        WITH RECURSIVE n AS (SELECT COUNT(*) AS n FROM supplier),
+             walk(k, depth) AS (SELECT s_suppkey, CAST(0 AS BIGINT) FROM supplier WHERE s_nationkey < 3 UNION ALL SELECT (w.k * 3 + 1) % n.n, w.depth + 1 FROM walk w CROSS JOIN n WHERE w.depth < 12)
         SELECT k, MIN(depth) AS first_depth FROM walk GROUP BY k""",
 )
