@@ -259,7 +259,7 @@ FERMIONS = (("up", 1, 2, 3), ("down", 1, -1, 3), ("electron", 1, -3, 1), ("elect
 def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's size times every named constant, in units of its thirtieth place."""
     sizes = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"))
-    digits = F.regexp_replace(F.substring(F.regexp_replace("digits", r"\\.", ""), 1, 31), "^0+", "").alias("digits")
+    digits = F.regexp_replace(F.substring(F.replace(F.col("digits"), F.lit("."), F.lit("")), 1, 31), "^0+", "").alias("digits")
     return sizes.crossJoin(F.broadcast(named_constants(spark).select("name", digits))).select("p_partkey", "name", wide.product(F.col("digits"), F.col("size")).alias("product"))
 
 
