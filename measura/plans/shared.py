@@ -47,7 +47,18 @@ def hinted(sql: str, spark: SparkSession, sf_dir: str) -> str:
     return sql.replace("FEW(", "BROADCAST(" if few else "SHUFFLE_HASH(")
 
 
+#: Counts of symbols by document, as a plan states them, and from rows that were counted where they stand.
+COUNTED = (
+    ("SELECT doc_id, sym, COUNT(*) AS n FROM s GROUP BY doc_id, sym", "SELECT doc_id, sym, SUM(n) AS n FROM sn GROUP BY doc_id, sym"),
+    ("SELECT sym, doc_id, COUNT(*) AS n, MIN(pos) AS first_pos FROM s GROUP BY sym, doc_id", "SELECT sym, doc_id, SUM(n) AS n, MIN(first_pos) AS first_pos FROM sn GROUP BY sym, doc_id"),
+    ("SELECT doc_id, sym, COUNT(*) AS n, MIN(pos) AS first_pos FROM s GROUP BY doc_id, sym", "SELECT doc_id, sym, SUM(n) AS n, MIN(first_pos) AS first_pos FROM sn GROUP BY doc_id, sym"),
+    ("SELECT doc_id, sym, MIN(pos) AS first_pos, COUNT(*) AS n FROM s GROUP BY doc_id, sym", "SELECT doc_id, sym, MIN(first_pos) AS first_pos, SUM(n) AS n FROM sn GROUP BY doc_id, sym"),
+)
+
+
 def spark_form(sql: str) -> Query:
+    for stated, made in COUNTED:
+        sql = sql.replace(stated, made)
     used = names_in(sql)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:

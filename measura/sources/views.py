@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from measura.operators import census
 from measura.sources.tables import spread, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -22,6 +23,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where("sym <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), "sym")
 
 
+def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sym, n, first_pos): the symbols of each row, counted inside the row."""
+    return census.row_census(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
 def neighbours(spark: SparkSession, sf_dir: str, width: int, of: str = "text") -> DataFrame:
     """(doc_id, pos, c0, c1, ...): each character with those after it, null past the end, put together inside the row, so that
     no character leaves its document's task."""
@@ -117,6 +123,7 @@ def numbers(low: int, high: int):
 
 SPARK = {
     "s": symbols,
+    "sn": symbol_counts,
     "s2": pairs,
     "s3": threes,
     "s12": twelves,
