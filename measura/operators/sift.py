@@ -122,7 +122,7 @@ def descend(found: DataFrame, needle: str, pattern: str, width: int, levels: int
     ``stride``; all are probed.  A needle whose sample is empty is asked for its first symbol.  Survivors are compared in full
     by whoever counts them: a descent only narrows, so it may end at any level.
     """
-    alive, plan, asked = materialize(found, "descent"), [], None
+    alive, plan, asked = materialize(found.select(*dict.fromkeys([needle, pattern, "doc", "spot", "win"])), "descent"), [], None
     offs = F.sequence(F.lit(0), F.lit(width - 1))
     at = lambda text, off: F.expr(f"substring({text}, CAST({off} + 1 AS INT), 1)")
     for level in range(1, levels + 1):
