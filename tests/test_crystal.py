@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from measura.functions import coding, tower
-from measura.operators import crystal, period
+from measura.operators import crystal, period, shared_pattern
 
 
 def lifted_by_definition(v):
@@ -101,3 +101,37 @@ def test_a_planted_period_is_found_and_none_in_its_shuffles(spark):
     assert not any(got[t, "x"]["beyond"] for t in (1, 2))
     short = period.periods(df.where("x < 3 AND y < 2"), "t", ["y", "x"], "v", 1, 3).collect()
     assert all(r["period"] is None and not r["beyond"] for r in short)
+
+
+def test_the_root_is_the_term_of_the_least_price_and_comes_back():
+    rng = np.random.default_rng(8)
+    stripes = np.broadcast_to(rng.integers(0, 1 << 15, (1, 16, 1)), (6, 16, 12)) + rng.integers(0, 4, (6, 16, 12))
+    noise = rng.integers(0, 1 << 15, (6, 16, 12))
+    for values in (stripes, noise):
+        term, bits, saved = shared_pattern.root(values, 2)
+        gains = [bits - shared_pattern.price(values - (p := shared_pattern.pattern(values, kept)), 2) - shared_pattern.price(p, 2) for kept in shared_pattern.TERMS]
+        assert saved == max(0, *gains) and (term == gains.index(saved) if saved else term == -1)
+    assert shared_pattern.TERMS[shared_pattern.root(stripes, 2)[0]] == (1,)
+
+
+def test_boxes_come_back_from_residual_and_pattern(spark):
+    rows = cells(spark)
+    found = shared_pattern.roots(rows, EXTENTS, BLOCKS, LEVELS)
+    back = shared_pattern.returned(found, EXTENTS, BLOCKS).where("lane <> 0 OR sample = 7")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_ladder_of_shot_noise(spark):
+    rng = np.random.default_rng(9)
+    level = rng.uniform(20, 400, (12, 15))
+    values = rng.poisson(level, (40, 12, 15))
+    rows = [(1, t, y, x, int(v)) for (t, y, x), v in np.ndenumerate(values)]
+    r = shared_pattern.ladder(spark.createDataFrame(rows, "sample long, t long, y long, x long, lane long"), 40, 10).collect()[0]
+    n, scale = 10, 30
+    assert r["blocks"] == 4 * 180
+    assert int(r["slope2"]) / int(r["denominator"]) / (n * (n - 1)) * scale == pytest.approx(1, abs=0.15)  # variance grows as the level
+    blocks = values.reshape(4, 10, 12, 15)
+    x = (values.sum(0) - blocks.sum(1)).ravel().astype(float)
+    k2 = (blocks.var(1, ddof=1) * n * (n - 1)).ravel()
+    assert int(r["slope2"]) / int(r["denominator"]) == pytest.approx(np.polyfit(x, k2, 1)[0])
+    assert shared_pattern.ladder(spark.createDataFrame(rows, "sample long, t long, y long, x long, lane long"), 10, 10).count() == 0
