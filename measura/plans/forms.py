@@ -11,13 +11,15 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from measura.functions import text, wide
 from measura.operators import graph
-from measura.session import shared_dir
+from measura.operators import wide_product as transformed
+from measura.operators.lanes import with_lanes
+from measura.session import materialize, shared_dir
 from measura.sources import corpora, views
 from measura.sources.tables import spread, table
 
@@ -252,6 +254,39 @@ def hand_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hands.select(kind.alias("hand")).groupBy("hand").agg(F.count("*").alias("n"))
 
 
+#: Primes by which a product is checked.
+CHECKS = (7, 11, 13, 101, 9973, 99991)
+
+
+def quantities_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, limb): the quantities of all line items, in the order of their keys, as the limbs of one number."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").select(*keys, (F.col("l_quantity").cast("long") * 191 % transformed.BASE).alias("limb"))
+    return with_lanes(rows, keys, "pos").select("pos", "limb")
+
+
+def wide_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The square of a number of as many limbs as there are line items: its limbs and its remainders by small primes."""
+    number = materialize(quantities_number(spark, sf_dir), "wide-number")
+    square = materialize(transformed.product(number, number), "wide-square")
+
+    def power(p: int) -> Column:
+        """BASE^pos modulo p, from the bits of pos."""
+        out = F.lit(1).cast("long")
+        for k in range(transformed.ORDER + 1):
+            out = out * F.when(F.col("pos").bitwiseAND(F.lit(1 << k)) != 0, pow(transformed.BASE, 1 << k, p)).otherwise(1) % p
+        return out
+
+    sums = square.agg(F.max("pos").alias("last"), *((F.sum(F.col("limb") * power(p) % p) % p).alias(f"r{p}") for p in CHECKS))
+    rows = F.array(*(F.struct(F.lit(p).cast("long").alias("prime"), F.col(f"r{p}").alias("remainder")) for p in CHECKS))
+    return sums.select(F.explode(rows).alias("x"), "last").select("x.*", "last").where("last IS NOT NULL")
+
+
+#: BASE^pos modulo each prime, for 2^20 places, by doubling.
+POWERS = "d0 AS (SELECT unnest(" + str(list(CHECKS)) + ") AS prime, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS power), " + ", ".join(
+    f"d{k + 1} AS MATERIALIZED (SELECT * FROM d{k} UNION ALL SELECT prime, pos + {1 << k}, power * CASE prime {' '.join(f'WHEN {p} THEN {pow(transformed.BASE, 1 << k, p)}' for p in CHECKS)} END % prime FROM d{k})" for k in range(20)
+)
+
 #: Name, generation, charge in thirds, colours.  Fixed values.
 FERMIONS = (("up", 1, 2, 3), ("down", 1, -1, 3), ("electron", 1, -3, 1), ("electron neutrino", 1, 0, 1), ("charm", 2, 2, 3), ("strange", 2, -1, 3), ("muon", 2, -3, 1), ("muon neutrino", 2, 0, 1), ("top", 3, 2, 3), ("bottom", 3, -1, 3), ("tau", 3, -3, 1), ("tau neutrino", 3, 0, 1))
 
@@ -323,6 +358,15 @@ REGISTRY = {
         """WITH v AS (SELECT o_orderkey, o_orderkey::HUGEINT * 100000000000 + CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_custkey::HUGEINT * 10000000000 + o_orderkey AS b FROM orders)
         SELECT o_orderkey, CAST(-a * b AS VARCHAR) AS product, CAST(a + b AS VARCHAR) AS total, CAST(CASE WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS BIGINT) AS "order" FROM v""",
     ),
+    "wide_square": (
+        wide_square,
+        f"""
+        WITH n AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos, CAST(l_quantity AS BIGINT) * 191 % {transformed.BASE} AS limb FROM lineitem),
+             {POWERS},
+             r AS (SELECT prime, SUM(limb * power % prime) % prime AS r FROM n JOIN d20 USING (pos) GROUP BY prime),
+             top AS (SELECT pos, limb FROM n WHERE limb > 0 ORDER BY pos DESC LIMIT 1)
+        SELECT prime, CAST(r * r % prime AS BIGINT) AS remainder, (SELECT 2 * pos + CASE WHEN (limb + coalesce((SELECT limb FROM n WHERE n.pos = top.pos - 1), 0) / {transformed.BASE}.0) * (limb + coalesce((SELECT limb FROM n WHERE n.pos = top.pos - 1), 0) / {transformed.BASE}.0) >= {transformed.BASE} THEN 1 ELSE 0 END FROM top) AS last FROM r""",
+    ),
     "constants": (
         constants,
         """SELECT p_partkey, name, CAST(CAST(substr(replace(digits, '.', ''), 1, 31) AS HUGEINT) * p_size AS VARCHAR) AS product FROM part CROSS JOIN (VALUES ('pi', '3.14159265358979323846264338327950288419716939937510'), ('e', '2.71828182845904523536028747135266249775724709369995'), ('root two', '1.41421356237309504880168872420969807856967187537694'),

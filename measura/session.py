@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, set[str]] = {}  # by application: folders that materialize() has written and nobody has dropped
 
 
 def build_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -56,6 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,3 +77,18 @@ def drop_materialized(spark: SparkSession, *frames: DataFrame) -> None:
             if folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+                _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(next((w for w in _WRITTEN.get(spark.sparkContext.applicationId, ()) if w.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]), ""))
+
+
+def drop_all_materialized(spark: SparkSession) -> int:
+    """Delete every table that this session's operators have written for themselves, and say how many.
+
+    Results that weren't used yet are lost with them: a long-lived session calls this between queries, once it has
+    used or written their results.
+    """
+    written = _WRITTEN.pop(spark.sparkContext.applicationId, set())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(written)
