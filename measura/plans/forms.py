@@ -283,7 +283,7 @@ def wide_square(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: BASE^pos modulo each prime, for 2^20 places, by doubling.
-POWERS = "d0 AS (SELECT unnest(" + str(list(CHECKS)) + ") AS prime, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS power), " + ", ".join(
+POWERS = "d0 AS (SELECT CAST(unnest(" + str(list(CHECKS)) + ") AS BIGINT) AS prime, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS power), " + ", ".join(
     f"d{k + 1} AS MATERIALIZED (SELECT * FROM d{k} UNION ALL SELECT prime, pos + {1 << k}, power * CASE prime {' '.join(f'WHEN {p} THEN {pow(transformed.BASE, 1 << k, p)}' for p in CHECKS)} END % prime FROM d{k})" for k in range(20)
 )
 
