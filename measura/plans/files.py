@@ -170,7 +170,7 @@ BITS = LATTICE + f""",
     SELECT t, CAST({SIDE * SIDE} AS BIGINT) AS lanes, CAST(SUM(bits) AS BIGINT) AS bits FROM b GROUP BY t
 """
 
-REGISTRY = {f"source_{name}": (source(suffix), READ_BACK) for name, suffix in (("npy", "npy"), ("npz", "npz"), ("stack", "stack"), ("nrrd", "nrrd"), ("nifti", "nii.gz"), ("tiff", "tif"), ("dicom", "dcm"))} | {
+REGISTRY = {f"source_{name}": (source(suffix), READ_BACK) for name, suffix in (("npy", "npy"), ("npz", "npz"), ("stack", "stack"), ("nrrd", "nrrd"), ("nifti", "nii.gz"), ("tiff", "tif"), ("tiff_tiles", "tiled.tif"), ("dicom", "dcm"))} | {
     "source_zarr": (source_zarr(writers.zarr), READ_BACK),
     "source_zarr_3": (source_zarr(writers.zarr_3), READ_BACK),
     "source_zip": (source_zip, READ_BACK),

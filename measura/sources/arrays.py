@@ -94,8 +94,62 @@ TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 6: 1, 8: 2, 9: 4, 16: 8}
 TIFF_CODES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 
 
+def lzw(data: bytes) -> bytes:
+    """Bytes of TIFF's LZW: codes of 9 to 12 bits from the highest bit down, a width ending one code early."""
+    clear, end = 256, 257
+    out, table, last = [], [], b""
+    value = held = 0
+    width = 9
+    for byte in data:
+        value, held = value << 8 | byte, held + 8
+        if held < width:
+            continue
+        held -= width
+        code, value = value >> held, value & ((1 << held) - 1)
+        if code == end:
+            break
+        if code == clear:
+            table, last, width = [bytes([k]) for k in range(256)] + [b"", b""], b"", 9
+            continue
+        if code > len(table) or not table:
+            raise ValueError("an LZW code before it is known")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+    return b"".join(out)
+
+
+def tiff_block(data: bytes, packed: int, shape: tuple[int, int], kind: str, predictor: int) -> np.ndarray:
+    """A strip or tile of a page; rows that a strip lacks are left out."""
+    plain = data if packed == 1 else lzw(data) if packed == 5 else zlib.decompress(data)
+    values = np.frombuffer(plain, kind)
+    values = values[: len(values) // shape[1] * shape[1]].reshape(-1, shape[1])[: shape[0]]
+    # Differences to the pixel before, modulo the sample's width.
+    return np.add.accumulate(values, axis=1, dtype=values.dtype) if predictor == 2 else values
+
+
+def tiff_page(data: bytes, tags: dict[int, tuple], kind: str) -> np.ndarray:
+    height, width, packed, predictor = tags[257][0], tags[256][0], tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+    page = np.zeros((height, width), kind)
+    if 322 in tags:
+        across, down = tags[322][0], tags[323][0]
+        for k, (at, n) in enumerate(zip(tags[324], tags[325], strict=True)):
+            y, x = (i * side for i, side in zip(divmod(k, -(-width // across)), (down, across), strict=True))
+            page[y : y + down, x : x + across] = tiff_block(data[at : at + n], packed, (down, across), kind, predictor)[: height - y, : width - x]
+        return page
+    rows = tags.get(278, (height,))[0]
+    for k, (at, n) in enumerate(zip(tags[273], tags[279], strict=True)):
+        part = tiff_block(data[at : at + n], packed, (min(rows, height - k * rows), width), kind, predictor)
+        page[k * rows : k * rows + len(part)] = part
+    return page
+
+
 def read_tiff(data: bytes) -> dict[str, np.ndarray]:
-    """Pages of a classic or big TIFF in strips, plain or deflated, stacked on the first axis."""
+    """Pages of a classic or big TIFF in strips or tiles, plain, deflated or in LZW, with or without horizontal differences,
+    stacked on the first axis.  A file without pages is an array without frames."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     big = struct.unpack_from(order + "H", data, 2)[0] == 43
     at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
@@ -115,13 +169,11 @@ def read_tiff(data: bytes) -> dict[str, np.ndarray]:
         bits, packed, form = tags.get(258, (1,))[0], tags.get(259, (1,))[0], tags.get(339, (1,))[0]
         if bits not in (8, 16) or form not in (1, 2) or tags.get(277, (1,))[0] != 1:
             raise ValueError("elements are not 8- or 16-bit whole numbers of one channel")
-        if packed not in (1, 8, 32946):
-            raise ValueError(f"compression {packed} is not none or deflate")
-        strips = [data[a : a + n] for a, n in zip(tags[273], tags[279], strict=True)]
-        body = b"".join(strips if packed == 1 else map(zlib.decompress, strips))
+        if packed not in (1, 5, 8, 32946) or tags.get(317, (1,))[0] not in (1, 2):
+            raise ValueError(f"compression {packed} is not none, LZW or deflate, or its predictor isn't horizontal")
         kind = ("<" if order == "<" else ">") + ("i" if form == 2 else "u") + str(bits // 8)
-        pages.append(np.frombuffer(body, kind, tags[257][0] * tags[256][0]).reshape(tags[257][0], tags[256][0]))
-    return {"": np.stack(pages)}
+        pages.append(tiff_page(data, tags, kind))
+    return {"": np.stack(pages) if pages else np.zeros((0, 0, 0), np.uint16)}
 
 
 def read_dicom(data: bytes) -> dict[str, np.ndarray]:

@@ -70,6 +70,58 @@ def tiff(a: np.ndarray) -> bytes:
     return bytes(out)
 
 
+def lzw(data: bytes) -> bytes:
+    """TIFF's LZW: a table of at most 4,093 entries, then afresh."""
+    out, held, width, table = 0, 0, 9, {bytes([k]): k for k in range(256)}
+    codes = [(256, 9)]
+    size, last = 258, b""
+    for byte in data:
+        more = last + bytes([byte])
+        if more in table:
+            last = more
+            continue
+        codes.append((table[last], width))
+        table[more] = size
+        size += 1
+        width = 9 + (size > 511) + (size > 1023) + (size > 2047)
+        if size > 4093:
+            codes.append((256, width))
+            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+        last = bytes([byte])
+    if last:
+        codes.append((table[last], width))
+        size += 1
+        width = 9 + (size > 511) + (size > 1023) + (size > 2047)
+    for code, bits in [*codes, (257, width)]:
+        out, held = out << bits | code, held + bits
+    return (out << -held % 8).to_bytes((held + 7) // 8, "big")
+
+
+def tiled_tiff(a: np.ndarray, side: int = 16) -> bytes:
+    """Pages in square tiles, as horizontal differences in LZW."""
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for page in a:
+        full = np.pad(page, [(0, -n % side) for n in page.shape]).astype("<u2")
+        at, sizes = [], []
+        for y in range(0, full.shape[0], side):
+            for x in range(0, full.shape[1], side):
+                tile = full[y : y + side, x : x + side]
+                data = lzw(np.diff(tile, axis=1, prepend=tile.dtype.type(0)).astype("<u2").tobytes())
+                at.append(len(out))
+                sizes.append(len(data))
+                out += data + b"\0" * (len(data) % 2)
+        lists = []
+        for values in (at, sizes):
+            lists.append(len(out) if len(values) > 1 else values[0])
+            out += struct.pack(f"<{len(values)}I", *values) if len(values) > 1 else b""
+        struct.pack_into("<I", out, link, len(out))
+        entries = [(256, 1, page.shape[1]), (257, 1, page.shape[0]), (258, 1, 16), (259, 1, 5), (317, 1, 2), (322, 1, side), (323, 1, side), (324, len(at), lists[0]), (325, len(sizes), lists[1]), (339, 1, 1)]
+        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", tag, 4, n, value) for tag, n, value in entries)
+        link = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
 def dicom(a: np.ndarray) -> bytes:
     text, short = str(a.shape[0]).encode(), lambda e, v: struct.pack("<HH2sHH", 0x28, e, b"US", 2, v)
     text += b" " * (len(text) % 2)
@@ -110,4 +162,4 @@ def cubes(a: np.ndarray, chunk: int) -> Iterator[tuple[tuple[int, ...], np.ndarr
         yield corner, padded[tuple(slice(i * chunk, (i + 1) * chunk) for i in corner)]
 
 
-WRITERS = {"npy": npy, "npz": npz, "stack": stack, "nrrd": nrrd, "nii.gz": nifti, "tif": tiff, "dcm": dicom, "zip": zipped}
+WRITERS = {"npy": npy, "npz": npz, "stack": stack, "nrrd": nrrd, "nii.gz": nifti, "tif": tiff, "tiled.tif": tiled_tiff, "dcm": dicom, "zip": zipped}

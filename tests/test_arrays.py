@@ -155,3 +155,20 @@ def test_zarr_3_in_shards_fails(spark, tmp_path):
     (tmp_path / "zarr.json").write_text(json.dumps(meta))
     with pytest.raises(ValueError, match="regular grid"):
         arrays.zarr(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("most", [2, 40, 256])
+@pytest.mark.parametrize("n", [0, 1, 600, 30_000])
+def test_lzw_round_trip(n, most):
+    data = np.random.default_rng(n).integers(0, most, n).astype(np.uint8).tobytes()
+    assert arrays.lzw(writers.lzw(data)) == data
+
+
+@pytest.mark.parametrize("shape", [(2, 16, 16), (3, 20, 37), (1, 5, 5)])
+def test_tiles_with_differences(shape):
+    a = np.random.default_rng(1).integers(0, 60_000, shape).astype(np.uint16)
+    assert (arrays.read_tiff(writers.tiled_tiff(a))[""] == a).all()
+
+
+def test_a_tiff_without_pages_has_no_frames():
+    assert arrays.read_tiff(b"II*\0\0\0\0\0")[""].shape == (0, 0, 0)
