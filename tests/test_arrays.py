@@ -13,7 +13,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from measura.sources import arrays
+from measura.sources import arrays, writers
 
 RNG = np.random.default_rng(0)
 
