@@ -32,7 +32,7 @@ from measura.llm.pretoken import added, pieces
 from measura.llm.textops import parts
 from measura.session import shared_dir
 
-MEMO = 400_000
+MEMO = 1_000_000
 GROUP = 64  # pieces given to the library in one string
 RECORD = "part int, first bigint, keys array<bigint>, lengths array<int>, payload binary"
 
