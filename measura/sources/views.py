@@ -48,11 +48,6 @@ def threes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir, 3).select("doc_id", "pos", F.col("c0").alias("b1"), F.concat("c0", "c1").alias("b2"), F.concat("c0", "c1", "c2").alias("sym"))
 
 
-def twelves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, pos, win): runs of 12 code points, shorter at the end."""
-    return neighbours(spark, sf_dir, 12).select("doc_id", "pos", F.concat_ws("", *(f"c{k}" for k in range(12))).alias("win"))
-
-
 #: A text whose characters are the bytes of another one.
 AS_BYTES = "decode(encode(text, 'UTF-8'), 'ISO-8859-1')"
 
@@ -126,7 +121,6 @@ SPARK = {
     "sn": symbol_counts,
     "s2": pairs,
     "s3": threes,
-    "s12": twelves,
     "s4": lambda spark, sf_dir: neighbours(spark, sf_dir, 4),
     "gaps": symbol_gaps,
     "o": octets,
