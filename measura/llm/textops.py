@@ -112,6 +112,13 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: i
     return mix(product(total, down[starts]) + ((ends - starts).astype(np.uint64) << np.uint64(32)))
 
 
+def differ(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, others: np.ndarray, begins: np.ndarray) -> bool:
+    """Whether any span of ``values`` differs from the span of equal size that begins at begins[i] in ``others``."""
+    last = np.cumsum(sizes)
+    run = np.arange(int(last[-1]) if len(last) else 0) - np.repeat(last - sizes, sizes)
+    return bool((values[np.repeat(starts, sizes) + run] != others[np.repeat(begins, sizes) + run]).any())
+
+
 def unequal(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Spans that differ from the span of[i] that stands for them."""
     size = ends - starts
@@ -140,3 +147,47 @@ def word_spans(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray
     starts, ends = edges[::2], edges[1::2]
     bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
     return data, starts, ends, np.searchsorted(starts, bounds)
+
+
+class HashTable:
+    """Whole numbers by 64-bit hash, in sorted arrays: a large one and a small one of what came last.
+
+    Past ``limit`` entries it says that it is full; the owner then starts afresh.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.parts)
+
+    def full(self, more: int) -> bool:
+        return len(self) > 0 and len(self) + more > self.limit
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where a key is unknown."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, values in self.parts:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[place] == keys
+                out[hit] = values[place[hit]]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds unknown keys."""
+        large, small = self.parts
+        small = self.merged(small, (keys, values.astype(np.int32)))
+        if len(small[0]) > max(1 << 16, len(large[0]) // 8):
+            large, small = self.merged(large, small), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.parts = [large, small]
+
+    @staticmethod
+    def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], values[order]

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from measura.llm.pretoken import KEY, Pieces, added, pieces, spec
 from measura.llm.textops import parts, span_hashes
 
-MEMO = 1_000_000
+MEMO = 400_000
 WIDE = 24  # longer pieces are taken one by one
 BEGIN = -2
 

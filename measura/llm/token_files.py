@@ -6,7 +6,8 @@ carries the records, so they can be in any store that Spark reaches.  A document
 sequence is the sum of the parts before its own plus its place in the part.
 
 Ids are the library's: pieces that the pre-tokenizer separates are encoded once each by the library and looked up after
-that, in a table of bounded size; texts with special strings are given to the library whole.
+that, in a table of bounded size, by a hash and then code point by code point; texts with special strings, and any in which equal
+hashes turn out to be different pieces, are given to the library whole.
 
 Edge cases: null and empty texts hold the end id alone; null keys come first; equal keys are ordered by text; repeated
 rows are kept; an empty table gives files without records.
@@ -19,7 +20,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measura.llm import simple8b
-from measura.llm.pretoken import added, pieces
-from measura.llm.textops import parts
+from measura.llm.pretoken import KEY, added, pieces
+from measura.llm.textops import HashTable, differ, parts, span_hashes, unequal
 from measura.session import shared_dir
 
 MEMO = 1_000_000
@@ -44,12 +45,14 @@ class Encoder:
 
         self.library, self.special = Tokenizer.from_file(path), added(path)
         self.bar = self.library.token_to_id(self.special[0]) if self.special else None
-        self.known: dict[str, int] = {}
+        self.known = HashTable(MEMO)
         self.clear()
 
     def clear(self) -> None:
         self.known.clear()
         self.lengths, self.offsets, self.flat, self.slots, self.used = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0, 0
+        # The pieces' own code points, one after the other, and where each begins and ends.
+        self.points, self.bounds = np.zeros(4096, np.uint32), np.zeros(1025, np.int64)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) from the library."""
@@ -66,7 +69,7 @@ class Encoder:
         bars = np.flatnonzero(ids == self.bar)
         return ids[ids != self.bar], np.diff(np.append(-1, bars)) - 1
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         new, size = self.apart(texts)
         start, n = self.slots, len(size)
         if start + n > len(self.lengths):
@@ -77,7 +80,14 @@ class Encoder:
         self.lengths[start : start + n] = size
         self.offsets[start : start + n] = self.used + np.cumsum(size) - size
         self.used, self.slots = self.used + len(new), start + n
-        self.known.update(zip(texts, range(start, start + n), strict=True))
+        self.known.put(hashes, np.arange(start, start + n))
+        spelled, begin = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), int(self.bounds[start])
+        if begin + len(spelled) > len(self.points):
+            self.points = np.resize(self.points, 2 * (begin + len(spelled)))
+        if start + n + 1 > len(self.bounds):
+            self.bounds = np.resize(self.bounds, 2 * (start + n) + 1)
+        self.points[begin : begin + len(spelled)] = spelled
+        self.bounds[start + 1 : start + n + 1] = begin + np.cumsum([len(t) for t in texts])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other, their lengths)."""
@@ -85,14 +95,19 @@ class Encoder:
         if not all(plain):
             return self.whole(texts)
         p = pieces(texts)
-        strings, back = p.distinct()
-        if self.known and len(self.known) + len(strings) > MEMO:
+        hashes, first, back = np.unique(span_hashes(p.points, p.starts, p.ends, KEY), return_index=True, return_inverse=True)
+        if len(unequal(p.points, p.starts, p.ends, first[back])):
+            return self.whole(texts)
+        if self.known.full(len(hashes)):
             self.clear()
-        slot = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
-        new = np.flatnonzero(slot < 0)
+        slot = self.known.get(hashes)
+        old, new = np.flatnonzero(slot >= 0), np.flatnonzero(slot < 0)
+        begin, size = self.bounds[slot[old]], p.ends[first[old]] - p.starts[first[old]]
+        if (self.bounds[slot[old] + 1] - begin != size).any() or differ(p.points, p.starts[first[old]], size, self.points, begin):
+            return self.whole(texts)
         if len(new):
             slot[new] = self.slots + np.arange(len(new))
-            self.learn([strings[i] for i in new])
+            self.learn(hashes[new], p.strings(first[new]))
         slot = slot[back]
         size = self.lengths[slot].astype(np.int64)
         ends = np.cumsum(size)

@@ -103,7 +103,7 @@ def test_lattice_words_do_not_collide(spark):
 def test_words_made_for_the_key_itself_are_still_told_apart(monkeypatch):
     """Even with the key known, counts and ids are the library's: what a hash finds is compared."""
     texts = list(FOUND)
-    for module in (pretoken, token_counts):
+    for module in (pretoken, token_counts, token_files):
         monkeypatch.setattr(module, "KEY", 0x11A3B5C7D9EF1357)
     monkeypatch.setattr(token_counts, "merge_machine", token_counts.MergeMachine)
     want = [e.ids for e in tokenizers.Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
