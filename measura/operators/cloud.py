@@ -3,7 +3,8 @@
 Points of equal places are one place with its ids.  A place looks for its nearest other place in the buckets around its own;
 whatever lies outside these is further away than a bucket's side, so a neighbour within that distance is the nearest.  Places
 without one go on with buckets of twice the side.  A place that is still looking has no neighbour within the side before, so
-few of them are left where places are dense, and no pair of all points is made.
+few of them are left where places are dense, and no pair of all points is made.  The first side is halved until a place shares
+its bucket with about one other, so that what a place meets doesn't grow with the number of places.
 
 Edge cases: rows with a null id or coordinate are left out; a place that several ids hold is its own nearest at distance 0;
 ties go to the neighbour with the smallest id; a single point has no neighbour and no row.
@@ -24,6 +25,20 @@ def squared(a: str, b: str, axes: list[str]) -> Column:
     return sum(((F.col(f"{b}.{c}") - F.col(f"{a}.{c}")) * (F.col(f"{b}.{c}") - F.col(f"{a}.{c}")) for c in axes), F.lit(0))
 
 
+CROWD = 2  # places, itself among them, that a place may find in its first bucket on the average
+
+
+def first_side(places: DataFrame, axes: list[str], side: int) -> int:
+    """The largest of side, side / 2, ... at which a place's bucket holds CROWD places or fewer on the average."""
+    while side > 1:
+        held = places.groupBy(*(F.floor(F.col(c) / side).alias(c) for c in axes)).agg(F.count("*").alias("n"))
+        met = held.agg(F.sum(F.col("n") * F.col("n")).alias("met"), F.sum("n").alias("n")).first()
+        if not met["n"] or met["met"] <= CROWD * met["n"]:
+            break
+        side //= 2
+    return side
+
+
 def nearest(points: DataFrame, axes: list[str], key: str = "id", side: int = 64) -> DataFrame:
     """(id, nearest, distance, axes): the nearest other point of every point, its squared distance and the step to it."""
     spark = points.sparkSession
@@ -31,6 +46,7 @@ def nearest(points: DataFrame, axes: list[str], key: str = "id", side: int = 64)
     places = materialize(known.groupBy(*axes).agg(F.min("id").alias("id"), F.count_distinct("id").alias("ids")), "cloud-places")
     open_, found = materialize(places.select("id", *axes), "cloud-open"), None
     several = places.count() > 1
+    side = first_side(places, axes, side)
     while several and not open_.isEmpty():
         bucket = lambda shift: [(F.floor(F.col(c) / side) + d).alias(f"b{i}") for i, (c, d) in enumerate(zip(axes, shift, strict=True))]  # noqa: B023, E731
         near = F.explode(F.array(*(F.struct(*bucket(s)) for s in product((-1, 0, 1), repeat=len(axes)))))
