@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from measura.plans.lattice import FULL
-from measura.plans.shared import family
+from measura.plans.shared import family, other_form, spark_form
+from measura.session import materialize
 from measura.sources import arrays, views
 
 
@@ -14,7 +16,24 @@ def sealed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.seal(views.grid(spark, sf_dir), ["t"], ["y", "x"], "lane")
 
 
+#: Sums of powers of the lanes, by year and block of rows.
+MOMENTS = "WITH " + FULL + """
+        SELECT t, DIV(y, 4) AS block, COUNT(*) AS n, CAST(SUM(lane) AS BIGINT) AS s1, CAST(SUM(lane * lane) AS BIGINT) AS s2, CAST(SUM(lane * lane * lane) AS BIGINT) AS s3 FROM full_grid GROUP BY t, DIV(y, 4)"""
+WIDE = MOMENTS
+for stated in ("lane", "lane * lane", "lane * lane * lane"):
+    WIDE = WIDE.replace(f"CAST(SUM({stated}) AS BIGINT)", f"SUM({stated.replace('lane', 'CAST(lane AS DECIMAL(12, 0))')})")
+SUMS = ["s1", "s2", "s3"]
+
+
+def noise_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums as 64-bit numbers, as in SQL, where all of a column fit; a column with larger ones, which SQL can't return, is decimal."""
+    wide = materialize(spark_form(WIDE)(spark, sf_dir), "noise-moments")  # four rows a year
+    fits = wide.agg(*(F.coalesce(F.max(F.abs(c)), F.lit(0)).alias(c) for c in SUMS)).first()
+    return wide.withColumns({c: F.col(c).cast("long") for c in SUMS if fits[c] < 1 << 63})
+
+
 REGISTRY = {
+    "noise_moments": (noise_moments, other_form(MOMENTS)),
     "sealed_grid": (
         sealed_grid,
         """
@@ -33,8 +52,6 @@ REGISTRY = {
              w AS (SELECT t, SUM(lane) AS s, SUM(lane * lane) AS q FROM full_grid GROUP BY t)
         SELECT w.t, CAST(256 * w.q - w.s * w.s AS BIGINT) AS total_ss, CAST(16 * a.q - w.s * w.s AS BIGINT) AS row_ss, CAST(16 * b.q - w.s * w.s AS BIGINT) AS column_ss
         FROM w JOIN (SELECT t, SUM(s * s) AS q FROM r GROUP BY t) a ON a.t = w.t JOIN (SELECT t, SUM(s * s) AS q FROM c GROUP BY t) b ON b.t = w.t""",
-    noise_moments="WITH " + FULL + """
-        SELECT t, DIV(y, 4) AS block, COUNT(*) AS n, CAST(SUM(lane) AS BIGINT) AS s1, CAST(SUM(lane * lane) AS BIGINT) AS s2, CAST(SUM(lane * lane * lane) AS BIGINT) AS s3 FROM full_grid GROUP BY t, DIV(y, 4)""",
     noise_halves="WITH " + FULL + """
         SELECT a.t, COUNT(*) AS n, CAST(SUM(a.lane * b.lane) AS BIGINT) AS product, CAST(SUM(a.lane) AS BIGINT) AS left_sum, CAST(SUM(b.lane) AS BIGINT) AS right_sum
         FROM full_grid a JOIN full_grid b ON b.t = a.t AND b.y = a.y AND b.x = a.x + 8 WHERE a.x < 8 GROUP BY a.t""",
