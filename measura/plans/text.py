@@ -56,9 +56,7 @@ REGISTRY = {
     ),
     block_increments=(
         """
-        WITH t AS (SELECT doc_id, b1, b2, sym FROM s3 GROUP BY doc_id, b1, b2, sym),
-             k AS (SELECT doc_id, COUNT(DISTINCT b1) AS k1, COUNT(DISTINCT b2) AS k2, COUNT(DISTINCT sym) AS k3 FROM t GROUP BY doc_id),
-             d AS (SELECT doc_id, EXPLODE(FILTER(ARRAY(STRUCT(1L AS k, k1 AS kinds, CAST(NULL AS BIGINT) AS fewer), STRUCT(2L AS k, k2 AS kinds, k1 AS fewer), STRUCT(3L AS k, k3 AS kinds, k2 AS fewer)), x -> x.kinds > 0)) AS x FROM k)
+        WITH d AS (SELECT doc_id, EXPLODE(FILTER(ARRAY(STRUCT(1L AS k, k1 AS kinds, CAST(NULL AS BIGINT) AS fewer), STRUCT(2L AS k, k2 AS kinds, k1 AS fewer), STRUCT(3L AS k, k3 AS kinds, k2 AS fewer)), x -> x.kinds > 0)) AS x FROM block_kinds)
         SELECT doc_id, x.k AS k, x.kinds, x.kinds - x.fewer AS more FROM d""",
         """
         WITH g AS (SELECT doc_id, sym AS b1, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS b2,
@@ -68,11 +66,14 @@ REGISTRY = {
              d AS (SELECT doc_id, k, CAST(COUNT(*) AS BIGINT) AS kinds FROM n GROUP BY doc_id, k)
         SELECT doc_id, CAST(k AS BIGINT) AS k, kinds, kinds - LAG(kinds) OVER (PARTITION BY doc_id ORDER BY k) AS more FROM d""",
     ),
-    block_entropy="""
+    block_entropy=(
+        "SELECT doc_id, ROUND(bits, 6) AS bits FROM pair_bits",
+        """
         WITH g AS (SELECT doc_id, sym || LEAD(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM s),
              n AS (SELECT doc_id, b, COUNT(*) AS n FROM g WHERE b IS NOT NULL GROUP BY doc_id, b),
              t AS (SELECT doc_id, b, n, SUM(n) OVER (PARTITION BY doc_id) AS t FROM n)
         SELECT doc_id, ROUND(-SUM(CAST(n AS DOUBLE) / t * LOG2(CAST(n AS DOUBLE) / t)), 6) AS bits FROM t GROUP BY doc_id""",
+    ),
     reseat_first_seen="""
         WITH f AS (SELECT doc_id, sym, MIN(pos) AS first_pos, COUNT(*) AS n FROM s GROUP BY doc_id, sym)
         SELECT doc_id, sym, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY first_pos) - 1 AS BIGINT) AS seat, n FROM f""",
@@ -115,11 +116,14 @@ REGISTRY = {
         SELECT l.l1, l.l2, CAST(SUM(ABS(COALESCE(x.n, 0) * l.t2 - COALESCE(y.n, 0) * l.t1)) AS BIGINT) AS numerator, MAX(2 * l.t1 * l.t2) AS denominator
         FROM l CROSS JOIN v LEFT JOIN c x ON x.lang = l.l1 AND x.word = v.word LEFT JOIN c y ON y.lang = l.l2 AND y.word = v.word
         WHERE x.n IS NOT NULL OR y.n IS NOT NULL GROUP BY l.l1, l.l2""",
-    split_half_distance="""
+    split_half_distance=(
+        "SELECT doc_id, numerator, denominator FROM halves",
+        """
         WITH h AS (SELECT doc_id, sym, pos, MAX(pos) OVER (PARTITION BY doc_id) + 1 AS n FROM s),
              c AS (SELECT doc_id, sym, CAST(SUM(CASE WHEN pos < DIV(n, 2) THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(SUM(CASE WHEN pos >= DIV(n, 2) THEN 1 ELSE 0 END) AS BIGINT) AS b FROM h GROUP BY doc_id, sym),
              t AS (SELECT doc_id, CAST(SUM(a) AS BIGINT) AS ta, CAST(SUM(b) AS BIGINT) AS tb FROM c GROUP BY doc_id)
         SELECT c.doc_id, CAST(SUM(ABS(c.a * t.tb - c.b * t.ta)) AS BIGINT) AS numerator, MAX(2 * t.ta * t.tb) AS denominator FROM c JOIN t ON c.doc_id = t.doc_id GROUP BY c.doc_id""",
+    ),
     common_vocabulary="""
         WITH c AS (SELECT word, COUNT(*) AS n, MIN(PAIR(doc_id, pos)) AS first_at FROM w GROUP BY word)
         SELECT word, n, place FROM (SELECT word, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS BIGINT) AS place FROM c) x WHERE place <= 50""",
@@ -133,9 +137,9 @@ REGISTRY = {
         SELECT doc_id, COUNT(*) AS n, CAST(SUM(LEAST(LENGTH(word), 20)) AS BIGINT) AS total, CAST(SUM(LEAST(LENGTH(word), 20) * LEAST(LENGTH(word), 20)) AS BIGINT) AS squares FROM w GROUP BY doc_id""",
     line_surprise=(
         """
-        WITH d AS (SELECT doc_id, pair, COUNT(*) AS m FROM o2 GROUP BY doc_id, pair),
-             c AS (SELECT pair, SUM(m) AS n FROM d GROUP BY pair), t AS (SELECT SUM(n) AS t FROM c)
-        SELECT d.doc_id, ROUND(SUM(-d.m * LOG2((c.n + 1.0E0) / (t.t + 65536.0E0))) / SUM(d.m), 6) AS bits FROM d JOIN c ON d.pair = c.pair CROSS JOIN t GROUP BY d.doc_id""",
+        WITH c AS (SELECT pair, SUM(n) AS n FROM on2 GROUP BY pair), t AS (SELECT SUM(n) AS t FROM c),
+             d AS (SELECT doc_id, pair, n AS m FROM on2)
+        SELECT /*+ BROADCAST(c) */ d.doc_id, ROUND(SUM(-d.m * LOG2((c.n + 1.0E0) / (t.t + 65536.0E0))) / SUM(d.m), 6) AS bits FROM d JOIN c ON d.pair = c.pair CROSS JOIN t GROUP BY d.doc_id""",
         """
         WITH p AS (SELECT doc_id, b * 256 + LEAD(b) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM o),
              c AS (SELECT pair, COUNT(*) AS n FROM p WHERE pair IS NOT NULL GROUP BY pair),
