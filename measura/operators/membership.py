@@ -22,8 +22,8 @@ def slots(text: Column, hashes: int, bits: int) -> Column:
 
 
 def build(values: DataFrame, column: str, hashes: int, bits: int) -> DataFrame:
-    """(bit): the bits that any value sets."""
-    return values.select(F.explode(slots(F.col(column), hashes, bits)).alias("bit")).distinct()
+    """(bit): the bits that any value sets; each distinct value is hashed once."""
+    return values.select(column).distinct().select(F.explode(slots(F.col(column), hashes, bits)).alias("bit")).distinct()
 
 
 def contains(values: DataFrame, column: str, filter_bits: DataFrame, hashes: int, bits: int) -> DataFrame:
