@@ -7,10 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+TEXTS = 64  # rows whose texts are Python objects at once
+VALUES = 1_000_000  # values that are transformed at once, or one sequence of more
+
+
 def match_rate(docs: DataFrame, key: str, text: str, window: int = 256, every: int = 1) -> DataFrame:
     """(key, places, matched): at every ``every``-th place, the length of the shortest string from there that the window
     before it doesn't hold, added up.  Null texts have no places."""
@@ -25,12 +30,15 @@ def match_rate(docs: DataFrame, key: str, text: str, window: int = 256, every: i
             total += known + 1
         return total
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            bodies = [t or "" for t in frame[text]]
-            yield pd.DataFrame({key: frame[key], "places": [len(range(window, len(t), every)) for t in bodies], "matched": [matched(t) for t in bodies]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, TEXTS) for a in range(0, len(batch), TEXTS)):
+                bodies = [t or "" for t in part[text].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part[key].cast(pa.int64()), pa.array([len(range(window, len(t), every)) for t in bodies], pa.int64()), pa.array([matched(t) for t in bodies], pa.int64())], names=[key, "places", "matched"]
+                )
 
-    return docs.select(key, text).mapInPandas(run, f"{key} long, places long, matched long")
+    return docs.select(key, text).mapInArrow(run, f"{key} long, places long, matched long")
 
 
 def stays(rows: DataFrame, key: str, order: str, value: str, band: int) -> DataFrame:
@@ -47,21 +55,38 @@ def stays(rows: DataFrame, key: str, order: str, value: str, band: int) -> DataF
     return rows.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} long, stays long, steps long")
 
 
-def power_exponent(rows: DataFrame, key: str, order: str, value: str, bands: int = 6) -> DataFrame:
-    """(key, exponent): slope of log power over log frequency, by least squares over bands of doubling frequency."""
+def slopes(v: np.ndarray, bands: int) -> np.ndarray:
+    """The slope for each row of v, all of one length; not a number where fewer than two bands have power."""
+    power = np.abs(np.fft.rfft(v - v.mean(axis=1, keepdims=True), axis=1))[:, 1:] ** 2
+    parts = [power[:, (1 << k) - 1 : (1 << (k + 1)) - 1] for k in range(bands)]
+    means = np.stack([part.mean(axis=1) if part.shape[1] else np.zeros(len(v)) for part in parts], axis=1)
+    held = means > 0
+    x, y = np.arange(bands) + 0.5, np.log2(np.where(held, means, 1))
+    count = held.sum(axis=1, keepdims=True)
+    dx = np.where(held, x - (held * x).sum(axis=1, keepdims=True) / np.maximum(count, 1), 0)
+    dy = np.where(held, y - (held * y).sum(axis=1, keepdims=True) / np.maximum(count, 1), 0)
+    return np.where(count[:, 0] > 1, (dx * dy).sum(axis=1) / np.maximum((dx * dx).sum(axis=1), 1e-300), np.nan)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        v = frame.sort_values(order)[value].to_numpy(float)
-        power = np.abs(np.fft.rfft(v - v.mean()))[1:] ** 2
-        points = []
-        for k in range(bands):
-            part = power[(1 << k) - 1 : (1 << (k + 1)) - 1]
-            if len(part) and part.mean() > 0:
-                points.append((k + 0.5, math.log2(part.mean())))
-        slope = float(np.polyfit(*zip(*points, strict=True), 1)[0]) if len(points) > 1 else None
-        return pd.DataFrame({key: [frame[key].iloc[0]], "exponent": [slope]})
-
-    return rows.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} long, exponent double")
+
+def power_exponent(rows: DataFrame, key: str, order: str, value: str, bands: int = 6) -> DataFrame:
+    """(key, exponent): slope of log power over log frequency, by least squares over bands of doubling frequency.
+
+    A sequence is one row of a batch; sequences of one length are transformed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["v"]
+            sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+            starts, out = np.cumsum(sizes) - sizes, np.full(len(batch), np.nan)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                for some in np.array_split(at, -(-len(at) * int(n) // VALUES)):
+                    out[some] = slopes(flat[starts[some][:, None] + np.arange(n)], bands)
+            yield pa.RecordBatch.from_arrays([batch[key].cast(pa.int64()), pa.array(out, mask=np.isnan(out))], names=[key, "exponent"])
+
+    placed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("v"))))
+    sequences = rows.groupBy(key).agg(F.transform(placed, lambda x: x["v"]).alias("v"))
+    return sequences.mapInArrow(run, f"{key} long, exponent double")
 
 
 def hilbert_index(x: Column, y: Column, bits: int) -> Column:
