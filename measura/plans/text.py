@@ -5,10 +5,13 @@ Ranks follow the rule: by count, then by first appearance (document, then place)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from measura.operators import census
-from measura.plans.shared import family
+from measura.plans.shared import family, other_form
+from measura.session import materialize
+from measura.sources import views
 from measura.sources.tables import table
 
 
@@ -26,7 +29,55 @@ WEB = """,
              j AS (SELECT x.place AS a, y.place AS b, p.n FROM (SELECT sym, nxt, COUNT(*) AS n FROM s2 WHERE nxt IS NOT NULL GROUP BY sym, nxt) p
                    JOIN ranked x ON p.sym = x.sym JOIN ranked y ON p.nxt = y.sym WHERE x.place <= 24 AND y.place <= 24)"""
 
+CENTROIDS = """
+        WITH c AS (SELECT word, COUNT(*) AS n, MIN(PAIR(doc_id, pos)) AS first_at FROM w GROUP BY word),
+             top AS (SELECT word FROM (SELECT word, ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS place FROM c) x WHERE place <= 30),
+             d AS (SELECT w.doc_id, w.lang, w.word, COUNT(*) AS n FROM w JOIN top t ON w.word = t.word GROUP BY w.doc_id, w.lang, w.word),
+             m AS (SELECT lang, COUNT(DISTINCT doc_id) AS docs FROM d GROUP BY lang),
+             l AS (SELECT lang, word, CAST(SUM(n) AS BIGINT) AS n FROM d GROUP BY lang, word),
+             f AS (SELECT m.lang, t.word, m.docs, COALESCE(l.n, 0) AS n FROM m CROSS JOIN top t LEFT JOIN l ON l.lang = m.lang AND l.word = t.word),
+             g AS (SELECT x.doc_id, x.lang AS own, f.lang, SUM(POWER(COALESCE(d.n, 0) - CAST(f.n - CASE WHEN x.lang = f.lang THEN COALESCE(d.n, 0) ELSE 0 END AS DOUBLE) / GREATEST(1, f.docs - CASE WHEN x.lang = f.lang THEN 1 ELSE 0 END), 2)) AS dist
+                   FROM (SELECT DISTINCT doc_id, lang FROM d) x CROSS JOIN f LEFT JOIN d ON d.doc_id = x.doc_id AND d.word = f.word GROUP BY x.doc_id, x.lang, f.lang)
+        SELECT own, picked, COUNT(*) AS n FROM (SELECT own, lang AS picked, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY ROUND(dist, 6), lang) AS place FROM g) y WHERE place = 1 GROUP BY own, picked"""
+TOP_WORDS = 30
+
+
+def nearest_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the language whose mean profile of the commonest words is the nearest, its own text left out of the mean.
+
+    A document is one row with its counts of the top words, and meets each language once; rows that share an id and differ in
+    language are compared with all counts of the id, as the SQL form does.
+    """
+    words = views.words(spark, sf_dir)
+    ranks = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first_at")).orderBy(F.desc("n"), "first_at").limit(TOP_WORDS)
+    top = materialize(ranks.select("word").coalesce(1).withColumn("k", F.monotonically_increasing_id()), "centroid-words")
+    size = top.count()
+    counts = F.array(*(F.count(F.when(F.col("k") == k, 1)) for k in range(size))) if size else F.array().cast("array<bigint>")
+    docs = materialize(words.join(F.broadcast(top), "word").groupBy("doc_id", "lang").agg(counts.alias("d")), "centroid-docs")
+    sums = F.array(*(F.sum(F.get("d", F.lit(k))) for k in range(size))) if size else F.array().cast("array<bigint>")
+    means = docs.groupBy("lang").agg(F.count("doc_id").alias("docs"), sums.alias("n"))
+    # A null language's words aren't its own in the SQL form.
+    means = means.select("lang", "docs", F.when(F.col("lang").isNull(), F.transform("n", lambda x: F.lit(0).cast("long"))).otherwise(F.col("n")).alias("n"))
+    entries = docs.groupBy("doc_id").agg(F.collect_list(F.struct("lang", "d")).alias("es"))
+    held = F.when(F.col("doc_id").isNotNull(), F.transform("es", lambda e: e["d"])).otherwise(F.array().cast("array<array<bigint>>"))
+    asked = entries.select("doc_id", held.alias("ds"), F.explode(F.transform("es", lambda e: e["lang"])).alias("own"))
+    same = F.coalesce(F.col("own") == F.col("lang"), F.lit(False)).cast("long")
+    over = F.greatest(F.lit(1).cast("long"), F.col("docs") - same)
+    step = lambda d, n: F.pow(d - (n - same * d).cast("double") / over, F.lit(2.0))
+    alone = F.aggregate(F.zip_with(F.col("ds")[0], "n", step), F.lit(0.0), lambda s, x: s + x)
+
+    def at(n: Column, k: Column) -> Column:
+        found = F.filter(F.transform("ds", lambda d: F.get(d, k)), lambda c: c > 0)
+        return F.aggregate(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0).cast("long"))), F.lit(0.0), lambda s, c: s + step(c, n))
+
+    several = F.aggregate(F.transform("n", at), F.lit(0.0), lambda s, x: s + x)
+    far = asked.crossJoin(F.broadcast(means)).select("doc_id", "own", "lang", F.when(F.size("ds") == 1, alone).otherwise(several).alias("far"))
+    picked = far.groupBy("doc_id").agg(F.min(F.struct(F.round("far", 6).alias("far"), "lang", "own")).alias("m"))
+    return picked.groupBy(F.col("m.own").alias("own"), F.col("m.lang").alias("picked")).agg(F.count("*").alias("n"))
+
+
 REGISTRY = {
+    "nearest_centroid_lang": (nearest_centroid_lang, other_form(CENTROIDS)),
     "collision_census": (
         collision_census,
         """
@@ -165,16 +216,6 @@ REGISTRY = {
              x AS (SELECT a, b, n, SUM(n) OVER (PARTITION BY a) AS na, SUM(n) OVER (PARTITION BY b) AS nb, SUM(n) OVER () AS t FROM j)
         SELECT a, b, ROUND(LOG2((n + 0.5E0) * t / (CAST(na AS DOUBLE) * nb)), 6) AS pmi FROM x""",
     ),
-    nearest_centroid_lang="""
-        WITH c AS (SELECT word, COUNT(*) AS n, MIN(PAIR(doc_id, pos)) AS first_at FROM w GROUP BY word),
-             top AS (SELECT word FROM (SELECT word, ROW_NUMBER() OVER (ORDER BY n DESC, first_at) AS place FROM c) x WHERE place <= 30),
-             d AS (SELECT w.doc_id, w.lang, w.word, COUNT(*) AS n FROM w JOIN top t ON w.word = t.word GROUP BY w.doc_id, w.lang, w.word),
-             m AS (SELECT lang, COUNT(DISTINCT doc_id) AS docs FROM d GROUP BY lang),
-             l AS (SELECT lang, word, CAST(SUM(n) AS BIGINT) AS n FROM d GROUP BY lang, word),
-             f AS (SELECT m.lang, t.word, m.docs, COALESCE(l.n, 0) AS n FROM m CROSS JOIN top t LEFT JOIN l ON l.lang = m.lang AND l.word = t.word),
-             g AS (SELECT x.doc_id, x.lang AS own, f.lang, SUM(POWER(COALESCE(d.n, 0) - CAST(f.n - CASE WHEN x.lang = f.lang THEN COALESCE(d.n, 0) ELSE 0 END AS DOUBLE) / GREATEST(1, f.docs - CASE WHEN x.lang = f.lang THEN 1 ELSE 0 END), 2)) AS dist
-                   FROM (SELECT DISTINCT doc_id, lang FROM d) x CROSS JOIN f LEFT JOIN d ON d.doc_id = x.doc_id AND d.word = f.word GROUP BY x.doc_id, x.lang, f.lang)
-        SELECT own, picked, COUNT(*) AS n FROM (SELECT own, lang AS picked, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY ROUND(dist, 6), lang) AS place FROM g) y WHERE place = 1 GROUP BY own, picked""",
     profile_distance="""
         WITH c AS (SELECT lang, word, COUNT(*) AS n FROM w GROUP BY lang, word),
              t AS (SELECT lang, word, CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY lang) AS p FROM c),
