@@ -16,11 +16,13 @@ size) under *any* order of all tokens.  Candidates must do so under ORDERS diffe
 4. Tokens of up to SMALL classes list their candidate pairs.  For a token of more, the classes that stand early enough
    to be the smaller set of a link are its heads: all classes are paired with one head (the hub), and nothing more is
    done where no head is.  Pairs that share enough tokens of the prefixes under the other orders are verified on the full
-   sets, and the links make components.
-5. Tokens with heads whose classes still make several components are compared in full: heads with all, in blocks of about
+   sets, and the links make components.  What candidates connect is verified in one place, to which every set is sent
+   once; where that is more than BLOCK_TOKENS tokens or NEAR_PAIRS pairs, sets are joined to single pairs.
+5. Tokens with heads whose classes still make several components are compared: heads with all, in blocks of about
    BLOCK classes or BLOCK_TOKENS tokens; in large groups blocks hold sets of one band of sizes, and meet their own and
-   the next band only.  No more links are returned than connect what is linked.  So pairs of a large group aren't
-   listed, nothing is capped, and no link between different components is lost.
+   the next band only.  Blocks hold the prefixes first, and full sets of what fits another's prefixes then, once for all
+   tokens where that sends fewer sets.  No more links are returned than connect what is linked.  So pairs of a large group aren't listed, nothing is capped, and no link
+   between different components is lost.
 
 Words and shingles are told by 64-bit hashes under a key drawn for each run, so no text can have been made to collide; two
 tokens that don't depend on it do so with a chance of about 2^-60.  Sets are told by two sums of such hashes, 128 bits
@@ -58,6 +60,8 @@ DEPTH, PER_TOKEN = 3, 40  # l under the seeded orders: one more for every PER_TO
 HOT_SHARE, HOT_LEAST, HOT_TOKENS = 64, 16, 1 << 16  # hot: in HOT_LEAST classes of one in HOT_SHARE, HOT_TOKENS at most
 SPREAD = 1.5  # share of the hash range sampled, as a multiple of 1 - num/den
 BROADCAST_ROWS = 1_000_000
+NEAR_PAIRS = 1 << 17  # candidate pairs that are verified in one place
+SALTS = 256  # parts of a hot token's classes
 PAIRS = 512  # pairs whose sets are Python objects at once
 SLICE = 300_000  # bytes of text whose arrays are held at once
 FEW = 20  # below one pair in so many, pairs of blocks are verified one by one
@@ -149,17 +153,35 @@ def sampler(text: str, words: int, key: int, num: int, den: int, keep: list[str]
     return run
 
 
-FILTERS = "print long, n int, p1 binary, p2 binary"
-SETS = FILTERS + ", tokens binary"
+SETS = "print long, n int, p1 binary, p2 binary, tokens binary"
+
+
+def wanted_sets(batches: Iterator[pa.RecordBatch], words: int, key: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows whose text has the class's print that they name, and their sets: the first row of a class that the task meets."""
+    seen: set[int] = set()
+    for batch, a, sets in read_sets(batches, "text", words, key):
+        part, rows = batch.slice(a, len(sets)), []
+        for i, (f, s) in enumerate(zip(part["print"].to_pylist(), sets, strict=True)):
+            if f not in seen and len(s) and fingerprint(s) == f:
+                seen.add(f)
+                rows.append(i)
+        yield part.take(pa.array(rows, pa.int64())), [sets[i] for i in rows]
 
 
 def set_maker(words: int, key: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sets in read_sets(batches, "text", words, key):
-            rows = [(fingerprint(s), len(s), *(p.tobytes() for p in prefixes(s, num, den)), s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["print", "n", "p1", "p2", "tokens"]
-            )
+        for part, sets in wanted_sets(batches, words, key):
+            p1, p2 = zip(*(prefixes(s, num, den) for s in sets), strict=True) if sets else ((), ())
+            columns = [part["print"], pa.array([len(s) for s in sets], pa.int32()), *(pa.array([s.tobytes() for s in side], pa.binary()) for side in (p1, p2, sets))]
+            yield pa.RecordBatch.from_arrays(columns, names=["print", "n", "p1", "p2", "tokens"])
+
+    return run
+
+
+def near_sets(words: int, key: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in wanted_sets(batches, words, key):
+            yield pa.RecordBatch.from_arrays([part["near"], part["print"], pa.array([s.tobytes() for s in sets], pa.binary())], names=["near", "print", "tokens"])
 
     return run
 
@@ -204,6 +226,34 @@ def similar(num: int, den: int) -> Callable[[dict, int], bool]:
     return fine
 
 
+def find(root: dict[int, int], x: int) -> int:
+    while root[x] != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
+def near_links(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Links among the pairs (a, b) of what candidates connect, as many as connect it."""
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        tokens = {f: array(t) for f, t in zip(sets["print"].to_pylist(), sets["tokens"].to_pylist(), strict=True)}
+        orders = {f: prefixes(s, num, den) for f, s in tokens.items()}
+        root, out = {f: f for f in tokens}, []
+        for a, b in sorted(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)):
+            x, y = find(root, a), find(root, b)
+            if x == y:
+                continue
+            least = least_shared(min(len(tokens[a]), len(tokens[b])))
+            if all(meets(p, q) >= least for p, q in zip(orders[a], orders[b], strict=True)):
+                both = meets(tokens[a], tokens[b])
+                if den * both >= num * (len(tokens[a]) + len(tokens[b]) - both):
+                    root[max(x, y)] = min(x, y)
+                    out.append((a, b))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, a stretch of the tokens at a time."""
     sides = []
@@ -225,44 +275,61 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return out
 
 
+def fitting(group: pa.Table, num: int, den: int) -> tuple[list[dict], list[dict], np.ndarray]:
+    """(left, right, fits): the heads of one block (lb), the members of another (rb), and which of them may be linked."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["print"])
+    left, right = [r for r in rows if r["head"] and r["lb"] == r["i"]], [r for r in rows if r["rb"] == r["j"]]
+    if not left or not right:
+        return left, right, np.zeros((len(left), len(right)), bool)
+    column = lambda side, c: np.array([r[c] for r in side], np.int64)
+    n, m = column(left, "n")[:, None], column(right, "n")[None, :]
+    # Pairs of one component are left, and those that the place of the token rules out.
+    fits = column(left, "root")[:, None] != column(right, "root")
+    fits &= (n <= m) & (den * n >= num * m)
+    fits &= (1 + np.minimum(n - column(left, "place")[:, None], m - column(right, "place"))) * (num + den) >= num * (n + m)
+    least = np.minimum(DEPTH, 1 + n // PER_TOKEN)
+    for p in ("p1", "p2"):
+        if fits.any():
+            fits &= shared_counts([array(r[p]) for r in left], [array(r[p]) for r in right]) >= least
+    return left, right, fits
+
+
+def block_fits(num: int, den: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The classes of a pair of blocks that fit another's prefixes, and a class (near) that is equal in those that fits connect."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        left, right, fits = fitting(group, num, den)
+        across, label = np.flatnonzero(fits.any(1)), np.arange(len(right))
+        for k in across:
+            label[np.isin(label, label[fits[k]])] = label[fits[k]].min()
+        near = {(left[k]["print"], right[label[fits[k]][0]]["print"]) for k in across} | {(right[k]["print"], right[label[k]]["print"]) for k in np.flatnonzero(fits.any(0))}
+        token, i, j = (x.as_py() for x in key)
+        columns = {"token": pa.array([token] * len(near), pa.int64()), "i": pa.array([i] * len(near), pa.string()), "j": pa.array([j] * len(near), pa.string())}
+        return pa.table(columns | {"print": pa.array([a for a, _ in near], pa.int64()), "near": pa.array([b for _, b in near], pa.int64())})
+
+    return run
+
+
 def block_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
-    """Links between the heads of one block (lb) and the members of another (rb), as many as connect them."""
+    """Links between the heads of one block and the members of another, as many as connect them."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["print"])
-        left, right = [r for r in rows if r["head"] and r["lb"] == r["i"]], [r for r in rows if r["rb"] == r["j"]]
+        left, right, fits = fitting(group, num, den)
         out = []
-        if left and right:
-            column = lambda side, c: np.array([r[c] for r in side], np.int64)
-            n, m = column(left, "n")[:, None], column(right, "n")[None, :]
-            # Pairs of one component are left, and those that the place of the token rules out.
-            fits = column(left, "root")[:, None] != column(right, "root")
-            fits &= (n <= m) & (den * n >= num * m)
-            fits &= (1 + np.minimum(n - column(left, "place")[:, None], m - column(right, "place"))) * (num + den) >= num * (n + m)
-            least = np.minimum(DEPTH, 1 + n // PER_TOKEN)
-            for p in ("p1", "p2"):
-                if fits.any():
-                    fits &= shared_counts([array(r[p]) for r in left], [array(r[p]) for r in right]) >= least
-            if fits.any():
-                across, down = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
-                x, y = [array(left[k]["tokens"]) for k in across], [array(right[k]["tokens"]) for k in down]
-                if fits.sum() * FEW < len(x) * len(y):
-                    both = np.zeros((len(x), len(y)), np.int64)
-                    for a, b in zip(*np.nonzero(fits[np.ix_(across, down)]), strict=True):
-                        both[a, b] = meets(x[a], y[b])
-                else:
-                    both = shared_counts(x, y)
-                union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y]) - both
-                fits[np.ix_(across, down)] &= den * both >= num * union
-            root = {r["root"]: r["root"] for r in rows}
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
+        if fits.any():
+            across, down = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
+            x, y = [array(left[k]["tokens"]) for k in across], [array(right[k]["tokens"]) for k in down]
+            if fits.sum() * FEW < len(x) * len(y):
+                both = np.zeros((len(x), len(y)), np.int64)
+                for a, b in zip(*np.nonzero(fits[np.ix_(across, down)]), strict=True):
+                    both[a, b] = meets(x[a], y[b])
+            else:
+                both = shared_counts(x, y)
+            union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y]) - both
+            fits[np.ix_(across, down)] &= den * both >= num * union
+            root = {r["root"]: r["root"] for r in left + right}
             for a, b in zip(*np.nonzero(fits), strict=True):
-                x, y = find(left[a]["root"]), find(right[b]["root"])
+                x, y = find(root, left[a]["root"]), find(root, right[b]["root"])
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     out.append((left[a]["print"], right[b]["print"]))
@@ -303,24 +370,46 @@ def listed_pairs(few: DataFrame, num: int, den: int) -> DataFrame:
 
 def dealt_blocks(placed: DataFrame, num: int, den: int) -> DataFrame:
     """placed (token, print, n, place, head, root) once for every pair of blocks (i, j) in which it is a head or a member."""
-    size = placed.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    one = (F.col("members") <= BLOCK) & (F.col("tokens") <= BLOCK_TOKENS)
-    banded = placed.join(size, "token").withColumn("band", F.when(one, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)).cast("int"))
-    blocks = lambda of: F.ceil(F.greatest(F.sum(F.when(of, 1).otherwise(0)) / BLOCK, F.sum(F.when(of, F.col("n")).otherwise(0)) / BLOCK_TOKENS)).cast("int")
-    bands = banded.groupBy("token", "band").agg(blocks(F.col("head")).alias("l"), blocks(F.lit(True)).alias("r"))
+    banded = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
+    heads, head_tokens = F.sum(F.when(F.col("head"), 1).otherwise(0)).alias("heads"), F.sum(F.when(F.col("head"), F.col("n")).otherwise(0)).alias("head_tokens")
+    bands = banded.groupBy("token", "band").agg(heads, head_tokens, F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    blocks = lambda n, tokens: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(tokens) / BLOCK_TOKENS)).cast("int")
     # At most one entry for each band of sizes: about 100 for sets of up to 40,000 tokens at a similarity of 0.9.
-    bands = bands.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("l", "r")))).alias("bands"))
+    by_band = F.map_from_entries(F.collect_list(F.struct("band", F.struct(blocks("heads", "head_tokens").alias("l"), blocks("members", "tokens").alias("r")))))
+    bands = bands.groupBy("token").agg(by_band.alias("by_band"), *(F.sum(c).alias(c) for c in ("heads", "members", "tokens")))
+    one = (F.col("members") <= BLOCK) & (F.col("tokens") <= BLOCK_TOKENS)
+    whole = F.create_map(F.lit(0), F.struct(F.when(F.col("heads") > 0, 1).otherwise(0).alias("l"), F.lit(1).alias("r")))
+    bands = bands.select("token", one.alias("one"), F.when(one, whole).otherwise(F.col("by_band")).alias("bands"))
     at = "coalesce(try_element_at(bands, {}).{}, 0)"
     name = "named_struct('i', concat({}, ':', {}), 'j', concat({}, ':', {}))"
     turn = lambda band, of, i, j: f"flatten(transform({band}, w -> transform(filter(sequence(0, {at.format('w', of)}), k -> k < {at.format('w', of)}), k -> {name.format(*i, *j)})))"
     as_head = turn("array(band, band + 1)", "r", ("band", "l"), ("w", "k"))
     as_member = turn("array(band - 1, band)", "l", ("w", "k"), ("band", "r"))
-    out = banded.join(bands, "token").withColumn("l", F.expr(f"pmod(xxhash64(print), greatest(1, {at.format('band', 'l')}))")).withColumn("r", F.expr(f"pmod(xxhash64(print), greatest(1, {at.format('band', 'r')}))"))
+    out = banded.join(bands, "token").withColumn("band", F.when(F.col("one"), 0).otherwise(F.col("band")))
+    out = out.withColumn("l", F.expr(f"pmod(xxhash64(print), greatest(1, {at.format('band', 'l')}))")).withColumn("r", F.expr(f"pmod(xxhash64(print), greatest(1, {at.format('band', 'r')}))"))
     out = out.withColumn("lb", F.concat_ws(":", "band", "l")).withColumn("rb", F.concat_ws(":", "band", "r"))
     turns = F.expr(f"array_distinct(concat(IF(head, {as_head}, array()), {as_member}))")
     return out.withColumn("turn", F.explode(turns)).select("token", "print", "place", "head", "root", "lb", "rb", "turn.i", "turn.j")
 
 
+def fewer_blocks(dealt: DataFrame, placed: DataFrame, fit: DataFrame, num: int, den: int) -> DataFrame:
+    """dealt, with the blocks of many tokens replaced by those of what fits connect, where sets are sent less often so.
+
+    Classes that share many hot tokens are compared under every one of them otherwise.
+    """
+    linked = materialize(components(fit.select(F.col("print").alias("a"), F.col("near").alias("b"))), "ngram-spots")
+    spots = linked.select(F.col("node").alias("print"), F.col("root").alias("spot"))
+    members = placed.select("print", "n", "root").distinct().join(spots, "print")
+    rows = dealt.join(spots, "print")
+    size = members.groupBy("spot").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).join(rows.groupBy("spot").agg(F.count("*").alias("rows")), "spot")
+    parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    fewer = materialize(size.where(F.col("members") * F.when(parts == 1, 1).otherwise(4 * parts) <= F.col("rows")).select("spot"), "ngram-fewer")
+    together = members.join(fewer, "spot", "left_semi").select(F.col("spot").alias("token"), "print", "n", F.lit(1).alias("place"), F.lit(True).alias("head"), "root")
+    out = materialize(rows.join(fewer, "spot", "left_anti").drop("spot").unionByName(dealt_blocks(together, num, den)), "ngram-dealt")
+    drop_materialized(placed.sparkSession, linked, fewer)
+    return out
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, keep: list[str] | None = None, mark: str | None = None) -> DataFrame:
     """docs with n_shingles and component_id (the smallest key that links reach).
 
@@ -344,13 +433,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         drop_materialized(spark, nodes, ids, classes)
         return groups(docs, key, text, words, num, den, keep, mark)
 
-    # Tokens of several classes; equal rows of (token, print) come from different tasks.
+    # Tokens of several classes; equal rows of (token, print) come from different tasks.  A hot token's mark holds the estimate
+    # and a part of its classes, so that they come to many tasks.
     postings = nodes.where(F.size("sample") > 0).select("print", F.explode("sample").alias("token"))
     hot = hot_tokens(postings, size)
-    cold = postings.join(F.broadcast(hot), "token", "left_anti").repartition("token").groupBy("token", "print").agg(F.lit(0).alias("classes"))
-    cold = cold.withColumn("classes", F.count("*").over(W.partitionBy("token"))).where("classes > 1")
-    warm = postings.join(F.broadcast(hot), "token").select("token", "print", "classes").distinct()
-    shared = cold.unionByName(warm).join(classes.select("print", "n", "sampled"), "print")
+    marked = postings.join(F.broadcast(hot), "token", "left").select("token", "print", (F.col("classes") * SALTS + F.pmod(F.xxhash64("print"), F.lit(SALTS))).alias("mark"))
+    counted = marked.repartition("token", "mark").groupBy("token", "mark", "print").agg(F.lit(0).alias("classes"))
+    counted = counted.withColumn("classes", F.count("*").over(W.partitionBy("token", "mark"))).where("mark IS NOT NULL OR classes > 1")
+    shared = counted.select("token", "print", F.coalesce(F.expr(f"mark div {SALTS}"), "classes").alias("classes")).join(classes.select("print", "n", "sampled"), "print")
     by_class = W.partitionBy("print")
     # Tokens of one class come first.
     own = F.col("sampled") - F.count("*").over(by_class)
@@ -364,36 +454,64 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     many = live.groupBy("token").agg(F.count("*").alias("members"), F.min(F.when(head, F.struct("print", "n", "place"))).alias("hub")).where(F.col("members") > SMALL)
     many = materialize(many.select("token", "hub"), "ngram-many")
     small = F.broadcast(many.select("token")) if many.count() <= BROADCAST_ROWS else many.select("token")
-    groups_of = live.join(many.where("hub IS NOT NULL"), "token")
-    star = groups_of.withColumn("own", F.struct("print", "n", "place")).where(f"print <> hub.print AND {candidate('own', 'hub', num, den)}")
+    grouped = materialize(live.join(many.where("hub IS NOT NULL"), "token").select("token", "print", "n", "place", head.alias("head"), "hub"), "ngram-grouped")
+    star = grouped.withColumn("own", F.struct("print", "n", "place")).where(f"print <> hub.print AND {candidate('own', 'hub', num, den)}")
     star = star.select(F.least("print", "hub.print").alias("a"), F.greatest("print", "hub.print").alias("b"))
     pairs = materialize(listed_pairs(live.join(small, "token", "left_anti"), num, den).unionByName(star).distinct(), "ngram-pairs")
-
-    # One text of every class that has candidates or is in a large group.
-    grouped = materialize(groups_of.select("token", "print", "n", "place", head.alias("head")), "ngram-grouped")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("print")).unionByName(grouped.select("print")).distinct()
-    chosen = materialize(classes.join(involved, "print", "left_semi").select("text_key"), "ngram-chosen")
     drop_materialized(spark, live, many)
-    chosen_keys = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    texts = docs.select(body).withColumn("text_key", F.xxhash64("text")).join(chosen_keys, "text_key", "left_semi")
-    texts = texts.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["text_key", "digest"])  # texts made for one text_key are read as well
-    sets = materialize(texts.select("text").mapInArrow(set_maker(words, secret, num, den), SETS), "ngram-sets")
-    drop_materialized(spark, chosen)
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """Rows with the text of one of these classes (print, text_key, and more columns)."""
+        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        return docs.select(body).withColumn("text_key", F.xxhash64("text")).join(some, "text_key")
+
+    def sets_of(prints: DataFrame) -> DataFrame:
+        chosen = materialize(classes.join(prints, "print", "left_semi").select("print", "text_key"), "ngram-chosen")
+        texts = texts_of(chosen).withColumn("digest", F.sha2("text", 256)).dropDuplicates(["print", "text_key", "digest"])
+        sets = materialize(texts.select("text", "print").mapInArrow(set_maker(words, secret, num, den), SETS), "ngram-sets")
+        drop_materialized(spark, chosen)
+        return sets
+
+    # Everything that candidates connect is verified in one place, if it isn't too large for that.
+    near = materialize(components(pairs), "ngram-near")
+    told = materialize(pairs.join(near.select(F.col("node").alias("a"), F.col("root").alias("near")), "a"), "ngram-told")
+    ends = materialize(classes.join(near.select(F.col("node").alias("print"), F.col("root").alias("near")), "print").select("print", "text_key", "n", "near"), "ngram-ends")
+    figures = ends.groupBy("near").agg(F.sum("n").alias("tokens")).join(told.groupBy("near").agg(F.count("*").alias("pairs")), "near")
+    large = F.broadcast(materialize(figures.where(f"tokens > {BLOCK_TOKENS} OR pairs > {NEAR_PAIRS}").select("near"), "ngram-large"))
+    drop_materialized(spark, pairs, near)
+    near_texts = materialize(ends.join(large, "near", "left_anti").select("print", "text_key", "near"), "ngram-chosen")
+    found = texts_of(near_texts).select("near", "print", "text").mapInArrow(near_sets(words, secret), "near long, print long, tokens binary")
+    links = found.groupBy("near").cogroup(told.join(large, "near", "left_anti").groupBy("near")).applyInArrow(near_links(num, den), "a long, b long")
+    links = materialize(links, "ngram-links")
+    if not large.isEmpty():
+        sets = sets_of(ends.join(large, "near", "left_semi"))
+        links = links.unionByName(verify(told.join(large, "near", "left_semi").select("a", "b"), sets, num, den))
+        drop_materialized(spark, sets)
+    drop_materialized(spark, told, ends, near_texts, large)
     free_shuffles(spark)
-    links = verify(pairs, sets, num, den)
-    drop_materialized(spark, pairs)
     roots = materialize(components(links), "ngram-roots")
     free_shuffles(spark)
 
-    rooted = grouped.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = grouped.drop("hub").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     rooted = materialize(rooted, "ngram-rooted")
     drop_materialized(spark, grouped)
     open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    open_ = materialize(rooted.join(open_, "token"), "ngram-open")
+    open_ = materialize(rooted.join(open_, "token", "left_semi"), "ngram-open")
     drop_materialized(spark, rooted)
-    blocks = dealt_blocks(open_, num, den).join(sets, "print").groupBy("token", "i", "j").applyInArrow(block_links(num, den), "a long, b long")
-    more = materialize(blocks, "ngram-more")
-    drop_materialized(spark, sets, open_)
+    more = spark.createDataFrame([], "a long, b long")
+    if not open_.isEmpty():
+        at = ["token", "i", "j"]
+        dealt = materialize(dealt_blocks(open_, num, den), "ngram-dealt")
+        sets = sets_of(open_.select("print").distinct())
+        fit = dealt.join(sets.select("print", "n", "p1", "p2"), "print").groupBy(*at).applyInArrow(block_fits(num, den), "token long, i string, j string, print long, near long")
+        fit = materialize(fit, "ngram-fit")
+        if not fit.isEmpty():
+            dealt_again = fewer_blocks(dealt.join(fit, [*at, "print"], "left_semi"), open_, fit, num, den)
+            blocks = dealt_again.join(sets.join(fit, "print", "left_semi"), "print")
+            more = materialize(blocks.groupBy(*at).applyInArrow(block_links(num, den), "a long, b long"), "ngram-more")
+            drop_materialized(spark, dealt_again)
+        drop_materialized(spark, dealt, sets, fit)
+    drop_materialized(spark, open_)
     free_shuffles(spark)
 
     final = materialize(components(links.unionByName(more)), "ngram-final") if not more.isEmpty() else roots

@@ -155,6 +155,35 @@ def test_ngram_groups_of_odd_rows(spark, odd_docs):
     assert ngram_join.groups(odd_docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_compared_once_for_all_their_hot_tokens(spark, monkeypatch):
+    """40 texts that share nine tenths of their tokens: their sets come to one block, and tokens are joined to few rows."""
+    words = [f"w{i}" for i in range(100)]
+    docs = [(k, " ".join([*words[: 2 * k + 10], f"x{k}", *words[2 * k + 11 :]])) for k in range(40)]
+    rows, plans = spark.sparkContext.accumulator(0), []
+    links, write = ngram_join.block_links, ngram_join.materialize
+
+    def counting(num, den):
+        run = links(num, den)
+
+        def counted(group):
+            rows.add(len(group))
+            return run(group)
+
+        return counted
+
+    def noting(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "block_links", counting)
+    monkeypatch.setattr(ngram_join, "materialize", noting)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(df).collect()}
+    assert got == brute_groups(docs, 3, 90, 100)
+    assert 0 < rows.value <= len(docs)
+    assert sum(plan.count("Join Inner, (token#") for plan in plans) <= 3
+
+
 def levels():
     return {"domain": F.col("domain"), "source": F.col("source")}
 
